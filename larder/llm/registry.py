@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "secrets", "exact_dedup", "sharding"]
+MODULES = ["decontaminate", "mixing", "secrets", "exact_dedup", "sharding"]
 
 
 def _collect(name: str) -> dict:
