@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "mixing", "secrets", "exact_dedup", "sharding"]
+MODULES = ["decontaminate", "quality", "mixing", "secrets", "exact_dedup", "language_id", "sharding"]
 
 
 def _collect(name: str) -> dict:
