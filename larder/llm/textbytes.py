@@ -96,15 +96,19 @@ class Words:
         np.cumsum((data.astype(_U) + _U(1)) * ups[:n], out=sums[1:])
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * downs[self.starts])
 
+    def runs(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The hash of the ``size`` words from word ``at`` of the slice on."""
+        n = len(self.hashes)
+        ups, downs = powers(_WORD_BASE, n + 1)
+        sums = np.zeros(n + 1, _U)
+        np.cumsum(self.hashes * ups[:n], out=sums[1:])
+        return mix((sums[at + size] - sums[at]) * downs[at] + size.astype(_U))
+
     def windows(self, width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, row, first word in the slice) of every run of ``width`` words of a row.
 
         With ``short``, a row of fewer words, but not none, is one window.
         """
-        n = len(self.hashes)
-        ups, downs = powers(_WORD_BASE, n + 1)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum(self.hashes * ups[:n], out=sums[1:])
         per_row = np.maximum(self.counts - width + 1, 0)
         if short:
             per_row = np.where(self.counts > 0, np.maximum(per_row, 1), 0)
@@ -112,7 +116,7 @@ class Words:
         ahead = np.cumsum(per_row) - per_row
         at = np.arange(len(row)) - ahead[row] + self.first[:-1][row]
         to = np.minimum(at + width, self.first[1:][row])
-        return mix((sums[to] - sums[at]) * downs[at]), row, at
+        return self.runs(at, to - at), row, at
 
 
 def run_starts(sorted_values: np.ndarray) -> np.ndarray:
