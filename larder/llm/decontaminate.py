@@ -184,6 +184,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     )
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    found = contamination(docs, benchmark).where("contaminated").select("doc_id", "h").distinct()
+    gone = small(settle(found, "contaminated")).alias("g")
+    keyed = docs.withColumn("__h", F.xxhash64("text")).alias("d")
+    met = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__h") == F.col("g.h"))
+    return keyed.join(gone, met, "left_anti").select(*docs.columns)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.select(

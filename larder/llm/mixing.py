@@ -86,6 +86,30 @@ def calibrate(raked: DataFrame, budget: float) -> DataFrame:
     return now.drop("total")
 
 
+def factors(topic: Column | None = None) -> list[Column]:
+    """The cell of a row: source, lang and topic; nulls are the value ''."""
+    text = F.coalesce("text", F.lit(""))
+    given = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")]
+    return [*given, (topic_of(text) if topic is None else topic).alias("topic")]
+
+
+def cell_probabilities(
+    rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS
+) -> DataFrame:
+    """source, lang, topic, weight, probability from rows of the three factors and tokens."""
+    cells = settle(rows.groupBy(*FACTORS).agg(F.sum("tokens").alias("tokens")), "cells")
+    raked = rake(cells, targets or tempered_targets(cells, TEMPER), rounds)
+    return small(settle(calibrate(raked, budget).select(*FACTORS, "weight", "probability"), "calibrated"))
+
+
+def drawn(seed: str, probability: Column) -> Column:
+    """Whether a row is drawn: a hash of (seed, doc_id) against its probability."""
+    return unit_hash(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < probability
+
+
+TOKENS = r"\S+"
+
+
 def mix(
     docs: DataFrame,
     targets: dict[str, DataFrame] | None = None,
@@ -108,21 +132,25 @@ def mix(
     Only sums by cell are shuffled; the number of cells is that of distinct
     (source, lang, topic), and they are broadcast only up to a counted size.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")),
-        (topic_of(text) if topic is None else topic).alias("topic"),
-        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"),
+    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKENS)).cast("long").alias("tokens")
+    rows = settle(docs.select("doc_id", *factors(topic), tokens), "mix-rows")
+    found = cell_probabilities(rows, targets, budget, rounds)
+    return rows.join(found, FACTORS).select(
+        "doc_id", *FACTORS, "tokens", "weight", "probability", drawn(seed, F.col("probability")).alias("sampled")
     )
-    rows = settle(rows, "mix-rows")
-    cells = settle(rows.groupBy(*FACTORS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets or tempered_targets(cells, TEMPER), rounds)
-    drawn = settle(calibrate(raked, budget).select(*FACTORS, "weight", "probability"), "calibrated")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return rows.join(small(drawn), FACTORS).select(
-        "doc_id", *FACTORS, "tokens", "weight", "probability", (unit_hash(F.lit(seed), key) < F.col("probability")).alias("sampled")
+
+
+def sample(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: str = "mix"
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` draws, with all their columns."""
+    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKENS)).cast("long").alias("tokens")
+    found = cell_probabilities(docs.select(*factors(), tokens), targets, budget)
+    cell = F.struct(*factors())
+    met = docs.withColumn("__cell", cell).join(
+        found.select(F.struct(*FACTORS).alias("__cell"), F.col("probability").alias("__probability")), "__cell"
     )
+    return met.where(drawn(seed, F.col("__probability"))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

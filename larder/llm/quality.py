@@ -154,6 +154,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     )
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``."""
+    column = "__score"
+    return score(docs, train(docs, labels), column).where(F.col(column) >= threshold).drop(column)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "quality", "near_dedup", "mixing", "substring_dedup", "secrets", "exact_dedup", "language_id", "sharding"]
+MODULES = ["decontaminate", "quality", "near_dedup", "chat", "mixing", "substring_dedup", "secrets", "exact_dedup", "language_id", "sharding"]
 
 
 def _collect(name: str) -> dict:
