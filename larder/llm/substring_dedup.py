@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.decontaminate import small
+from larder.llm.decontaminate import BROADCAST_ROWS, small
 from larder.llm.shared import documents, settle
 from larder.llm.textbytes import NOT_SPACE, Words, column_bytes, run_starts, slices
 
 LENGTH = 35
-GRAM = 8
+GRAM = 13
 SHARD_STRETCHES = 64
 """Anchors with more different stretches are dealt on by window, so that no shard is unbounded."""
 _U = np.uint64
@@ -199,10 +199,11 @@ def repeated_windows(docs: DataFrame, width: int = LENGTH) -> DataFrame:
     ``docs``: doc_id, h, text, one row for each text.
     """
     found = docs.mapInArrow(_stretches(width), "doc_id long, h long, anchor long, start int, n int, same long")
-    # Combined on each task before the shuffle, so a passage in a third of all documents is no hot key.
-    totals = found.groupBy("anchor").agg(F.count("*").alias("total"), F.min("same").alias("low"), F.max("same").alias("high"))
-    totals = totals.where("total > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
-    shared = settle(found.join(totals, "anchor"), "shared-stretches")
+    # One shuffle by anchor. A passage in a third of all documents has one row in each of them for an
+    # anchor, of the many dozens that a document has, so its partition stays near the others' size.
+    own = Window.partitionBy("anchor")
+    counted = found.select("*", F.count("*").over(own).alias("total"), (F.min("same").over(own) == F.max("same").over(own)).alias("alike"))
+    shared = settle(counted.where("total > 1").drop("total"), "shared-stretches")
     alike = shared.where("alike").select("doc_id", "h", "start", "n")
     mixed = shared.where("not alike")
     kinds = mixed.groupBy("anchor", "same").agg(
@@ -214,19 +215,36 @@ def repeated_windows(docs: DataFrame, width: int = LENGTH) -> DataFrame:
     wanted = kinds.select("at.*", "anchor", "same", "times").groupBy("doc_id", "h").agg(
         F.collect_list(F.struct("anchor", "same", "times", "start", "n")).alias("wanted")
     )
-    wanted = small(settle(wanted, "wanted"))
-    texts = docs.alias("d").join(
-        wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.h") == F.col("w.h"))
-    ).select("d.text", "w.wanted")
+    wanted = settle(wanted, "wanted")
+    texts = _met(_with(docs, small(wanted.select("doc_id", "h")), "left_semi"), wanted).select("d.text", "s.wanted")
     cut = settle(texts.mapInArrow(_cut(width), "anchor long, same long, times long, ids binary"), "stretch-words")
     few = cut.join(small(many), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     starts = few.select("anchor", "same", "times", "ids").mapInArrow(_match(width), "anchor long, same long, starts array<int>")
     starts = settle(starts.where(F.size("starts") > 0).unionByName(_by_window(cut.join(small(many), "anchor", "left_semi"), width)), "repeated-starts")
-    own = mixed.join(starts, ["anchor", "same"])
-    runs = own.select("doc_id", "h", F.explode(F.transform("starts", lambda s: s + F.col("start"))).alias("start"), F.lit(1).alias("n"))
+    runs = mixed.join(starts, ["anchor", "same"]).select("doc_id", "h", F.explode(F.transform("starts", lambda x: x + F.col("start"))).alias("start"), F.lit(1).alias("n"))
     return alike.unionByName(runs)
 
 
+def _met(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows d of the documents with their row s of ``found``; null identifiers meet."""
+    return docs.alias("d").join(found.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.h") == F.col("s.h")), how)
+
+
+def _with(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    return _met(docs, keys, how).select("d.*")
+
+
+def maximal_spans(found: DataFrame, width: int) -> DataFrame:
+    """doc_id, h, spans: the words [start, end) that the windows of each text cover, as few runs as possible."""
+    order = Window.partitionBy("doc_id", "h").orderBy("start", "end")
+    words = found.select("doc_id", "h", "start", (F.col("start") + F.col("n") + width - 1).alias("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = words.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
+    runs = marked.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "h", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def _by_window(cut: DataFrame, width: int) -> DataFrame:
     """Anchors with many different stretches: their windows, counted by their words."""
     size = 8
@@ -249,49 +267,36 @@ def remove_repeats(docs: DataFrame, width: int = LENGTH) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = repeated_windows(rows, width)
-    spans = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("found"))
-    spans = small(settle(spans, "spans"))
-    met = rows.alias("d").join(
-        spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.h") == F.col("s.h")), "left"
-    ).select("d.doc_id", "d.text", F.coalesce("s.found", F.array().cast("array<struct<start:int,n:int>>")).alias("found"))
-    return met.mapInArrow(_remove(width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
-
-
-def _remove(width: int):
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            data, offsets = column_bytes(part.column("text"))
-            words = Words(data, offsets, NOT_SPACE)
-            found = part.column("found")
-            flat, row = found.flatten(), np.repeat(np.arange(part.num_rows), np.diff(np.asarray(found.offsets)))
-            start = words.first[row] + np.asarray(flat.field("start")).astype(np.int64)
-            edge = np.zeros(len(words.starts) + 1, np.int64)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + np.asarray(flat.field("n")) + width - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            raw, kept, spans = data.tobytes(), [], []
-            begin, end = words.starts.tolist(), words.ends.tolist()
-            for r in range(part.num_rows):
-                a, b = words.first[r], words.first[r + 1]
-                left = (np.flatnonzero(~gone[a:b]) + a).tolist()
-                kept.append(b" ".join(raw[begin[i] : end[i]] for i in left).decode("utf-8", "replace"))
-                step = np.flatnonzero(np.diff(np.r_[0, gone[a:b].astype(np.int8), 0]))
-                spans.append([{"start": int(s), "end": int(e)} for s, e in zip(step[::2], step[1::2], strict=True)])
-            removed = np.add.reduceat(np.r_[gone, 0].astype(np.int64), words.first[:-1]) * (words.counts > 0) if part.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(words.counts.astype(np.int64)),
-                    pa.array(removed.astype(np.int64)),
-                    pa.array(kept, pa.string()),
-                    pa.array(spans, kind),
-                ],
-                ["doc_id", "n_words", "n_removed", "kept", "spans"],
-            )
-
-    return run
+    spans = settle(maximal_spans(found, width), "spans")
+    held = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    if held["rows"] <= BROADCAST_ROWS and held["spans"] <= 2 * BROADCAST_ROWS:
+        spans = F.broadcast(spans)
+    met = _met(rows, spans, "left").select("d.doc_id", "d.text", F.coalesce("s.spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    return met.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the spans out of the texts."""
+    for part in slices(batches):
+        data, offsets = column_bytes(part.column("text"))
+        words = Words(data, offsets, NOT_SPACE)
+        spans = part.column("spans")
+        flat, row = spans.flatten(), np.repeat(np.arange(part.num_rows), np.diff(np.asarray(spans.offsets)))
+        edge = np.zeros(len(words.starts) + 1, np.int64)
+        np.add.at(edge, words.first[row] + np.asarray(flat.field("start")), 1)
+        np.add.at(edge, words.first[row] + np.asarray(flat.field("end")), -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        raw, kept, removed = data.tobytes(), [], []
+        begin, end = words.starts.tolist(), words.ends.tolist()
+        for r in range(part.num_rows):
+            a, b = words.first[r], words.first[r + 1]
+            left = (np.flatnonzero(~gone[a:b]) + a).tolist()
+            kept.append(b" ".join([raw[begin[i] : end[i]] for i in left]).decode("utf-8", "replace"))
+            removed.append(int(b - a) - len(left))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), spans],
+            ["doc_id", "n_words", "n_removed", "kept", "spans"],
+        )
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
