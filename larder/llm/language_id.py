@@ -19,7 +19,7 @@ REFERENCE_BYTES = 4096
 """Each language's reference: at most so many labelled rows, of at most so many bytes each."""
 SEGMENT = 512
 """Texts are parsed in runs of so many bytes; a phrase ends where a run ends."""
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 class SuffixAutomaton:
