@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import fixed
 from larder.functions.text import group_digits, list_of, plural, trim
 from larder.operators import rules
+from larder.sources.store import settle
 
 
 def row_findings(read: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -188,11 +189,13 @@ def reject(worded: DataFrame, failing: DataFrame, decided: DataFrame) -> DataFra
 def normalize(read: DataFrame, now: str) -> dict[str, DataFrame]:
     """Rows from ``read_cells`` to accepted rows and rejections (V17, V18 and all of F).
 
+    The rows read are kept in the shared folder: every later step reads them.
     Returns decided, resolved, found, groups, worded, rejected, accepted, months.
     """
-    decided = rules.decide_order(read)
+    read = settle(read, "read-cells")
+    decided = settle(rules.decide_order(read), "date-orders")
     resolved = rules.resolve_dates(read, decided, now)
-    found = row_findings(read, resolved)
+    found = settle(row_findings(read, resolved), "row-findings")
     groups = group_findings(found)
     worded = word_problems(groups, decided)
     rejected = reject(worded, failing_rows(found), decided)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import findings, rules, uploads
 from larder.plans.intake import CTES
+from larder.sources.store import settle
 from larder.sources.views import NOW, view, with_views
 
 
@@ -49,8 +50,8 @@ def d_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unreadable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    decoded = uploads.decode(_files(spark, d))
-    layout = uploads.find_layout(decoded)
+    decoded = settle(uploads.decode(_files(spark, d)), "decoded")
+    layout = settle(uploads.find_layout(decoded), "layouts")
     rows, later = uploads.data_rows(decoded, layout)
     met = decoded.drop("text", "content").join(layout.withColumnRenamed("parse_fault", "lf").withColumnRenamed("parse_line", "ll"), "upload", "left")
     met = met.join(later, "upload", "left").withColumns({"parse_fault": F.coalesce("lf", "parse_fault"), "parse_line": F.coalesce("ll", "parse_line")})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larder.plans import files, intake, reading, upkeep
+from larder.plans import files, intake, papers, reading, upkeep
 
-MODULES = [intake, files, upkeep, reading]
+MODULES = [intake, files, upkeep, reading, papers]
 
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
