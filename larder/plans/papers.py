@@ -118,7 +118,7 @@ _SQL = {
     "t_words": "SELECT conv_id, turn, length(text) AS units, length(trim(text, chr(10) || chr(9) || ' ')) AS trimmed, least(length(text), 255) AS name_length, upper(text[1:1]) || lower(text[2:5]) AS head FROM conversations",
     "t_numbers": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)) AS grouped FROM lineitem",
     "t_links": "SELECT id, concat('org/', id % 25, '/report/', report_id) AS key, concat('https://x/orgs/', id % 25, '/reports/', report_id) AS url, 'attachment; filename=\"' || original_filename || '\"; filename*=UTF-8''''' || replace(original_filename, ' ', '%20') AS header, 'chart-k_' || id || '.png' AS chart FROM input_files",
-    "t_uuid": "SELECT event_id, epoch_ms(ts) AS ms, true AS valid, 7 AS version FROM events",
+    "t_uuid": "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS valid, 7 AS version FROM events",
     "v_metadata": "SELECT id, array_to_string(list_filter([CASE WHEN id % 7 = 1 THEN 'name' END, CASE WHEN id % 11 = 2 THEN 'siteName' END, CASE WHEN id % 13 = 3 THEN 'countsBasis' END, CASE WHEN id % 5 = 4 OR id % 17 = 5 OR id % 19 = 6 THEN 'monthlyCounts' END], lambda x: x IS NOT NULL), ',') AS bad_fields FROM reports",
 }
 ORACLE_SQL = {k: with_views(v) for k, v in _SQL.items()}
