@@ -24,6 +24,12 @@ def read_tables(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(path)
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """S1 as a stream: upload, content, size of files as they arrive."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("upload"), "content", F.col("length").alias("size"))
+
+
 def split_files(files: DataFrame, now: str) -> dict[str, DataFrame]:
     """Refused files, rejected files and accepted rows of one batch of upload, content, size."""
     decoded = uploads.decode(files)
