@@ -39,8 +39,8 @@ def d_decode(spark: SparkSession, d: str) -> DataFrame:
 
 def d_tokenize(spark: SparkSession, d: str) -> DataFrame:
     """Every record of undamaged files, back as the rows they were written from."""
-    decoded = uploads.decode(uploads.write_out(view(spark, d, "cells")))
-    rows, _ = uploads.data_rows(decoded, uploads.find_layout(decoded))
+    decoded = settle(uploads.decode(uploads.write_out(view(spark, d, "cells"))), "decoded")
+    rows, _ = uploads.data_rows(decoded, settle(uploads.find_layout(decoded), "layouts"))
     return rows.select("upload", "line", "product", "date", "weight")
 
 

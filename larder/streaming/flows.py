@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from larder.functions import fixed
 from larder.operators import findings, rules, uploads
 from larder.operators.submission import output_line
+from larder.sources.store import settle
 
 
 def read_tables(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -32,8 +33,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def split_files(files: DataFrame, now: str) -> dict[str, DataFrame]:
     """Refused files, rejected files and accepted rows of one batch of upload, content, size."""
-    decoded = uploads.decode(files)
-    layout = uploads.find_layout(decoded)
+    decoded = settle(uploads.decode(files), "decoded")
+    layout = settle(uploads.find_layout(decoded), "layouts")
     rows, later = uploads.data_rows(decoded, layout)
     met = decoded.drop("text", "content").join(layout.withColumnsRenamed({"parse_fault": "lf", "parse_line": "ll"}), "upload", "left").join(later, "upload", "left")
     met = met.withColumns({"parse_fault": F.coalesce("lf", "parse_fault"), "parse_line": F.coalesce("ll", "parse_line")})
