@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, partitions, unit_hash
+from larder.llm.shared import documents, unit_hash
+
+BUCKETS = 4096
+"""Parts of a shard that are numbered apart; fixed, so that slots do not depend on the cluster."""
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -29,6 +32,7 @@ def shard(
     grown: list[float] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Every row's shard by its key, and its slot in that shard.
 
@@ -41,8 +45,6 @@ def shard(
     Slots: rows are numbered within (shard, bucket of the key's hash), and the
     rows of the buckets before are added, so no task holds a whole shard.
     """
-    spark = docs.sparkSession
-    buckets = partitions(spark)
     grown = grown or [*weights, sum(weights) / len(weights)]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     placed = docs.select(
