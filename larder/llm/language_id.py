@@ -131,7 +131,7 @@ def references(docs: DataFrame, rows: int = REFERENCE_ROWS, most: int = REFERENC
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     # About four times as many rows as asked for, picked by hash, so that the ranking sees a bounded number.
     picked = known.join(F.broadcast(counts), "lang").where(
-        F.pmod(F.col("h"), F.lit(1 << 20)) < F.lit(4 * rows * (1 << 20)) / F.col("n") + F.lit(1)
+        F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(float(4 * rows * (1 << 40))) / F.col("n") + F.lit(1)
     )
     best = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "doc_id", "text"))), 1, rows).alias("best"))
     found = {
