@@ -7,16 +7,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm.quality import remainder
 from larder.llm.shared import documents
 from larder.llm.textbytes import column_bytes, slices
 
-REFERENCE_ROWS = 24
-REFERENCE_BYTES = 4096
-"""Each language's reference: at most so many labelled rows, of at most so many bytes each."""
+REFERENCE_BYTES = 48 << 10
+PIECE_BYTES = 4096
+"""Each language's reference: at most so many bytes, of at most so many from one labelled row."""
+LITERALS = 256
+"""What a phrase can be besides a place in the reference: one byte."""
 SEGMENT = 512
 """Texts are parsed in runs of so many bytes; a phrase ends where a run ends."""
 SLICE = 1 << 19
@@ -118,42 +120,48 @@ def phrases(data: np.ndarray, offsets: np.ndarray, references: tuple[tuple[str,
     return out
 
 
-def references(docs: DataFrame, rows: int = REFERENCE_ROWS, most: int = REFERENCE_BYTES) -> tuple[tuple[str, bytes], ...]:
+def references(docs: DataFrame, total: int = REFERENCE_BYTES, most: int = PIECE_BYTES) -> tuple[tuple[str, bytes], ...]:
     """Each language's reference text from the rows that are not held out (remainder 1 of 3).
 
-    Takes the ``rows`` labelled rows of each language with the smallest hashes
-    of their identifiers: an aggregate keeps them on each task before the shuffle.
+    Every labelled row with text, short or long, is eligible and gives one piece
+    of at most ``most`` bytes, from a place its hash picks. A language takes the
+    pieces with the smallest hashes of their identifiers until it has ``total``
+    bytes, or all it has; what another language has does not matter.
     """
-    text = F.lower(F.col("text"))
-    known = docs.where(
-        F.col("lang").isNotNull() & (remainder("doc_id", 3) != 1) & (F.octet_length("text") <= most) & (F.octet_length("text") >= most // 8)
-    ).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), text.alias("text"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # About four times as many rows as asked for, picked by hash, so that the ranking sees a bounded number.
+    h, raw = F.xxhash64("doc_id"), F.encode(F.lower(F.col("text")), "UTF-8")
+    known = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", 3) != 1) & (F.octet_length("text") > 0))
+    known = known.select("lang", "doc_id", h.alias("h"), raw.alias("raw"))
+    start = F.pmod(F.col("h"), F.greatest(F.octet_length("raw") - most + 1, F.lit(1))).cast("int") + 1
+    known = known.select("lang", "doc_id", "h", F.substring(F.col("raw"), start, F.lit(most)).alias("piece"))
+    size = F.octet_length("piece") + 1
+    counts = known.groupBy("lang").agg(F.sum(size).alias("n"))
+    # About four times the bytes asked for and 64 pieces, picked by hash, so that the ranking sees a bounded number.
     picked = known.join(F.broadcast(counts), "lang").where(
-        F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(float(4 * rows * (1 << 40))) / F.col("n") + F.lit(1)
+        F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(float((4 * total + 64 * most) * (1 << 40))) / F.col("n") + F.lit(1)
+    )
+    before = Window.partitionBy("lang").orderBy("h", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    best = picked.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("before") < total)
+    found: dict[str, list] = {}
+    for r in best.select("lang", "before", "piece").collect():
+        found.setdefault(r["lang"], []).append((r["before"], bytes(r["piece"])))
+    return tuple(
+        (lang, bytes(fold(np.frombuffer(b" ".join(x for _, x in sorted(found[lang])), np.uint8)))[:total]) for lang in sorted(found)
     )
-    best = picked.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "doc_id", "text"))), 1, rows).alias("best"))
-    found = {
-        r["lang"]: b" ".join(bytes(fold(np.frombuffer(x["text"].encode(), np.uint8))) for x in r["best"])
-        for r in best.collect()
-    }
-    shortest = min(map(len, found.values()), default=0)
-    # Equal lengths: a longer reference would need fewer phrases for that alone.
-    return tuple((lang, found[lang][:shortest]) for lang in sorted(found))
 
 
 def identify(docs: DataFrame, learned: tuple[tuple[str, bytes], ...] | None = None) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
-    The language that needs fewest phrases for the whole lower-cased text wins,
-    ties to the first by name. ``score`` is 1 / (1 + r ** 8), r the winner's
-    phrases over the runner-up's; 1 with one language. A text that is null or has
+    The language that writes the whole lower-cased text in fewest bits wins,
+    ties to the first by name: a phrase takes the logarithm of the reference's
+    length and LITERALS, so that references of unlike length compare. ``score``
+    is 1 / (1 + r ** 8), r the winner's bits over the runner-up's; 1 with one language. A text that is null or has
     no letter is 'und' with score 0, as is every text when nothing was learned.
     Repeated rows get equal results; other columns are ignored.
     """
     learned = references(docs) if learned is None else learned
     names = np.array([lang for lang, _ in learned], object)
+    bits = np.log2([[len(text) + LITERALS] for _, text in learned])
     rows = docs.select(
         "doc_id",
         (remainder("doc_id", 3) == 1).alias("held_out"),
@@ -165,12 +173,12 @@ def identify(docs: DataFrame, learned: tuple[tuple[str, bytes], ...] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE):
-            counts = phrases(*column_bytes(part.column("text")), learned)
-            order = np.argsort(counts, axis=0, kind="stable")
-            best = np.take_along_axis(counts, order[:1], 0)[0]
+            cost = phrases(*column_bytes(part.column("text")), learned) * bits
+            order = np.argsort(cost, axis=0, kind="stable")
+            best = np.take_along_axis(cost, order[:1], 0)[0]
             score = np.ones(part.num_rows)
             if len(names) > 1:
-                second = np.take_along_axis(counts, order[1:2], 0)[0]
+                second = np.take_along_axis(cost, order[1:2], 0)[0]
                 score = 1 / (1 + (best / np.maximum(second, 1)) ** 8)
             lettered = part.column("lettered").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
