@@ -18,17 +18,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 """Two texts of weighted Jaccard similarity 0.8 share no band with probability (1 - 0.8**3)**12 < 0.0002."""
-COMMON = 0.002
-"""Shingles in less than this share of all documents have the weight of that share."""
-MOST_COMMON = 1_000_000
-TASK_DOCS = 8192
 _CELLS = 1 << 16
 _U = np.uint64
 
-Weights = tuple[np.ndarray, np.ndarray, float]
-"""(sorted hashes of the common shingles, their weights, the weight of every other shingle)"""
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, times) of each row's distinct shingles, by row, then hash. A text of fewer words is one shingle."""
     h, row, _ = Words(data, offsets, LOWER_WORD).windows(SHINGLE, short=True)
@@ -38,14 +30,29 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[first], row[first], np.diff(np.r_[first, len(h)])
 
 
-def weigh(h: np.ndarray, times: np.ndarray, weights: Weights) -> np.ndarray:
-    """TF-IDF weight of each shingle."""
-    common, idf, other = weights
-    out = np.full(len(h), other)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        out = np.where(common[at] == h, idf[at], other)
-    return out * times
+def weigh(h: np.ndarray, row: np.ndarray, times: np.ndarray, n: int, shared: pa.ListArray, among: pa.ListArray) -> np.ndarray:
+    """TF-IDF weight of each shingle of ``shingles``.
+
+    For each row, ``shared`` has the hashes of its shingles that more than one of
+    the ``n`` documents has, ``among`` in how many each is. Every other is in one.
+    """
+    lengths = np.diff(shared.offsets.to_numpy())
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    listed = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+    every, rows = np.concatenate([h, listed]), np.concatenate([row, of])
+    order = np.lexsort((every, rows))
+    every, rows = every[order], rows[order]
+    at = np.flatnonzero((every[1:] == every[:-1]) & (rows[1:] == rows[:-1]))
+    at = at[(order[at] < len(h)) & (order[at + 1] >= len(h))]
+    count = np.ones(len(h))
+    count[order[at]] = among.flatten().to_numpy(zero_copy_only=False)[order[at + 1] - len(h)]
+    return np.log(1 + n / count) * times
+
+
+def _weighed(part: pa.RecordBatch, n: int, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, weight) of the shingles of a batch's text, shared and among."""
+    h, row, times = shingles(*column_bytes(part.column(f"text{side}")))
+    return h, row, weigh(h, row, times, n, part.column(f"shared{side}"), part.column(f"among{side}"))
 
 
 @lru_cache(maxsize=2)
@@ -56,14 +63,14 @@ def _draws(other: float) -> tuple[np.ndarray, ...]:
     r = rng.gamma(2.0, 1.0, (k, _CELLS)).astype(np.float32)
     ln_c = np.log(rng.gamma(2.0, 1.0, (k, _CELLS))).astype(np.float32)
     beta = rng.random((k, _CELLS)).astype(np.float32)
-    keys = np.stack([_key(np.full(_CELLS, other), r[i], ln_c[i], beta[i]) for i in range(k)])
+    keys = np.stack([_key(np.log(np.full(_CELLS, other)), r[i], ln_c[i], beta[i]) for i in range(k)])
     multipliers = rng.integers(1 << 62, 1 << 63, k, dtype=np.uint64) | _U(1)
     return r, ln_c, beta, keys, multipliers
 
 
-def _key(weight: np.ndarray, r: np.ndarray, ln_c: np.ndarray, beta: np.ndarray) -> np.ndarray:
+def _key(ln_weight: np.ndarray, r: np.ndarray, ln_c: np.ndarray, beta: np.ndarray) -> np.ndarray:
     """ln a of the sample, as bits that sort, above a hash of its quantised weight t."""
-    t = np.floor(np.log(weight) / r + beta)
+    t = np.floor(ln_weight / r + beta)
     bits = (ln_c - r * (t - beta + 1)).astype(np.float32).view(np.uint32)
     bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(_U)
     return bits << _U(32) | ((t.astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(32))
@@ -79,6 +86,7 @@ def band_hashes(h: np.ndarray, row: np.ndarray, weight: np.ndarray, other: float
     first = run_starts(row)
     usual = weight == other
     rare = np.flatnonzero(~usual)
+    ln_weight = np.log(weight[rare])
     low = h & _U(0xFFFFFFFF)
     out = np.zeros((len(first), BANDS), _U)
     for k in range(BANDS * ROWS):
@@ -86,7 +94,7 @@ def band_hashes(h: np.ndarray, row: np.ndarray, weight: np.ndarray, other: float
         key = keys[k][cell]
         if len(rare):
             c = cell[rare]
-            key[rare] = _key(weight[rare], r[k][c], ln_c[k][c], beta[k][c])
+            key[rare] = _key(ln_weight, r[k][c], ln_c[k][c], beta[k][c])
         least = np.minimum.reduceat(key ^ low, first)
         band = out[:, k // ROWS]
         band ^= least & _U(0xFFFFFFFF)
@@ -95,75 +103,35 @@ def band_hashes(h: np.ndarray, row: np.ndarray, weight: np.ndarray, other: float
     return (out * _U(BANDS)) + np.arange(BANDS, dtype=_U)
 
 
-def shingle_weights(texts: DataFrame, common: float = COMMON) -> Weights:
-    """IDF of the common shingles, counted over all documents.
+def frequencies(texts: DataFrame) -> DataFrame:
+    """id, shared, among of each row of id, text, copies that has shingles in common with other documents.
 
-    A shingle in ``common`` of all documents is in so large a share of the
-    documents of at least one task: each task proposes those, and a second pass
-    counts the proposals everywhere. There are at most mean length / common such
-    shingles, whatever the number of documents; where texts are so long that this
-    passes MOST_COMMON, ``common`` is raised.
+    ``shared`` are those shingles, ``among`` how many documents have each, counted
+    over all; a row stands for ``copies`` documents. Counts go back to the rows by
+    the shingle's hash: none passes the driver.
     """
-    n = texts.count()
-    texts = texts.select("text").coalesce(max(1, n // TASK_DOCS))
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, docs = [], 0
-        for part in slices(batches):
-            h, _, _ = shingles(*column_bytes(part.column("text")))
-            parts.append(np.unique(h, return_counts=True))
-            docs += part.num_rows
-            if len(parts) > 16:
-                parts = [_merge(parts)]
-        if docs:
-            h, c = _merge(parts)
-            kept = h[c >= common * docs]
-            yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64))], ["h"])
-
-    proposed = settle(texts.mapInArrow(propose, "h long").distinct(), "proposed-shingles")
-    total = proposed.count()
-    if total > 4 * MOST_COMMON:
-        return shingle_weights(texts, common * 4)
-    chosen = np.sort(np.array([x["h"] for x in proposed.toLocalIterator()], np.int64).view(_U))
-    other = float(np.log(1 + 1 / common))
-    if not len(chosen) or not n:
-        return np.zeros(0, _U), np.zeros(0), other
-    shared = texts.sparkSession.sparkContext.broadcast(chosen)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(shared.value), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            h, _, _ = shingles(*column_bytes(part.column("text")))
-            at = np.minimum(np.searchsorted(shared.value, h), len(shared.value) - 1)
-            found += np.bincount(at[shared.value[at] == h], minlength=len(found))
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(shared.value[some].view(np.int64)), pa.array(found[some])], ["h", "n"]
-        )
-
-    counted = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= common * n).collect()
-    h = np.array([x["h"] for x in rows], np.int64).view(_U)
-    idf = np.log(1 + n / np.array([x["n"] for x in rows], float))
-    order = np.argsort(h)
-    return h[order], idf[order], other
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], c[order]
-    first = run_starts(h)
-    return h[first], np.add.reduceat(c, first) if len(first) else c
-
-
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: Weights) -> np.ndarray:
-    """Similarity of the rows of two string columns, given as bytes and offsets."""
-    n = len(a[1]) - 1
-    sides = []
-    for data, offsets in (a, b):
-        h, row, times = shingles(data, offsets)
-        sides.append((h, row, weigh(h, times, weights)))
+            h, row, _ = shingles(*column_bytes(part.column("text")))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), pa.array(h.view(np.int64)), part.column("copies").take(at)], ["id", "h", "c"])
+
+    each = texts.select("id", "text", "copies").mapInArrow(run, "id long, h long, c long")
+    counted = settle(each.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1"), "document-frequencies")
+    back = each.select("id", "h").join(small(counted), "h").groupBy("id").agg(F.collect_list(F.struct("h", "n")).alias("s"))
+    return settle(back.select("id", F.col("s.h").alias("shared"), F.col("s.n").alias("among")), "frequencies")
+
+
+def with_frequencies(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """id, node, text, shared, among of rows of id, node, text."""
+    none = F.array().cast("array<long>")
+    return texts.join(found, "id", "left").select("id", "node", "text", F.coalesce("shared", none).alias("shared"), F.coalesce("among", none).alias("among"))
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Similarity of ``n`` rows, each side given as hashes, rows and weights."""
+    sides = (a, b)
     total = sum(np.bincount(row, w, n) for _, row, w in sides)
     h, row, w = (np.concatenate(x) for x in zip(*sides, strict=True))
     order = np.lexsort((h, row))
@@ -173,17 +141,16 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / np.maximum(total - both, 1e-12)
 
 
-def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
-    """node, total (weight), bands for each row of node, text. A text without words has no bands."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
+def signatures(texts: DataFrame, documents: int) -> DataFrame:
+    """node, total (weight), bands for each row of node, text, shared, among. A text without words has no bands."""
+    other = float(np.log(1 + documents / np.ones(1))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             n = part.num_rows
-            h, row, times = shingles(*column_bytes(part.column("text")))
-            weight = weigh(h, times, shared.value)
+            h, row, weight = _weighed(part, documents)
             present = row[run_starts(row)]
-            bands = band_hashes(h, row, weight, shared.value[2]) if len(h) else np.zeros((0, BANDS), _U)
+            bands = band_hashes(h, row, weight, other) if len(h) else np.zeros((0, BANDS), _U)
             ends = np.zeros(n, np.int32)
             ends[present] = BANDS
             lists = pa.ListArray.from_arrays(
@@ -193,16 +160,15 @@ def signatures(texts: DataFrame, weights: Weights) -> DataFrame:
                 [part.column("node"), pa.array(np.bincount(row, weight, n).astype(np.float64)), lists], ["node", "total", "bands"]
             )
 
-    return texts.mapInArrow(run, "node binary, total double, bands array<long>")
+    return texts.select("node", "text", "shared", "among").mapInArrow(run, "node binary, total double, bands array<long>")
 
 
-def similarities(pairs: DataFrame, weights: Weights) -> DataFrame:
-    """a, b, similarity for rows of a, b, text_a, text_b."""
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)
+def similarities(pairs: DataFrame, documents: int) -> DataFrame:
+    """a, b, similarity for rows of a, b and each side's text, shared and among."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(slices(batches, "text_a"), "text_b"):
-            found = weighted_jaccard(column_bytes(part.column("text_a")), column_bytes(part.column("text_b")), shared.value)
+            found = weighted_jaccard(_weighed(part, documents, "_a"), _weighed(part, documents, "_b"), part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found)], ["a", "b", "similarity"])
 
     return pairs.mapInArrow(run, "a binary, b binary, similarity double")
@@ -229,31 +195,30 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def private_weights(texts: DataFrame, weights: Weights) -> DataFrame:
-    """node, private: the weight of the shingles that no other row of node, text has."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
+def private_weights(texts: DataFrame, documents: int) -> DataFrame:
+    """node, private: the weight of the shingles that no other row of id, node, text, shared, among has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            h, row, times = shingles(*column_bytes(part.column("text")))
-            w = weigh(h, times, shared.value)
+            h, row, w = _weighed(part, documents)
             yield pa.RecordBatch.from_arrays(
                 [part.column("id").take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(w)], ["id", "h", "w"]
             )
 
-    named = texts.select("node", F.xxhash64("node").alias("id"), "text")
-    each = named.select("id", "text").mapInArrow(run, "id long, h long, w double")
+    each = texts.select("id", "text", "shared", "among").mapInArrow(run, "id long, h long, w double")
     once = each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
     sums = once.groupBy("id").agg(F.sum("w").alias("private"))
-    return named.select("node", "id").join(sums, "id", "left").select("node", F.coalesce("private", F.lit(0.0)).alias("private"))
+    return texts.select("node", "id").join(sums, "id", "left").select("node", F.coalesce("private", F.lit(0.0)).alias("private"))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, similarity: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, documents: int, similarity: float) -> DataFrame:
     """The links among the pairs a, b."""
-    t = texts.select("node", "text")
-    met = pairs.join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    met = met.join(t.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return settle(similarities(met, weights).where(F.col("similarity") >= similarity - 1e-9), "links")
+
+    def side(x: str) -> DataFrame:
+        return texts.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("text", "shared", "among")])
+
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    return settle(similarities(met, documents).where(F.col("similarity") >= similarity - 1e-9), "links")
 
 
 def _pairs(members: DataFrame, pivots: DataFrame, similarity: float) -> DataFrame:
@@ -269,8 +234,8 @@ def _pairs(members: DataFrame, pivots: DataFrame, similarity: float) -> DataFram
     return settle(close.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
 
 
-def linked(texts: DataFrame, weights: Weights, similarity: float = SIMILARITY) -> DataFrame:
-    """node, component of the nodes of node, text (each node once) that verified links connect to others.
+def linked(texts: DataFrame, documents: int, similarity: float = SIMILARITY) -> DataFrame:
+    """node, component of the nodes of node, text, copies (each node once) that verified links connect to others.
 
     First, each bucket of a band is compared with its most central member, the
     one with most company in all its buckets. Members that are not yet of one
@@ -282,16 +247,18 @@ def linked(texts: DataFrame, weights: Weights, similarity: float = SIMILARITY) -
     have been compared, so rounds follow the logarithm of the largest bucket. No
     link between components is left out.
     """
-    signed = settle(signatures(texts, weights), "signatures")
+    texts = texts.withColumn("id", F.xxhash64("node"))
+    found = frequencies(texts)
+    signed = settle(signatures(with_frequencies(texts, found), documents), "signatures")
     members = signed.select("node", "total", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     members = settle(members.join(several, "bucket"), "members")
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
     members = members.join(company, "node").select("bucket", "node", "total", "company", F.col("node").alias("component"), F.col("total").alias("most"))
     wanted = members.select("node").distinct()
-    texts = settle(texts.join(small(wanted), "node", "left_semi"), "candidate-texts")
+    texts = settle(with_frequencies(texts.join(small(wanted), "node", "left_semi"), found), "candidate-texts")
     central = members.groupBy("bucket").agg(F.max(F.struct("company", "node", "total", "component", "most")).alias("p")).select("bucket", "p.*")
-    labels = components(_verify(_pairs(members, central, similarity), texts, weights, similarity))
+    labels = components(_verify(_pairs(members, central, similarity), texts, documents, similarity))
 
     def open_buckets(rows: DataFrame) -> DataFrame:
         rows = rows.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -299,7 +266,7 @@ def linked(texts: DataFrame, weights: Weights, similarity: float = SIMILARITY) -
         return rows.join(ends.where(F.col("x") != F.col("y")).select("bucket"), "bucket", "left_semi")
 
     left = settle(open_buckets(members), "open")
-    own = private_weights(texts.join(small(left.select("node").distinct()), "node", "left_semi"), weights)
+    own = private_weights(texts.join(small(left.select("node").distinct()), "node", "left_semi"), documents)
     left = left.drop("most").join(own, "node").withColumn("most", F.col("total") - F.col("private"))
     left = settle(left.where(F.col("most") >= similarity * F.col("total") - 1e-9).drop("private"), "eligible")
     width, floor = 1, None
@@ -317,10 +284,10 @@ def linked(texts: DataFrame, weights: Weights, similarity: float = SIMILARITY) -
         floor = settle(done if floor is None else floor.join(done, "bucket", "left_anti").unionByName(done), "compared")
         pairs = _pairs(ahead, pivots, similarity)
         if pairs.limit(1).count():
-            found = _verify(pairs, texts, weights, similarity)
-            if found.limit(1).count():
+            links = _verify(pairs, texts, documents, similarity)
+            if links.limit(1).count():
                 stars = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-                labels = components(stars.unionByName(found.select("a", "b")))
+                labels = components(stars.unionByName(links.select("a", "b")))
         width *= 16
 
 
@@ -330,10 +297,9 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
     rows = docs.select(F.col(id_col).alias("doc_id"), _node(lowered).alias("node"), lowered.alias("text"))
     copies = rows.groupBy("node").agg(F.count("*").alias("n"))
     several = settle(copies.where(F.col("n") > 1).select("node"), "copied")
-    alone = rows.join(small(several), "node", "left_anti").select("node", "text")
-    once = rows.join(small(several), "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"))
-    weights = shingle_weights(rows.select("text"))
-    labels = linked(alone.unionByName(once), weights, similarity)
+    alone = rows.join(small(several), "node", "left_anti").select("node", "text", F.lit(1).cast("long").alias("copies"))
+    once = rows.join(small(several), "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"), F.count("*").alias("copies"))
+    labels = linked(alone.unionByName(once), rows.count(), similarity)
     placed = rows.select("doc_id", "node").join(labels, "node", "left")
     placed = settle(placed.select("doc_id", "node", F.coalesce("component", "node").alias("component")), "placed")
     classes = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
