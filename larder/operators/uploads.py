@@ -13,7 +13,6 @@ from larder.operators.rules import once
 SIGNATURES = {"xlsx": "504B", "xls": "D0CF11E0A1B11AE1"}
 CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
-HEAD_CHARS = 1 << 16
 
 
 def scan(spark, path: str) -> DataFrame:
@@ -74,6 +73,7 @@ def _by_delimiter(pattern: str, apply) -> Column:
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"(?=[«D»\n]|\z)|(?!")[^«D»\n]*+)'
 RECORD = r"\G(?!\z)(?:«F»«d»){0,24}+«F»(?:\n|\z)"
 FIELD = r"\G«F»(?:[«D»\n]|\z)"
+HEAD = r"^(?:\n*+(?!\z)(?:«F»«d»){0,24}+«F»(?:\n|\z)){«N»}+"
 LEAD = r"^(?:«F»«d»){0,25}+"
 WIDE = r"^(?:«F»«d»){25}«F»"
 CLOSED = r'^"[^"]*+(?:""[^"]*+)*+"'
@@ -152,9 +152,11 @@ def find_layout(decoded: DataFrame) -> DataFrame:
     row under exactly one delimiter must name all three columns once.
     """
     readable = decoded.where(F.col("gate").isNull()).select("upload", "text")
-    cut = F.substring("text", 1, HEAD_CHARS)
-    whole = F.length("text") <= HEAD_CHARS
-    tries = readable.select("upload", F.when(whole, F.col("text")).otherwise(cut).alias("text"), whole.alias("whole"), F.explode(F.array(*map(F.lit, fixed.DELIMITERS))).alias("delimiter"))
+    tries = readable.select("upload", "text", F.explode(F.array(*map(F.lit, fixed.DELIMITERS))).alias("delimiter"))
+    # Ten records are all that is looked at, whatever their length; a file that has not as many, or a fault before, is read whole.
+    ten = HEAD.replace("«N»", str(fixed.MAX_HEADER_SEARCH_LINES))
+    tries = once(tries, head=_by_delimiter(ten, lambda p: F.regexp_extract("text", p, 0)))
+    tries = tries.select("upload", "delimiter", F.when(F.col("head") != "", F.col("head")).otherwise(F.col("text")).alias("text"))
     records, faults = tokenize(tries, ["upload", "delimiter"])
     rank = Window.partitionBy("upload", "delimiter").orderBy("pos")
     head = records.withColumn("i", F.row_number().over(rank)).where(F.col("i") <= fixed.MAX_HEADER_SEARCH_LINES)
@@ -167,10 +169,10 @@ def find_layout(decoded: DataFrame) -> DataFrame:
         F.min(F.struct("i", "fields", "h.missing", "h.ambiguous", "h.headers")).alias("first"),
     )
     order = F.create_map(*[F.lit(x) for i, d in enumerate(fixed.DELIMITERS) for x in (d, i)])
-    tried = tries.select("upload", "delimiter", "whole").join(seen, ["upload", "delimiter"], "left").join(faults, ["upload", "delimiter"], "left")
+    tried = tries.select("upload", "delimiter").join(seen, ["upload", "delimiter"], "left").join(faults, ["upload", "delimiter"], "left")
     n = F.coalesce("n", F.lit(0))
-    # A fault beyond the tenth record is not met; in a head that was cut, neither is one in its last record.
-    met = F.col("fault").isNotNull() & (n < fixed.MAX_HEADER_SEARCH_LINES) & F.col("whole")
+    # A fault beyond the tenth record is not met.
+    met = F.col("fault").isNotNull() & (n < fixed.MAX_HEADER_SEARCH_LINES)
     named = F.when(met, 0).otherwise(F.coalesce("named", F.lit(0)))
     per = tried.groupBy("upload").agg(
         F.min(F.when(met & (F.col("fault") == "too-many-columns"), F.struct(order[F.col("delimiter")].alias("o"), "fault", "fault_line"))).alias("wide"),
