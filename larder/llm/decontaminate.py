@@ -5,26 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.shared import ascii_lower, documents, settle, table
+from larder.llm.shared import ascii_lower, documents, settle, small, table, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 LISTS = 3
 """How many of a window's rarest terms have their postings stored and intersected."""
-BROADCAST_ROWS = 400_000
-"""Tables that follow the benchmark or the matches are broadcast up to so many rows, else shuffled."""
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint where its counted size allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(windows: wid, w, len; members: wid, item_id), each distinct word sequence once.
 
@@ -188,8 +181,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated."""
     found = contamination(docs, benchmark).where("contaminated").select("doc_id", "h").distinct()
     gone = small(settle(found, "contaminated")).alias("g")
-    keyed = docs.withColumn("__h", F.xxhash64("text")).alias("d")
-    met = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__h") == F.col("g.h"))
+    h = unused(docs, "h")
+    keyed = docs.withColumn(h, F.xxhash64("text")).alias("d")
+    met = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{h}") == F.col("g.h"))
     return keyed.join(gone, met, "left_anti").select(*docs.columns)
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.decontaminate import small
-from larder.llm.shared import documents, settle, unit_hash
+from larder.llm.shared import documents, settle, small, unit_hash
 
 FACTORS = ["source", "lang", "topic"]
 ROUNDS = 10

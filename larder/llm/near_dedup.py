@@ -1,26 +1,46 @@
-"""Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard."""
+"""Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
+
+An index of all shingles comes first. It gives every shingle's exact document
+frequency, and it says which shingles of a document no other has. Only the
+others can be shared, so their weight bounds every similarity of the document
+from above: most documents are done here. The rest are sampled and banded.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.decontaminate import small
-from larder.llm.shared import documents, settle
-from larder.llm.textbytes import LOWER_WORD, Words, column_bytes, run_starts, slices
+from larder.llm.shared import documents, partitions, settle, small, unused
+from larder.llm.textbytes import LOWER_WORD, Words, column_bytes, mix, numbers, planes, run_starts, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 """Two texts of weighted Jaccard similarity 0.8 share no band with probability (1 - 0.8**3)**12 < 0.0002."""
+CHUNK = 1 << 20
+"""About how many shingles a task sorts at once, before they are shuffled."""
+PART = 1 << 22
+"""About how many shingles are counted together."""
+OFTEN = 16
+"""A shingle that more documents of a chunk have is sent as a count, so that no part follows a frequent shingle."""
+SKETCH = 32
+CELL = 0.01
+"""Open documents of a bucket are bounded together if the logarithms of their weights differ by no more."""
+NODE = 12
+"""Bytes of the SHA-256 that names a text."""
+_SLACK = 1e-4
+"""Sketches hold 32-bit numbers; what they allow is widened by this share."""
 _CELLS = 1 << 16
 _U = np.uint64
 
+
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, times) of each row's distinct shingles, by row, then hash. A text of fewer words is one shingle."""
     h, row, _ = Words(data, offsets, LOWER_WORD).windows(SHINGLE, short=True)
@@ -30,29 +50,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[first], row[first], np.diff(np.r_[first, len(h)])
 
 
-def weigh(h: np.ndarray, row: np.ndarray, times: np.ndarray, n: int, shared: pa.ListArray, among: pa.ListArray) -> np.ndarray:
-    """TF-IDF weight of each shingle of ``shingles``.
+def idf(frequency: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency among ``n`` documents, normalised: 2 for a shingle of one document, 1 for one of all.
 
-    For each row, ``shared`` has the hashes of its shingles that more than one of
-    the ``n`` documents has, ``among`` in how many each is. Every other is in one.
+    So a passage that a third of the corpus has still weighs about half as much
+    as a document's own words, in a corpus of any size.
     """
-    lengths = np.diff(shared.offsets.to_numpy())
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    listed = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
-    every, rows = np.concatenate([h, listed]), np.concatenate([row, of])
-    order = np.lexsort((every, rows))
-    every, rows = every[order], rows[order]
-    at = np.flatnonzero((every[1:] == every[:-1]) & (rows[1:] == rows[:-1]))
-    at = at[(order[at] < len(h)) & (order[at + 1] >= len(h))]
-    count = np.ones(len(h))
-    count[order[at]] = among.flatten().to_numpy(zero_copy_only=False)[order[at + 1] - len(h)]
-    return np.log(1 + n / count) * times
-
-
-def _weighed(part: pa.RecordBatch, n: int, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, weight) of the shingles of a batch's text, shared and among."""
-    h, row, times = shingles(*column_bytes(part.column(f"text{side}")))
-    return h, row, weigh(h, row, times, n, part.column(f"shared{side}"), part.column(f"among{side}"))
+    n = max(n, 1)
+    return 1 + np.log((n + 1) / np.asarray(frequency, float)) / np.log(n + 1)
 
 
 @lru_cache(maxsize=2)
@@ -84,8 +89,7 @@ def band_hashes(h: np.ndarray, row: np.ndarray, weight: np.ndarray, other: float
     """
     r, ln_c, beta, keys, multipliers = _draws(other)
     first = run_starts(row)
-    usual = weight == other
-    rare = np.flatnonzero(~usual)
+    rare = np.flatnonzero(weight != other)
     ln_weight = np.log(weight[rare])
     low = h & _U(0xFFFFFFFF)
     out = np.zeros((len(first), BANDS), _U)
@@ -103,73 +107,245 @@ def band_hashes(h: np.ndarray, row: np.ndarray, weight: np.ndarray, other: float
     return (out * _U(BANDS)) + np.arange(BANDS, dtype=_U)
 
 
-def frequencies(texts: DataFrame) -> DataFrame:
-    """id, shared, among of each row of id, text, copies that has shingles in common with other documents.
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """``values``, ordered by owner, as one list for each of ``n`` owners."""
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))
 
-    ``shared`` are those shingles, ``among`` how many documents have each, counted
-    over all; a row stands for ``copies`` documents. Counts go back to the rows by
-    the shingle's hash: none passes the driver.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            h, row, _ = shingles(*column_bytes(part.column("text")))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), pa.array(h.view(np.int64)), part.column("copies").take(at)], ["id", "h", "c"])
+def _rows(names: list[str], **columns) -> pa.RecordBatch:
+    """A batch of the columns ``names``; those not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(n)) for c in names], names)
 
-    each = texts.select("id", "text", "copies").mapInArrow(run, "id long, h long, c long")
-    counted = settle(each.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1"), "document-frequencies")
-    back = each.select("id", "h").join(small(counted), "h").groupBy("id").agg(F.collect_list(F.struct("h", "n")).alias("s"))
-    return settle(back.select("id", F.col("s.h").alias("shared"), F.col("s.n").alias("among")), "frequencies")
 
+_POSTED = "part int, node binary, copies long, k long, h binary, at binary, times binary, nodes binary, each binary, often binary, among binary, holders binary, mine binary, tf binary"
+_P = [c.split()[0] for c in _POSTED.split(", ")]
+_SEEN = "node binary, copies long, k long, h array<long>, n array<long>, tf array<int>"
+_S = [c.split()[0] for c in _SEEN.split(", ")]
 
-def with_frequencies(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """id, node, text, shared, among of rows of id, node, text."""
-    none = F.array().cast("array<long>")
-    return texts.join(found, "id", "left").select("id", "node", "text", F.coalesce("shared", none).alias("shared"), F.coalesce("among", none).alias("among"))
 
+def _fixed(batch: pa.RecordBatch, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([batch.column(c).cast(kinds[t]) for c, t in zip(names, types, strict=True)], list(names))
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """Similarity of ``n`` rows, each side given as hashes, rows and weights."""
-    sides = (a, b)
-    total = sum(np.bincount(row, w, n) for _, row, w in sides)
-    h, row, w = (np.concatenate(x) for x in zip(*sides, strict=True))
-    order = np.lexsort((h, row))
-    h, row, w = h[order], row[order], w[order]
-    twice = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
-    both = np.bincount(row[twice], np.minimum(w[twice], w[twice + 1]), n)
-    return both / np.maximum(total - both, 1e-12)
 
+def _postings(n_parts: int):
+    """Rows of the index: one for each document, and one for each part and chunk.
 
-def signatures(texts: DataFrame, documents: int) -> DataFrame:
-    """node, total (weight), bands for each row of node, text, shared, among. A text without words has no bands."""
-    other = float(np.log(1 + documents / np.ones(1))[0])
+    A part holds a range of hashes. Its entries are h, the place ``at`` of their
+    document among ``nodes``, and ``times``; ``each`` are the documents' copies.
+    ``often`` are frequent shingles with how many documents of the chunk, and how
+    many different texts, have them. A document's row has its number of shingles
+    and which of them (``mine``, ``tf``) were frequent.
+    """
+
+    def post(held: list) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([x[0] for x in held])
+        before = np.cumsum([0, *(len(x[3]) for x in held)])
+        at = np.concatenate([x[1] + b for x, b in zip(held, before, strict=False)]).astype(np.uint32)
+        times = np.concatenate([x[2] for x in held]).astype(np.uint32)
+        nodes = np.concatenate([x[3] for x in held])
+        copies = np.concatenate([x[4] for x in held])
+        k = np.bincount(at, times, len(nodes)).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        h, at, times = h[order], at[order], times[order]
+        first = run_starts(h)
+        count = np.diff(np.r_[first, len(h)])
+        frequent = count > OFTEN
+        among = np.add.reduceat(copies[at], first)[frequent] if len(first) else np.zeros(0, np.int64)
+        often, holders = h[first[frequent]], count[frequent]
+        apart = np.repeat(frequent, count)
+        own = np.flatnonzero(apart)
+        own = own[np.argsort(at[own], kind="stable")]
+        ends = np.cumsum(np.bincount(at[own], minlength=len(nodes)))
+        mine, tf = h[own], times[own]
+        spans = list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True))
+        yield _rows(
+            _P, part=pa.array([-1 - (x[0] << 8 | x[1]) % n_parts for x in nodes.view(np.uint8).reshape(-1, NODE).tolist()], pa.int32()), node=pa.array([x.tobytes() for x in nodes.view(f"V{NODE}").ravel()]), copies=copies, k=k,
+            mine=pa.array([mine[a:b].tobytes() for a, b in spans]), tf=pa.array([tf[a:b].tobytes() for a, b in spans]),
+        )
+        h, at, times = h[~apart], at[~apart], times[~apart]
+        bounds = (np.arange(1, n_parts, dtype=np.uint64) * _U((1 << 64) // n_parts)) if n_parts > 1 else np.zeros(0, _U)
+        cut = np.r_[0, np.searchsorted(h, bounds), len(h)]
+        cut_often = np.r_[0, np.searchsorted(often, bounds), len(often)]
+        out: dict[str, list] = {c: [] for c in ("part", "h", "at", "times", "nodes", "each", "often", "among", "holders")}
+        for p in range(n_parts):
+            a, b, c, d = cut[p], cut[p + 1], cut_often[p], cut_often[p + 1]
+            if a == b and c == d:
+                continue
+            present, local = np.unique(at[a:b], return_inverse=True)
+            for name, value in (
+                ("part", p), ("h", planes(h[a:b])), ("at", planes(local.astype(np.uint32))), ("times", planes(times[a:b])), ("nodes", nodes[present].tobytes()),
+                ("each", planes(copies[present])), ("often", planes(often[c:d])), ("among", planes(among[c:d].astype(np.int64))), ("holders", planes(holders[c:d].astype(np.int64))),
+            ):
+                out[name].append(value)
+        yield _rows(_P, **out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in slices(batches):
-            n = part.num_rows
-            h, row, weight = _weighed(part, documents)
-            present = row[run_starts(row)]
-            bands = band_hashes(h, row, weight, other) if len(h) else np.zeros((0, BANDS), _U)
-            ends = np.zeros(n, np.int32)
-            ends[present] = BANDS
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.r_[0, np.cumsum(ends)].astype(np.int32)), pa.array(bands.ravel().view(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.array(np.bincount(row, weight, n).astype(np.float64)), lists], ["node", "total", "bands"]
-            )
+            h, row, times = shingles(*column_bytes(part.column("text")))
+            raw = np.frombuffer(b"".join(part.column("node").to_pylist()), f"V{NODE}")
+            held.append((h, row, times, raw, part.column("copies").to_numpy()))
+            size += len(h)
+            if size >= CHUNK:
+                yield from (_fixed(x, _POSTED) for x in post(held))
+                held, size = [], 0
+        if held:
+            yield from (_fixed(x, _POSTED) for x in post(held))
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part: for each text its shingles that other texts have too, with their document frequencies.
+
+    Rows of documents pass; rows without a node have the frequencies of frequent
+    shingles.
+    """
 
-    return texts.select("node", "text", "shared", "among").mapInArrow(run, "node binary, total double, bands array<long>")
+    def flush(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([numbers(x[c], _U) for c in ("h", "often") for x in held])
+        nodes = np.concatenate([np.frombuffer(x["nodes"], f"V{NODE}") for x in held])
+        copies = np.concatenate([numbers(x["each"], np.int64) for x in held])
+        before = np.cumsum([0, *(len(x["nodes"]) // NODE for x in held)])
+        at = np.concatenate([numbers(x["at"], np.uint32).astype(np.int64) + b for x, b in zip(held, before, strict=False)])
+        times = np.concatenate([numbers(x["times"], np.uint32) for x in held])
+        among = np.r_[copies[at], np.concatenate([numbers(x["among"], np.int64) for x in held])]
+        holders = np.r_[np.ones(len(at), np.int64), np.concatenate([numbers(x["holders"], np.int64) for x in held])]
+        if not len(h):
+            return
+        order = np.argsort(h, kind="stable")
+        first = run_starts(h[order])
+        n, m = np.add.reduceat(among[order], first), np.add.reduceat(holders[order], first)
+        group = np.empty(len(h), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+        counted = np.unique(group[len(at) :])
+        if len(counted):
+            yield _rows(_S, h=_lists(h[order][first][counted].view(np.int64), np.zeros(len(counted), np.int64), 1), n=_lists(n[counted], np.zeros(len(counted), np.int64), 1))
+        own = np.flatnonzero(m[group[: len(at)]] > 1)
+        own = own[np.argsort(at[own], kind="stable")]
+        present, owner = np.unique(at[own], return_inverse=True)
+        if len(own):
+            yield _rows(
+                _S, node=pa.array([x.tobytes() for x in nodes[present]]), h=_lists(h[own].view(np.int64), owner, len(present)), n=_lists(n[group[own]], owner, len(present)),
+                tf=_lists(times[own].astype(np.int32), owner, len(present)),
+            )
 
+    held: list[dict] = []
+    for batch in batches:
+        lone = batch.filter(pc.less(batch.column("part"), 0))
+        if lone.num_rows:
+            mine = [np.frombuffer(x, np.int64) for x in lone.column("mine").to_pylist()]
+            tf = [np.frombuffer(x, np.int32) for x in lone.column("tf").to_pylist()]
+            yield _fixed(
+                _rows(_S, **{c: lone.column(c) for c in ("node", "copies", "k")}, h=pa.array(mine, pa.list_(pa.int64())), tf=pa.array(tf, pa.list_(pa.int32()))), _SEEN
+            )
+        for x in batch.filter(pc.greater_equal(batch.column("part"), 0)).to_pylist():
+            if held and held[0]["part"] != x["part"]:
+                yield from (_fixed(y, _SEEN) for y in flush(held))
+                held = []
+            held.append(x)
+    if held:
+        yield from (_fixed(y, _SEEN) for y in flush(held))
+
+
+def shared_shingles(texts: DataFrame, n_bytes: int) -> DataFrame:
+    """node, copies, k, of (array of h, n, tf) of each row of node, text, copies that shares a shingle with another.
+
+    ``of`` are its shingles that other texts have too, ``n`` how many documents
+    have each, counted over all; a row stands for ``copies`` documents. ``k`` is
+    the number of all its shingles, repeats included. ``n_bytes`` (of the texts)
+    only sets how many parts the index has.
+
+    Every shingle is shuffled once, as part of a sorted block, and those that are
+    shared once more. Frequent ones are counted in each chunk first and their
+    counts joined to the documents, so no key gathers the rows of a hot shingle.
+    """
+    n_parts = max(partitions(texts.sparkSession), -(-n_bytes // (6 * PART)))
+    posted = texts.select("node", "text", "copies").mapInArrow(_postings(n_parts), _POSTED)
+    seen = settle(posted.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_count, _SEEN), "shared-shingles")
+    frequent = seen.where(F.col("node").isNull()).select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.h", "x.n")
+    often = seen.where(F.col("k").isNotNull() & (F.size("h") > 0)).select("node", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("node", "x.h", "x.tf")
+    often = often.join(small(settle(frequent, "frequent-shingles")), "h").groupBy("node").agg(F.collect_list(F.struct("h", "n", "tf")).alias("of"))
+    none = F.lit(None).cast("long")
+    rare = seen.where(F.col("node").isNotNull() & F.col("k").isNull()).select("node", none.alias("copies"), none.alias("k"), F.arrays_zip("h", "n", "tf").alias("of"))
+    every = rare.unionByName(often.select("node", none.alias("copies"), none.alias("k"), "of"))
+    empty = F.array().cast("array<struct<h:bigint,n:bigint,tf:int>>")
+    every = every.unionByName(seen.where("k is not null").select("node", "copies", "k", empty.alias("of")))
+    lists = every.groupBy("node").agg(F.max("copies").alias("copies"), F.max("k").alias("k"), F.flatten(F.collect_list("of")).alias("of"))
+    return lists.where(F.size("of") > 0)
+
+
+def signatures(lists: DataFrame, n: int, similarity: float) -> DataFrame:
+    """node, total, most, sketch, h, w, bands of the rows of ``shared_shingles`` that could be similar to another.
+
+    ``total`` is the weight of all shingles, ``most`` that of the shared ones: no
+    other text can share more, so a row with less than ``similarity`` of its
+    weight in them is left out. ``sketch`` spreads ``most`` over SKETCH numbers by
+    hash: two texts share at most the sum of the smaller ones. The other shingles
+    are nobody else's, so only their number counts for the samples; made-up
+    hashes stand for them.
+    """
+    other = float(idf(1, n))
 
-def similarities(pairs: DataFrame, documents: int) -> DataFrame:
-    """a, b, similarity for rows of a, b and each side's text, shared and among."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, k, copies = batch.column("of"), batch.column("k").to_numpy(), batch.column("copies").to_numpy()
+            flat, rows = of.flatten(), batch.num_rows
+            row = np.repeat(np.arange(rows), np.diff(of.offsets.to_numpy()))
+            h = flat.field("h").to_numpy().view(_U)
+            tf = flat.field("tf").to_numpy()
+            w = idf(flat.field("n").to_numpy(), n) * tf
+            most, lone = np.bincount(row, w, rows), k - np.bincount(row, tf, rows).astype(np.int64)
+            total = most + lone * idf(copies, n)
+            pick = np.flatnonzero(most >= similarity * total - 1e-9)
+            for some in np.array_split(pick, max(1, int(k[pick].sum()) >> 17)):
+                if not len(some):
+                    continue
+                place = np.full(rows, -1)
+                place[some] = np.arange(len(some))
+                own = np.flatnonzero(place[row] >= 0)
+                at, count = place[row[own]], lone[some]
+                alone = np.repeat(np.arange(len(some)), count)
+                seed = np.array([int.from_bytes(batch.column("node")[int(i)].as_py()[:8], "little") for i in some], _U)
+                made = mix(seed[alone] + (np.arange(len(alone)) - np.repeat(np.cumsum(count) - count, count)).astype(_U))
+                every, whose = np.r_[h[own], made], np.r_[at, alone]
+                weight = np.r_[w[own], idf(copies[some], n)[alone]]
+                order = np.argsort(whose, kind="stable")
+                bands = band_hashes(every[order], whose[order], weight[order], other)
+                sketch = np.bincount(at * SKETCH + (mix(h[own]) % _U(SKETCH)).astype(np.int64), w[own], len(some) * SKETCH)
+                spread = lambda x, size: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * size), pa.array(x))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("node").take(pa.array(some)), pa.array(total[some]), pa.array(most[some]), spread(sketch.astype(np.float32), SKETCH),
+                        _lists(h[own].view(np.int64), at, len(some)), _lists(w[own], at, len(some)), spread(bands.ravel().view(np.int64), BANDS),
+                    ],
+                    ["node", "total", "most", "sketch", "h", "w", "bands"],
+                )
+
+    return lists.mapInArrow(run, "node binary, total double, most double, sketch array<float>, h array<long>, w array<double>, bands array<long>")
+
+
+def similarities(pairs: DataFrame) -> DataFrame:
+    """a, b, similarity for rows of a, b and each side's total, h and w."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(slices(batches, "text_a"), "text_b"):
-            found = weighted_jaccard(_weighed(part, documents, "_a"), _weighed(part, documents, "_b"), part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(found)], ["a", "b", "similarity"])
+        for batch in batches:
+            n = batch.num_rows
+            sides = []
+            for x in "ab":
+                lists = batch.column(f"h_{x}")
+                sides.append((np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), batch.column(f"w_{x}").flatten().to_numpy()))
+            row, h, w = (np.concatenate(x) for x in zip(*sides, strict=True))
+            order = np.lexsort((h, row))
+            row, h, w = row[order], h[order], w[order]
+            twice = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
+            both = np.bincount(row[twice], np.minimum(w[twice], w[twice + 1]), n)
+            total = batch.column("total_a").to_numpy() + batch.column("total_b").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both / np.maximum(total - both, 1e-12))], ["a", "b", "similarity"])
 
     return pairs.mapInArrow(run, "a binary, b binary, similarity double")
 
@@ -195,120 +371,104 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", F.col("label").alias("component"))
 
 
-def private_weights(texts: DataFrame, documents: int) -> DataFrame:
-    """node, private: the weight of the shingles that no other row of id, node, text, shared, among has."""
+def _verify(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """The links among the pairs a, b."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            h, row, w = _weighed(part, documents)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(w)], ["id", "h", "w"]
-            )
+    def side(x: str) -> DataFrame:
+        return signed.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("total", "h", "w")])
 
-    each = texts.select("id", "text", "shared", "among").mapInArrow(run, "id long, h long, w double")
-    once = each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("w").alias("w")).where("n = 1")
-    sums = once.groupBy("id").agg(F.sum("w").alias("private"))
-    return texts.select("node", "id").join(sums, "id", "left").select("node", F.coalesce("private", F.lit(0.0)).alias("private"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    return settle(similarities(met).where(F.col("similarity") >= similarity - 1e-9).select("a", "b"), "links")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, documents: int, similarity: float) -> DataFrame:
-    """The links among the pairs a, b."""
+def _needed(similarity: float, a: Column, b: Column) -> Column:
+    """How much weight texts of the total weights ``a`` and ``b`` share at that similarity, a little less for rounding."""
+    return (a + b) * (similarity / (1 + similarity)) * (1 - _SLACK)
 
-    def side(x: str) -> DataFrame:
-        return texts.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("text", "shared", "among")])
 
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    return settle(similarities(met, documents).where(F.col("similarity") >= similarity - 1e-9), "links")
+def _common(a: Column, b: Column) -> Column:
+    """The most that two sketches allow."""
+    return reduce(lambda x, y: x + y, [F.least(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(SKETCH)])
 
 
-def _pairs(members: DataFrame, pivots: DataFrame, similarity: float) -> DataFrame:
-    """Distinct a, b of a bucket's pivots with its other members, by what their weights allow.
+def _open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """Distinct a, b of a bucket that are not of one component and that the sketches allow to be similar.
 
-    ``most`` is the largest weight that a node can share with any other.
+    A bucket's largest part is the component of its pivot. Each node outside it
+    meets the cells of the bucket - nodes of nearly equal weight, bounded
+    together - and then the nodes of the cells that its bound cannot rule out.
     """
-    p = pivots.select("bucket", F.col("node").alias("a"), F.col("total").alias("ta"), F.col("component").alias("ca"), F.col("most").alias("ma"))
-    shared = similarity / (1 + similarity) * (F.col("ta") + F.col("total")) - 1e-9
-    close = members.join(p, "bucket").where(
-        (F.col("node") != F.col("a")) & (F.col("component") != F.col("ca")) & (F.least("ma", "most") >= shared)
+    rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = rows.groupBy("bucket").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("company", "node", "component"))["component"].alias("main")
+    )
+    ends = settle(ends.where(F.col("x") != F.col("y")).select("bucket", "main"), "open-buckets")
+    rows = rows.join(ends, "bucket").join(signed.select("node", "sketch"), "node")
+    rows = settle(rows.select("bucket", "node", "component", "main", "total", "most", "sketch", F.floor(F.log("total") / CELL).alias("cell")), "open-nodes")
+    cells = rows.groupBy("bucket", "cell").agg(
+        F.min("total").alias("ct"), F.max("most").alias("cm"), *[F.max(F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(SKETCH)]
     )
-    return settle(close.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+    cells = settle(cells.select("bucket", "cell", "ct", "cm", F.array(*[f"s{i}" for i in range(SKETCH)]).alias("cs")), "open-cells")
+    out = rows.where(F.col("component") != F.col("main")).drop("main", "cell")
+    need = _needed(similarity, F.col("total"), F.col("ct"))
+    met = out.join(cells, "bucket").where((F.least("most", "cm") >= need) & (_common(F.col("sketch"), F.col("cs")) >= need))
+    met = settle(met.select("bucket", "cell", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("total").alias("ta"), F.col("most").alias("ma"), F.col("sketch").alias("sa")), "open-bounds")
+    need = _needed(similarity, F.col("total"), F.col("ta"))
+    close = rows.join(met, ["bucket", "cell"]).where(
+        (F.col("component") != F.col("ca")) & (F.least("most", "ma") >= need) & (_common(F.col("sketch"), F.col("sa")) >= need)
+    )
+    return settle(close.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "open-pairs")
 
 
-def linked(texts: DataFrame, documents: int, similarity: float = SIMILARITY) -> DataFrame:
+def linked(texts: DataFrame, n: int, n_bytes: int, similarity: float = SIMILARITY) -> DataFrame:
     """node, component of the nodes of node, text, copies (each node once) that verified links connect to others.
 
-    First, each bucket of a band is compared with its most central member, the
-    one with most company in all its buckets. Members that are not yet of one
-    component could still be linked to each other; two texts are, only if each
-    shares ``similarity`` of its weight with the other. So whatever has more
-    weight than that in shingles of its own, which no other open member has, is
-    done. The rest are compared with one more member of their bucket, then with
-    16 times as many, until every bucket is of one component or all its members
-    have been compared, so rounds follow the logarithm of the largest bucket. No
-    link between components is left out.
+    ``n`` counts the documents. Each bucket of a band is compared with its most
+    central member, the one with most company in all its buckets. Members that
+    are not yet of one component are then compared wherever their sketches allow
+    a link, so none between components is left out.
     """
-    texts = texts.withColumn("id", F.xxhash64("node"))
-    found = frequencies(texts)
-    signed = settle(signatures(with_frequencies(texts, found), documents), "signatures")
-    members = signed.select("node", "total", F.explode("bands").alias("bucket"))
+    signed = settle(signatures(shared_shingles(texts, n_bytes), n, similarity), "signatures")
+    members = signed.select("node", "total", "most", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = settle(members.join(several, "bucket"), "members")
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    members = members.join(company, "node").select("bucket", "node", "total", "company", F.col("node").alias("component"), F.col("total").alias("most"))
-    wanted = members.select("node").distinct()
-    texts = settle(with_frequencies(texts.join(small(wanted), "node", "left_semi"), found), "candidate-texts")
-    central = members.groupBy("bucket").agg(F.max(F.struct("company", "node", "total", "component", "most")).alias("p")).select("bucket", "p.*")
-    labels = components(_verify(_pairs(members, central, similarity), texts, documents, similarity))
-
-    def open_buckets(rows: DataFrame) -> DataFrame:
-        rows = rows.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        ends = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        return rows.join(ends.where(F.col("x") != F.col("y")).select("bucket"), "bucket", "left_semi")
-
-    left = settle(open_buckets(members), "open")
-    own = private_weights(texts.join(small(left.select("node").distinct()), "node", "left_semi"), documents)
-    left = left.drop("most").join(own, "node").withColumn("most", F.col("total") - F.col("private"))
-    left = settle(left.where(F.col("most") >= similarity * F.col("total") - 1e-9).drop("private"), "eligible")
-    width, floor = 1, None
-    while True:
-        ahead = open_buckets(left)
-        if floor is not None:
-            ahead = ahead.join(floor, "bucket", "left").where(F.col("last").isNull() | (F.col("node") > F.col("last"))).drop("last")
-        ahead = settle(ahead, "open")
-        order = Window.partitionBy("bucket").orderBy("node")
-        pivots = ahead.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
-        pivots = settle(pivots.select("bucket", "node", "total", "component", "most"), "pivots")
-        if not pivots.limit(1).count():
-            return labels
-        done = pivots.groupBy("bucket").agg(F.max("node").alias("last"))
-        floor = settle(done if floor is None else floor.join(done, "bucket", "left_anti").unionByName(done), "compared")
-        pairs = _pairs(ahead, pivots, similarity)
-        if pairs.limit(1).count():
-            links = _verify(pairs, texts, documents, similarity)
-            if links.limit(1).count():
-                stars = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-                labels = components(stars.unionByName(links.select("a", "b")))
-        width *= 16
+    members = settle(members.join(settle(several, "buckets"), "bucket"), "members")
+    company = settle(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    members = settle(members.join(company, "node").select("bucket", "node", "total", "most", "company"), "members")
+    central = members.groupBy("bucket").agg(F.max(F.struct("company", "node", "total", "most")).alias("p"))
+    central = settle(central.select("bucket", F.col("p.node").alias("a"), F.col("p.total").alias("ta"), F.col("p.most").alias("ma")), "central")
+    need = _needed(similarity, F.col("total"), F.col("ta"))
+    pairs = members.join(central, "bucket").where((F.col("node") != F.col("a")) & (F.least("most", "ma") >= need))
+    pairs = settle(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+    labels = components(_verify(pairs, signed, similarity))
+    left = _open_pairs(members, labels, signed, similarity).join(pairs, ["a", "b"], "left_anti")
+    links = _verify(left, signed, similarity)
+    if not links.limit(1).count():
+        return labels
+    stars = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return components(stars.unionByName(links))
 
 
 def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, node, class_id, class_size of every row."""
     lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), _node(lowered).alias("node"), lowered.alias("text"))
-    copies = rows.groupBy("node").agg(F.count("*").alias("n"))
-    several = settle(copies.where(F.col("n") > 1).select("node"), "copied")
+    own = rows.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.sum(F.octet_length("text")).alias("bytes"))
+    own = settle(own, "texts")
+    several = settle(own.where(F.col("class_size") > 1).select("node"), "copied")
     alone = rows.join(small(several), "node", "left_anti").select("node", "text", F.lit(1).cast("long").alias("copies"))
     once = rows.join(small(several), "node", "left_semi").groupBy("node").agg(F.max("text").alias("text"), F.count("*").alias("copies"))
-    labels = linked(alone.unionByName(once), rows.count(), similarity)
-    placed = rows.select("doc_id", "node").join(labels, "node", "left")
-    placed = settle(placed.select("doc_id", "node", F.coalesce("component", "node").alias("component")), "placed")
-    classes = placed.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(classes, "component").select("doc_id", "node", "class_id", "class_size")
+    whole = own.agg(F.sum("class_size").alias("n"), F.sum(F.col("bytes") / F.col("class_size")).cast("long").alias("bytes")).first()
+    labels = linked(alone.unionByName(once), whole["n"] or 0, whole["bytes"] or 0, similarity)
+    joint = own.select("node", "class_id", "class_size").join(labels, "node")
+    joint = settle(joint.groupBy("component").agg(F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size")), "classes")
+    joint = settle(labels.join(small(joint), "component").select("node", F.struct("class_id", "class_size").alias("of")), "linked-texts")
+    of = own.join(small(joint), "node", "left").select("node", F.coalesce("of", F.struct("class_id", "class_size")).alias("of"))
+    return rows.select("doc_id", "node").join(settle(of, "class-of-texts"), "node").select("doc_id", "node", "of.*")
 
 
 def _node(lowered: Column) -> Column:
-    """128 bits of the SHA-256 of a lower-cased text."""
-    return F.unhex(F.substring(F.sha2(lowered, 256), 1, 32))
+    """96 bits of the SHA-256 of a lower-cased text."""
+    return F.unhex(F.substring(F.sha2(lowered, 256), 1, 2 * NODE))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,12 +499,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct()
     again = found.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     gone = small(settle(gone, "near-copies"))
-    keyed = docs.withColumn("__node", _node(F.lower(F.coalesce("text", F.lit(""))))).alias("d")
+    node = unused(docs, "node")
+    keyed = docs.withColumn(node, _node(F.lower(F.coalesce("text", F.lit(""))))).alias("d")
     left = keyed.join(
-        gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__node") == F.col("g.node")), "left_anti"
+        gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{node}") == F.col("g.node")), "left_anti"
     )
     if again.limit(1).count():
-        left = left.dropDuplicates(["doc_id", "__node"])
+        left = left.dropDuplicates(["doc_id", node])
     return left.select(*docs.columns)
 
 

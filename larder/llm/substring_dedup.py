@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.decontaminate import BROADCAST_ROWS, small
-from larder.llm.shared import documents, settle
+from larder.llm.shared import documents, settle, small
 from larder.llm.textbytes import NOT_SPACE, Words, column_bytes, run_starts, slices
 
 LENGTH = 35
@@ -268,10 +267,7 @@ def remove_repeats(docs: DataFrame, width: int = LENGTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = repeated_windows(rows, width)
     spans = settle(maximal_spans(found, width), "spans")
-    held = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
-    if held["rows"] <= BROADCAST_ROWS and held["spans"] <= 2 * BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    met = _met(rows, spans, "left").select("d.doc_id", "d.text", F.coalesce("s.spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    met = _met(rows, small(spans), "left").select("d.doc_id", "d.text", F.coalesce("s.spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
     return met.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
 
 

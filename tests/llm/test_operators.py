@@ -178,7 +178,7 @@ def test_near_duplicates(spark, docs, empty):
         sh.append(Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter())
     df = Counter(s for c in sh for s in c)
     n = len(rows)
-    weight = [{s: k * math.log(1 + n / max(df[s], 0.002 * n)) for s, k in c.items()} for c in sh]
+    weight = [{s: k * (1 + math.log((n + 1) / df[s]) / math.log(n + 1)) for s, k in c.items()} for c in sh]
     parent = list(range(n))
 
     def find(x):
