@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, settle, small, unit_hash
+from larder.llm.shared import documents, is_small, settle, small, unit_hash, unused
 
 FACTORS = ["source", "lang", "topic"]
-ROUNDS = 10
+TOLERANCE = 1e-9
+MOST_ROUNDS = 100
+ORACLE_ROUNDS = 24
+"""Rounds of the SQL twin, which has no loop; enough for the tables at hand."""
 BUDGET = 0.5
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 
@@ -34,55 +39,81 @@ def tempered_targets(cells: DataFrame, power: dict[str, float]) -> dict[str, Dat
     targets = {}
     for factor, p in power.items():
         marginal = cells.groupBy(factor).agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") > 0)
-        raised = marginal.select(factor, F.pow(F.col("tokens").cast("double"), F.lit(p)).alias("raised"))
-        total = raised.agg(F.sum("raised").alias("total"))
-        targets[factor] = raised.join(F.broadcast(total)).select(factor, (F.col("raised") / F.col("total")).alias("target"))
+        raised = settle(marginal.select(factor, F.pow(F.col("tokens").cast("double"), F.lit(p)).alias("raised")), f"raised-{factor}")
+        total = raised.agg(F.sum("raised")).first()[0] or 1.0
+        targets[factor] = raised.select(factor, (F.col("raised") / F.lit(float(total))).alias("target"))
     return targets
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (factors, tokens) with the column weight, raked to each target in turn, ``rounds`` times.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
+    """``cells`` (factors, tokens) with the column weight, raked to each target in turn until all are met.
 
-    Every step sums weights by one factor, before the shuffle, and scales. A
-    cell whose value has no target gets weight 0. The lineage is cut each round.
+    A cell's weight is its tokens times one multiplier for each of its values. A
+    step sums the weights by one factor, before the shuffle, and moves that
+    factor's multipliers; only these are written, once a round. Rounds end when no
+    multiplier moves by more than ``tolerance``, or when they come no nearer:
+    then targets contradict the empty cells (``reached`` shows by how much). A
+    cell whose value has no target gets weight 0.
     """
-    weighted = cells.withColumn("weight", F.col("tokens").cast("double"))
-    targets = {f: settle(t, f"target-{f}") for f, t in targets.items()}
-    for r in range(rounds):
-        for factor, target in targets.items():
-            marginal = weighted.groupBy(factor).agg(F.sum("weight").alias("now"))
-            scale = marginal.join(target, factor).select(
-                factor, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("scale")
-            )
-            weighted = weighted.join(scale, factor, "left").withColumn(
-                "weight", F.col("weight") * F.coalesce("scale", F.lit(0.0))
-            ).select(*cells.columns, "weight")
-        weighted = settle(weighted, f"raked-{r}")
-    return weighted
+    fits = {f: settle(t.select(f, "target", F.lit(1.0).alias(f"by_{f}")), f"target-{f}") for f, t in targets.items()}
+    hint = {f: F.broadcast if is_small(t) else (lambda x: x) for f, t in fits.items()}  # rounds keep a table's size
+
+    def weighted() -> DataFrame:
+        rows = cells
+        for f in targets:
+            rows = rows.join(hint[f](fits[f].select(f, f"by_{f}")), f, "left")
+        weight = F.col("tokens").cast("double")
+        for f in targets:
+            weight = weight * F.coalesce(f"by_{f}", F.lit(0.0))
+        return rows.select(*cells.columns, weight.alias("weight"))
+
+    before = float("inf")
+    for r in range(most):
+        for f in targets:
+            now = weighted().groupBy(f).agg(F.sum("weight").alias("now"))
+            scale = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
+            move = F.when(F.col("now") > 0, F.abs(scale - 1)).otherwise(0.0)
+            fits[f] = hint[f](fits[f]).join(now, f).select(f, "target", (F.col(f"by_{f}") * scale).alias(f"by_{f}"), move.alias("move"))
+        every = [t.select(F.lit(f).alias("factor"), F.col(f).alias("value"), "target", F.col(f"by_{f}").alias("by"), "move") for f, t in fits.items()]
+        step = settle(reduce(DataFrame.union, every), f"multipliers-{r}")
+        fits = {f: step.where(F.col("factor") == f).select(F.col("value").alias(f), "target", F.col("by").alias(f"by_{f}")) for f in targets}
+        moved = step.agg(F.max("move")).first()[0] or 0.0
+        if moved <= tolerance or (r > 2 and moved > 0.999 * before):
+            break
+        before = moved
+    return settle(weighted(), "raked")
+
+
+def reached(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """factor, value, target, reached: what share of the weights each value has."""
+    parts = []
+    for f, t in targets.items():
+        now = raked.groupBy(f).agg(F.sum("weight").alias("reached"))
+        parts.append(t.join(now, f, "left").select(F.lit(f).alias("factor"), F.col(f).alias("value"), "target", F.coalesce("reached", F.lit(0.0)).alias("reached")))
+    return reduce(DataFrame.union, parts)
 
 
 def calibrate(raked: DataFrame, budget: float) -> DataFrame:
     """The column probability: tokens drawn follow the weights, their expected sum is ``budget`` of all tokens.
 
-    Probabilities over 1 are held at 1 and the rest scaled up, four times; what
-    could still not be placed stays unspent.
+    Probabilities over 1 are held at 1 and the rest scaled up until no further
+    cell reaches 1; then the budget is spent, unless the cells that have weight
+    hold less than it. Only sums reach the driver.
     """
-    total = raked.agg(F.sum("tokens").alias("total"))
-    now = raked.join(F.broadcast(total)).withColumn(
-        "probability",
-        F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * budget * F.col("total") / F.col("tokens"))).otherwise(0.0),
-    )
-    for _ in range(4):
-        held = F.col("probability") >= 1
-        sums = now.agg(
-            F.sum(F.when(held, F.col("tokens")).otherwise(0)).alias("placed"),
-            F.sum(F.when(held, 0.0).otherwise(F.col("probability") * F.col("tokens"))).alias("open"),
-        )
-        scale = F.when(F.col("open") > 0, (F.col("total") * budget - F.col("placed")) / F.col("open")).otherwise(1.0)
-        now = now.join(F.broadcast(sums)).withColumn(
-            "probability", F.when(held, 1.0).otherwise(F.least(F.lit(1.0), F.col("probability") * F.greatest(scale, F.lit(0.0))))
-        ).drop("placed", "open")
-    return now.drop("total")
+    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    total, held = raked.agg(F.sum("tokens"), F.sum("weight")).first()
+    total = float(total or 0)
+    scale, capped = (budget * total / held if held else 0.0), -1
+    while held:
+        full = ratio * scale >= 1
+        now = raked.agg(
+            F.count_if(full).alias("n"), F.sum(F.when(full, F.col("tokens"))).alias("placed"), F.sum(F.when(~full, F.col("weight"))).alias("open")
+        ).first()
+        if now["n"] == capped or not now["open"]:
+            break
+        capped = now["n"]
+        scale = max(scale, (budget * total - float(now["placed"] or 0)) / now["open"])
+    return raked.withColumn("probability", F.least(F.lit(1.0), ratio * F.lit(float(scale))))
 
 
 def factors(topic: Column | None = None) -> list[Column]:
@@ -92,12 +123,10 @@ def factors(topic: Column | None = None) -> list[Column]:
     return [*given, (topic_of(text) if topic is None else topic).alias("topic")]
 
 
-def cell_probabilities(
-    rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS
-) -> DataFrame:
+def cell_probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
     """source, lang, topic, weight, probability from rows of the three factors and tokens."""
     cells = settle(rows.groupBy(*FACTORS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets or tempered_targets(cells, TEMPER), rounds)
+    raked = rake(cells, targets or tempered_targets(cells, TEMPER))
     return small(settle(calibrate(raked, budget).select(*FACTORS, "weight", "probability"), "calibrated"))
 
 
@@ -113,7 +142,6 @@ def mix(
     docs: DataFrame,
     targets: dict[str, DataFrame] | None = None,
     budget: float = BUDGET,
-    rounds: int = ROUNDS,
     topic: Column | None = None,
     seed: str = "mix",
 ) -> DataFrame:
@@ -133,7 +161,7 @@ def mix(
     """
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKENS)).cast("long").alias("tokens")
     rows = settle(docs.select("doc_id", *factors(topic), tokens), "mix-rows")
-    found = cell_probabilities(rows, targets, budget, rounds)
+    found = cell_probabilities(rows, targets, budget)
     return rows.join(found, FACTORS).select(
         "doc_id", *FACTORS, "tokens", "weight", "probability", drawn(seed, F.col("probability")).alias("sampled")
     )
@@ -142,14 +170,15 @@ def mix(
 def sample(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: str = "mix"
 ) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` draws, with all their columns."""
+    """The rows of ``docs`` that ``mix`` draws, with all their columns, whatever their names."""
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKENS)).cast("long").alias("tokens")
     found = cell_probabilities(docs.select(*factors(), tokens), targets, budget)
-    cell = F.struct(*factors())
-    met = docs.withColumn("__cell", cell).join(
-        found.select(F.struct(*FACTORS).alias("__cell"), F.col("probability").alias("__probability")), "__cell"
+    cell = unused(docs, "cell")
+    chance = unused(docs, "probability")
+    met = docs.withColumn(cell, F.struct(*factors())).join(
+        found.select(F.struct(*FACTORS).alias(cell), F.col("probability").alias(chance)), cell
     )
-    return met.where(drawn(seed, F.col("__probability"))).select(*docs.columns)
+    return met.where(drawn(seed, F.col(chance))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +203,7 @@ c AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM r G
             f"(SELECT {f}, pow(CAST(sum(tokens) AS DOUBLE), {p}) AS x FROM c GROUP BY 1 HAVING sum(tokens) > 0))"
         )
     last, n = "(SELECT *, CAST(tokens AS DOUBLE) AS weight FROM c)", 0
-    for _ in range(ROUNDS):
+    for _ in range(ORACLE_ROUNDS):
         for f in FACTORS:
             n += 1
             parts.append(
@@ -183,16 +212,14 @@ c AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM r G
             )
             last = f"s{n}"
     parts.append(
-        f"p0 AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN least(1.0, weight * {BUDGET} * total / tokens) ELSE 0 END AS p "
-        f"FROM (SELECT *, sum(tokens) OVER () AS total FROM {last}))"
+        f"""q AS MATERIALIZED (SELECT source, lang, topic, weight, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio,
+  sum(tokens) OVER () * {BUDGET} AS goal,
+  coalesce(sum(tokens) OVER o, 0) AS placed, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS open
+FROM {last} WINDOW o AS (ORDER BY CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
     )
-    for i in range(4):
-        parts.append(
-            f"p{i + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight, total, CASE WHEN p >= 1 THEN 1.0 "
-            f"ELSE least(1.0, p * greatest(CASE WHEN o > 0 THEN (total * {BUDGET} - placed) / o ELSE 1 END, 0)) END AS p "
-            f"FROM (SELECT *, sum(CASE WHEN p >= 1 THEN tokens ELSE 0 END) OVER () AS placed, "
-            f"sum(CASE WHEN p >= 1 THEN 0 ELSE p * tokens END) OVER () AS o FROM p{i}))"
-        )
+    # The cells of the highest ratios are held at 1; the first that need not be gives the scale of the rest.
+    parts.append("k AS (SELECT coalesce(max((goal - placed) / open) FILTER (WHERE ratio * (goal - placed) / open < 1 AND ratio > 0), 0) AS scale FROM q WHERE open > 0)")
+    parts.append("p4 AS (SELECT source, lang, topic, weight, least(1.0, ratio * scale) AS p FROM q, k)")
     u = "(CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496"
     return ",\n".join(parts) + f"""
 SELECT doc_id, source, lang, topic, r.tokens, round(weight, 7) AS weight, round(p, 7) AS probability, {u} < p AS sampled

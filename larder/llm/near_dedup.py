@@ -24,9 +24,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 """Two texts of weighted Jaccard similarity 0.8 share no band with probability (1 - 0.8**3)**12 < 0.0002."""
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 """About how many shingles a task sorts at once, before they are shuffled."""
-PART = 1 << 22
+PART = 1 << 21
 """About how many shingles are counted together."""
 OFTEN = 16
 """A shingle that more documents of a chunk have is sent as a count, so that no part follows a frequent shingle."""
@@ -107,6 +107,17 @@ def band_hashes(h: np.ndarray, row: np.ndarray, weight: np.ndarray, other: float
     return (out * _U(BANDS)) + np.arange(BANDS, dtype=_U)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], *columns: str, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the lists of a piece have about ``most`` entries; a longer list is a piece of its own."""
+    for batch in batches:
+        ends = sum(np.asarray(batch.column(c).offsets).astype(np.int64) for c in columns)
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, min(int(np.searchsorted(ends, ends[first] + most, "right")) - 1, batch.num_rows))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
     """``values``, ordered by owner, as one list for each of ``n`` owners."""
     ends = np.cumsum(np.bincount(owner, minlength=n))
@@ -143,9 +154,9 @@ def _postings(n_parts: int):
 
     def post(held: list) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([x[0] for x in held])
-        before = np.cumsum([0, *(len(x[3]) for x in held)])
-        at = np.concatenate([x[1] + b for x, b in zip(held, before, strict=False)]).astype(np.uint32)
-        times = np.concatenate([x[2] for x in held]).astype(np.uint32)
+        before = np.cumsum([0, *(len(x[3]) for x in held)]).astype(np.uint32)
+        at = np.concatenate([x[1] + b for x, b in zip(held, before, strict=False)])
+        times = np.concatenate([x[2] for x in held])
         nodes = np.concatenate([x[3] for x in held])
         copies = np.concatenate([x[4] for x in held])
         k = np.bincount(at, times, len(nodes)).astype(np.int64)
@@ -188,7 +199,7 @@ def _postings(n_parts: int):
         for part in slices(batches):
             h, row, times = shingles(*column_bytes(part.column("text")))
             raw = np.frombuffer(b"".join(part.column("node").to_pylist()), f"V{NODE}")
-            held.append((h, row, times, raw, part.column("copies").to_numpy()))
+            held.append((h, row.astype(np.uint32), times.astype(np.uint32), raw, part.column("copies").to_numpy()))
             size += len(h)
             if size >= CHUNK:
                 yield from (_fixed(x, _POSTED) for x in post(held))
@@ -206,35 +217,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles.
     """
 
-    def flush(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([numbers(x[c], _U) for c in ("h", "often") for x in held])
-        nodes = np.concatenate([np.frombuffer(x["nodes"], f"V{NODE}") for x in held])
-        copies = np.concatenate([numbers(x["each"], np.int64) for x in held])
-        before = np.cumsum([0, *(len(x["nodes"]) // NODE for x in held)])
-        at = np.concatenate([numbers(x["at"], np.uint32).astype(np.int64) + b for x, b in zip(held, before, strict=False)])
-        times = np.concatenate([numbers(x["times"], np.uint32) for x in held])
-        among = np.r_[copies[at], np.concatenate([numbers(x["among"], np.int64) for x in held])]
-        holders = np.r_[np.ones(len(at), np.int64), np.concatenate([numbers(x["holders"], np.int64) for x in held])]
-        if not len(h):
+    def flush(held: list[list]) -> Iterator[pa.RecordBatch]:
+        n_light = sum(len(x[0]) for x in held)
+        h = np.concatenate([x[0] for x in held] + [x[5] for x in held])
+        order = np.argsort(h)
+        alike = h[order]
+        alike = np.flatnonzero(alike[1:] == alike[:-1])
+        again = np.zeros(len(h), bool)  # in sorted order: what stands more than once, and all counts
+        again[alike] = again[alike + 1] = True
+        again |= order >= n_light
+        order = order[again]
+        if not len(order):
             return
-        order = np.argsort(h, kind="stable")
-        first = run_starts(h[order])
-        n, m = np.add.reduceat(among[order], first), np.add.reduceat(holders[order], first)
-        group = np.empty(len(h), np.int64)
-        group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-        counted = np.unique(group[len(at) :])
+        h = h[order]
+        first = run_starts(h)
+        nodes = np.concatenate([x[3] for x in held])
+        before = np.cumsum([0, *(len(x[3]) for x in held)])
+        light = order < n_light
+        at = np.full(len(order), -1)
+        at[light] = np.concatenate([x[1] + np.uint32(b) for x, b in zip(held, before, strict=False)])[order[light]]
+        times = np.concatenate([x[2] for x in held])
+        among, holders = np.ones(len(order), np.int64), np.ones(len(order), np.int64)
+        among[light] = np.concatenate([x[4] for x in held])[at[light]]
+        among[~light] = np.concatenate([x[6] for x in held])[order[~light] - n_light]
+        holders[~light] = np.concatenate([x[7] for x in held])[order[~light] - n_light]
+        n, m = np.add.reduceat(among, first), np.add.reduceat(holders, first)
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
+        counted = np.unique(group[~light])
         if len(counted):
-            yield _rows(_S, h=_lists(h[order][first][counted].view(np.int64), np.zeros(len(counted), np.int64), 1), n=_lists(n[counted], np.zeros(len(counted), np.int64), 1))
-        own = np.flatnonzero(m[group[: len(at)]] > 1)
+            one = np.zeros(len(counted), np.int64)
+            yield _rows(_S, h=_lists(h[first][counted].view(np.int64), one, 1), n=_lists(n[counted], one, 1))
+        own = np.flatnonzero(light & (m[group] > 1))
         own = own[np.argsort(at[own], kind="stable")]
         present, owner = np.unique(at[own], return_inverse=True)
         if len(own):
             yield _rows(
                 _S, node=pa.array([x.tobytes() for x in nodes[present]]), h=_lists(h[own].view(np.int64), owner, len(present)), n=_lists(n[group[own]], owner, len(present)),
-                tf=_lists(times[own].astype(np.int32), owner, len(present)),
+                tf=_lists(times[order[own]].astype(np.int32), owner, len(present)),
             )
 
-    held: list[dict] = []
+    kinds = {"h": _U, "at": np.uint32, "times": np.uint32, "nodes": None, "each": np.int64, "often": _U, "among": np.int64, "holders": np.int64}
+    held: list[list] = []
+    current = None
     for batch in batches:
         lone = batch.filter(pc.less(batch.column("part"), 0))
         if lone.num_rows:
@@ -243,11 +267,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _fixed(
                 _rows(_S, **{c: lone.column(c) for c in ("node", "copies", "k")}, h=pa.array(mine, pa.list_(pa.int64())), tf=pa.array(tf, pa.list_(pa.int32()))), _SEEN
             )
-        for x in batch.filter(pc.greater_equal(batch.column("part"), 0)).to_pylist():
-            if held and held[0]["part"] != x["part"]:
+        blocks = batch.filter(pc.greater_equal(batch.column("part"), 0))
+        for i, part in enumerate(blocks.column("part").to_pylist()):
+            if held and part != current:
                 yield from (_fixed(y, _SEEN) for y in flush(held))
                 held = []
-            held.append(x)
+            current, raw = part, {c: blocks.column(c)[i].as_py() for c in kinds}
+            held.append([np.frombuffer(raw[c], f"V{NODE}") if kind is None else numbers(raw[c], kind) for c, kind in kinds.items()])
     if held:
         yield from (_fixed(y, _SEEN) for y in flush(held))
 
@@ -292,7 +318,7 @@ def signatures(lists: DataFrame, n: int, similarity: float) -> DataFrame:
     other = float(idf(1, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, "of"):
             of, k, copies = batch.column("of"), batch.column("k").to_numpy(), batch.column("copies").to_numpy()
             flat, rows = of.flatten(), batch.num_rows
             row = np.repeat(np.arange(rows), np.diff(of.offsets.to_numpy()))
@@ -333,7 +359,7 @@ def similarities(pairs: DataFrame) -> DataFrame:
     """a, b, similarity for rows of a, b and each side's total, h and w."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, "h_a", "h_b"):
             n = batch.num_rows
             sides = []
             for x in "ab":

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, table
+from larder.llm.shared import documents, table, unused
 from larder.llm.textbytes import NOT_SPACE, Words, column_bytes, mix, slices
 
 BUCKETS = 1 << 16
@@ -24,8 +24,23 @@ RATE = 0.6
 THRESHOLD = 0.7
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 rows, and the row of each."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(at, offsets)))
+    if len(at) == len(data):
+        return lead.astype(np.uint32), row
+    more = (lead >= 0xC0).astype(np.uint8) + (lead >= 0xE0) + (lead >= 0xF0)
+    points = (lead & np.array([0x7F, 0x1F, 0x0F, 0x07], np.uint8)[more]).astype(np.uint32)
+    for i in (1, 2, 3):
+        longer = np.flatnonzero(more >= i)
+        points[longer] = points[longer] << 6 | (data[at[longer] + i] & 0x3F)
+    return points, row
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every feature: words, repeated words and byte n-grams; bytes that differ only in digits are one.
+    """(bucket, row) of every feature: words, repeated words and character n-grams; texts that differ only in digits are one.
 
     A word that repeats the word before it counts as a feature of its own.
     """
@@ -37,16 +52,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     again = np.flatnonzero((words.hashes[1:] == words.hashes[:-1]) & (row[1:] == row[:-1])) + 1
     buckets.append(np.zeros(len(again), np.uint64))
     rows.append(row[again])
-    byte_row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    packed = data.astype(np.uint64)
+    points, point_row = characters(data, offsets)
     for n in GRAMS:
-        if len(data) >= n:
-            gram = np.zeros(len(data) - n + 1, np.uint64)
+        if len(points) >= n:
+            gram = np.full(len(points) - n + 1, n, np.uint64)
             for i in range(n):
-                gram = gram << np.uint64(8) | packed[i : len(data) - n + 1 + i]
-            own = byte_row[: len(gram)] == byte_row[n - 1 :]
-            buckets.append(mix(gram[own] + np.uint64(n << 40)) % np.uint64(BUCKETS - 1) + np.uint64(1))
-            rows.append(byte_row[: len(gram)][own])
+                gram = gram * np.uint64(0x9E3779B97F4A7C15) + points[i : len(points) - n + 1 + i]
+            own = point_row[: len(gram)] == point_row[n - 1 :]
+            buckets.append(mix(gram[own]) % np.uint64(BUCKETS - 1) + np.uint64(1))
+            rows.append(point_row[: len(gram)][own])
     return np.concatenate(buckets).astype(np.int64), np.concatenate(rows)
 
 
@@ -115,13 +129,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
     """``docs`` with the probability of label 1 for each whole text; a null text counts as empty."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS numbers, whatever the input
-    kept = [c for c in docs.columns if c != column]
-    inner = docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
+    whole = unused(docs, "whole_text")
+    inner = docs.select(*kept, F.coalesce("text", F.lit("")).alias(whole))
     schema = docs.select(*kept).schema.add(column, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
-            data, offsets = column_bytes(part.column("__text"))
+        for part in slices(batches, whole):
+            data, offsets = column_bytes(part.column(whole))
             margin = margins(data, offsets, shared.value, bias)
             columns = [part.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-margin)))], [*kept, column])
@@ -130,9 +145,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """The model from the bounded sample of labelled rows."""
-    rows = training_rows(docs, labels).collect()
-    return fit([r["text"] for r in rows], [r["quality"] for r in rows])
+    """The model from the bounded sample of labelled rows.
+
+    One task fits it, so that the driver holds no texts: it gets the weights.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        weights, bias = fit([r["text"] for r in rows], [r["quality"] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([bias])], ["weights", "bias"])
+
+    found = training_rows(docs, labels).coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return fit([], []) if found is None else (np.frombuffer(found["weights"], np.float32), found["bias"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -156,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``."""
-    column = "__score"
+    column = unused(docs, "score")
     return score(docs, train(docs, labels), column).where(F.col(column) >= threshold).drop(column)
 
 

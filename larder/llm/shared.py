@@ -48,13 +48,17 @@ def _width(column: Column, kind: DataType) -> Column:
     return F.lit(8)
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint where its counted bytes allow it; ``df`` should be settled, as it is read to count."""
+def is_small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted bytes of ``df`` allow a broadcast; ``df`` should be settled, as it is read to count."""
     if df.limit(most // 16 + 1).count() > most // 16:
-        return df
+        return False
     width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
-    held = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if held <= most else df
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= most
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint where its counted bytes allow it."""
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def unused(df: DataFrame, name: str) -> str:

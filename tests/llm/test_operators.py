@@ -137,7 +137,7 @@ def test_mixing(spark, docs, empty):
     assert got.count() == docs.count() and mixing.mix(empty).count() == 0
     cells = spark.createDataFrame([(s, x, t, 10 + 7 * i) for i, (s, x, t) in enumerate((s, x, t) for s in "ab" for x in "cd" for t in "ef")], "source string, lang string, topic string, tokens long")
     targets = {c: spark.createDataFrame(v, f"{c} string, target double") for c, v in {"source": [("a", 0.3), ("b", 0.7)], "lang": [("c", 0.6), ("d", 0.4)], "topic": [("e", 0.5), ("f", 0.5)]}.items()}
-    raked = mixing.rake(cells, targets, 12)
+    raked = mixing.rake(cells, targets)
     for c, t in targets.items():
         sums = {r[c]: r["w"] for r in raked.groupBy(c).agg(F.sum("weight").alias("w")).collect()}
         assert all(math.isclose(sums[r[c]], r["target"], abs_tol=1e-6) for r in t.collect())
