@@ -78,17 +78,20 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray,
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
     out, out_bias = np.zeros((2, DIM), np.float32), np.array([0.0, bias], np.float32)
-    rows = []
+    every, shares, ends = [], [], [0]
     for text in texts:
         data = np.frombuffer(text.encode(), np.uint8)
         ids, counts = np.unique(features(data, np.array([0, len(data)]))[0], return_counts=True)
-        rows.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
-    steps, step = EPOCHS * len(rows), 0
+        every.append(ids.astype(np.uint16))  # BUCKETS fit
+        shares.append((counts / max(1, counts.sum())).astype(np.float32))
+        ends.append(ends[-1] + len(ids))
+    every, shares = np.concatenate(every), np.concatenate(shares)
+    steps, step = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(texts)):
             rate = RATE * (1 - step / steps)
             step += 1
-            ids, parts = rows[i]
+            ids, parts = every[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]]
             if not len(ids):
                 continue
             mean = parts @ vectors[ids]

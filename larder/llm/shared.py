@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = "6m"
 BROADCAST_BYTES = 48 << 20
 """Tables are broadcast up to so many counted bytes, else shuffled."""
 
@@ -73,11 +74,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks that ran on it, not
-    everything before this point.
+    everything before this point. While it is written, Python workers get batches
+    of at most BATCH_BYTES, so that neither side of the exchange holds many rows.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/larder/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, BATCH_BYTES)
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(limit, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
