@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, is_small, settle, small, unit_hash, unused
+from larder.llm.shared import documents, settle, small, unit_hash, unused
 
 FACTORS = ["source", "lang", "topic"]
 TOLERANCE = 1e-9
@@ -48,40 +48,31 @@ def tempered_targets(cells: DataFrame, power: dict[str, float]) -> dict[str, Dat
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
     """``cells`` (factors, tokens) with the column weight, raked to each target in turn until all are met.
 
-    A cell's weight is its tokens times one multiplier for each of its values. A
-    step sums the weights by one factor, before the shuffle, and moves that
-    factor's multipliers; only these are written, once a round. Rounds end when no
-    multiplier moves by more than ``tolerance``, or when they come no nearer:
-    then targets contradict the empty cells (``reached`` shows by how much). A
-    cell whose value has no target gets weight 0.
+    Each cell carries the targets of its values; a value without one has target
+    0, and so has its cells' weight. A step sums the weights by one factor, before
+    the shuffle, and scales; a round of steps is one job and is written. Rounds
+    end when no step scales by more than ``tolerance``, or when they come no
+    nearer: then targets contradict the empty cells (``reached`` shows by how
+    much).
     """
-    fits = {f: settle(t.select(f, "target", F.lit(1.0).alias(f"by_{f}")), f"target-{f}") for f, t in targets.items()}
-    hint = {f: F.broadcast if is_small(t) else (lambda x: x) for f, t in fits.items()}  # rounds keep a table's size
-
-    def weighted() -> DataFrame:
-        rows = cells
-        for f in targets:
-            rows = rows.join(hint[f](fits[f].select(f, f"by_{f}")), f, "left")
-        weight = F.col("tokens").cast("double")
-        for f in targets:
-            weight = weight * F.coalesce(f"by_{f}", F.lit(0.0))
-        return rows.select(*cells.columns, weight.alias("weight"))
-
-    before = float("inf")
+    rows = cells.withColumn("weight", F.col("tokens").cast("double")).withColumn("move", F.lit(0.0))
+    for f, t in targets.items():
+        rows = rows.join(t.select(f, F.col("target").alias(f"target_{f}")), f, "left")
+    now = settle(rows.select(*cells.columns, "weight", "move", *[F.coalesce(f"target_{f}", F.lit(0.0)).alias(f"target_{f}") for f in targets]), "raked")
+    columns, before = now.columns, float("inf")
     for r in range(most):
+        step = now.withColumn("move", F.lit(0.0))
         for f in targets:
-            now = weighted().groupBy(f).agg(F.sum("weight").alias("now"))
-            scale = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
-            move = F.when(F.col("now") > 0, F.abs(scale - 1)).otherwise(0.0)
-            fits[f] = hint[f](fits[f]).join(now, f).select(f, "target", (F.col(f"by_{f}") * scale).alias(f"by_{f}"), move.alias("move"))
-        every = [t.select(F.lit(f).alias("factor"), F.col(f).alias("value"), "target", F.col(f"by_{f}").alias("by"), "move") for f, t in fits.items()]
-        step = settle(reduce(DataFrame.union, every), f"multipliers-{r}")
-        fits = {f: step.where(F.col("factor") == f).select(F.col("value").alias(f), "target", F.col("by").alias(f"by_{f}")) for f in targets}
-        moved = step.agg(F.max("move")).first()[0] or 0.0
+            sums = step.groupBy(f).agg(F.sum("weight").alias("sum"))
+            scale = F.when(F.col("sum") > 0, F.col(f"target_{f}") / F.col("sum")).otherwise(0.0)
+            moved = F.when((F.col("sum") > 0) & (F.col("weight") > 0), F.abs(scale - 1)).otherwise(0.0)
+            step = step.join(sums, f).withColumn("move", F.greatest("move", moved)).withColumn("weight", F.col("weight") * scale).select(*columns)
+        now = settle(step, f"raked-{r}")
+        moved = now.agg(F.max("move")).first()[0] or 0.0
         if moved <= tolerance or (r > 2 and moved > 0.999 * before):
             break
         before = moved
-    return settle(weighted(), "raked")
+    return now.select(*cells.columns, "weight")
 
 
 def reached(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:

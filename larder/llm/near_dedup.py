@@ -130,9 +130,15 @@ def _rows(names: list[str], **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(n)) for c in names], names)
 
 
+def _bucket(nodes: np.ndarray, n: int) -> np.ndarray:
+    """The part that gathers each text's shingles."""
+    raw = nodes.view(np.uint8).reshape(-1, NODE).astype(np.int64)
+    return (((raw[:, 0] << 24 | raw[:, 1] << 16 | raw[:, 2] << 8 | raw[:, 3]) * n) >> 32).astype(np.int32)
+
+
 _POSTED = "part int, node binary, copies long, k long, h binary, at binary, times binary, nodes binary, each binary, often binary, among binary, holders binary, mine binary, tf binary"
 _P = [c.split()[0] for c in _POSTED.split(", ")]
-_SEEN = "node binary, copies long, k long, h array<long>, n array<long>, tf array<int>"
+_SEEN = "bucket int, node binary, copies long, k long, h array<long>, n array<long>, tf array<int>, nodes binary, sizes binary, hs binary, ns binary, tfs binary"
 _S = [c.split()[0] for c in _SEEN.split(", ")]
 
 
@@ -174,7 +180,7 @@ def _postings(n_parts: int):
         mine, tf = h[own], times[own]
         spans = list(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True))
         yield _rows(
-            _P, part=pa.array([-1 - (x[0] << 8 | x[1]) % n_parts for x in nodes.view(np.uint8).reshape(-1, NODE).tolist()], pa.int32()), node=pa.array([x.tobytes() for x in nodes.view(f"V{NODE}").ravel()]), copies=copies, k=k,
+            _P, part=pa.array(-1 - _bucket(nodes, n_parts)), node=pa.array([x.tobytes() for x in nodes.view(f"V{NODE}").ravel()]), copies=copies, k=k,
             mine=pa.array([mine[a:b].tobytes() for a, b in spans]), tf=pa.array([tf[a:b].tobytes() for a, b in spans]),
         )
         h, at, times = h[~apart], at[~apart], times[~apart]
@@ -210,10 +216,10 @@ def _postings(n_parts: int):
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by part: for each text its shingles that other texts have too, with their document frequencies.
+def _count(n_parts: int):
+    """Of rows sorted by part: the shingles that several texts have, with their document frequencies, as blocks by ``bucket``.
 
-    Rows of documents pass; rows without a node have the frequencies of frequent
+    Rows of documents pass; rows without a bucket have the frequencies of frequent
     shingles.
     """
 
@@ -248,34 +254,90 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = np.zeros(len(counted), np.int64)
             yield _rows(_S, h=_lists(h[first][counted].view(np.int64), one, 1), n=_lists(n[counted], one, 1))
         own = np.flatnonzero(light & (m[group] > 1))
+        if not len(own):
+            return
         own = own[np.argsort(at[own], kind="stable")]
-        present, owner = np.unique(at[own], return_inverse=True)
-        if len(own):
-            yield _rows(
-                _S, node=pa.array([x.tobytes() for x in nodes[present]]), h=_lists(h[own].view(np.int64), owner, len(present)), n=_lists(n[group[own]], owner, len(present)),
-                tf=_lists(times[order[own]].astype(np.int32), owner, len(present)),
-            )
+        present, sizes = np.unique(at[own], return_counts=True)
+        goal = _bucket(nodes[present], n_parts)
+        turn = np.argsort(goal, kind="stable")
+        own = own[np.argsort(np.repeat(goal, sizes), kind="stable")]
+        present, sizes, goal = present[turn], sizes[turn], goal[turn]
+        first = run_starts(goal)
+        ends, spans = np.r_[0, np.cumsum(sizes)], np.r_[first, len(goal)]
+        hs, ns, tfs = h[own], n[group[own]], times[order[own]]
+        cuts = [(a, b, ends[a], ends[b]) for a, b in zip(spans[:-1], spans[1:], strict=True)]
+        yield _rows(
+            _S, bucket=pa.array(goal[first]), nodes=pa.array([nodes[present[a:b]].tobytes() for a, b, _, _ in cuts]), sizes=pa.array([planes(sizes[a:b].astype(np.int64)) for a, b, _, _ in cuts]),
+            hs=pa.array([planes(hs[c:d]) for _, _, c, d in cuts]), ns=pa.array([planes(ns[c:d]) for _, _, c, d in cuts]), tfs=pa.array([planes(tfs[c:d]) for _, _, c, d in cuts]),
+        )
 
     kinds = {"h": _U, "at": np.uint32, "times": np.uint32, "nodes": None, "each": np.int64, "often": _U, "among": np.int64, "holders": np.int64}
-    held: list[list] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        current = None
+        for batch in batches:
+            lone = batch.filter(pc.less(batch.column("part"), 0))
+            if lone.num_rows:
+                mine = [np.frombuffer(x, np.int64) for x in lone.column("mine").to_pylist()]
+                tf = [np.frombuffer(x, np.int32) for x in lone.column("tf").to_pylist()]
+                bucket = -1 - lone.column("part").to_numpy()
+                found = _rows(_S, bucket=bucket, **{c: lone.column(c) for c in ("node", "copies", "k")}, h=pa.array(mine, pa.list_(pa.int64())), tf=pa.array(tf, pa.list_(pa.int32())))
+                yield _fixed(found, _SEEN)
+            blocks = batch.filter(pc.greater_equal(batch.column("part"), 0))
+            for i, part in enumerate(blocks.column("part").to_pylist()):
+                if held and part != current:
+                    yield from (_fixed(y, _SEEN) for y in flush(held))
+                    held = []
+                current, raw = part, {c: blocks.column(c)[i].as_py() for c in kinds}
+                held.append([np.frombuffer(raw[c], f"V{NODE}") if kind is None else numbers(raw[c], kind) for c, kind in kinds.items()])
+        if held:
+            yield from (_fixed(y, _SEEN) for y in flush(held))
+
+    return run
+
+
+_GATHERED = "node binary, copies long, k long, h array<long>, n array<long>, tf array<int>"
+_G = [c.split()[0] for c in _GATHERED.split(", ")]
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket: one row for each text that has shared shingles. Its frequent ones are not yet among them."""
+    key = np.dtype([("a", ">u8"), ("b", ">u4")])
+
+    def flush(docs: list[tuple], blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        names = np.concatenate([np.frombuffer(b"".join(d[0] for d in docs), f"V{NODE}"), *(x[0] for x in blocks)])
+        sizes = np.concatenate([np.zeros(len(docs), np.int64), *(x[1] for x in blocks)])
+        parts = names.view(key)
+        order = np.lexsort((parts["b"], parts["a"]))
+        fresh = np.r_[True, names[order][1:] != names[order][:-1]]
+        text = np.empty(len(names), np.int64)
+        text[order] = np.cumsum(fresh) - 1
+        n = int(fresh.sum())
+        copies, k, often = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        copies[text[: len(docs)]], k[text[: len(docs)]], often[text[: len(docs)]] = ([d[i] for d in docs] for i in (1, 2, 3))
+        owner = np.repeat(text, sizes)
+        turn = np.argsort(owner, kind="stable")
+        columns = [np.concatenate([np.zeros(0, kind), *(x[i] for x in blocks)])[turn] for i, kind in ((2, np.int64), (3, np.int64), (4, np.uint32))]
+        lists = [_lists(x.astype(np.int32) if i == 2 else x, owner, n) for i, x in enumerate(columns)]
+        some = pa.array(np.flatnonzero(often | (np.bincount(owner, minlength=n) > 0)))
+        yield _fixed(_rows(_G, node=pa.array([x.tobytes() for x in names[order][fresh]]).take(some), copies=pa.array(copies).take(some), k=pa.array(k).take(some), h=lists[0].take(some), n=lists[1].take(some), tf=lists[2].take(some)), _GATHERED)
+
+    docs: list[tuple] = []
+    blocks: list[tuple] = []
     current = None
     for batch in batches:
-        lone = batch.filter(pc.less(batch.column("part"), 0))
-        if lone.num_rows:
-            mine = [np.frombuffer(x, np.int64) for x in lone.column("mine").to_pylist()]
-            tf = [np.frombuffer(x, np.int32) for x in lone.column("tf").to_pylist()]
-            yield _fixed(
-                _rows(_S, **{c: lone.column(c) for c in ("node", "copies", "k")}, h=pa.array(mine, pa.list_(pa.int64())), tf=pa.array(tf, pa.list_(pa.int32()))), _SEEN
-            )
-        blocks = batch.filter(pc.greater_equal(batch.column("part"), 0))
-        for i, part in enumerate(blocks.column("part").to_pylist()):
-            if held and part != current:
-                yield from (_fixed(y, _SEEN) for y in flush(held))
-                held = []
-            current, raw = part, {c: blocks.column(c)[i].as_py() for c in kinds}
-            held.append([np.frombuffer(raw[c], f"V{NODE}") if kind is None else numbers(raw[c], kind) for c, kind in kinds.items()])
-    if held:
-        yield from (_fixed(y, _SEEN) for y in flush(held))
+        for r in batch.to_pylist():
+            if current is not None and r["bucket"] != current:
+                yield from flush(docs, blocks)
+                docs, blocks = [], []
+            current = r["bucket"]
+            if r["node"] is not None:
+                docs.append((r["node"], r["copies"], r["k"], r["frequent"]))
+            else:
+                blocks.append((np.frombuffer(r["nodes"], f"V{NODE}"), numbers(r["sizes"], np.int64), numbers(r["hs"], np.int64), numbers(r["ns"], np.int64), numbers(r["tfs"], np.uint32)))
+    if docs or blocks:
+        yield from flush(docs, blocks)
 
 
 def shared_shingles(texts: DataFrame, n_bytes: int) -> DataFrame:
@@ -287,22 +349,20 @@ def shared_shingles(texts: DataFrame, n_bytes: int) -> DataFrame:
     only sets how many parts the index has.
 
     Every shingle is shuffled once, as part of a sorted block, and those that are
-    shared once more. Frequent ones are counted in each chunk first and their
+    shared once more, in blocks by their text. Frequent ones are counted in each chunk first and their
     counts joined to the documents, so no key gathers the rows of a hot shingle.
     """
     n_parts = max(partitions(texts.sparkSession), -(-n_bytes // (6 * PART)))
     posted = texts.select("node", "text", "copies").mapInArrow(_postings(n_parts), _POSTED)
-    seen = settle(posted.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_count, _SEEN), "shared-shingles")
-    frequent = seen.where(F.col("node").isNull()).select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.h", "x.n")
-    often = seen.where(F.col("k").isNotNull() & (F.size("h") > 0)).select("node", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("node", "x.h", "x.tf")
-    often = often.join(small(settle(frequent, "frequent-shingles")), "h").groupBy("node").agg(F.collect_list(F.struct("h", "n", "tf")).alias("of"))
-    none = F.lit(None).cast("long")
-    rare = seen.where(F.col("node").isNotNull() & F.col("k").isNull()).select("node", none.alias("copies"), none.alias("k"), F.arrays_zip("h", "n", "tf").alias("of"))
-    every = rare.unionByName(often.select("node", none.alias("copies"), none.alias("k"), "of"))
-    empty = F.array().cast("array<struct<h:bigint,n:bigint,tf:int>>")
-    every = every.unionByName(seen.where("k is not null").select("node", "copies", "k", empty.alias("of")))
-    lists = every.groupBy("node").agg(F.max("copies").alias("copies"), F.max("k").alias("k"), F.flatten(F.collect_list("of")).alias("of"))
-    return lists.where(F.size("of") > 0)
+    seen = settle(posted.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_count(n_parts), _SEEN), "shared-shingles")
+    blocks = seen.where(F.col("bucket").isNotNull()).select("bucket", "node", "copies", "k", (F.size("h") > 0).alias("frequent"), "nodes", "sizes", "hs", "ns", "tfs")
+    lists = blocks.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _GATHERED)
+    lists = lists.select("node", "copies", "k", F.arrays_zip("h", "n", "tf").alias("of"))
+    counts = settle(seen.where(F.col("bucket").isNull()).select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.h", "x.n"), "frequent-shingles")
+    often = seen.where(F.col("node").isNotNull() & (F.size("h") > 0)).select("node", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("node", "x.h", "x.tf")
+    often = often.join(small(counts), "h").groupBy("node").agg(F.collect_list(F.struct("h", "n", "tf")).alias("more"))
+    none = F.array().cast("array<struct<h:bigint,n:bigint,tf:int>>")
+    return lists.join(often, "node", "left").select("node", "copies", "k", F.concat("of", F.coalesce("more", none)).alias("of")).where(F.size("of") > 0)
 
 
 def signatures(lists: DataFrame, n: int, similarity: float) -> DataFrame:
