@@ -19,9 +19,11 @@ PIECE_BYTES = 4096
 """Each language's reference: at most so many bytes, of at most so many from one labelled row."""
 LITERALS = 256
 """What a phrase can be besides a place in the reference: one byte."""
+REFERENCE_ROWS = 4096
+"""and of at most so many rows."""
 SEGMENT = 512
-"""Texts are parsed in runs of so many bytes; a phrase ends where a run ends."""
-SLICE = 1 << 19
+"""Texts are parsed in runs of so many bytes side by side; the parses are then joined, so no phrase ends for it."""
+SLICE = 1 << 20
 
 
 class SuffixAutomaton:
@@ -81,14 +83,17 @@ def automata(references: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, np.
         tables.append(np.where(t >= 0, t + states, -1).astype(np.int32))
         roots.append(states)
         states += len(t)
+    tables.append(np.full((1, len(seen) + 1), -1, np.int32))  # the state before a text and after a byte that no reference has
     return symbols, np.concatenate(tables).ravel(), np.array(roots, np.int64)
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, references: tuple[tuple[str, bytes], ...]) -> np.ndarray:
-    """[language, row]: how many longest matches each language needs to parse each row.
+    """[language, row]: how many longest matches each language needs to parse each row, from its first byte on.
 
-    All runs of a slice advance together, one byte at a time: a vector step for
-    each position of the longest run, whatever the number of rows.
+    All runs of a slice advance together, one byte at a time, each as if a phrase
+    began with it. Then the parse of each run goes on into the next one until a
+    phrase begins where one of the next run's own does: from there on they are
+    one. The phrases up to there replace those of the next run.
     """
     symbols, table, roots = automata(references)
     width = int(symbols.max()) + 1
@@ -99,48 +104,98 @@ def phrases(data: np.ndarray, offsets: np.ndarray, references: tuple[tuple[str,
     index = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
     start = offsets[:-1][row] + index * SEGMENT
     size = np.minimum(SEGMENT, offsets[1:][row] - start)
+    out = np.zeros((len(roots), len(lengths)), np.int64)
+    if not len(row):
+        return out
     order = np.argsort(-size, kind="stable")
-    start, size, row = start[order], size[order], row[order]
-    n = len(start)
-    state = np.repeat(roots[:, None], n, 1)
-    count = np.zeros((len(roots), n), np.int32)
-    live = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), "right")
-    for i in range(int(size[0]) if n else 0):
+    begin, live = start[order], np.searchsorted(-size[order], -np.arange(1, SEGMENT + 1), "right")
+    lost = len(table) // width - 1
+    again = table.reshape(-1, width)[roots]
+    again = np.where(again < 0, lost, again)  # [language, symbol]: the state after a phrase's first byte
+    state = np.full((len(roots), len(row)), lost)
+    fresh = np.zeros((len(roots), len(data)), bool)
+    for i in range(int(size.max())):
         k = live[i]
-        symbol = data[start[:k] + i]
+        at = begin[:k] + i
+        symbol = data[at]
         to = table[state[:, :k] * width + symbol]
         miss = to < 0
-        count[:, :k] += miss
-        # A phrase ends before a byte that cannot follow; the next one starts with that byte.
-        again = table[roots[:, None] * width + symbol]
-        state[:, :k] = np.where(miss, np.where(again < 0, roots[:, None], again), to)
-    out = np.zeros((len(roots), len(lengths)), np.int64)
+        fresh[:, at] = miss
+        state[:, :k] = np.where(miss, again[:, symbol], to)
+    end = np.empty_like(state)
+    end[:, order] = state
+    passed = np.zeros((len(roots), len(data) + 1), np.int32)
+    np.cumsum(fresh, axis=1, out=passed[:, 1:])
     for lang in range(len(roots)):
-        out[lang] = np.bincount(row, weights=count[lang] + 1, minlength=len(lengths))
+        own = passed[lang, start + size] - passed[lang, start]
+        own += _joined(index, start, size, data, width, table, again[lang], end[lang], fresh[lang], passed[lang])
+        out[lang] = np.bincount(row, weights=own, minlength=len(lengths))
     return out
 
 
+def _joined(index, start, size, data, width, table, again, alone, fresh, passed) -> np.ndarray:
+    """For each run, what joining it to the one before adds to its phrases.
+
+    ``alone`` has each run's last state if parsed by itself. A run that the parse
+    from before crosses without meeting ends in another state, so the next run
+    is joined anew, until no state changes.
+    """
+    added, end = np.zeros(len(start), np.int64), alone.copy()
+    runs = np.flatnonzero(index > 0)
+    while len(runs):
+        live, state = runs, end[runs - 1]
+        own, last = np.zeros(len(start), np.int64), end.copy()
+        for i in range(SEGMENT + 1):
+            over = size[live] <= i
+            if over.any():
+                crossed = live[over]
+                added[crossed] = own[crossed] - (passed[start[crossed] + size[crossed]] - passed[start[crossed]])
+                last[crossed] = state[over]
+                live, state = live[~over], state[~over]
+            if not len(live):
+                break
+            at = start[live] + i
+            symbol = data[at]
+            to = table[state * width + symbol]
+            miss = to < 0
+            met = miss & fresh[at]
+            done = live[met]
+            added[done] = own[done] - (passed[at[met]] - passed[start[done]])
+            last[done] = alone[done]
+            own[live] += miss
+            live, state = live[~met], np.where(miss, again[symbol], to)[~met]
+        after = runs[last[runs] != end[runs]] + 1
+        end = last
+        after = after[after < len(start)]
+        runs = after[index[after] > 0]
+    return added
+
+
 def references(docs: DataFrame, total: int = REFERENCE_BYTES, most: int = PIECE_BYTES) -> tuple[tuple[str, bytes], ...]:
     """Each language's reference text from the rows that are not held out (remainder 1 of 3).
 
     Every labelled row with text, short or long, is eligible and gives one piece
     of at most ``most`` bytes, from a place its hash picks. A language takes the
-    pieces with the smallest hashes of their identifiers until it has ``total``
-    bytes, or all it has; what another language has does not matter.
+    pieces with the smallest hashes of identifier and text until it has ``total``
+    bytes or REFERENCE_ROWS rows, or all it has; what another language has does
+    not matter.
     """
-    h, raw = F.xxhash64("doc_id"), F.encode(F.lower(F.col("text")), "UTF-8")
+    h, raw = F.xxhash64("doc_id", "text"), F.encode(F.lower(F.col("text")), "UTF-8")
     known = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", 3) != 1) & (F.octet_length("text") > 0))
     known = known.select("lang", "doc_id", h.alias("h"), raw.alias("raw"))
     start = F.pmod(F.col("h"), F.greatest(F.octet_length("raw") - most + 1, F.lit(1))).cast("int") + 1
     known = known.select("lang", "doc_id", "h", F.substring(F.col("raw"), start, F.lit(most)).alias("piece"))
     size = F.octet_length("piece") + 1
     counts = known.groupBy("lang").agg(F.sum(size).alias("n"))
-    # About four times the bytes asked for and 64 pieces, picked by hash, so that the ranking sees a bounded number.
-    picked = known.join(F.broadcast(counts), "lang").where(
+    # About four times the bytes asked for and 64 pieces, picked by hash, so that little is sorted; the limit by row
+    # is applied in each task first, so rows that share a hash are no group for one task either.
+    picked = known.join(counts, "lang").where(
         F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(float((4 * total + 64 * most) * (1 << 40))) / F.col("n") + F.lit(1)
     )
-    before = Window.partitionBy("lang").orderBy("h", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    best = picked.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("before") < total)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "piece")
+    first = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= REFERENCE_ROWS)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    best = first.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).where(F.col("before") < total)
     found: dict[str, list] = {}
     for r in best.select("lang", "before", "piece").collect():
         found.setdefault(r["lang"], []).append((r["before"], bytes(r["piece"])))
