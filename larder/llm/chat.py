@@ -5,30 +5,27 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from larder.llm.quality import remainder
-from larder.llm.shared import settle, table
+from larder.llm.shared import settle, small, table
 
 ROLES = ["system", "user", "assistant"]
 STATES = [f"{p}{r}" for r in range(len(ROLES)) for p in "BI"]
 """The first line of a turn of role 0; I0: a further line of it; and so on."""
-MARKERS = {
-    "s": r"(?i)^\W{0,4}(?:system|sys|instructions?)\W",
-    "u": r"(?i)^\W{0,4}(?:user|human|customer|prompt|question|q)(?:[:|>\]]|\W{2})",
-    "a": r"(?i)^\W{0,4}(?:assistant|ai|bot|agent|answer|response|a)(?:[:|>\]]|\W{2})",
-    "o": r"^\W{0,4}\w{1,16}[:|>\]]",
-}
+_NAMES = {"s": "system|sys|instructions?", "u": "user|human|customer|prompt|question|q", "a": "assistant|ai|bot|agent|answer|response|a"}
+_AFTER = r"\x20?[:|>\]]"
+MARKERS = {k: rf"(?i)^\W{{0,4}}(?:{names}){_AFTER}" for k, names in _NAMES.items()} | {"o": rf"^\W{{0,4}}\w{{1,16}}{_AFTER}"}
 """Speaker markers at a line's start, first match; 'o' is a marker of an unknown speaker."""
-STRIP = (
-    r"(?i)^\W{0,4}(?:system|sys|instructions?|user|human|customer|prompt|question|q|assistant|ai|bot|agent|answer|response|a)"
-    r"(?:[:|>\]]\W{0,2}|\W{2,3}) ?"
-)
+LETTERS = ["s", "u", "a"]
+"""The marker of each role."""
+STRIP = rf"(?i)^\W{{0,4}}(?:{'|'.join(_NAMES.values())}){_AFTER}[:|>\]]? ?"
 BLOCK = 64
-"""Turns of a conversation that are parsed together."""
+"""Turns of a conversation that one task decodes at a time; a conversation is decoded as a whole."""
 
 
 def observe(lines: Column) -> Column:
@@ -75,57 +72,119 @@ def train(labelled: DataFrame) -> dict:
     }
 
 
-def viterbi(symbols: list[str], model: dict) -> list[int]:
-    """The most probable states of a transcript; of equal ones the first by number."""
+def viterbi(symbols: list[str], model: dict, entry: int | None = None, last: int | None = None) -> list[int]:
+    """The most probable states of a transcript; of equal ones the first by number.
+
+    ``entry`` is the state before its first line, ``last`` that of its last line,
+    where they are known.
+    """
     if not symbols:
         return []
     emit, step, n = model["emit"], model["step"], len(STATES)
-    now = [model["start"][s] + emit[s].get(symbols[0], emit[s][""]) for s in range(n)]
+    now = [(model["start"][s] if entry is None else step[entry][s]) + emit[s].get(symbols[0], emit[s][""]) for s in range(n)]
     back = []
     for x in symbols[1:]:
         seen = [e.get(x, e[""]) for e in emit]
         came = [max(range(n), key=lambda a, b=b: now[a] + step[a][b]) for b in range(n)]
         now = [now[came[b]] + step[came[b]][b] + seen[b] for b in range(n)]
         back.append(came)
-    path = [max(range(n), key=now.__getitem__)]
+    path = [max(range(n), key=now.__getitem__) if last is None else last]
     for came in reversed(back):
         path.append(came[path[-1]])
     return path[::-1]
 
 
 def recover_states(transcripts: DataFrame, model: dict) -> DataFrame:
-    """``transcripts`` (with obs) and the column found: the state of each line."""
+    """``transcripts`` (with obs; entry and last where parts are decoded with their neighbours) and the column found: the state of each line."""
     schema = StructType([*transcripts.schema.fields, StructField("found", ArrayType(StringType()))])
+    known = "entry" in transcripts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[STATES[s] for s in viterbi(obs or [], model)] for obs in batch.column("obs").to_pylist()]
+            ends = zip(batch.column("entry").to_pylist(), batch.column("last").to_pylist(), strict=True) if known else [(None, None)] * batch.num_rows
+            found = [[STATES[s] for s in viterbi(obs or [], model, *e)] for obs, e in zip(batch.column("obs").to_pylist(), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "found"])
 
     return transcripts.mapInArrow(run, schema)
 
 
-def turns(lines: Column, states: Column) -> Column:
-    """Array of role, text: runs of lines from one B state to the next, without markers; a first I state opens a turn too."""
+def _passage(symbols: list[str], model: dict) -> list[float]:
+    """For each state before a part, and for its start, the best log probability of each state of its last line."""
+    step, start = np.array(model["step"]), np.array(model["start"])
+    emit = [np.array([e.get(x, e[""]) for e in model["emit"]]) for x in symbols]
+    best = np.vstack([step, start]) + emit[0]
+    for e in emit[1:]:
+        best = (best[:, :, None] + step).max(1) + e
+    return best.ravel().tolist()
+
+
+def _chain(parts: list[list[float]]) -> list[tuple[int | None, int]]:
+    """(state before, last state) of each part of the most probable path through all parts."""
+    n = len(STATES)
+    now, back = np.array(parts[0]).reshape(n + 1, n)[n], []
+    for part in parts[1:]:
+        each = now[:, None] + np.array(part).reshape(n + 1, n)[:n]
+        back.append(each.argmax(0))
+        now = each.max(0)
+    last = [int(now.argmax())]
+    for came in reversed(back):
+        last.append(int(came[last[-1]]))
+    last.reverse()
+    return [(None, last[0]), *zip(last[:-1], last[1:], strict=True)]
+
+
+def join_parts(parts: DataFrame, model: dict) -> DataFrame:
+    """conv_id, block, entry, last of conversations in several parts (conv_id, block, obs), decoded as one sequence each.
+
+    A part is reduced to the best log probability from any state before it to any
+    of its last line, 42 numbers whatever its length. What meets by conversation
+    is one such row for BLOCK turns; then every part can be decoded apart.
+    """
+
+    def reduce_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = [_passage(obs, model) for obs in batch.column("obs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("block"), pa.array(best, pa.list_(pa.float64()))], ["conv_id", "block", "best"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [_chain([p["best"] for p in parts]) for parts in batch.column("parts").to_pylist()]
+            kind = pa.list_(pa.struct([("entry", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[{"entry": a, "last": b} for a, b in e] for e in ends], kind)], ["conv_id", "blocks", "ends"])
+
+    key = parts.select("conv_id", "block").schema
+    reduced = parts.where(F.size("obs") > 0).select("conv_id", "block", "obs").mapInArrow(reduce_part, StructType([*key.fields, StructField("best", ArrayType(DoubleType()))]))
+    whole = reduced.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "best"))).alias("parts")).select("conv_id", F.col("parts.block").alias("blocks"), "parts")
+    ends = StructType([*whole.select("conv_id", "blocks").schema.fields, StructField("ends", ArrayType(StructType([StructField("entry", IntegerType()), StructField("last", IntegerType())])))])
+    found = whole.mapInArrow(chain, ends).select("conv_id", F.explode(F.arrays_zip("blocks", "ends")).alias("x"))
+    return found.select("conv_id", F.col("x.blocks").alias("block"), "x.ends.entry", "x.ends.last")
+
+
+def turns(lines: Column, states: Column, obs: Column) -> Column:
+    """Array of role, text: runs of lines from one B state to the next; a first I state opens a turn too.
+
+    A marker is taken off only where it stands in a B line and names that line's role.
+    """
     n = F.size(lines)
     role = F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (str(i), r)])
+    letter = F.create_map(*[F.lit(x) for i, m in enumerate(LETTERS) for x in (f"B{i}", m)])
     marked = F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.struct(i.alias("i"), F.coalesce(F.element_at(states, i), F.lit("I1")).alias("s"), F.coalesce(F.element_at(lines, i), F.lit("")).alias("line")),
+        lambda i: F.struct(
+            i.alias("i"), F.coalesce(F.get(states, i - 1), F.lit("I1")).alias("s"), F.coalesce(F.get(lines, i - 1), F.lit("")).alias("line"),
+            F.substring(F.coalesce(F.get(obs, i - 1), F.lit("-")), 1, 1).alias("marker"),
+        ),
     )
     opens = F.filter(marked, lambda m: m["s"].startswith("B") | (m["i"] == 1))
     at = F.transform(opens, lambda m: m["i"])
+    first = lambda m: F.when(F.element_at(letter, m["s"]) == m["marker"], F.regexp_replace(m["line"], STRIP, "")).otherwise(m["line"])
     return F.when(n < 1, F.array().cast("array<struct<role:string,text:string>>")).otherwise(
         F.transform(
             opens,
             lambda m, k: F.struct(
                 F.element_at(role, F.substring(m["s"], 2, 1)).alias("role"),
                 F.trim(
-                    F.concat_ws(
-                        "\n",
-                        F.array(F.regexp_replace(m["line"], STRIP, "")),
-                        F.slice(lines, m["i"] + 1, F.coalesce(F.get(at, k + 1), n + 1) - m["i"] - 1),
-                    ),
+                    F.concat_ws("\n", F.array(first(m)), F.slice(lines, m["i"] + 1, F.coalesce(F.get(at, k + 1), n + 1) - m["i"] - 1)),
                     F.lit(" \n\t"),
                 ).alias("text"),
             ),
@@ -133,21 +192,32 @@ def turns(lines: Column, states: Column) -> Column:
     )
 
 
+def escaped(text: Column) -> Column:
+    """``text`` with a backslash before each backslash and each '<|', so that no turn can write a mark of the rendering."""
+    return F.regexp_replace(text, r"\\|<\|", r"\\$0")
+
+
 def render(found: Column) -> Column:
-    """Turns as one text: a line with the role, the turn's text, an end mark."""
-    return F.array_join(F.transform(found, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n<|end|>"))), "\n")
+    """Turns as one text: a line with the role, the turn's text (escaped), an end mark."""
+    return F.array_join(F.transform(found, lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), escaped(t["text"]), F.lit("\n<|end|>"))), "\n")
 
 
 def format_transcripts(transcripts: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``transcripts`` with turns (array of role, text) and canonical (their rendering).
+    """``transcripts`` with turns (array of role, text) and canonical (their rendering); columns of these names are replaced.
 
     A null or empty text has no turns. Very long transcripts are read whole; the
-    decoder keeps one row of back pointers for each line.
+    decoder keeps one row of back pointers for each line. Repeated rows get equal
+    results, an empty table an empty one. Where the columns entry and last (state
+    before the text and state of its last line) are given, decoding keeps to them.
     """
+    kept = [c for c in transcripts.columns if c.lower() not in ("turns", "canonical")]
+    ends = [c for c in ("entry", "last") if "entry" in kept and "last" in kept]
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
-    seen = recover_states(transcripts.withColumn("lines", lines).withColumn("obs", observe(F.col("lines"))), model)
-    return seen.withColumn("turns", turns(F.col("lines"), F.col("found"))).withColumn("canonical", render(F.col("turns")))
+    rows = transcripts.select(F.struct(*kept).alias("row"), lines.alias("lines"), *ends)
+    seen = recover_states(rows.withColumn("obs", observe(F.col("lines"))), model)
+    seen = seen.withColumn("turns", turns(F.col("lines"), F.col("found"), F.col("obs")))
+    return seen.select("row.*", "found", "turns", render(F.col("turns")).alias("canonical"))
 
 
 def raw_transcripts(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -157,7 +227,7 @@ def raw_transcripts(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     ten has lost its marker. ``states`` is the truth for each line, ``truth`` the
     turns. Repeats of a row are one turn; null texts are empty, null turns come
     first, and roles other than the three count as 'user'. Each run of ``block``
-    turns is a transcript, so a conversation of any length is many small rows.
+    turns is a row, a part of the conversation's transcript.
     """
     known = F.when(F.col("role").isin(ROLES), F.col("role")).otherwise("user")
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
@@ -191,12 +261,23 @@ def raw_transcripts(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
+def decode_conversations(pasted: DataFrame, model: dict) -> DataFrame:
+    """``format_transcripts`` of rows conv_id, block, text; the parts of a conversation are decoded as one sequence."""
+    obs = pasted.select("conv_id", "block", observe(F.split("text", "\n")).alias("obs"))
+    several = pasted.groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("conv_id")
+    several = small(settle(several, "long-conversations")).alias("s")
+    long = obs.alias("o").join(several, F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")), "left_semi")
+    ends = small(settle(join_parts(long, model), "ends-of-parts")).alias("e")
+    met = F.col("p.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("p.block") == F.col("e.block"))
+    return format_transcripts(pasted.alias("p").join(ends, met, "left").select("p.*", "e.entry", "e.last"), model)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation pasted as text, parsed and rendered; the model learns from three quarters of them."""
     pasted = settle(raw_transcripts(table(spark, sf_dir, "conversations")), "transcripts")
     held = remainder("conv_id", 4) == 2
     known = pasted.where(~held).select("states", observe(F.split("text", "\n")).alias("obs"))
-    found = format_transcripts(pasted, train(known))
+    found = decode_conversations(pasted, train(known))
     same = F.size(
         F.filter(F.arrays_zip("states", "found"), lambda x: F.substring(x["states"], 2, 1) == F.substring(x["found"], 2, 1))
     )
@@ -204,7 +285,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "block",
         held.alias("held_out"),
-        F.size("lines").alias("n_lines"),
+        F.size("found").alias("n_lines"),
         same.alias("n_right"),
         F.size("truth").alias("n_turns"),
         F.array_join("turns.role", ",").alias("roles"),
