@@ -4,37 +4,41 @@ An automaton of the whole corpus on every task would make the work grow with
 the square of the corpus. So the references are dealt into shards that can be
 matched apart: every window of the wanted length goes with its anchor, the least
 hash among the short word runs in it. Equal windows have equal anchors, so each
-anchor's stretches of text form a shard of their own.
+anchor's stretches of text form a shard of their own. A shard of more than
+SHARD_BYTES is dealt on by a further anchor, under another hash, and so on.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from larder.llm.shared import documents, settle, small
-from larder.llm.textbytes import NOT_SPACE, Words, column_bytes, run_starts, slices
+from larder.llm.textbytes import NOT_SPACE, Words, column_bytes, mix, run_starts, slices
 
 LENGTH = 35
 GRAM = 13
-SHARD_STRETCHES = 64
-"""Anchors with more different stretches are dealt on by window, so that no shard is unbounded."""
+SHARD_BYTES = 1 << 18
+"""An automaton holds at most so many bytes of text, unless it is of one window."""
+LEVELS = 8
+"""After so many anchors a shard is one window's."""
 _U = np.uint64
-_SEPARATOR = np.iinfo(np.int64).min
 
 
 class Automaton:
-    """The suffix automaton of stretches of word ids, with how often each state's factors occur.
+    """The suffix automaton of stretches of words, with how often each state's factors occur.
 
     ``times`` is how often each stretch stands in the corpus.
     """
 
-    def __init__(self, stretches: list[list[int]], times: list[int]):
-        self.next: list[dict[int, int]] = [{}]
+    def __init__(self, stretches: list[list[bytes]], times: list[int]):
+        self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length, self.count = [-1], [0], [0]
         for n, stretch in enumerate(stretches):
             last = 0
@@ -44,14 +48,14 @@ class Automaton:
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             self.count[self.link[state]] += self.count[state]
 
-    def _state(self, length: int, link: int, out: dict[int, int]) -> int:
+    def _state(self, length: int, link: int, out: dict[bytes, int]) -> int:
         self.next.append(out)
         self.length.append(length)
         self.link.append(link)
         self.count.append(0)
         return len(self.next) - 1
 
-    def _clone(self, p: int, c: int, q: int) -> int:
+    def _clone(self, p: int, c: bytes, q: int) -> int:
         clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
         while p >= 0 and self.next[p].get(c) == q:
             self.next[p][c] = clone
@@ -59,7 +63,7 @@ class Automaton:
         self.link[q] = clone
         return clone
 
-    def _extend(self, last: int, c: int) -> int:
+    def _extend(self, last: int, c: bytes) -> int:
         q = self.next[last].get(c)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
@@ -72,7 +76,7 @@ class Automaton:
             self.link[cur] = q if self.length[p] + 1 == self.length[q] else self._clone(p, c, q)
         return cur
 
-    def repeated(self, stretch: list[int], width: int) -> list[int]:
+    def repeated(self, stretch: list[bytes], width: int) -> list[int]:
         """Starts in ``stretch`` of the runs of ``width`` words that occur more than once."""
         state, found = 0, []
         for i, c in enumerate(stretch):
@@ -85,21 +89,25 @@ class Automaton:
         return found
 
 
-def anchors(words: Words, width: int) -> tuple[np.ndarray, ...]:
+def anchors(words: Words, width: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """(anchor, row, first window's start in the row, windows) of each stretch of windows that share an anchor.
 
     The anchor of a window is the least hash of its runs of GRAM words, the
-    leftmost if it stands more than once.
+    leftmost if it stands more than once. Each level has hashes of its own; from
+    LEVELS on, a window's anchor is the hash of all its words.
     """
-    gram, counts = words.windows(GRAM)[0], words.counts
-    per = width - GRAM + 1
+    run = min(GRAM, width) if level < LEVELS else width
+    gram, counts = words.windows(run)[0], words.counts
+    if level:
+        gram = mix(gram + _U(level))
+    per = width - run + 1
     n_windows = np.maximum(counts - width + 1, 0)
     row = np.repeat(np.arange(len(counts)), n_windows)
     if not len(row):
         none = np.zeros(0, np.int64)
         return none.astype(_U), none, none, none
     local = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    n_grams = np.maximum(counts - GRAM + 1, 0)
+    n_grams = np.maximum(counts - run + 1, 0)
     base = (np.cumsum(n_grams) - n_grams)[row] + local
     # Position of the least of `per` neighbours, by doubling: least[i] covers span grams from i on.
     least, span = np.arange(len(gram)), 1
@@ -114,22 +122,44 @@ def anchors(words: Words, width: int) -> tuple[np.ndarray, ...]:
     return gram[at[begin]], row[begin], local[begin], size
 
 
+class Passages:
+    """The rows of a slice as words joined by one space each, to cut stretches from."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = column_bytes(column)
+        self.words = Words(data, offsets, NOT_SPACE)
+        size = self.words.ends - self.words.starts + 1
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        plain = np.full(int(self.ends[-1]) if len(size) else 0, 0x20, np.uint8)
+        inside = np.ones(len(plain), bool)
+        inside[self.ends - 1] = False
+        plain[inside] = data[NOT_SPACE[data]]
+        self.plain = plain.tobytes()
+
+    def cut(self, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """The ``size`` words from word ``start`` of each row."""
+        at = self.words.first[row] + start
+        return [self.plain[a : b - 1] for a, b in zip(self.starts[at].tolist(), self.ends[at + size - 1].tolist(), strict=True)]
+
+
+def _same(stretches: list[bytes]) -> pa.Array:
+    """128 bits of a cryptographic hash of each stretch."""
+    return pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in stretches], pa.binary())
+
+
 def _stretches(width: int):
     """Rows of every stretch of a document: doc_id, h, anchor, start, n, same (hash of its words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words = Words(*column_bytes(part.column("text")), NOT_SPACE)
-            anchor, row, start, n = anchors(words, width)
-            same = words.runs(words.first[row] + start, n + width - 1)
+            text = Passages(part.column("text"))
+            anchor, row, start, n = anchors(text.words, width)
+            at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id").take(pa.array(row)),
-                    part.column("h").take(pa.array(row)),
-                    pa.array(anchor.view(np.int64)),
-                    pa.array(start.astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                    pa.array(same.view(np.int64)),
+                    part.column("doc_id").take(at), part.column("h").take(at), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)),
+                    pa.array(n.astype(np.int32)), _same(text.cut(row, start, n + width - 1)),
                 ],
                 ["doc_id", "h", "anchor", "start", "n", "same"],
             )
@@ -138,21 +168,38 @@ def _stretches(width: int):
 
 
 def _cut(width: int):
-    """The words of the wanted stretches (text, wanted) as 64-bit ids: anchor, same, times, ids."""
+    """The words of the wanted stretches (text, wanted): anchor, same, times, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            words = Words(*column_bytes(part.column("text")), NOT_SPACE)
+            text = Passages(part.column("text"))
             wanted = part.column("wanted")
             flat = wanted.flatten()
             row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(wanted.offsets)))
             start, n = (np.asarray(flat.field(c)).astype(np.int64) for c in ("start", "n"))
-            at = words.first[row] + start
-            size = n + width - 1
-            ids = [words.hashes[a : a + s].tobytes() for a, s in zip(at.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [flat.field("anchor"), flat.field("same"), flat.field("times"), pa.array(ids, pa.binary())],
-                ["anchor", "same", "times", "ids"],
+                [flat.field("anchor"), flat.field("same"), flat.field("times"), pa.array(text.cut(row, start, n + width - 1), pa.binary())],
+                ["anchor", "same", "times", "words"],
+            )
+
+    return run
+
+
+def _deal(width: int, level: int):
+    """The stretches of large shards by their next anchor: anchor, same, whole_anchor, whole_same, at (first window), times, words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "words"):
+            text = Passages(part.column("words"))
+            anchor, row, start, n = anchors(text.words, width, level)
+            whole = part.column("anchor").to_numpy().view(_U)
+            cut, at = text.cut(row, start, n + width - 1), pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(mix(anchor + mix(whole[row])).view(np.int64)), _same(cut), part.column("anchor").take(at), part.column("same").take(at),
+                    pa.array(start.astype(np.int32)), part.column("times").take(at), pa.array(cut, pa.binary()),
+                ],
+                ["anchor", "same", "whole_anchor", "whole_same", "at", "times", "words"],
             )
 
     return run
@@ -161,25 +208,19 @@ def _cut(width: int):
 def _match(width: int):
     """Matching statistics of every shard's stretches over the shard's automaton: anchor, same, starts."""
 
-    def shard(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, list[int]]]:
-        stretches = [np.frombuffer(r[3], np.int64).tolist() for r in rows]
+    def shard(rows: list[tuple[int, bytes, int, bytes]]) -> list[tuple[int, bytes, list[int]]]:
+        stretches = [r[3].split(b" ") for r in rows]
         automaton = Automaton(stretches, [r[2] for r in rows])
         return [(r[0], r[1], automaton.repeated(s, width)) for r, s in zip(rows, stretches, strict=True)]
 
-    def out(found: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([f[0] for f in found], pa.int64()),
-                pa.array([f[1] for f in found], pa.int64()),
-                pa.array([f[2] for f in found], pa.list_(pa.int32())),
-            ],
-            ["anchor", "same", "starts"],
-        )
+    def out(found: list[tuple[int, bytes, list[int]]]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)], ["anchor", "same", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, bytes]] = []
+        rows: list[tuple[int, bytes, int, bytes]] = []
         for batch in batches:
-            found: list[tuple[int, int, list[int]]] = []
+            found: list[tuple[int, bytes, list[int]]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and rows[0][0] != row[0]:
                     found += shard(rows)
@@ -192,34 +233,55 @@ def _match(width: int):
     return run
 
 
+_STARTS = "anchor long, same binary, starts array<int>"
+
+
+def repeated_starts(kinds: DataFrame, width: int, level: int = 1) -> DataFrame:
+    """anchor, same, starts: the windows of each stretch that occur more than once among those of its anchor.
+
+    ``kinds``: anchor, same, times, words - each different stretch of an anchor
+    once, with how often it stands in the corpus. Anchors with more text than
+    SHARD_BYTES are dealt on: their stretches are cut where the next anchor
+    changes, equal pieces counted together, and the results carried back.
+    """
+    held = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("bytes"))
+    large = settle(held.where((F.col("n") > 1) & (F.col("bytes") > SHARD_BYTES)).select("anchor"), "large-shards")
+    few = kinds.join(small(large), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    starts = few.select("anchor", "same", "times", "words").mapInArrow(_match(width), _STARTS).where(F.size("starts") > 0)
+    if not large.limit(1).count():
+        return settle(starts, "repeated-starts")
+    dealt = "anchor long, same binary, whole_anchor long, whole_same binary, at int, times long, words binary"
+    parts = settle(kinds.join(small(large), "anchor", "left_semi").select("anchor", "same", "times", "words").mapInArrow(_deal(width, level), dealt), "dealt-stretches")
+    deeper = parts.groupBy("anchor", "same").agg(F.sum("times").alias("times"), F.min("words").alias("words"))
+    found = repeated_starts(settle(deeper, "kinds"), width, level + 1)
+    back = parts.join(found, ["anchor", "same"]).select("whole_anchor", "whole_same", F.transform("starts", lambda x: x + F.col("at")).alias("starts"))
+    back = back.groupBy("whole_anchor", "whole_same").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return settle(starts.unionByName(back.select(F.col("whole_anchor").alias("anchor"), F.col("whole_same").alias("same"), "starts")), "repeated-starts")
+
+
 def repeated_windows(docs: DataFrame, width: int = LENGTH) -> DataFrame:
     """doc_id, h, start, n: the stretches of window starts whose windows occur more than once.
 
     ``docs``: doc_id, h, text, one row for each text.
     """
-    found = docs.mapInArrow(_stretches(width), "doc_id long, h long, anchor long, start int, n int, same long")
-    # One shuffle by anchor. A passage in a third of all documents has one row in each of them for an
-    # anchor, of the many dozens that a document has, so its partition stays near the others' size.
-    own = Window.partitionBy("anchor")
-    counted = found.select("*", F.count("*").over(own).alias("total"), (F.min("same").over(own) == F.max("same").over(own)).alias("alike"))
-    shared = settle(counted.where("total > 1").drop("total"), "shared-stretches")
+    key = docs.select("doc_id", "h").schema
+    found = docs.mapInArrow(_stretches(width), StructType([*key.fields]).add("anchor", "long").add("start", "integer").add("n", "integer").add("same", "binary"))
+    # Counts combine before the shuffle, and the join back deals a passage of many documents to several tasks.
+    several = found.groupBy("anchor").agg(F.count("*").alias("total"), F.min("same").alias("lo"), F.max("same").alias("hi")).where("total > 1")
+    several = small(settle(several.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "shared-anchors"))
+    shared = settle(found.join(several, "anchor"), "shared-stretches")
     alike = shared.where("alike").select("doc_id", "h", "start", "n")
     mixed = shared.where("not alike")
     kinds = mixed.groupBy("anchor", "same").agg(
         F.count("*").alias("times"), F.min(F.struct("doc_id", "h", "start", "n")).alias("at")
     )
-    kinds = settle(kinds, "kinds")
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_STRETCHES).select("anchor")
-    many = settle(many, "many")
-    wanted = kinds.select("at.*", "anchor", "same", "times").groupBy("doc_id", "h").agg(
+    wanted = settle(kinds, "kinds").select("at.*", "anchor", "same", "times").groupBy("doc_id", "h").agg(
         F.collect_list(F.struct("anchor", "same", "times", "start", "n")).alias("wanted")
     )
     wanted = settle(wanted, "wanted")
-    texts = _met(_with(docs, small(wanted.select("doc_id", "h")), "left_semi"), wanted).select("d.text", "s.wanted")
-    cut = settle(texts.mapInArrow(_cut(width), "anchor long, same long, times long, ids binary"), "stretch-words")
-    few = cut.join(small(many), "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    starts = few.select("anchor", "same", "times", "ids").mapInArrow(_match(width), "anchor long, same long, starts array<int>")
-    starts = settle(starts.where(F.size("starts") > 0).unionByName(_by_window(cut.join(small(many), "anchor", "left_semi"), width)), "repeated-starts")
+    texts = _met(_with(docs, small(wanted.select("doc_id", "h")), "left_semi").dropDuplicates(["doc_id", "h"]), wanted).select("d.text", "s.wanted")
+    cut = settle(texts.mapInArrow(_cut(width), "anchor long, same binary, times long, words binary"), "stretch-words")
+    starts = repeated_starts(cut, width)
     runs = mixed.join(starts, ["anchor", "same"]).select("doc_id", "h", F.explode(F.transform("starts", lambda x: x + F.col("start"))).alias("start"), F.lit(1).alias("n"))
     return alike.unionByName(runs)
 
@@ -244,16 +306,6 @@ def maximal_spans(found: DataFrame, width: int) -> DataFrame:
     return runs.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def _by_window(cut: DataFrame, width: int) -> DataFrame:
-    """Anchors with many different stretches: their windows, counted by their words."""
-    size = 8
-    starts = F.sequence(F.lit(0), (F.octet_length("ids") / size).cast("int") - width)
-    windows = cut.select("anchor", "same", "times", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring("ids", s * size + 1, F.lit(width * size)).alias("w")))).alias("x"))
-    windows = windows.select("anchor", "same", "times", "x.s", F.sha2("x.w", 256).alias("w"))
-    often = windows.groupBy("w").agg(F.sum("times").alias("n")).where("n > 1").select("w")
-    return windows.join(often, "w").groupBy("anchor", "same").agg(F.collect_list(F.col("s").cast("int")).alias("starts"))
-
-
 def remove_repeats(docs: DataFrame, width: int = LENGTH) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the remaining text), spans (removed runs of words).
 
@@ -261,14 +313,16 @@ def remove_repeats(docs: DataFrame, width: int = LENGTH) -> DataFrame:
     of ``width`` words is removed wherever it stands if its words start at any
     other place too, in the same or another row; what is left plays no part. A
     null text has no words. Rows that repeat an identifier and its text are
-    copies of each other. An empty table gives an empty result; other columns
-    are ignored. ``kept`` joins the words left by one space.
+    copies of each other; identifiers may be of any type that sorts. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
+    ``kept`` joins the words left by one space.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     found = repeated_windows(rows, width)
     spans = settle(maximal_spans(found, width), "spans")
     met = _met(rows, small(spans), "left").select("d.doc_id", "d.text", F.coalesce("s.spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
-    return met.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+    kept = StructType([rows.schema["doc_id"]]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    return met.mapInArrow(_remove, kept.add("spans", met.schema["spans"].dataType))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

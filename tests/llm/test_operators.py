@@ -162,10 +162,24 @@ def test_substrings(spark, docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_substrings_by_window(spark, docs, monkeypatch):
+def test_substrings_in_small_shards(spark, docs, monkeypatch):
     plain = sorted(map(str, substring_dedup.remove_repeats(docs).collect()))
-    monkeypatch.setattr(substring_dedup, "SHARD_STRETCHES", 1)
-    assert sorted(map(str, substring_dedup.remove_repeats(docs).collect())) == plain
+    for levels in (8, 1):
+        monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 600)
+        monkeypatch.setattr(substring_dedup, "LEVELS", levels)
+        named = docs.select(F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.lit(1).alias("h"), F.lit(2).alias("Anchor"))
+        got = substring_dedup.remove_repeats(named).withColumn("doc_id", F.expr("cast(substr(doc_id, 2) as bigint)"))
+        assert sorted(map(str, got.select("doc_id", "n_words", "n_removed", "kept", "spans").collect())) == plain
+
+
+def test_substrings_of_alike_words(spark):
+    """A Thue-Morse word and its complement collide under polynomial hashes modulo 2**64."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{i}" for i in range(34))
+    rows = spark.createDataFrame([(1, f"{same} {word}"), (2, f"{same} {word.translate(str.maketrans('ab', 'ba'))}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(rows).collect()] == [0, 0]
 
 
 def test_near_duplicates(spark, docs, empty):
