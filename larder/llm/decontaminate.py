@@ -10,6 +10,7 @@ from larder.llm.shared import ascii_lower, documents, settle, small, table, unus
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
+SLOP = 8
 LISTS = 3
 """How many of a window's rarest terms have their postings stored and intersected."""
 
@@ -89,8 +90,8 @@ def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "left_sem
     return a.join(b, cond, how).select("a.*")
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lists: int = LISTS) -> tuple[DataFrame, DataFrame]:
-    """(matches: wid, len, doc_id, h, start; members: wid, item_id).
+def exact_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, lists: int = LISTS) -> tuple[DataFrame, ...]:
+    """(matches: wid, len, doc_id, h, start; members: wid, item_id; the index's postings; the windows' rarest terms).
 
     The candidates of the index are compared word by word with the texts of
     their documents.
@@ -98,7 +99,8 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, li
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     windows, members = benchmark_windows(benchmark, width)
     rare = settle(rarest_terms(docs, windows, lists), "rarest-terms")
-    found = settle(intersect(index_postings(docs, rare), rare, lists), "candidates")
+    postings = index_postings(docs, rare)
+    found = settle(intersect(postings, rare, lists), "candidates")
     per_doc = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("wid", "len", "start")).alias("at"))
     texts = docs.withColumn("h", F.xxhash64("text")).alias("b")
     per_doc = small(settle(per_doc, "candidates-by-document")).alias("a")
@@ -110,44 +112,52 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, li
     )
     equal = F.filter(sliced, lambda x: x["is"] == x["wid"])
     matches = seen.select("doc_id", "h", F.explode(equal).alias("m"))
-    return settle(matches.select("m.wid", "m.len", "doc_id", "h", "m.start").distinct(), "matches"), members
+    return settle(matches.select("m.wid", "m.len", "doc_id", "h", "m.start").distinct(), "matches"), members, postings, rare
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 8, width: int = WINDOW) -> DataFrame:
-    """doc_id, item_id: documents where a window's two rarest terms stand within ``slop`` words of their distance.
+def near_windows(postings: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFrame:
+    """wid, doc_id, h: texts where a window's two rarest terms stand within ``slop`` words of their distance in it.
 
-    Positions meet by bins of ``slop`` words and their neighbours, so work follows
-    the postings rather than all pairs of positions.
+    A window of one distinct term is near wherever the term stands. Positions
+    meet by bins of ``slop`` words and their neighbours, so work follows the
+    postings rather than all pairs of positions.
     """
-    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    windows, members = benchmark_windows(benchmark, width)
-    rare = settle(rarest_terms(docs, windows, 2), "rarest-terms")
-    postings = index_postings(docs, rare)
     lists = []
     for rank in (1, 2):
         own = rare.where(F.col("rank") == rank).select("wid", "term", "offset")
         lists.append(
             postings.join(small(own), "term").select("wid", "doc_id", "h", (F.col("pos") - F.col("offset")).alias("start"))
         )
+    single = rare.groupBy("wid").agg(F.max("rank").alias("have")).where("have = 1").select("wid")
+    alone = lists[0].join(small(single), "wid", "left_semi").select("wid", "doc_id", "h")
     bins = F.floor(F.col("start") / (slop + 1))
     a = lists[0].withColumn("bin", F.explode(F.array(bins - 1, bins, bins + 1))).alias("a")
     b = lists[1].withColumn("bin", bins).alias("b")
     cond = F.abs(F.col("a.start") - F.col("b.start")) <= slop
     for c in ("wid", "doc_id", "h", "bin"):
         cond &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    near = a.join(b, cond, "left_semi").select("a.wid", "a.doc_id").distinct()
-    return near.join(small(members), "wid").select("doc_id", "item_id").distinct()
+    return a.join(b, cond, "left_semi").select("a.wid", "a.doc_id", "a.h").unionByName(alone).distinct()
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, width: int = WINDOW) -> DataFrame:
+    """doc_id, item_id: documents near a window of the item, as ``near_windows`` tells."""
+    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    windows, members = benchmark_windows(benchmark, width)
+    rare = settle(rarest_terms(docs, windows, 2), "rarest-terms")
+    near = near_windows(index_postings(docs, rare), rare, slop)
+    return near.select("wid", "doc_id").join(small(members), "wid").select("doc_id", "item_id").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20) -> DataFrame:
-    """One row per input row: doc_id, h, n_words, n_hit, items (sorted as strings), contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20, near: bool = False) -> DataFrame:
+    """One row per input row: doc_id, h, n_words, n_hit, items (sorted as strings), contaminated; with ``near`` also n_near.
 
     A word is hit if any occurrence of a benchmark window covers it; a document
     is contaminated if ``share`` * n_hit >= n_words > 0 and n_hit > 0. A null text
     has no words. Rows that repeat an identifier and its text get equal results.
-    Empty tables, on either side, give no hits; other columns are ignored.
+    Empty tables, on either side, give no hits; other columns are ignored. n_near
+    counts the items that have a window near (``near_windows``), exact ones too.
     """
-    matches, members = exact_matches(docs, benchmark, width)
+    matches, members, postings, rare = exact_matches(docs, benchmark, width)
     key = ["doc_id", "h"]
     before = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = matches.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
@@ -165,6 +175,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
         F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"),
     ).alias("a")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    extra = []
+    if near:
+        close = near_windows(postings, rare).join(small(members), "wid").groupBy(*key).agg(F.count_distinct("item_id").alias("n_near"))
+        close = small(settle(close, "near-items")).alias("c")
+        met = F.col("a.h").eqNullSafe(F.col("c.h")) & F.col("a.doc_id").eqNullSafe(F.col("c.doc_id"))
+        counted = counted.join(close, met, "left").select("a.*", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")).alias("a")
+        extra = ["n_near"]
     return counted.join(
         small(found).alias("b"), F.col("a.h").eqNullSafe(F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left"
     ).select(
@@ -174,11 +191,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
         n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        *extra,
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names."""
     found = contamination(docs, benchmark).where("contaminated").select("doc_id", "h").distinct()
     gone = small(settle(found, "contaminated")).alias("g")
     h = unused(docs, "h")
@@ -188,7 +206,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    found = contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), near=True)
     return found.select(
         "doc_id",
         "n_words",
@@ -196,6 +214,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
+        "n_near",
     )
 
 
@@ -220,9 +239,23 @@ hit AS (SELECT doc_id, i, k, item_id FROM occ JOIN bw USING (win)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1),
+-- near: the two rarest terms of a window, by occurrences in the corpus, then by name
+wt AS (
+  SELECT win, term, min(o) AS o FROM (SELECT win, unnest(win) AS term, generate_subscripts(win, 1) AS o FROM (SELECT DISTINCT win FROM bw)) GROUP BY ALL),
+pos AS (SELECT doc_id, term, p FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM d) WHERE term IN (SELECT term FROM wt)),
+freq AS (SELECT term, count(*) AS n FROM pos GROUP BY 1),
+ranked AS (
+  SELECT win, term, o, row_number() OVER (PARTITION BY win ORDER BY n, term) AS rank, count(*) OVER (PARTITION BY win) AS have
+  FROM wt JOIN freq USING (term) WHERE win NOT IN (SELECT win FROM wt WHERE term NOT IN (SELECT term FROM freq))),
+l1 AS (SELECT doc_id, win, have, p - o AS s FROM ranked JOIN pos USING (term) WHERE rank = 1),
+l2 AS (SELECT doc_id, win, p - o AS s FROM ranked JOIN pos USING (term) WHERE rank = 2),
+close AS (
+  SELECT doc_id, win FROM l1 WHERE have = 1
+  UNION SELECT l1.doc_id, l1.win FROM l1 JOIN l2 ON l1.doc_id = l2.doc_id AND l1.win = l2.win AND abs(l1.s - l2.s) <= 8),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN bw USING (win) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 }

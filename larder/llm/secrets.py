@@ -67,7 +67,7 @@ def scan_history(
 
     A blob is the SHA-256 of the text; a null text is the empty blob. Equal texts
     are scanned once however many paths have them. An empty table gives an empty
-    result and an unchanged ledger.
+    result and an unchanged ledger; an entry that the ledger holds twice counts once.
     """
     rows = versions.select("path", "version", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "blob", F.sha2("text", 256)
@@ -75,7 +75,7 @@ def scan_history(
     new = rows.where(F.col("text").rlike(_MAYBE)).select("blob", "text")
     seen = None
     if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob", "findings")
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob", "findings").dropDuplicates(["blob"])
         new = new.join(seen.select("blob"), "blob", "left_anti")
     # One text for each blob, combined before the shuffle, so that a blob under many paths is no hot key.
     scanned = settle(new.groupBy("blob").agg(F.max("text").alias("text")).mapInArrow(_scan, f"blob string, findings {FINDING}"), "secret-scan")

@@ -42,21 +42,23 @@ def shard(
     key. Repeated rows go to the same shard and get slots of their own. An empty
     table gives an empty result; other columns are ignored.
 
-    Slots: rows are numbered within (shard, bucket of the key's hash), and the
-    rows of the buckets before are added, so no task holds a whole shard.
+    Slots: rows are numbered within (shard, bucket), a bucket being a hash of key
+    and text so that rows without a key are spread, and the rows of the buckets
+    before are added, so no task holds a whole shard.
     """
     grown = grown or [*weights, sum(weights) / len(weights)]
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    bucket = F.pmod(F.crc32(F.concat_ws(":", key, F.crc32(F.coalesce(F.col(text_col), F.lit(""))))), F.lit(buckets)).cast("int")
     placed = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, grown).alias("grown_shard"),
-        F.pmod(F.crc32(key), F.lit(buckets)).cast("int").alias("bucket"),
+        bucket.alias("bucket"),
     )
     counts = (
-        docs.select(rendezvous(key, weights).alias("shard"), F.pmod(F.crc32(key), F.lit(buckets)).cast("int").alias("bucket"))
+        docs.select(rendezvous(key, weights).alias("shard"), bucket.alias("bucket"))
         .groupBy("shard", "bucket")
         .agg(F.count("*").alias("n"))
     )

@@ -52,7 +52,7 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def benchmark(spark):
-    rows = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[20:40]).upper()), (3, "two words"), (4, None), (5, "..."), (6, prose(20)), (10, PASSAGE)]
+    rows = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[20:40]).upper()), (3, "two words"), (4, None), (5, "..."), (6, prose(20)), (10, PASSAGE), (11, "one")]
     return spark.createDataFrame(rows, "item_id long, text string")
 
 
@@ -91,6 +91,12 @@ def test_sharding(spark, docs, empty):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     text = {i: t for i, t in enumerate(TEXTS)}
     assert all(r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((text[r["doc_id"]] or "").encode()) for r in got if r["doc_id"] is not None)
+    # Against the definition: the least -ln(u) / weight, u from the first 52 bits of md5('key:shard').
+    unit = lambda k, s: (int(hashlib.md5(f"{k}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    for r in got:
+        k = "" if r["doc_id"] is None else r["doc_id"]
+        for weights, shard in (([1, 1, 2], r["shard"]), ([1, 1, 2, 4 / 3], r["grown_shard"])):
+            assert shard == min(range(len(weights)), key=lambda s, w=weights, k=k: -math.log(unit(k, s)) / w[s])
     many = sharding.shard(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")), [1.0, 1.0, 2.0]).groupBy("shard").count().collect()
     assert {r["shard"]: round(r["count"] / 5000, 1) for r in many} == {0: 1.0, 1: 1.0, 2: 2.0}
     assert sharding.shard(empty, [1.0]).count() == 0
@@ -106,6 +112,8 @@ def test_secrets(spark, docs, empty):
     again, longer = secrets.scan_history(versions, ledger)
     assert sorted(map(str, again.collect())) == sorted(map(str, located.collect())) and longer.count() == ledger.count()
     assert secrets.scan_history(versions.limit(0))[0].count() == 0
+    twice, _ = secrets.scan_history(versions, ledger.union(ledger))
+    assert twice.count() == versions.count()
 
 
 def test_decontamination(spark, docs, benchmark, empty):
@@ -128,6 +136,8 @@ def test_decontamination(spark, docs, benchmark, empty):
     assert sorted(map(str, ((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in got))) == sorted(map(str, expected))
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty, benchmark).count() == 0
+    clash = docs.select("*", F.lit(1).alias("h"), F.lit(2).alias("W"))
+    assert decontaminate.decontaminated(clash, benchmark).columns == clash.columns
     near = {(r["doc_id"], r["item_id"]) for r in decontaminate.proximity_matches(docs, benchmark).collect()}
     assert {(r["doc_id"], int(i)) for r in got if r["doc_id"] is not None for i in r["items"]} <= near
 
