@@ -14,10 +14,11 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, partitions, settle, small, unused
+from larder.llm.shared import documents, is_small, partitions, settle, small, unused
 from larder.llm.textbytes import LOWER_WORD, Words, column_bytes, mix, numbers, planes, run_starts, slices
 
 SHINGLE = 5
@@ -26,10 +27,12 @@ BANDS, ROWS = 12, 3
 """Two texts of weighted Jaccard similarity 0.8 share no band with probability (1 - 0.8**3)**12 < 0.0002."""
 CHUNK = 1 << 19
 """About how many shingles a task sorts at once, before they are shuffled."""
-PART = 1 << 21
+PART = 1 << 20
 """About how many shingles are counted together."""
 OFTEN = 16
 """A shingle that more documents of a chunk have is sent as a count, so that no part follows a frequent shingle."""
+OFTEN_BYTES = 16 << 20
+"""Counts of frequent shingles are broadcast up to so many bytes, else joined."""
 SKETCH = 32
 CELL = 0.01
 """Open documents of a bucket are bounded together if the logarithms of their weights differ by no more."""
@@ -210,6 +213,7 @@ def _postings(n_parts: int):
             if size >= CHUNK:
                 yield from (_fixed(x, _POSTED) for x in post(held))
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield from (_fixed(x, _POSTED) for x in post(held))
 
@@ -289,6 +293,7 @@ def _count(n_parts: int):
                 if held and part != current:
                     yield from (_fixed(y, _SEEN) for y in flush(held))
                     held = []
+                    pa.default_memory_pool().release_unused()
                 current, raw = part, {c: blocks.column(c)[i].as_py() for c in kinds}
                 held.append([np.frombuffer(raw[c], f"V{NODE}") if kind is None else numbers(raw[c], kind) for c, kind in kinds.items()])
         if held:
@@ -301,8 +306,12 @@ _GATHERED = "node binary, copies long, k long, h array<long>, n array<long>, tf
 _G = [c.split()[0] for c in _GATHERED.split(", ")]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket: one row for each text that has shared shingles. Its frequent ones are not yet among them."""
+def _gather(frequent: Broadcast | None):
+    """Of rows sorted by bucket: one row for each text that has shared shingles.
+
+    ``frequent``: sorted hashes and document frequencies of the frequent ones;
+    without it they are not yet among a text's shingles.
+    """
     key = np.dtype([("a", ">u8"), ("b", ">u4")])
 
     def flush(docs: list[tuple], blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -315,29 +324,40 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text[order] = np.cumsum(fresh) - 1
         n = int(fresh.sum())
         copies, k, often = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        copies[text[: len(docs)]], k[text[: len(docs)]], often[text[: len(docs)]] = ([d[i] for d in docs] for i in (1, 2, 3))
+        copies[text[: len(docs)]], k[text[: len(docs)]] = ([d[i] for d in docs] for i in (1, 2))
+        often[text[: len(docs)]] = [len(d[3]) > 0 for d in docs]
+        columns = [np.concatenate([np.zeros(0, kind), *(x[i] for x in blocks)]) for i, kind in ((2, np.int64), (3, np.int64), (4, np.uint32))]
         owner = np.repeat(text, sizes)
+        if frequent is not None and docs:
+            mine = np.concatenate([np.zeros(0, np.int64), *(np.asarray(d[3], np.int64) for d in docs)])
+            known, n_known = frequent.value
+            more = [mine, n_known[np.searchsorted(known, mine)] if len(mine) else mine, np.concatenate([np.zeros(0, np.uint32), *(np.asarray(d[4], np.uint32) for d in docs)])]
+            columns = [np.concatenate(x) for x in zip(columns, more, strict=True)]
+            owner = np.r_[owner, np.repeat(text[: len(docs)], [len(d[3]) for d in docs])]
         turn = np.argsort(owner, kind="stable")
-        columns = [np.concatenate([np.zeros(0, kind), *(x[i] for x in blocks)])[turn] for i, kind in ((2, np.int64), (3, np.int64), (4, np.uint32))]
+        columns, owner = [x[turn] for x in columns], owner[turn]
         lists = [_lists(x.astype(np.int32) if i == 2 else x, owner, n) for i, x in enumerate(columns)]
         some = pa.array(np.flatnonzero(often | (np.bincount(owner, minlength=n) > 0)))
         yield _fixed(_rows(_G, node=pa.array([x.tobytes() for x in names[order][fresh]]).take(some), copies=pa.array(copies).take(some), k=pa.array(k).take(some), h=lists[0].take(some), n=lists[1].take(some), tf=lists[2].take(some)), _GATHERED)
 
-    docs: list[tuple] = []
-    blocks: list[tuple] = []
-    current = None
-    for batch in batches:
-        for r in batch.to_pylist():
-            if current is not None and r["bucket"] != current:
-                yield from flush(docs, blocks)
-                docs, blocks = [], []
-            current = r["bucket"]
-            if r["node"] is not None:
-                docs.append((r["node"], r["copies"], r["k"], r["frequent"]))
-            else:
-                blocks.append((np.frombuffer(r["nodes"], f"V{NODE}"), numbers(r["sizes"], np.int64), numbers(r["hs"], np.int64), numbers(r["ns"], np.int64), numbers(r["tfs"], np.uint32)))
-    if docs or blocks:
-        yield from flush(docs, blocks)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[tuple] = []
+        blocks: list[tuple] = []
+        current = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if current is not None and r["bucket"] != current:
+                    yield from flush(docs, blocks)
+                    docs, blocks = [], []
+                current = r["bucket"]
+                if r["node"] is not None:
+                    docs.append((r["node"], r["copies"], r["k"], r["h"], r["tf"]))
+                else:
+                    blocks.append((np.frombuffer(r["nodes"], f"V{NODE}"), numbers(r["sizes"], np.int64), numbers(r["hs"], np.int64), numbers(r["ns"], np.int64), numbers(r["tfs"], np.uint32)))
+        if docs or blocks:
+            yield from flush(docs, blocks)
+
+    return run
 
 
 def shared_shingles(texts: DataFrame, n_bytes: int) -> DataFrame:
@@ -355,14 +375,21 @@ def shared_shingles(texts: DataFrame, n_bytes: int) -> DataFrame:
     n_parts = max(partitions(texts.sparkSession), -(-n_bytes // (6 * PART)))
     posted = texts.select("node", "text", "copies").mapInArrow(_postings(n_parts), _POSTED)
     seen = settle(posted.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(_count(n_parts), _SEEN), "shared-shingles")
-    blocks = seen.where(F.col("bucket").isNotNull()).select("bucket", "node", "copies", "k", (F.size("h") > 0).alias("frequent"), "nodes", "sizes", "hs", "ns", "tfs")
-    lists = blocks.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, _GATHERED)
-    lists = lists.select("node", "copies", "k", F.arrays_zip("h", "n", "tf").alias("of"))
     counts = settle(seen.where(F.col("bucket").isNull()).select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.h", "x.n"), "frequent-shingles")
-    often = seen.where(F.col("node").isNotNull() & (F.size("h") > 0)).select("node", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("node", "x.h", "x.tf")
-    often = often.join(small(counts), "h").groupBy("node").agg(F.collect_list(F.struct("h", "n", "tf")).alias("more"))
-    none = F.array().cast("array<struct<h:bigint,n:bigint,tf:int>>")
-    return lists.join(often, "node", "left").select("node", "copies", "k", F.concat("of", F.coalesce("more", none)).alias("of")).where(F.size("of") > 0)
+    frequent = None
+    if is_small(counts, OFTEN_BYTES):
+        known = np.array([tuple(r) for r in counts.collect()], np.int64).reshape(-1, 2)
+        known = known[np.argsort(known[:, 0])]
+        frequent = texts.sparkSession.sparkContext.broadcast((known[:, 0], known[:, 1]))
+    blocks = seen.where(F.col("bucket").isNotNull()).select("bucket", "node", "copies", "k", "h", "tf", "nodes", "sizes", "hs", "ns", "tfs")
+    lists = blocks.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather(frequent), _GATHERED)
+    lists = lists.select("node", "copies", "k", F.arrays_zip("h", "n", "tf").alias("of"))
+    if frequent is None:
+        often = seen.where(F.col("node").isNotNull() & (F.size("h") > 0)).select("node", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("node", "x.h", "x.tf")
+        often = often.join(counts, "h").groupBy("node").agg(F.collect_list(F.struct("h", "n", "tf")).alias("more"))
+        none = F.array().cast("array<struct<h:bigint,n:bigint,tf:int>>")
+        lists = lists.join(often, "node", "left").select("node", "copies", "k", F.concat("of", F.coalesce("more", none)).alias("of"))
+    return lists.where(F.size("of") > 0)
 
 
 def signatures(lists: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -581,7 +608,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of rows that repeat this identifier and its text, one stays.
     """
-    found = _classes(docs, similarity, "doc_id", "text")
+    found = settle(_classes(docs, similarity, "doc_id", "text"), "near-classes")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "node").distinct()
     again = found.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     gone = small(settle(gone, "near-copies"))
