@@ -38,6 +38,8 @@ CELL = 0.01
 """Open documents of a bucket are bounded together if the logarithms of their weights differ by no more."""
 NODE = 12
 """Bytes of the SHA-256 that names a text."""
+PIVOTS = 4
+"""Rounds in which a bucket is compared with one member; they only spare work, and what they leave is compared after."""
 _SLACK = 1e-4
 """Sketches hold 32-bit numbers; what they allow is widened by this share."""
 _CELLS = 1 << 16
@@ -537,9 +539,11 @@ def linked(texts: DataFrame, n: int, n_bytes: int, similarity: float = SIMILARIT
     """node, component of the nodes of node, text, copies (each node once) that verified links connect to others.
 
     ``n`` counts the documents. Each bucket of a band is compared with its most
-    central member, the one with most company in all its buckets. Members that
-    are not yet of one component are then compared wherever their sketches allow
-    a link, so none between components is left out.
+    central member, the one with most company in all its buckets; then, while
+    links are found and at most PIVOTS times, with the most central one outside
+    the components of those before. Members that are still not of one component
+    are compared wherever their sketches allow a link, so none between components
+    is left out.
     """
     signed = settle(signatures(shared_shingles(texts, n_bytes), n, similarity), "signatures")
     members = signed.select("node", "total", "most", F.explode("bands").alias("bucket"))
@@ -547,18 +551,32 @@ def linked(texts: DataFrame, n: int, n_bytes: int, similarity: float = SIMILARIT
     members = settle(members.join(settle(several, "buckets"), "bucket"), "members")
     company = settle(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
     members = settle(members.join(company, "node").select("bucket", "node", "total", "most", "company"), "members")
-    central = members.groupBy("bucket").agg(F.max(F.struct("company", "node", "total", "most")).alias("p"))
-    central = settle(central.select("bucket", F.col("p.node").alias("a"), F.col("p.total").alias("ta"), F.col("p.most").alias("ma")), "central")
-    need = _needed(similarity, F.col("total"), F.col("ta"))
-    pairs = members.join(central, "bucket").where((F.col("node") != F.col("a")) & (F.least("most", "ma") >= need))
-    pairs = settle(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-    labels = components(_verify(pairs, signed, similarity))
-    left = _open_pairs(members, labels, signed, similarity).join(pairs, ["a", "b"], "left_anti")
-    links = _verify(left, signed, similarity)
-    if not links.limit(1).count():
-        return labels
-    stars = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return components(stars.unionByName(links))
+    labels = settle(members.select("node", F.col("node").alias("component")).distinct(), "labels")
+    tried = None
+    for r in range(PIVOTS):
+        rows = members.join(labels, "node")
+        ends = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        rows = settle(rows.join(settle(ends.where(F.col("x") != F.col("y")).select("bucket"), "open-buckets"), "bucket"), "open-members")
+        left = rows
+        if tried is not None:
+            known = settle(tried.join(labels, "node").select("bucket", "component").distinct(), "tried-components")
+            left = rows.join(known, ["bucket", "component"], "left_anti")
+        central = left.groupBy("bucket").agg(F.max(F.struct("company", "node", "total", "most", "component")).alias("p"))
+        central = settle(central.select("bucket", *[F.col(f"p.{c}").alias(x) for c, x in (("node", "a"), ("total", "ta"), ("most", "ma"), ("component", "ca"))]), "central")
+        need = _needed(similarity, F.col("total"), F.col("ta"))
+        pairs = rows.join(central, "bucket").where((F.col("component") != F.col("ca")) & (F.least("most", "ma") >= need))
+        pairs = settle(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+        links = _verify(pairs, signed, similarity)
+        if not links.limit(1).count():
+            break
+        stars = labels.where(F.col("component") != F.col("node")).select(F.col("component").alias("a"), F.col("node").alias("b"))
+        joined = components(stars.unionByName(links)).withColumnRenamed("component", "now")
+        labels = settle(labels.join(joined, "node", "left").select("node", F.coalesce("now", "component").alias("component")), "labels")
+        done = central.select("bucket", F.col("a").alias("node"))
+        tried = done if tried is None else tried.unionByName(done)
+    links = _verify(_open_pairs(members, labels, signed, similarity), signed, similarity)
+    stars = labels.where(F.col("component") != F.col("node")).select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return components(stars.unionByName(links)) if links.limit(1).count() else labels
 
 
 def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
