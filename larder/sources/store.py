@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """The session's spark.checkpoint.dir; a temporary folder only where it names none and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/larder-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
