@@ -69,6 +69,31 @@ def check_metadata(forms: DataFrame) -> DataFrame:
     return forms.withColumns({"bad_fields": bad, "site": site})
 
 
+def verdict(files: DataFrame, unreadable: DataFrame, rejected: DataFrame, months: DataFrame, forms: DataFrame) -> DataFrame:
+    """Upload, verdict, uncounted - the first reason to refuse an upload, or accepted.
+
+    ``files``: upload, gate; ``unreadable``: upload, reason; ``rejected``: the
+    uploads with bad rows; ``months``: upload, months of accepted rows; ``forms``:
+    upload and the fields of ``check_metadata``, counts as JSON text. A file that
+    is too large or has no bytes is refused before its form is read, its form
+    before its content, months without a count last (``uncounted`` names them). An
+    upload without a form lacks every field.
+    """
+    met = check_metadata(files.select("upload", "gate").join(forms, "upload", "left")).select(
+        "upload", F.coalesce(F.col("gate").isin("too-large", "empty"), F.lit(False)).alias("unread"), (F.size("bad_fields") > 0).alias("bad_form")
+    )
+    counted = months.join(forms.select("upload", F.from_json("counts", "map<string,string>").alias("counts")), "upload")
+    uncounted = coverage(counted).where(F.col("summary").isNotNull()).select("upload", F.col("detail").alias("uncounted"))
+    for found in (unreadable.select("upload", "reason"), rejected.select("upload", F.lit("bad_rows").alias("bad")), uncounted):
+        met = met.join(found, "upload", "left")
+    first = F.coalesce(F.when(F.col("unread"), F.col("reason")), F.when(F.col("bad_form"), "invalid_metadata"), "reason", "bad")
+    return met.select(
+        "upload",
+        F.coalesce(first, F.when(F.col("uncounted").isNotNull(), "invalid_metadata"), F.lit("accepted")).alias("verdict"),
+        F.when(first.isNull(), F.col("uncounted")).alias("uncounted"),
+    )
+
+
 def stored_filename(c: Column) -> Column:
     """V22."""
     return F.substring(c, 1, fixed.MAX_ORIGINAL_FILENAME_LENGTH)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import findings, rules, uploads
+from larder.operators import findings, rules, submission, uploads
 from larder.plans.intake import CTES
 from larder.sources.store import settle
 from larder.sources.views import NOW, view, with_views
@@ -65,9 +65,8 @@ def f_unreadable(spark: SparkSession, d: str) -> DataFrame:
 def v_verdict(spark: SparkSession, d: str) -> DataFrame:
     """One outcome per file: the first reason to refuse it, or accepted."""
     rows, files, unreadable = _unreadable(spark, d)
-    bad = findings.normalize(rules.read_cells(rows, NOW), NOW)["rejected"].select("upload", F.lit("bad_rows").alias("bad"))
-    met = files.select("upload").join(unreadable.select("upload", "reason"), "upload", "left").join(bad, "upload", "left")
-    return met.select("upload", F.coalesce("reason", "bad", F.lit("accepted")).alias("verdict"))
+    read = findings.normalize(rules.read_cells(rows, NOW), NOW)
+    return submission.verdict(files, unreadable, read["rejected"], read["months"], view(spark, d, "forms"))
 
 
 QUERIES = {"d_decode": d_decode, "d_tokenize": d_tokenize, "d_layout": d_layout, "f_unreadable": f_unreadable, "v_verdict": v_verdict}
@@ -107,6 +106,11 @@ ORACLE_SQL = {
 FROM {_UPLOADS} WHERE {_KIND} NOT IN (3, 17, 29, 31)"""),
     "f_unreadable": with_views(f"SELECT upload, {_case(0)} AS reason, {_case(1)} AS summary, {_case(2)} AS detail FROM {_UPLOADS} WHERE {_KIND} IN ({_BROKEN})"),
     "v_verdict": with_views(
-        f"SELECT upload, coalesce({_case(0)}, CASE WHEN upload IN (SELECT upload FROM found) OR order_fault IS NOT NULL THEN 'bad_rows' ELSE 'accepted' END) AS verdict FROM decided", CTES
+        f"""SELECT upload, coalesce(first, CASE WHEN len(missing) > 0 THEN 'invalid_metadata' ELSE 'accepted' END) AS verdict,
+  CASE WHEN first IS NULL AND len(missing) > 0 THEN 'months in the file with no count: ' || array_to_string(missing, ', ') END AS uncounted
+FROM (SELECT upload, [x FOR x IN months IF NOT contains(counts, '"' || x || '"')] AS missing, coalesce(CASE WHEN {_KIND} = 31 THEN 'empty' WHEN upload % 43 = 1 OR upload % 47 = 3 OR upload % 53 = 4 THEN 'invalid_metadata' END, {_case(0)},
+  CASE WHEN upload IN (SELECT upload FROM found) OR order_fault IS NOT NULL THEN 'bad_rows' END) AS first
+  FROM decided JOIN forms USING (upload) LEFT JOIN months USING (upload)) x""",
+        CTES,
     ),
 }

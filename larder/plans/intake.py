@@ -21,9 +21,9 @@ def _all(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def v_product(spark: SparkSession, d: str) -> DataFrame:
-    cells = view(spark, d, "cells").where(F.length("product") <= fixed.MAX_FREE_TEXT_LENGTH)
-    read = rules.once(cells, p=rules.read_product(F.col("product")))
-    return read.select("upload", "line", F.when(F.col("p.fault").isNull(), F.col("p.value")).alias("product_value"), F.col("p.fault").alias("product_fault"))
+    read = rules.once(view(spark, d, "cells"), p=rules.read_product(F.col("product")))
+    fault = F.when(F.length("product") > fixed.MAX_FREE_TEXT_LENGTH, "too-long").otherwise(F.col("p.fault"))
+    return read.select("upload", "line", F.when(fault.isNull(), F.col("p.value")).alias("product_value"), fault.alias("product_fault"))
 
 
 def v_weight(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +233,7 @@ def sql(query: str) -> str:
 
 _NUMBER = "CASE WHEN weight = floor(weight) THEN CAST(CAST(weight AS BIGINT) AS VARCHAR) ELSE CAST(weight AS VARCHAR) END"
 ORACLE_SQL = {
-    "v_product": sql("SELECT upload, line, product_value, product_fault FROM readc WHERE NOT long"),
+    "v_product": sql("SELECT upload, line, CASE WHEN NOT long THEN product_value END AS product_value, CASE WHEN long THEN 'too-long' ELSE product_fault END AS product_fault FROM readc"),
     "v_weight": sql("SELECT upload, line, CASE WHEN wf IS NULL THEN CAST(replace(tw, ',', '') AS DOUBLE) END AS weight_value, wf AS weight_fault FROM weights"),
     "v_date": sql("SELECT upload, line, date_kind, date_fault, iso, first, second, year, CASE WHEN date_kind <> 'numeric' THEN NULL WHEN first > 12 THEN 'day-first' WHEN second > 12 THEN 'month-first' END AS proven FROM readc"),
     "v_too_long": sql("SELECT upload, line, 'product' AS columns FROM readc WHERE long"),

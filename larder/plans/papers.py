@@ -2,57 +2,69 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text
 from larder.operators import documents, submission
-from larder.sources.views import view, with_views
+from larder.sources.views import needed, view, with_views
 
 _ID = "0190163d-8694-739b-aea5-966c26f8ad91"
-_RUN = '{"analysisAttemptId": "%s", "report": {"name": "N", "siteName": null, "countsBasis": "people", "unitSystem": "lb", "monthlyCounts": {"2026-01": 3}}}' % _ID
-_RESULT = '{"analysisAttemptId": "%s", "charts": ["by_month", "top"], "ai": {"model": "m", "inputTokens": 1, "outputTokens": 2, "costUsd": "0.1250", "metadata": {}}, "resultMetadata": {"rows": 3}}' % _ID
-_FAILURE = '{"reason": "upstream_api", "detail": "d", "traceback": null}'
-# (text, what the check says)
-RUNS = [
-    (_RUN, ""), (_RUN.replace("3}", "3.0}"), ""), (_RUN.replace("3}", "true}"), "report.monthlyCounts: expected whole numbers by month"),
-    (_RUN.replace("2026-01", "2026-13"), "report.monthlyCounts: expected whole numbers by month"), (_RUN.replace('"N"', '""'), "report.name: expected text or null"),
-    (_RUN.replace("people", "cats").replace('"lb"', "1"), "report.countsBasis: not in the vocabulary; report.unitSystem: not in the vocabulary"), ("[]", "$: expected a JSON object"), ("{oops", "$: expected a JSON object"),
-    (_RUN.replace('"report"', '"extra": 1, "report"'), "$: unknown field"), (_RUN.replace(_ID, "x"), "analysisAttemptId: expected a UUID"),
-]
-PROGRESS = [
-    ('{"sequence": 3}', ""), ('{"sequence": 3.0}', ""), ('{"sequence": 3.5}', "sequence: expected a whole number of 1 or more"), ('{"sequence": true}', "sequence: expected a whole number of 1 or more"),
-    ('{"sequence": "3"}', "sequence: expected a whole number of 1 or more"), ('{"sequence": 0}', "sequence: expected a whole number of 1 or more"), ('{"sequence": 1, "x": 2}', "$: unknown field"), ("{}", "sequence: expected a whole number of 1 or more"),
-]
-RESULTS = [
-    (_RESULT, ""), (_RESULT.replace('"top"', '"by_month"'), "charts: expected distinct snake_case keys"), (_RESULT.replace('"top"', '"Top"'), "charts: expected distinct snake_case keys"), (_RESULT.replace('"0.1250"', "0.125"), "ai.costUsd: expected a cost with four places"),
-    (_RESULT.replace('"inputTokens": 1', '"inputTokens": -1'), "ai.inputTokens: expected a whole number"), (_RESULT.replace('{"rows": 3}', "[]"), "resultMetadata: expected a JSON object"), (_RESULT.replace('"m"', "null"), "ai.model: expected text"),
-]
-FAILURES = [
-    (_FAILURE, ""), (_FAILURE.replace("upstream_api", "hung"), "reason: not a reason the child may claim"), (_FAILURE.replace('"d"', '""'), "detail: expected text"), (_FAILURE.replace("null", '"tb"'), ""), (_FAILURE.replace("null", "3"), "traceback: expected text or null"),
-]
-
-
-def _docs(spark: SparkSession, d: str, variants: list[tuple[str, str]]) -> DataFrame:
-    """One document for each event, its variant picked by the event."""
-    texts = F.array(*[F.lit(t) for t, _ in variants])
-    return view(spark, d, "events").select("event_id", F.element_at(texts, (F.col("event_id") % len(variants) + 1).cast("int")).alias("text"))
+# Documents as SQL text over the views, read alike by Spark and by other engines. {uuid}: an identifier from a number.
+_UUID = "concat('0190163d-8694-739b-aea5-', lpad(CAST({} AS STRING), 12, '0'))"
+DOCUMENTS = {
+    "run_docs": f"""
+SELECT id, CASE WHEN id % 41 = 9 THEN concat('[', body, ']') WHEN id % 43 = 9 THEN substr(body, 2) ELSE body END AS text FROM (
+  SELECT id, concat('{{"analysisAttemptId": "', CASE WHEN id % 31 = 4 THEN CAST(id AS STRING) ELSE {_UUID.format("id")} END, '", ', CASE WHEN id % 37 = 5 THEN '"extra": 1, ' ELSE '' END,
+    '"report": {{"name": "', CASE WHEN id % 29 = 3 THEN '' ELSE name END, '", "siteName": ', CASE id % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"S"' ELSE CASE WHEN deleted_at IS NULL THEN '"T"' ELSE '7' END END,
+    ', "countsBasis": "', CASE WHEN organization_id = 7 THEN 'cats' ELSE counts_basis END, '", "unitSystem": ', CASE WHEN organization_id = 9 THEN '1' ELSE concat('"', unit_system, '"') END,
+    ', "monthlyCounts": {{"', CAST(year(created_at) AS STRING), '-', lpad(CAST(month(created_at) + CASE WHEN id % 23 = 2 THEN 12 ELSE 0 END AS STRING), 2, '0'), '": ',
+    CAST(created_by_user_id AS STRING), CASE id % 19 WHEN 1 THEN '.0' WHEN 2 THEN '.5' WHEN 3 THEN ', "2026-01": true' ELSE '' END, '}}}}}}') AS body
+  FROM reports) r""",
+    "progress_docs": """
+SELECT event_id, concat('{"sequence": ', CASE event_type WHEN 'click' THEN concat(CAST(sequence AS STRING), '.0') WHEN 'signup' THEN concat('"', CAST(sequence AS STRING), '"')
+  WHEN 'error' THEN concat(CAST(sequence AS STRING), CASE WHEN cancel THEN '.5' ELSE ', "note": 1' END) ELSE CAST(sequence AS STRING) END, '}') AS text FROM heartbeats""",
+    "result_docs": f"""
+SELECT id, concat('{{"analysisAttemptId": "', {_UUID.format("id")}, '", "charts": [', coalesce(keys, ''), '], "ai": {{"model": ', coalesce(concat('"', ai_model, '"'), 'null'),
+  ', "inputTokens": ', coalesce(CAST(ai_input_tokens AS STRING), 'null'), ', "outputTokens": ', CASE WHEN attempt_number = 2 THEN '-1' ELSE coalesce(CAST(ai_output_tokens AS STRING), 'null') END,
+  ', "costUsd": ', coalesce(concat('"', CAST(ai_cost_usd AS STRING), '"'), '0.125'), ', "metadata": {{}}}}, "resultMetadata": ', CASE WHEN requested_by_user_id IS NULL THEN '[]' ELSE '{{}}' END, '}}') AS text
+FROM attempts LEFT JOIN (SELECT analysis_attempt_id, string_agg(concat('"', chart_key, '"'), ', ') AS keys FROM result_files WHERE chart_key IS NOT NULL GROUP BY analysis_attempt_id) c ON analysis_attempt_id = id""",
+    "failure_docs": """
+SELECT id, concat('{"reason": ', coalesce(concat('"', failure_reason, '"'), 'null'), ', "detail": "', coalesce(worker_id, ''), '", "traceback": ',
+  CASE WHEN status = 'canceled' THEN CAST(id AS STRING) ELSE coalesce(concat('"', CAST(requested_by_user_id AS STRING), '"'), 'null') END, '}') AS text FROM attempts""",
+}
+
+
+def _docs(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The documents of one kind, one for each row they are written from."""
+    sql = DOCUMENTS[name]
+    names = needed(sql)
+    text = sql.replace("{", "{{").replace("}", "}}")
+    for n in names:
+        text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}} {n}", text)
+    return spark.sql(text, **{n: view(spark, d, n) for n in names})
 
 
 def j_run(spark: SparkSession, d: str) -> DataFrame:
-    return documents.check_run(_docs(spark, d, RUNS)).select("event_id", "message")
+    """A run manifest for every report."""
+    return documents.check_run(_docs(spark, d, "run_docs")).select("id", "message")
 
 
 def j_progress(spark: SparkSession, d: str) -> DataFrame:
-    return documents.check_progress(_docs(spark, d, PROGRESS)).select("event_id", "message")
+    """A progress document for every heartbeat."""
+    return documents.check_progress(_docs(spark, d, "progress_docs")).select("event_id", "message")
 
 
 def j_result(spark: SparkSession, d: str) -> DataFrame:
-    return documents.check_result(_docs(spark, d, RESULTS)).select("event_id", "message")
+    """A result document for every attempt; those that did not succeed lack the model, tokens and cost."""
+    return documents.check_result(_docs(spark, d, "result_docs")).select("id", "message")
 
 
 def j_failure(spark: SparkSession, d: str) -> DataFrame:
-    return documents.check_failure(_docs(spark, d, FAILURES)).select("event_id", "message")
+    """A failure document for every attempt, whatever its reason."""
+    return documents.check_failure(_docs(spark, d, "failure_docs")).select("id", "message")
 
 
 def j_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +78,7 @@ def t_words(spark: SparkSession, d: str) -> DataFrame:
     c = view(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw"))
     return c.select(
         "conv_id", "turn", text.utf16_length(F.col("raw")).cast("long").alias("units"), F.length(text.trim(F.col("raw"))).cast("long").alias("trimmed"),
-        F.length(submission.stored_filename(F.col("raw"))).cast("long").alias("name_length"), text.capitalize(F.lower(F.substring("raw", 1, 5))).alias("head"),
+        F.length(submission.stored_filename(F.col("raw"))).cast("long").alias("name_length"), text.capitalize(F.lower("raw")).alias("capitalized"),
     )
 
 
@@ -108,14 +120,31 @@ def v_metadata(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (j_run, j_progress, j_result, j_failure, j_payload, t_words, t_numbers, t_links, t_uuid, v_metadata)}
 
 
-def _said(variants: list[tuple[str, str]]) -> str:
-    return "SELECT event_id, [" + ", ".join("'" + m + "'" for _, m in variants) + f"][event_id % {len(variants)} + 1] AS message FROM events"
+def _said(key: str, source: str, faults: list[tuple[str, str]], broken: str = "false") -> str:
+    """The expected message: of each fault whose condition on the source's columns holds, in order."""
+    parts = ", ".join(f"CASE WHEN {c} THEN '{m}' END" for c, m in faults)
+    return f"SELECT {key}, CASE WHEN {broken} THEN '$: expected a JSON object' ELSE concat_ws('; ', {parts}) END AS message FROM {source}"
 
 
+_CHILD = ", ".join(f"'{r}'" for r in documents.CHILD_REASONS)
+_WHOLE = "sequence: expected a whole number of 1 or more"
 _SQL = {
-    "j_run": _said(RUNS), "j_progress": _said(PROGRESS), "j_result": _said(RESULTS), "j_failure": _said(FAILURES),
+    "j_run": _said("id", "reports", [
+        ("id % 37 = 5", "$: unknown field"), ("id % 31 = 4", "analysisAttemptId: expected a UUID"), ("id % 29 = 3", "report.name: expected text or null"),
+        ("id % 3 = 2 AND deleted_at IS NOT NULL", "report.siteName: expected text or null"), ("organization_id = 7", "report.countsBasis: not in the vocabulary"),
+        ("organization_id = 9", "report.unitSystem: not in the vocabulary"), ("id % 23 = 2 OR id % 19 IN (2, 3)", "report.monthlyCounts: expected whole numbers by month"),
+    ], "id % 41 = 9 OR id % 43 = 9"),
+    "j_progress": _said("event_id", "heartbeats", [("event_type = 'error' AND NOT cancel", "$: unknown field"), ("event_type = 'signup' OR cancel OR sequence < 1", _WHOLE)]),
+    "j_result": _said("id", "attempts", [
+        ("id IN (SELECT analysis_attempt_id FROM result_files WHERE chart_key IS NOT NULL GROUP BY analysis_attempt_id HAVING count(*) > count(DISTINCT chart_key))", "charts: expected distinct snake_case keys"),
+        ("ai_model IS NULL", "ai.model: expected text"), ("ai_input_tokens IS NULL", "ai.inputTokens: expected a whole number"), ("ai_output_tokens IS NULL OR attempt_number = 2", "ai.outputTokens: expected a whole number"),
+        ("ai_cost_usd IS NULL", "ai.costUsd: expected a cost with four places"), ("requested_by_user_id IS NULL", "resultMetadata: expected a JSON object"),
+    ]),
+    "j_failure": _said("id", "attempts", [
+        (f"failure_reason IS NULL OR failure_reason NOT IN ({_CHILD})", "reason: not a reason the child may claim"), ("worker_id IS NULL", "detail: expected text"), ("status = 'canceled'", "traceback: expected text or null"),
+    ]),
     "j_payload": "SELECT id, '' AS message, CAST(ai_cost_usd AS VARCHAR) AS cost FROM attempts WHERE ai_model IS NOT NULL",
-    "t_words": "SELECT conv_id, turn, length(text) AS units, length(trim(text, chr(10) || chr(9) || ' ')) AS trimmed, least(length(text), 255) AS name_length, upper(text[1:1]) || lower(text[2:5]) AS head FROM conversations",
+    "t_words": "SELECT conv_id, turn, length(text) AS units, length(trim(text, chr(10) || chr(9) || ' ')) AS trimmed, least(length(text), 255) AS name_length, upper(text[1:1]) || lower(text[2:]) AS capitalized FROM conversations",
     "t_numbers": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)) AS grouped FROM lineitem",
     "t_links": "SELECT id, concat('org/', id % 25, '/report/', report_id) AS key, concat('https://x/orgs/', id % 25, '/reports/', report_id) AS url, 'attachment; filename=\"' || original_filename || '\"; filename*=UTF-8''''' || replace(original_filename, ' ', '%20') AS header, 'chart-k_' || id || '.png' AS chart FROM input_files",
     "t_uuid": "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS valid, 7 AS version FROM events",

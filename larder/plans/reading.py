@@ -22,14 +22,22 @@ def _live(spark: SparkSession, d: str) -> DataFrame:
     return access.live_invites(view(spark, d, "invites"), NOW)
 
 
+def _outsiders(spark: SparkSession, d: str) -> DataFrame:
+    """Users of no organization."""
+    return view(spark, d, "users").join(view(spark, d, "members").select(F.col("user_id").alias("id")), "id", "left_anti")
+
+
 def q_closure(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: view(spark, d, n) for n in ("reports", "attempts", "members", "invites", "rejections", "input_files", "result_files")}
-    found = access.closure(view(spark, d, "orgs").where("id % 9 = 2"), tables)
+    """What goes with the organizations that have no admin left."""
+    orphaned = view(spark, d, "orgs").join(tables["members"].where("role = 'admin'").select(F.col("organization_id").alias("id")), "id", "left_anti")
+    found = access.closure(orphaned, tables)
     return reduce(DataFrame.unionByName, [v.groupBy(F.lit(k).alias("table")).agg(F.count("*").alias("n"), F.sum("id").alias("ids")) for k, v in found.items()])
 
 
 def q_forget(spark: SparkSession, d: str) -> DataFrame:
-    gone = view(spark, d, "users").where("id % 10 = 3")
+    """Reports after the users who belong to no organization are deleted."""
+    gone = _outsiders(spark, d)
     return access.forget_user(gone, view(spark, d, "reports").select("id", "created_by_user_id"), "created_by_user_id")
 
 
@@ -77,12 +85,14 @@ def q_result_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_soft_delete(spark: SparkSession, d: str) -> DataFrame:
-    r, a = access.soft_delete(view(spark, d, "reports"), view(spark, d, "attempts"), view(spark, d, "reports").where("id % 4 = 1").select("id"), NOW)
+    """The reports of users who belong to no organization are asked to go."""
+    asked = view(spark, d, "reports").join(_outsiders(spark, d).select(F.col("id").alias("created_by_user_id")), "created_by_user_id", "left_semi").select("id")
+    r, a = access.soft_delete(view(spark, d, "reports"), view(spark, d, "attempts"), asked, NOW)
     return r.select(F.lit("report").alias("what"), "id").unionByName(a.select(F.lit("attempt").alias("what"), "id"))
 
 
 def q_sole_admins(spark: SparkSession, d: str) -> DataFrame:
-    return access.sole_admins(view(spark, d, "members").where("user_id % 4 = 0"))
+    return access.sole_admins(view(spark, d, "members"))
 
 
 def q_roster(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +204,8 @@ QUERIES = {
     )
 }
 
-_ORG = "(SELECT id FROM orgs WHERE id % 9 = 2)"
+_ORG = "(SELECT id FROM orgs WHERE id NOT IN (SELECT organization_id FROM members WHERE role = 'admin'))"
+_OUT = "(SELECT id FROM users WHERE id NOT IN (SELECT user_id FROM members))"
 _REP = f"(SELECT id FROM reports WHERE organization_id IN {_ORG})"
 _ATT = f"(SELECT id FROM attempts WHERE report_id IN {_REP})"
 _C = {
@@ -214,7 +225,7 @@ _SQL = {
             ("input_files", "id", f"report_id IN {_REP}"), ("attempts", "id", f"report_id IN {_REP}"), ("result_files", "id", f"analysis_attempt_id IN {_ATT}"),
         ]
     ),
-    "q_forget": "SELECT id, CASE WHEN created_by_user_id % 10 = 3 THEN NULL ELSE created_by_user_id END AS created_by_user_id FROM reports",
+    "q_forget": f"SELECT id, CASE WHEN created_by_user_id IN {_OUT} THEN NULL ELSE created_by_user_id END AS created_by_user_id FROM reports",
     "q_access": "SELECT * FROM granted",
     "q_check": "SELECT p.*, CASE WHEN role IS NULL THEN 404 WHEN needs_admin AND role <> 'admin' THEN 403 ELSE 200 END AS status FROM (SELECT DISTINCT created_by_user_id AS user_id, organization_id, id % 2 = 0 AS needs_admin FROM reports) p LEFT JOIN granted USING (user_id, organization_id)",
     "q_destination": "SELECT u.id, CASE WHEN em IN (SELECT lower(email) FROM live) THEN 'invite' WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'single' ELSE 'pick' END AS destination FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'user' || id || '@example.org' ELSE email END AS em FROM users) u LEFT JOIN (SELECT user_id, count(*) AS n FROM granted GROUP BY 1) g ON g.user_id = u.id",
@@ -225,8 +236,8 @@ _SQL = {
     "q_timeline": " UNION ALL ".join(f"SELECT id AS attempt_id, '{e}' AS event, CAST({c} AS VARCHAR) AS \"at\" FROM attempts WHERE {c} IS NOT NULL" for e, c in {"created": "created_at", "claimed": "claimed_at", "renewed": "lease_renewed_at", "cancel-requested": "cancel_requested_at", "finished": "finished_at", "notified": "notification_email_sent_at"}.items()),
     "q_input_links": "SELECT f.id, storage_key, original_filename AS filename FROM input_files f JOIN reports r ON r.id = report_id WHERE deleted_at IS NULL",
     "q_result_links": "SELECT f.id, f.storage_key, CASE WHEN kind <> 'chart' THEN r.name || '.' || kind END AS filename FROM result_files f JOIN attempts a ON a.id = analysis_attempt_id JOIN reports r ON r.id = a.report_id WHERE deleted_at IS NULL",
-    "q_soft_delete": "SELECT 'report' AS what, id FROM reports WHERE deleted_at IS NULL AND id % 4 = 1 UNION ALL SELECT 'attempt', a.id FROM attempts a JOIN reports r ON r.id = report_id WHERE deleted_at IS NULL AND r.id % 4 = 1 AND status IN ('pending', 'processing') AND cancel_requested_at IS NULL",
-    "q_sole_admins": "SELECT min(user_id) AS user_id, organization_id FROM members WHERE user_id % 4 = 0 AND role = 'admin' GROUP BY organization_id HAVING count(*) = 1",
+    "q_soft_delete": f"SELECT 'report' AS what, id FROM reports WHERE deleted_at IS NULL AND created_by_user_id IN {_OUT} UNION ALL SELECT 'attempt', a.id FROM attempts a JOIN reports r ON r.id = report_id WHERE deleted_at IS NULL AND r.created_by_user_id IN {_OUT} AND status IN ('pending', 'processing') AND cancel_requested_at IS NULL",
+    "q_sole_admins": "SELECT min(user_id) AS user_id, organization_id FROM members WHERE role = 'admin' GROUP BY organization_id HAVING count(*) = 1",
     "q_roster": "SELECT organization_id, display_name AS who, role, 'member' AS kind FROM members JOIN users ON id = user_id WHERE NOT is_superadmin UNION ALL SELECT organization_id, email, role, 'invited' FROM live",
     "q_allowance": "SELECT organization_id, greatest(least(5 - count(*) FILTER (created_at > TIMESTAMP '2009-06-14 23:00:00'), 20 - count(*) FILTER (created_at > TIMESTAMP '2009-06-08 00:00:00')), 0) AS \"left\" FROM reports WHERE created_at <= TIMESTAMP '2009-06-15 00:00:00' GROUP BY 1",
     "q_rate_breaks": "SELECT * FROM (SELECT id, organization_id, count(*) OVER (PARTITION BY organization_id ORDER BY epoch(created_at) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hour, count(*) OVER (PARTITION BY organization_id ORDER BY epoch(created_at) RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS week FROM reports) x WHERE hour > 1 OR week > 3",

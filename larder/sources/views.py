@@ -45,6 +45,14 @@ FROM (
     lpad(CAST(least(day(l_shipdate), 28) AS STRING), 2, '0') AS d,
     CAST(CAST(l_quantity AS INT) AS STRING) AS q
   FROM lineitem JOIN part ON l_partkey = p_partkey) x""",
+    "forms": """
+SELECT upload, CASE WHEN upload % 43 = 1 THEN '  ' ELSE concat('Upload ', CAST(upload AS STRING)) END AS name, CAST(NULL AS STRING) AS site_name,
+  CASE WHEN upload % 47 = 3 THEN 'cats' ELSE 'people' END AS counts_basis, 'kg' AS unit_system, concat('{', string_agg(month_count, ', '), '}') AS counts
+FROM (
+  SELECT upload, concat('"', month, '": ', CASE WHEN upload % 53 = 4 THEN 'true' ELSE CAST(count(*) AS STRING) END) AS month_count
+  FROM (SELECT l_orderkey AS upload, concat(CAST(year(l_shipdate) + 10 AS STRING), '-', lpad(CAST(month(l_shipdate) AS STRING), 2, '0')) AS month FROM lineitem) l
+  GROUP BY upload, month) c
+GROUP BY upload""",
     "orgs": """
 SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_nationkey * 7 % 40 AS BIGINT) AS created_by_user_id,
   CAST(CAST('2001-01-01' AS DATE) + n_nationkey AS TIMESTAMP) AS created_at FROM nation""",
@@ -54,9 +62,9 @@ SELECT c_custkey AS id, c_name AS display_name, concat(lower(replace(c_name, '#'
 FROM customer""",
     "members": """
 SELECT c_custkey AS user_id, CAST(c_nationkey AS BIGINT) AS organization_id,
-  CASE WHEN c_custkey % 11 = 0 AND c_nationkey <> 7 THEN 'admin' ELSE 'member' END AS role FROM customer WHERE c_custkey % 5 <> 4
+  CASE WHEN c_custkey % 11 = 0 AND c_nationkey <> 7 AND (c_nationkey % 5 <> 3 OR c_custkey < 150) THEN 'admin' ELSE 'member' END AS role FROM customer WHERE c_custkey % 5 <> 4
 UNION ALL
-SELECT c_custkey, CAST((c_nationkey + 3) % 25 AS BIGINT), CASE WHEN c_custkey % 13 = 0 AND (c_nationkey + 3) % 25 <> 7 THEN 'admin' ELSE 'member' END
+SELECT c_custkey, CAST((c_nationkey + 3) % 25 AS BIGINT), CASE WHEN c_custkey % 13 = 0 AND (c_nationkey + 3) % 25 <> 7 AND (c_nationkey + 3) % 5 <> 3 THEN 'admin' ELSE 'member' END
 FROM customer WHERE c_custkey % 7 = 2""",
     "invites": """
 SELECT c_custkey AS id, CAST((c_nationkey + 1) % 25 AS BIGINT) AS organization_id,
