@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "quality", "near_dedup", "chat", "mixing", "substring_dedup", "secrets", "exact_dedup", "language_id", "sharding", "suffix_dedup", "lexical_search"]
+MODULES = ["decontaminate", "quality", "near_dedup", "chat", "mixing", "substring_dedup", "secrets", "exact_dedup", "language_id", "sharding", "suffix_dedup", "lexical_search", "repair"]
 
 
 def _collect(name: str) -> dict:
