@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, settle, small, unused
+from larder.llm.shared import documents, partitions, settle, small, unused
 from larder.llm.textbytes import column_bytes, mix, powers, run_starts, slices
 
 THRESHOLD = 400
 SEGMENT = 1 << 18
 """A longer text is read in segments of so many window starts; a window may reach into the next one."""
+CHUNK = 1 << 18
+"""Windows of so many starts are compared in a task before they are dealt out."""
 _BASE = 0x9E3779B97F4A7C15 - 2
 _PLACE = (1 << 20) - 1
 """Bits of an anchor's key that hold its place in a segment."""
@@ -107,7 +109,7 @@ def _first_symbols(texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, threshold: int) -> DataFrame:
-    """node, copies, at, lo, hi, h, h1, h2, h3, whole of each anchor: the four symbols of its core, and a digest of all that its windows span."""
+    """node, copies, lo, hi, h, h1, h2, h3, whole of each anchor: the four symbols of its core, and a digest of all that its windows span."""
     symbol, _ = sizes(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +124,11 @@ def _contexts(texts: DataFrame, threshold: int) -> DataFrame:
             ]
             symbols = [_grams(sums, at + i * symbol, symbol).view(np.int64) for i in range(4)]
             yield _finish(
-                [part.column("node").take(whose), part.column("copies").take(whose), at - base, lo - base, hi - base, *symbols, pa.array(whole, pa.binary())],
-                ["node", "copies", "at", "lo", "hi", "h", "h1", "h2", "h3", "whole"],
+                [part.column("node").take(whose), part.column("copies").take(whose), lo - base, hi - base, *symbols, pa.array(whole, pa.binary())],
+                ["node", "copies", "lo", "hi", "h", "h1", "h2", "h3", "whole"],
             )
 
-    return texts.select("node", "text", "copies").mapInArrow(run, "node binary, copies long, at long, lo long, hi long, h long, h1 long, h2 long, h3 long, whole binary")
+    return texts.select("node", "text", "copies").mapInArrow(run, "node binary, copies long, lo long, hi long, h long, h1 long, h2 long, h3 long, whole binary")
 
 
 def ranks(pairs: DataFrame, name: str) -> DataFrame:
@@ -156,23 +158,100 @@ def double(suffixes: DataFrame, name: str) -> DataFrame:
     return settle(out.select("whole", "n", *[F.col(f"s{i}").alias(f"r{i}") for i in range(len(pairs))]), f"suffixes-{name}")
 
 
+_WINDOW = "d1 long, d2 long, n1 long, n2 long, start long, sure boolean"
+
+
 def _windows(texts: DataFrame, threshold: int) -> DataFrame:
-    """node, start, window: a digest of each window of the anchors in ``at`` (an array of lo, hi) of the rows of node, text, at."""
+    """Rows of each window of the anchors in ``at`` (an array of lo, hi, lone) of the rows of node, text, at.
+
+    d1 and d2 are the window's digest, n1 and n2 the node (null where nobody asks:
+    the anchor is not ``lone``, so its windows only answer). Windows that meet in a
+    chunk are ``sure``; their rows are dealt by their place, and one more row
+    stands for them, so that a frequent window is not dealt once for each text.
+    """
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        d = np.frombuffer(b"".join(x[0] for x in held), np.int64).reshape(-1, 2)
+        start, lone = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+        node = np.repeat(np.frombuffer(b"".join(x[1] for x in held), np.int64).reshape(-1, 2), [len(x[2]) for x in held], axis=0)
+        order = np.lexsort((d[:, 1], d[:, 0]))
+        d, start, lone, node = d[order], start[order], lone[order], node[order]
+        first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]).any(1)])
+        many = np.diff(np.r_[first, len(d)]) > 1
+        sure = np.repeat(many, np.diff(np.r_[first, len(d)]))
+        spread = mix(node.view(_U) + mix(start.astype(_U))[:, None]).view(np.int64)
+        own, mark = np.flatnonzero(lone | ~sure), first[many]
+        every = np.r_[own, mark]
+        digests = np.concatenate([np.where(sure[own, None], spread[own], d[own]), d[mark]])
+        asks = np.r_[lone[own], np.zeros(len(mark), bool)]
+        columns = [pa.array(np.ascontiguousarray(digests[:, i])) for i in range(2)] + [pa.array(np.ascontiguousarray(node[every, i]), mask=~asks) for i in range(2)]
+        columns += [pa.array(start[every]), pa.array(asks & sure[every])]
+        return pa.RecordBatch.from_arrays(columns, ["d1", "d2", "n1", "n2", "start", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in slices(batches):
-            node, text, spans = part.column("node"), part.column("text"), part.column("at")
+            node, text, spans = part.column("node").to_pylist(), part.column("text"), part.column("at")
             for i in range(part.num_rows):
-                raw = memoryview(text[i].as_buffer())
-                lists = spans[i].values
-                for at in range(0, len(lists), 4096):
-                    some = lists.slice(at, 4096)
+                raw, lists = memoryview(text[i].as_buffer()), spans[i].values
+                for at in range(0, len(lists), 1024):
+                    some = lists.slice(at, 1024)
                     lo, hi = some.field("lo").to_numpy(), some.field("hi").to_numpy()
                     starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-                    digests = [hashlib.blake2b(raw[a : a + threshold], digest_size=16).digest() for a in starts.tolist()]
-                    yield _finish([node.take(pa.array(np.full(len(starts), i))), starts, pa.array(digests, pa.binary())], ["node", "start", "window"])
+                    digests = b"".join([hashlib.blake2b(raw[a : a + threshold], digest_size=16).digest() for a in starts.tolist()])
+                    held.append((digests, node[i], starts, np.repeat(some.field("lone").to_numpy(zero_copy_only=False), hi - lo + 1)))
+                    size += len(starts)
+                    if size >= CHUNK:
+                        yield flush(held)
+                        held, size = [], 0
+        if size:
+            yield flush(held)
+
+    return texts.mapInArrow(run, _WINDOW)
+
+
+def _again(windows: DataFrame) -> DataFrame:
+    """node, start of the windows asked for that stand again; rows of equal digests meet as neighbours of a sorted stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, met = None, False  # the last row so far, and whether it equals the one before it
+
+        def out(rows: pa.Table, good: np.ndarray) -> pa.RecordBatch:
+            rows = rows.filter(pa.array(good)).combine_chunks()
+            node = np.stack([rows.column(c).to_numpy() for c in ("n1", "n2")], axis=1) if rows.num_rows else np.zeros((0, 2), np.int64)
+            return _finish([pa.array([x.tobytes() for x in node], pa.binary()), rows.column("start").to_numpy()], ["node", "start"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            d = np.stack([rows.column(c).to_numpy() for c in ("d1", "d2")], axis=1)
+            same = (d[1:] == d[:-1]).all(1)
+            before = np.r_[met, same]
+            good = (before | np.r_[same, False] | rows.column("sure").to_numpy()) & rows.column("n1").is_valid().to_numpy()
+            yield out(rows.slice(0, rows.num_rows - 1), good[:-1])
+            held, met = rows.slice(rows.num_rows - 1).combine_chunks(), bool(before[-1])
+        if held is not None:
+            yield out(held, np.array([(met or held.column("sure")[0].as_py()) and held.column("n1")[0].is_valid]))
+
+    dealt = windows.repartition(partitions(windows.sparkSession), "d1", "d2").sortWithinPartitions("d1", "d2")
+    return dealt.mapInArrow(run, "node binary, start long")
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """The rows node, a, b with neighbours that touch made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = np.array(batch.column("node").to_pylist(), object)
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])])
+            yield _finish([batch.column("node").take(pa.array(first)), np.minimum.reduceat(a, first), np.maximum.reduceat(b, first)], ["node", "a", "b"])
 
-    return texts.mapInArrow(run, "node binary, start long, window binary")
+    return found.mapInArrow(run, "node binary, a long, b long")
 
 
 def _spans(found: DataFrame) -> DataFrame:
@@ -227,14 +306,12 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, text_col: str =
     mixed = suffixes.groupBy("r0").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).where((F.col("least") == 1) & (F.col("kinds") > 1)).select("r0")
     open_ = suffixes.join(settle(mixed, "mixed-ranks"), "r0").select("whole", "n")
     seen = placed.join(small(settle(open_, "open-suffixes")), "whole").groupBy("whole").agg(F.any_value("n").alias("n"), F.min(F.struct("node", "lo", "hi")).alias("x"))
-    asked = settle(seen.select("x.*", (F.col("n") == 1).alias("lone")), "windows-asked")
-    lists = asked.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
+    asked = seen.select("x.*", (F.col("n") == 1).alias("lone"))
+    lists = asked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "lone"))).alias("at"))
     windows = _windows(texts.select("node", "text").join(small(settle(lists, "windows-of-texts")), "node"), threshold)
-    windows = settle(windows, "windows")
-    again = settle(windows.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("window"), "repeated-windows")
+    again = _again(windows).select("node", F.col("start").alias("a"), (F.col("start") + threshold).alias("b"))
     found = placed.join(small(sure), "whole", "left_semi").select("node", F.col("lo").alias("a"), (F.col("hi") + threshold).alias("b"))
-    found = found.unionByName(windows.join(small(again), "window", "left_semi").select("node", F.col("start").alias("a"), (F.col("start") + threshold).alias("b")))
-    return settle(_spans(found), "repeated-spans")
+    return settle(_spans(_joined(found).unionByName(again)), "repeated-spans")
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:

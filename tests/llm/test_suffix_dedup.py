@@ -63,6 +63,13 @@ def test_long_texts_in_segments(spark, monkeypatch):
     assert ours(spark, rows, 400) == brute(rows, 400)
 
 
+@pytest.mark.parametrize("chunk", [50, 3000])
+def test_chunks_of_windows(spark, monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rows = corpus(7)
+    assert ours(spark, rows, 16) == brute(rows, 16)
+
+
 def test_empty_table(spark):
     assert ours(spark, [], 16) == []
 
