@@ -239,21 +239,6 @@ def _again(windows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node binary, start long")
 
 
-def _joined(found: DataFrame) -> DataFrame:
-    """The rows node, a, b with neighbours that touch made one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = np.array(batch.column("node").to_pylist(), object)
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])])
-            yield _finish([batch.column("node").take(pa.array(first)), np.minimum.reduceat(a, first), np.maximum.reduceat(b, first)], ["node", "a", "b"])
-
-    return found.mapInArrow(run, "node binary, a long, b long")
-
-
 def _spans(found: DataFrame) -> DataFrame:
     """node, spans (array of a, b; maximal, ordered) of the rows node, a, b."""
 
@@ -311,7 +296,7 @@ def repeated_spans(docs: DataFrame, threshold: int = THRESHOLD, text_col: str =
     windows = _windows(texts.select("node", "text").join(small(settle(lists, "windows-of-texts")), "node"), threshold)
     again = _again(windows).select("node", F.col("start").alias("a"), (F.col("start") + threshold).alias("b"))
     found = placed.join(small(sure), "whole", "left_semi").select("node", F.col("lo").alias("a"), (F.col("hi") + threshold).alias("b"))
-    return settle(_spans(_joined(found).unionByName(again)), "repeated-spans")
+    return settle(_spans(found.unionByName(again)), "repeated-spans")
 
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:
