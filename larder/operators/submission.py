@@ -19,20 +19,6 @@ def output_line(product: Column, iso: Column, weight: Column) -> Column:
     return F.concat_ws(",", escape_field(product), iso, number_text(weight))
 
 
-def normalized_files(accepted: DataFrame) -> DataFrame:
-    """Upload, text - the whole normalized file, header first. One upload is at most a few MB."""
-    lines = accepted.select("upload", F.struct("line", output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("text")).alias("l"))
-    packed = lines.groupBy("upload").agg(F.array_sort(F.collect_list("l")).alias("ls"))
-    body = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
-    return packed.select("upload", F.concat(F.lit("product,date,weight\n"), body, F.lit("\n")).alias("text"))
-
-
-def write_normalized(accepted: DataFrame, path: str) -> None:
-    """The lines as text files, one folder for each upload."""
-    lines = accepted.select("upload", "line", output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("value"))
-    lines.repartition("upload").sortWithinPartitions("upload", "line").select("upload", "value").write.partitionBy("upload").text(path)
-
-
 def coverage(counted: DataFrame) -> DataFrame:
     """Rows of upload, months (array), counts (map): the months without a count as summary and detail, else nulls."""
     missing = F.array_except("months", F.map_keys("counts"))

@@ -15,21 +15,6 @@ CP1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
-def scan(spark, path: str) -> DataFrame:
-    """Upload (path), content, size of every file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("upload"), "content", F.col("length").alias("size"))
-
-
-def list_objects(spark, path: str, prefix: str = "") -> DataFrame:
-    """Key, size, modified of the files whose key starts with ``prefix``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    key = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    base = F.lit("/" + path.split(":", 1)[-1].strip("/") + "/")
-    listed = files.select(F.substring(key, F.length(base) + 1, F.lit(1 << 30)).alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return listed.where(F.col("key").startswith(prefix))
-
-
 def decode(files: DataFrame) -> DataFrame:
     """Adds text (line ends as \\n) and gate, the first fault of too-large, empty, signature-*, control-character, blank.
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.sources.views import view, with_views
+from larder.operators import lifecycle
+from larder.sources.sinks import read_batches
+from larder.sources.store import shared_dir
+from larder.sources.views import NOW, view, with_views
 from larder.streaming import flows
 
 
@@ -50,7 +55,36 @@ def w_supervise(spark: SparkSession, d: str) -> DataFrame:
     return flows.supervise(_beats(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (w_sessions, w_alerts, w_alerts_sliding, w_match, w_once, w_rolling, w_supervise)}
+TICKS = 3
+
+
+def w_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """Reaping, canceling and claiming of due notifications at three ticks a minute apart: the last state of every changed attempt."""
+    at = f"{shared_dir(spark)}/larder/sweeps-{uuid.uuid4().hex}"
+    for i in range(TICKS):
+        tick = lifecycle.moment(NOW) + F.make_dt_interval(mins=F.lit(i))
+        spark.range(1).select(tick.alias("now")).coalesce(1).write.parquet(f"{at}/ticks/{i}")
+    ticks = spark.readStream.schema("now timestamp").option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(f"{at}/ticks")
+    reports = view(spark, d, "reports")
+    sweeps = [
+        lambda rows, now: lifecycle.reap(rows, now, "w7"), lifecycle.cancel_requested, lambda rows, now: lifecycle.due_notifications(rows, reports, now, "w3"),
+    ]
+    load = lambda: view(spark, d, "attempts").withColumns({c: F.lit(None).cast("string") for c in ("failure_detail", "reaped_by_worker_id")})
+    flows.sweep(ticks, load, sweeps, f"{at}/out", "attempts", f"{at}/checkpoint").awaitTermination()
+    found = read_batches(spark, f"{at}/out", "attempts", load().schema)
+    return found.select("id", F.col("batch").alias("tick"), "status", "failure_reason", "reaped_by_worker_id", "notification_attempts")
+
+
+def w_trail(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended by a stream and read back."""
+    at = f"{shared_dir(spark)}/larder/trail-{uuid.uuid4().hex}"
+    events = view(spark, d, "events").select("event_id", "user_id", "event_type")
+    events.write.parquet(f"{at}/in")
+    flows.append(flows.read_tables(spark, f"{at}/in", events), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{at}/out")
+
+
+QUERIES = {f.__name__: f for f in (w_sessions, w_alerts, w_alerts_sliding, w_match, w_once, w_rolling, w_supervise, w_sweeps, w_trail)}
 
 _C = {
     "beats": "SELECT * REPLACE (make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 100) AS BIGINT)) AS ts) FROM heartbeats",
@@ -67,4 +101,13 @@ _SQL = {
     "w_rolling": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS within FROM events",
     "w_supervise": "SELECT attempt_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(kill, (ts, event_id)) AS kill FROM (SELECT *, CASE WHEN cancel THEN 'canceled' WHEN at_ - progress >= 600 THEN 'hung' WHEN at_ - started >= 1200 THEN 'hard-timeout' WHEN at_ - renewed >= 180 THEN 'fenced' END AS kill FROM ticks) z WHERE kill IS NOT NULL GROUP BY 1",
 }
+_TS = f"TIMESTAMP '{NOW}'"
+_SQL["w_trail"] = "SELECT event_id, user_id, event_type FROM events"
+_SQL["w_sweeps"] = f"""SELECT id, tick, status, failure_reason, reaped_by_worker_id, notification_attempts FROM (
+ SELECT id, (row_number() OVER (ORDER BY lease_renewed_at NULLS LAST, id) - 1) // 5 AS tick, CASE WHEN cancel_requested_at IS NULL THEN 'failed' ELSE 'canceled' END AS status, CASE WHEN cancel_requested_at IS NULL THEN 'abandoned' END AS failure_reason, 'w7' AS reaped_by_worker_id, notification_attempts
+ FROM attempts WHERE status = 'processing' AND (coalesce(lease_renewed_at < {_TS} - INTERVAL 180 SECOND, false) OR coalesce(claimed_at < {_TS} - INTERVAL 1800 SECOND, false))
+ UNION ALL SELECT id, 0, 'canceled', failure_reason, NULL, notification_attempts FROM attempts WHERE status = 'pending' AND cancel_requested_at IS NOT NULL
+ UNION ALL SELECT a.id, (row_number() OVER (ORDER BY finished_at, a.id) - 1) // 5, status, failure_reason, NULL, notification_attempts + 1 FROM attempts a JOIN reports r ON r.id = report_id AND deleted_at IS NULL
+ WHERE requested_by_user_id IS NOT NULL AND finished_at IS NOT NULL AND status <> 'canceled' AND notification_email_sent_at IS NULL AND notification_attempts < 5 AND (notification_claimed_at IS NULL OR notification_claimed_at < {_TS} - to_seconds(300 * pow(2, notification_attempts - 1)))) x
+WHERE tick < {TICKS}"""
 ORACLE_SQL = {k: with_views(v, _C) for k, v in _SQL.items()}

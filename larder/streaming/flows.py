@@ -6,17 +6,20 @@ later than it are dropped, which a static table never does.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from larder.functions import fixed
 from larder.operators import findings, rules, uploads
-from larder.operators.submission import output_line
+from larder.sources.sinks import commit_batch, read_batches
 from larder.sources.store import settle
 
 
@@ -26,13 +29,13 @@ def read_tables(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """S1 as a stream: upload, content, size of files as they arrive."""
+    """Upload, content, size of files as they arrive; ``blobs.scan_uploads`` reads those that are there."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("upload"), "content", F.col("length").alias("size"))
 
 
 def split_files(files: DataFrame, now: str) -> dict[str, DataFrame]:
-    """Refused files, rejected files and accepted rows of one batch of upload, content, size."""
+    """Refused files, rejected files and accepted rows of one batch of upload, content, size."""
     decoded = settle(uploads.decode(files), "decoded")
     layout = settle(uploads.find_layout(decoded), "layouts")
     rows, later = uploads.data_rows(decoded, layout)
@@ -42,19 +45,20 @@ def split_files(files: DataFrame, now: str) -> dict[str, DataFrame]:
     return {"refused": uploads.describe_unreadable(met), "rejected": done["rejected"], "accepted": done["accepted"]}
 
 
-def intake(files: DataFrame, now: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Files of a binaryFile stream to three tables. A batch writes its own folder, so running it again replaces it."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        for name, df in split_files(batch, now).items():
-            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+INTAKE = {
+    "refused": "upload string, reason string, summary string, detail string",
+    "rejected": "upload string",
+    "accepted": "upload string, line int, product string, iso string, weight double",
+}
+"""What each table has before its first batch."""
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def intake(files: DataFrame, now: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Files of a binaryFile stream to the tables of INTAKE, read by ``sinks.read_batches``.
 
-def write_lines(accepted: DataFrame, out: str) -> None:
-    """S5 of one batch: normalized lines by upload."""
-    accepted.select("upload", output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("value")).write.partitionBy("upload").text(out)
+    A batch's tables appear together; running it again replaces them.
+    """
+    return files.writeStream.foreachBatch(lambda batch, number: commit_batch(split_files(batch, now), out, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(beats: DataFrame, gap: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
@@ -93,20 +97,50 @@ def rolling(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.withColumn("within", F.count("*").over(order))
 
 
-def rolling_live(events: DataFrame, seconds: int) -> DataFrame:
-    """W8 on a stream of key, event_id, ts: the same counts, from the times kept as state."""
+class Rolling(StatefulProcessor):
+    """The times of a key's events as list state; a timer clears it when the window behind the last one has passed."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts in zip(rows["event_id"], rows["ts"].astype("int64") // 1000, strict=True):
-            kept = [t for t in kept if t >= ts - seconds * 1_000_000] + [int(ts)]
-            out.append((key[0], int(event), len(kept)))
-        state.update((kept,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "within"])
+    def __init__(self, seconds: int):
+        self.span = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "ts long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        fresh = pd.concat(list(rows))
+        at = fresh["ts"].astype("datetime64[us]").astype("int64")
+        oldest = timerValues.getCurrentWatermarkInMs() * 1000 - self.span
+        kept = sorted([t for (t,) in (self.times.get() if self.times.exists() else []) if t >= oldest] + at.tolist())
+        self.times.put([(t,) for t in kept])
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((kept[-1] + self.span) // 1000 + 1)
+        within = [bisect_right(kept, t) - bisect_left(kept, t - self.span) for t in at]
+        yield pd.DataFrame({"key": key[0], "event_id": fresh["event_id"].to_numpy(), "within": within})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        self.times.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "event_id": pd.Series([], dtype="int64"), "within": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass
 
-    return events.groupBy("key").applyInPandasWithState(step, "key long, event_id long, within long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that list state and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def rolling_live(events: DataFrame, seconds: int, delay: str = "1 hour") -> DataFrame:
+    """W8 on a stream of key, event_id, ts: how many of the key's events so far the window holds that ends with each.
+
+    An event counts with those of its batch and before; times older than the
+    watermark less the window are dropped, and a key without events for a whole
+    window has no state. Needs ``use_rocksdb``.
+    """
+    rows = events.withWatermark("ts", delay).groupBy("key")
+    return rows.transformWithStateInPandas(Rolling(seconds), "key long, event_id long, within long", outputMode="append", timeMode="EventTime")
 
 
 THRESHOLDS = {"hung": fixed.HUNG_SECONDS, "hard-timeout": fixed.HARD_TIMEOUT_SECONDS, "fenced": fixed.LEASE_SECONDS}
@@ -177,14 +211,32 @@ def supervise_live(beats: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def sweep(stream: DataFrame, sweeps: dict[str, Callable[[DataFrame], DataFrame]], out: str, checkpoint: str) -> StreamingQuery:
-    """Run table sweeps on every batch of attempts and keep what they change."""
+def changed(base: DataFrame, out: str, table: str, key: str = "id") -> DataFrame:
+    """``base`` with the latest committed change of each row."""
+    kept = [c for c in base.columns if c != key]
+    last = read_batches(base.sparkSession, out, table, base.schema).groupBy(key).agg(F.max_by(F.struct(*kept), "batch").alias("x")).select(key, "x.*")
+    return base.join(last.select(key), key, "left_anti").unionByName(last.select(*base.columns))
 
-    def write(batch: DataFrame, number: int) -> None:
-        for name, f in sweeps.items():
-            f(batch).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def sweep(ticks: DataFrame, load: Callable[[], DataFrame], sweeps: list[Callable[[DataFrame, str], DataFrame]], out: str, table: str, checkpoint: str) -> StreamingQuery:
+    """At every tick of a stream of ``now``, the sweeps run over the whole table as it is then.
+
+    ``load`` reads the table's rows; each sweep takes them, with all changes so
+    far, and the tick's moment, and returns the rows it changes, whole. The sweeps
+    of one tick see the same table and must change different rows. Changes are
+    committed by tick, so running one again replaces it.
+    """
+
+    def at_tick(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max("now").cast("string")).first()[0]
+        if now is None:
+            return
+        base = load()
+        rows = settle(changed(base, out, table), "table-at-tick")
+        parts = [s(rows, now).select(*base.columns) for s in sweeps]
+        commit_batch({table: reduce(DataFrame.unionByName, parts)}, out, number)
+
+    return ticks.writeStream.foreachBatch(at_tick).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
