@@ -111,6 +111,13 @@ FAILURE_CLAIMANTS = {
     "shut_down": "parent",
     "unusable_data": "child",
 }
+# class: reason, in the order in which a child asks whether an error is one; any other is unknown
+CHILD_ERRORS = {
+    "UpstreamApiError": "upstream_api",
+    "UnusableDataError": "unusable_data",
+    "InvalidInputError": "contract_violation",
+    "ContractError": "contract_violation",
+}
 INTERRUPTED = "Something on our end interrupted the analysis before it could finish."
 FOLLOW_UP_RETRY = (
     "This was not a problem with your file. You can run it again without uploading it a second time, "
@@ -137,6 +144,7 @@ COUNTS_BASES = ["people", "meals"]
 UNIT_SYSTEMS = ["lb", "kg"]
 ROLES = ["member", "admin"]
 INVITE_STATUSES = ["pending", "accepted", "declined", "revoked", "expired", "superseded"]
+AUDIT_ACTOR_KINDS = ["user", "superadmin", "system"]
 RESULT_KINDS = {
     "pdf": ("pdf", "application/pdf"),
     "xlsx": ("xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"),

@@ -114,21 +114,57 @@ def roster(members: DataFrame, users: DataFrame, live: DataFrame) -> DataFrame:
     return here.unionByName(live.select("organization_id", F.col("email").alias("who"), "role", F.lit("invited").alias("kind")))
 
 
-def rolling_counts(events: DataFrame, by: str, at: str, seconds: dict[str, int]) -> DataFrame:
-    """Q16, Q17: for each event how many of its key lie in the rolling windows that end with it."""
-    order = Window.partitionBy(by).orderBy(F.unix_timestamp(at))
-    return events.withColumns({n: F.count("*").over(order.rangeBetween(-s, 0)) for n, s in seconds.items()})
+def rolling_counts(events: DataFrame, by: str, at: str, seconds: dict[str, int], key: str = "id") -> DataFrame:
+    """Q17: key, ``by`` and, for each name, how many events of the same ``by`` lie in the window of so many seconds that ends with the event.
+
+    Both ends count, in whole seconds; rows without ``by`` have no window. Time is
+    cut in buckets. A count is the difference of two positions, each the events of
+    all earlier buckets, from prefix sums over the buckets, and those of its own
+    bucket up to it. So what one task gathers is a bucket of a key, or a key's
+    buckets, never a key's events.
+    """
+    width = max(min(seconds.values()) // 4, 1)
+    t = F.unix_timestamp(at)
+    ends = [F.struct(t.alias("x"), F.lit(1).alias("own"), F.lit("").alias("name"))]
+    ends += [F.struct((t - s - 1).alias("x"), F.lit(0).alias("own"), F.lit(n).alias("name")) for n, s in seconds.items()]
+    rows = events.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("key"), F.col(by).alias("by"), F.inline(F.array(*ends)))
+    rows = rows.withColumn("bucket", F.floor(F.col("x") / width))
+    inside = Window.partitionBy("by", "bucket").orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    buckets = rows.groupBy("by", "bucket").agg(F.sum("own").alias("n"))
+    earlier = Window.partitionBy("by").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select("by", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = rows.withColumn("here", F.sum("own").over(inside)).join(buckets, ["by", "bucket"])
+    place = F.col("here") + F.col("before")
+    up_to = lambda n: F.max(F.when(F.col("name") == n, place))
+    found = placed.groupBy("key", "by").agg(*[(up_to("") - up_to(n)).alias(n) for n in seconds])
+    return found.withColumnsRenamed({"key": key, "by": by})
+
+
+def rate_breaks(events: DataFrame, by: str, at: str, limits: dict[str, tuple[int, int]]) -> DataFrame:
+    """Q17: id, limit, key, n of events that were over a limit of their ``by``; ``limits``: name to (seconds, most)."""
+    n = rolling_counts(events, by, at, {name: s for name, (s, _) in limits.items()})
+    over = F.filter(F.array(*[F.struct(F.lit(name).alias("limit"), F.col(name).alias("n"), F.lit(most).alias("most")) for name, (_, most) in limits.items()]), lambda x: x["n"] > x["most"])
+    return n.select("id", F.col(by).cast("long").alias("key"), F.inline(over)).drop("most")
 
 
 def allowance(events: DataFrame, by: str, at: str, now: str) -> DataFrame:
     """Q16: uploads left per key: the smaller of what the hour and the week leave."""
     t = moment(now)
     recent = F.count_if(F.col(at) > t - F.expr("INTERVAL 1 HOUR")), F.count_if(F.col(at) > t - F.expr("INTERVAL 7 DAY"))
-    left = events.where(F.col(at) <= t).groupBy(by).agg(recent[0].alias("hour"), recent[1].alias("week"))
+    left = events.where((F.col(at) <= t) & F.col(by).isNotNull()).groupBy(by).agg(recent[0].alias("hour"), recent[1].alias("week"))
     rest = F.least(F.lit(fixed.UPLOADS_PER_HOUR) - F.col("hour"), F.lit(fixed.UPLOADS_PER_WEEK) - F.col("week"))
     return left.select(by, F.greatest(rest, F.lit(0)).alias("left"))
 
 
+def upload_allowance(members: DataFrame, events: DataFrame, at: str, now: str) -> DataFrame:
+    """Q16: user_id, organization_id, left for each member: the smaller of what the organization and the user have left."""
+    whole = F.lit(min(fixed.UPLOADS_PER_HOUR, fixed.UPLOADS_PER_WEEK))
+    met = members.select("user_id", "organization_id")
+    for by, name in (("organization_id", "of_org"), ("user_id", "of_user")):
+        met = met.join(allowance(events, by, at, now).withColumnRenamed("left", name), by, "left")
+    return met.select("user_id", "organization_id", F.least(F.coalesce("of_org", whole), F.coalesce("of_user", whole)).alias("left"))
+
+
 def permissions(granted: DataFrame) -> DataFrame:
     """Q19: user_id, organization_id, permission."""
     rows = [(role, p) for p, roles in fixed.PERMISSIONS.items() for role in roles]

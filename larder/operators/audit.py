@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
+from larder.sources.store import settle
 
 _T = "', '".join(fixed.TERMINAL)
 # The checks. A check passes on null; it is violated where it is false.
@@ -38,6 +41,8 @@ OTHER_CHECKS = {
     "invites": {"email_is_lowercase": "email = lower(email)", "expires_at_after_created_at": "expires_at > created_at"},
     "reports": {"deleted_at_after_created_at": "deleted_at IS NULL OR deleted_at >= created_at"},
     "input_files": {"byte_size_positive": "byte_size > 0"},
+    "kept_inputs": {"byte_size_positive": "byte_size > 0", "checksum_length": "octet_length(checksum) = 32"},
+    "kept_reports": {"counts_is_object": "substr(monthly_counts, 1, 1) = '{'", "counts_not_empty": "monthly_counts <> '{}'"},
     "result_files": {"byte_size_positive": "byte_size > 0", "chart_key_iff_chart": "(kind = 'chart') = (chart_key IS NOT NULL)"},
 }
 
@@ -49,25 +54,92 @@ def violations(df: DataFrame, table: str, checks: dict[str, str], key: str = "id
     return found.select("rule", F.lit(table).alias("table"), "key")
 
 
-def outside_vocabulary(df: DataFrame, table: str, column: str, values: list[str], key: str = "id") -> DataFrame:
-    """Non-null values that the vocabulary lacks."""
-    bad = df.where(F.col(column).isNotNull() & ~F.col(column).isin(values))
-    return bad.select(F.lit(f"{column}_vocabulary").alias("rule"), F.lit(table).alias("table"), F.col(key).cast("string").alias("key"))
-
-
-def duplicates(df: DataFrame, table: str, rule: str, columns: list[Column], where: str | None = None) -> DataFrame:
-    """Keys that occur more than once, among the rows that ``where`` picks."""
-    rows = df.where(where) if where else df
-    key = F.concat_ws("|", *[c.cast("string") for c in columns])
-    n = rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
-    return n.select(F.lit(rule).alias("rule"), F.lit(table).alias("table"), "key", "n")
-
-
-def orphans(child: DataFrame, column: str, parent: DataFrame, rule: str, table: str, key: str = "id", parent_key: str = "id") -> DataFrame:
-    """Child rows whose non-null key the parent lacks."""
-    p = parent.select(F.col(parent_key).alias(column))
-    lost = child.where(F.col(column).isNotNull()).join(p, column, "left_anti")
-    return lost.select(F.lit(rule).alias("rule"), F.lit(table).alias("table"), F.col(key).cast("string").alias("key"))
+def vocabularies(manual: str) -> dict[str, dict[str, list[str]]]:
+    """The nine vocabularies, by table and column; ``manual`` names the operating company's hand-made audit entries."""
+    return {
+        "attempts": {"status": fixed.ATTEMPT_STATUSES, "failure_reason": list(fixed.FAILURE_CLAIMANTS)},
+        "reports": {"counts_basis": fixed.COUNTS_BASES, "unit_system": fixed.UNIT_SYSTEMS},
+        "members": {"role": fixed.ROLES},
+        "invites": {"status": fixed.INVITE_STATUSES, "role": fixed.ROLES},
+        "results": {"kind": list(fixed.RESULT_KINDS)},
+        "rejections": {"rejection_reason": fixed.REJECTION_REASONS},
+        "trail": {"actor_kind": [*fixed.AUDIT_ACTOR_KINDS, manual]},
+    }
+
+
+UNIQUE = {
+    "attempts": {"pkey": (["id"], None), "report_attempt": (["report_id", "attempt_number"], None), "one_active": (["report_id"], "status IN ('pending', 'processing')")},
+    "users": {"pkey": (["id"], None)},
+    "trail": {"pkey": (["id"], None)},
+    "inputs": {"pkey": (["id"], None), "report": (["report_id"], None), "storage_key": (["storage_key"], None)},
+    "invites": {"pkey": (["id"], None), "one_pending": (["organization_id", "email"], "status = 'pending'")},
+    "members": {"pkey": (["user_id", "organization_id"], None)},
+    "orgs": {"pkey": (["id"], None), "name": (["lower(name)"], None)},
+    "rejections": {"pkey": (["id"], None)},
+    "reports": {"pkey": (["id"], None)},
+    "results": {
+        "pkey": (["id"], None), "storage_key": (["storage_key"], None), "one_pdf": (["analysis_attempt_id"], "kind = 'pdf'"), "one_xlsx": (["analysis_attempt_id"], "kind = 'xlsx'"),
+        "one_chart": (["analysis_attempt_id", "chart_key"], "kind = 'chart'"),
+    },
+}
+"""By table and rule: the columns, and the rows that the rule is about."""
+EDGES = {
+    "attempts": {"report_id": "reports", "requested_by_user_id": "users"},
+    "users": {"id": "accounts"},
+    "inputs": {"report_id": "reports"},
+    "orgs": {"created_by_user_id": "users"},
+    "invites": {"invited_by_user_id": "users", "organization_id": "orgs"},
+    "members": {"organization_id": "orgs", "user_id": "users"},
+    "rejections": {"created_by_user_id": "users", "organization_id": "orgs"},
+    "reports": {"created_by_user_id": "users", "deleted_by_user_id": "users", "organization_id": "orgs"},
+    "results": {"analysis_attempt_id": "attempts"},
+}
+"""By table and column, the table whose id it must be; fifteen in all."""
+FEW = 100_000
+"""Lost keys are broadcast up to so many; each is a number and two names."""
+
+
+def row_key(table: str) -> Column:
+    """How a report names a row."""
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in (["user_id", "organization_id"] if table == "members" else ["id"])])
+
+
+def outside_vocabularies(df: DataFrame, table: str, columns: dict[str, list[str]]) -> DataFrame:
+    """Non-null values that a column's vocabulary lacks, all columns in one pass: rule, table, key."""
+    bad = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & ~F.col(c).isin(v), f"{c}_vocabulary") for c, v in columns.items()]))
+    return df.select(F.explode(bad).alias("rule"), F.lit(table).alias("table"), row_key(table).alias("key"))
+
+
+def duplicates(df: DataFrame, table: str, rules: dict[str, tuple[list[str], str | None]]) -> DataFrame:
+    """Rule, table, key, n of keys that occur more than once; all rules of a table in one pass and one shuffle.
+
+    Nulls are distinct from each other, as in a unique index. Counts combine
+    before the shuffle, so a key that a third of all rows share is no hot key.
+    """
+    each = []
+    for rule, (columns, where) in rules.items():
+        known = F.expr(" AND ".join([f"({c}) IS NOT NULL" for c in columns] + ([f"({where})"] if where else [])))
+        each.append(F.when(known, F.struct(F.lit(rule).alias("rule"), F.concat_ws("|", *[F.expr(c).cast("string") for c in columns]).alias("key"))))
+    rows = df.select(F.inline(F.array_compact(F.array(*each))))
+    n = rows.groupBy("rule", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return n.select("rule", F.lit(table).alias("table"), "key", "n")
+
+
+def orphans(tables: dict[str, DataFrame], edges: dict[str, dict[str, str]]) -> DataFrame:
+    """Rule, table, key of the rows whose non-null foreign key no parent has.
+
+    All edges meet in one anti-join, of distinct keys only: millions of children of
+    one parent are one row there. The children are read again for the few lost
+    keys, which are broadcast while there are not more than FEW.
+    """
+    values = lambda t, df: F.inline(F.filter(F.array(*[F.struct(F.lit(f"{t}.{c}").alias("rule"), F.lit(p).alias("parent"), F.col(c).cast("string").alias("value")) for c, p in edges[t].items()]), lambda x: x["value"].isNotNull()))  # noqa: E731, ARG005
+    asked = reduce(DataFrame.unionByName, [tables[t].select(values(t, tables[t])).distinct() for t in edges])
+    parents = sorted({p for of in edges.values() for p in of.values()})
+    known = reduce(DataFrame.unionByName, [tables[p].select(F.lit(p).alias("parent"), F.col("id").cast("string").alias("value")) for p in parents])
+    lost = settle(asked.join(known, ["parent", "value"], "left_anti").select("rule", "value"), "lost-keys")
+    lost = F.broadcast(lost) if lost.limit(FEW + 1).count() <= FEW else lost
+    children = reduce(DataFrame.unionByName, [tables[t].select(F.lit(t).alias("table"), row_key(t).alias("key"), values(t, tables[t])) for t in edges])
+    return children.join(lost, ["rule", "value"], "left_semi").select("rule", "table", "key")
 
 
 def retry_faults(attempts: DataFrame) -> DataFrame:

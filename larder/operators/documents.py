@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import fixed
 from larder.functions.text import MONTH_KEY, SNAKE_KEY, UUID
 from larder.operators.rules import once
+from larder.sources.store import settle
 
 COST = r"^\d{1,6}\.\d{4}\z"
 CHILD_REASONS = sorted(r for r, who in fixed.FAILURE_CLAIMANTS.items() if who != "parent")
@@ -130,9 +131,32 @@ def check_failure(docs: DataFrame) -> DataFrame:
     )
 
 
-def child_reason(error: Column) -> Column:
-    """The failure reason of an exception's class name."""
-    return F.when(error.rlike("(?i)upstream|api|timeout"), "upstream_api").when(error.rlike("(?i)unusable|data"), "unusable_data").otherwise("unknown")
+def class_reasons(classes: DataFrame, named: dict[str, str] = fixed.CHILD_ERRORS) -> DataFrame:
+    """class, reason of every class of ``classes`` (class, parent; a row for each parent) that is one of the named ones or below it.
+
+    As with ``isinstance``: of several named ancestors the first in the order of
+    ``named`` decides, however far it is. Each round hands the best name on to the
+    children; rounds follow the depth of the hierarchy, and a cycle ends too.
+    """
+    spark = classes.sparkSession
+    order = spark.createDataFrame([(c, i) for i, c in enumerate(named)], "class string, best int")
+    edges = settle(classes.select("class", "parent").where("parent IS NOT NULL").distinct(), "classes")
+    known = settle(order, "named-classes")
+    while True:
+        handed = edges.join(known.withColumnRenamed("class", "parent"), "parent").select("class", "best")
+        now = settle(known.unionByName(handed).groupBy("class").agg(F.min("best").alias("best")), "named-classes")
+        more = now.exceptAll(known).limit(1).count()
+        known = now
+        if not more:
+            break
+    return known.select("class", F.element_at(F.array(*map(F.lit, named.values())), F.col("best") + 1).alias("reason"))
+
+
+def child_reasons(errors: DataFrame, classes: DataFrame) -> DataFrame:
+    """``errors`` (class, message) with reason and detail: the failure that a child reports for an error of that class."""
+    met = errors.join(class_reasons(classes), "class", "left")
+    said = F.when(F.coalesce(F.length("message"), F.lit(0)) > 0, F.col("message")).otherwise(F.concat("class", F.lit("()")))
+    return met.withColumns({"reason": F.coalesce("reason", F.lit("unknown")), "detail": said})
 
 
 def result_payload(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions import text
+from larder.functions import fixed, text
 from larder.operators import documents, submission
 from larder.sources.views import needed, view, with_views
 
@@ -73,6 +73,20 @@ def j_payload(spark: SparkSession, d: str) -> DataFrame:
     return documents.check_result(documents.result_payload(a)).select("id", "message", F.get_json_object("text", "$.ai.costUsd").alias("cost"))
 
 
+# A hierarchy of error classes: five at the top, then each supplier's below that of a quarter of its number; some have a second parent.
+_CLASSES = """
+SELECT CASE s_suppkey WHEN 1 THEN 'UpstreamApiError' WHEN 2 THEN 'UnusableDataError' WHEN 3 THEN 'InvalidInputError' WHEN 4 THEN 'ContractError' ELSE concat('E', CAST(s_suppkey AS STRING)) END AS class,
+  CASE WHEN s_suppkey > 5 THEN CASE CAST(floor(s_suppkey / 4) AS INT) WHEN 1 THEN 'UpstreamApiError' WHEN 2 THEN 'UnusableDataError' WHEN 3 THEN 'InvalidInputError' WHEN 4 THEN 'ContractError' ELSE concat('E', CAST(CAST(floor(s_suppkey / 4) AS INT) AS STRING)) END END AS parent FROM supplier
+UNION ALL SELECT concat('E', CAST(s_suppkey AS STRING)), CASE WHEN s_suppkey % 2 = 0 THEN 'UnusableDataError' ELSE 'ContractError' END FROM supplier WHERE s_suppkey > 5 AND s_suppkey % 5 = 2"""
+_ERRORS = "SELECT event_id, concat('E', CAST(user_id % 60 AS STRING)) AS class, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('error ', CAST(event_id AS STRING)) END AS message FROM events WHERE event_type = 'error'"
+
+
+def j_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What a child reports for every error, by the ancestors of its class."""
+    sql = lambda text, t: spark.sql(text.replace(f"FROM {t}", f"FROM {{{t}}}"), **{t: view(spark, d, t)})
+    return documents.child_reasons(sql(_ERRORS, "events"), sql(_CLASSES, "supplier")).select("event_id", "reason", "detail")
+
+
 def t_words(spark: SparkSession, d: str) -> DataFrame:
     """Trim, lengths, file names and cut names on whole messy texts."""
     c = view(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw"))
@@ -117,7 +131,7 @@ def v_metadata(spark: SparkSession, d: str) -> DataFrame:
     return submission.check_metadata(forms).select("id", F.array_join("bad_fields", ",").alias("bad_fields"))
 
 
-QUERIES = {f.__name__: f for f in (j_run, j_progress, j_result, j_failure, j_payload, t_words, t_numbers, t_links, t_uuid, v_metadata)}
+QUERIES = {f.__name__: f for f in (j_run, j_progress, j_result, j_failure, j_payload, j_reasons, t_words, t_numbers, t_links, t_uuid, v_metadata)}
 
 
 def _said(key: str, source: str, faults: list[tuple[str, str]], broken: str = "false") -> str:
@@ -143,6 +157,9 @@ _SQL = {
     "j_failure": _said("id", "attempts", [
         (f"failure_reason IS NULL OR failure_reason NOT IN ({_CHILD})", "reason: not a reason the child may claim"), ("worker_id IS NULL", "detail: expected text"), ("status = 'canceled'", "traceback: expected text or null"),
     ]),
+    "j_reasons": f"""WITH RECURSIVE classes AS ({_CLASSES}), up AS (SELECT class, class AS ancestor FROM classes UNION SELECT u.class, parent FROM up u JOIN classes c ON u.ancestor = c.class WHERE parent IS NOT NULL)
+SELECT event_id, coalesce(reason, 'unknown') AS reason, CASE WHEN message = '' THEN class || '()' ELSE message END AS detail FROM ({_ERRORS}) e
+ LEFT JOIN (SELECT class, ['upstream_api', 'unusable_data', 'contract_violation', 'contract_violation'][min(list_position({list(fixed.CHILD_ERRORS)}, ancestor))] AS reason FROM up WHERE ancestor IN ({", ".join(f"'{c}'" for c in fixed.CHILD_ERRORS)}) GROUP BY 1) r USING (class)""",
     "j_payload": "SELECT id, '' AS message, CAST(ai_cost_usd AS VARCHAR) AS cost FROM attempts WHERE ai_model IS NOT NULL",
     "t_words": "SELECT conv_id, turn, length(text) AS units, length(trim(text, chr(10) || chr(9) || ' ')) AS trimmed, least(length(text), 255) AS name_length, upper(text[1:1]) || lower(text[2:]) AS capitalized FROM conversations",
     "t_numbers": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)) AS grouped FROM lineitem",
@@ -150,4 +167,4 @@ _SQL = {
     "t_uuid": "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS valid, 7 AS version FROM events",
     "v_metadata": "SELECT id, array_to_string(list_filter([CASE WHEN id % 7 = 1 THEN 'name' END, CASE WHEN id % 11 = 2 THEN 'siteName' END, CASE WHEN id % 13 = 3 THEN 'countsBasis' END, CASE WHEN id % 5 = 4 OR id % 17 = 5 OR id % 19 = 6 THEN 'monthlyCounts' END], lambda x: x IS NOT NULL), ',') AS bad_fields FROM reports",
 }
-ORACLE_SQL = {k: with_views(v) for k, v in _SQL.items()}
+ORACLE_SQL = {k: v if v.startswith("WITH RECURSIVE") else with_views(v) for k, v in _SQL.items()}

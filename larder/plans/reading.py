@@ -99,13 +99,21 @@ def q_roster(spark: SparkSession, d: str) -> DataFrame:
     return access.roster(view(spark, d, "members"), view(spark, d, "users"), _live(spark, d))
 
 
+_HOUR, _WEEK = 3600, 7 * 86400
+_THEN = "2009-06-15 00:00:00"
+
+
 def q_allowance(spark: SparkSession, d: str) -> DataFrame:
-    return access.allowance(view(spark, d, "reports"), "organization_id", "created_at", "2009-06-15 00:00:00")
+    """What each member may still upload a while after the middle upload of the log."""
+    return access.upload_allowance(view(spark, d, "members"), view(spark, d, "upload_log"), "created_at", _THEN)
 
 
 def q_rate_breaks(spark: SparkSession, d: str) -> DataFrame:
-    n = access.rolling_counts(view(spark, d, "reports"), "organization_id", "created_at", {"hour": 3600, "week": 604800})
-    return n.where((F.col("hour") > 1) | (F.col("week") > 3)).select("id", "organization_id", "hour", "week")
+    """Uploads over a limit of their organization or user, and invites over their organization's."""
+    both = {"hour": (_HOUR, fixed.UPLOADS_PER_HOUR), "week": (_WEEK, fixed.UPLOADS_PER_WEEK)}
+    found = [access.rate_breaks(view(spark, d, "upload_log"), by, "created_at", both).withColumn("what", F.lit(f"uploads by {by}")) for by in ("organization_id", "user_id")]
+    found.append(access.rate_breaks(view(spark, d, "invite_log"), "organization_id", "created_at", {"hour": (_HOUR, fixed.INVITES_PER_HOUR)}).withColumn("what", F.lit("invites by organization_id")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def q_org_allowance(spark: SparkSession, d: str) -> DataFrame:
@@ -217,6 +225,7 @@ _C = {
 }
 _PERM = ", ".join(f"({_q(r)}, {_q(p)})" for p, roles in fixed.PERMISSIONS.items() for r in roles)
 _FOLLOW = ", ".join(f"({_q(r)}, {_q(v[1])})" for r, v in fixed.FAILURE_EXPLANATIONS.items())
+_LEFT = f"greatest(least(5 - count(*) FILTER (created_at > TIMESTAMP '{_THEN}' - INTERVAL 1 HOUR), 20 - count(*) FILTER (created_at > TIMESTAMP '{_THEN}' - INTERVAL 7 DAY)), 0) AS n FROM upload_log WHERE created_at <= TIMESTAMP '{_THEN}'"
 _SQL = {
     "q_closure": " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", count(*) AS n, CAST(sum({k}) AS BIGINT) AS ids FROM {t} WHERE {w} HAVING count(*) > 0"
@@ -239,8 +248,12 @@ _SQL = {
     "q_soft_delete": f"SELECT 'report' AS what, id FROM reports WHERE deleted_at IS NULL AND created_by_user_id IN {_OUT} UNION ALL SELECT 'attempt', a.id FROM attempts a JOIN reports r ON r.id = report_id WHERE deleted_at IS NULL AND r.created_by_user_id IN {_OUT} AND status IN ('pending', 'processing') AND cancel_requested_at IS NULL",
     "q_sole_admins": "SELECT min(user_id) AS user_id, organization_id FROM members WHERE role = 'admin' GROUP BY organization_id HAVING count(*) = 1",
     "q_roster": "SELECT organization_id, display_name AS who, role, 'member' AS kind FROM members JOIN users ON id = user_id WHERE NOT is_superadmin UNION ALL SELECT organization_id, email, role, 'invited' FROM live",
-    "q_allowance": "SELECT organization_id, greatest(least(5 - count(*) FILTER (created_at > TIMESTAMP '2009-06-14 23:00:00'), 20 - count(*) FILTER (created_at > TIMESTAMP '2009-06-08 00:00:00')), 0) AS \"left\" FROM reports WHERE created_at <= TIMESTAMP '2009-06-15 00:00:00' GROUP BY 1",
-    "q_rate_breaks": "SELECT * FROM (SELECT id, organization_id, count(*) OVER (PARTITION BY organization_id ORDER BY epoch(created_at) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS hour, count(*) OVER (PARTITION BY organization_id ORDER BY epoch(created_at) RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS week FROM reports) x WHERE hour > 1 OR week > 3",
+    "q_allowance": f"""SELECT user_id, organization_id, least(coalesce(o.n, 5), coalesce(u.n, 5)) AS "left" FROM members
+ LEFT JOIN (SELECT organization_id, {_LEFT} GROUP BY 1) o USING (organization_id) LEFT JOIN (SELECT user_id, {_LEFT} GROUP BY 1) u USING (user_id)""",
+    "q_rate_breaks": " UNION ALL ".join(
+        f"SELECT id, CAST({by} AS BIGINT) AS key, '{name}' AS \"limit\", n, '{what} by {by}' AS what FROM (SELECT id, {by}, count(*) OVER (PARTITION BY {by} ORDER BY epoch(created_at) RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW) AS n FROM {log}) x WHERE n > {most}"
+        for what, log, by, name, seconds, most in (("uploads", "upload_log", "organization_id", "hour", 3600, 5), ("uploads", "upload_log", "organization_id", "week", 604800, 20), ("uploads", "upload_log", "user_id", "hour", 3600, 5), ("uploads", "upload_log", "user_id", "week", 604800, 20), ("invites", "invite_log", "organization_id", "hour", 3600, 5))
+    ),
     "q_org_allowance": "SELECT id, 5 - organizations_created_count AS \"left\" FROM users",
     "q_permissions": f"SELECT user_id, organization_id, permission FROM members JOIN (VALUES {_PERM}) v(role, permission) USING (role)",
     "q_trail": "SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) x WHERE place <= 10",

@@ -158,45 +158,27 @@ def n_window(spark: SparkSession, d: str) -> DataFrame:
 
 def i_checks(spark: SparkSession, d: str) -> DataFrame:
     found = [audit.violations(view(spark, d, "attempts"), "attempts", audit.ATTEMPT_CHECKS)]
-    found += [audit.violations(view(spark, d, t), t, c) for t, c in audit.OTHER_CHECKS.items()]
+    more = {"kept_inputs": {"checksum": F.unhex(F.when(F.col("cut"), F.substring(F.repeat("sha", 2), 1, 62)).otherwise(F.repeat("sha", 2)))}}
+    found += [audit.violations(view(spark, d, t).withColumns(more.get(t, {})), t, c) for t, c in audit.OTHER_CHECKS.items()]
     return reduce(DataFrame.unionByName, found)
 
 
-_VOCABULARIES = [
-    ("attempts", "status", fixed.ATTEMPT_STATUSES), ("attempts", "failure_reason", list(fixed.FAILURE_CLAIMANTS)), ("reports", "counts_basis", fixed.COUNTS_BASES[:1]),
-    ("reports", "unit_system", fixed.UNIT_SYSTEMS), ("members", "role", fixed.ROLES), ("invites", "status", fixed.INVITE_STATUSES[:2]), ("result_files", "kind", list(fixed.RESULT_KINDS)),
-]
-"""Two of them shortened, so that the audit has something to find."""
+VOCABULARIES = audit.vocabularies("ops_manual")
 
 
 def i_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    keys = {"members": "user_id"}
-    return reduce(DataFrame.unionByName, [audit.outside_vocabulary(view(spark, d, t), t, c, v, keys.get(t, "id")) for t, c, v in _VOCABULARIES])
-
-
-_UNIQUE = [
-    ("attempts", "report_attempt", ["report_id", "attempt_number"], None), ("members", "member", ["user_id", "organization_id"], None),
-    ("orgs", "name", ["lower(name)"], None), ("result_files", "storage_key", ["storage_key"], None),
-    ("attempts", "one_active", ["report_id"], "status IN ('pending', 'processing')"), ("invites", "one_pending", ["organization_id", "email"], "status = 'pending'"),
-    ("result_files", "one_pdf", ["analysis_attempt_id"], "kind = 'pdf'"), ("result_files", "one_chart", ["analysis_attempt_id", "chart_key"], "kind = 'chart'"),
-]
+    """All vocabularies over the audited tables."""
+    return reduce(DataFrame.unionByName, [audit.outside_vocabularies(view(spark, d, f"kept_{t}"), t, columns) for t, columns in VOCABULARIES.items()])
 
 
 def i_unique(spark: SparkSession, d: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [audit.duplicates(view(spark, d, t), t, r, [F.expr(c) for c in cols], w) for t, r, cols, w in _UNIQUE])
-
-
-_EDGES = [
-    ("attempts", "report_id", "reports", "id"), ("attempts", "requested_by_user_id", "users", "id"), ("input_files", "report_id", "reports", "id"), ("result_files", "analysis_attempt_id", "attempts", "id"),
-    ("members", "user_id", "users", "user_id"), ("members", "organization_id", "orgs", "user_id"), ("reports", "organization_id", "orgs", "id"), ("reports", "created_by_user_id", "users", "id"),
-    ("invites", "organization_id", "orgs", "id"), ("rejections", "organization_id", "orgs", "id"), ("rejections", "created_by_user_id", "users", "id"), ("orgs", "created_by_user_id", "users", "id"),
-]
+    """All primary keys, unique columns and partial indexes over the audited tables."""
+    return reduce(DataFrame.unionByName, [audit.duplicates(view(spark, d, f"kept_{t}"), t, rules) for t, rules in audit.UNIQUE.items()])
 
 
 def i_foreign(spark: SparkSession, d: str) -> DataFrame:
-    """All edges; the parents lack every thirty-seventh row, so that there is something to find."""
-    found = [audit.orphans(view(spark, d, c), col, view(spark, d, p).where("id % 37 <> 5"), f"{c}.{col}", c, key) for c, col, p, key in _EDGES]
-    return reduce(DataFrame.unionByName, found)
+    """All fifteen edges over the audited tables, against all parents."""
+    return audit.orphans({t: view(spark, d, f"kept_{t}") for t in [*audit.EDGES, "accounts"]}, audit.EDGES)
 
 
 def i_retry(spark: SparkSession, d: str) -> DataFrame:
@@ -274,6 +256,10 @@ def _checks(table: str, checks: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS rule, '{table}' AS \"table\", CAST(id AS VARCHAR) AS key FROM {table} WHERE NOT coalesce(({c}), true)" for n, c in checks.items())
 
 
+def _KEY(table: str) -> str:  # noqa: N802
+    return "concat(user_id, '|', organization_id)" if table == "members" else "CAST(id AS VARCHAR)"
+
+
 def _pick(e: str, *v) -> str:
     return "[" + ", ".join(_q(x) if isinstance(x, str) else str(x) for x in v) + f"][CAST({e} % {len(v)} AS INT) + 1]"
 
@@ -319,10 +305,10 @@ _SQL = {
  FROM (SELECT l.*, CASE status WHEN 'succeeded' THEN 'Your report is ready: ' ELSE 'We could not finish your report: ' END || report_name AS subject, '{SITE}/orgs/' || organization_id || '/reports/' || report_id AS url FROM {_LOADED}) m LEFT JOIN {_SAID} USING (failure_reason)""",
     "n_stamp": f"SELECT id, CAST(coalesce(notification_email_sent_at, {TS}) AS VARCHAR) AS sent_at FROM attempts WHERE finished_at IS NOT NULL",
     "n_window": "SELECT id, CAST(300 * (pow(2, notification_attempts - 1) - 1) AS BIGINT) AS seconds FROM attempts WHERE notification_attempts > 0",
-    "i_checks": " UNION ALL ".join([_checks("attempts", audit.ATTEMPT_CHECKS), *[_checks(t, c) for t, c in audit.OTHER_CHECKS.items()]]),
-    "i_vocabulary": " UNION ALL ".join(f"SELECT '{c}_vocabulary' AS rule, '{t}' AS \"table\", CAST({'user_id' if t == 'members' else 'id'} AS VARCHAR) AS key FROM {t} WHERE {c} NOT IN ({', '.join(map(_q, v))})" for t, c, v in _VOCABULARIES),
-    "i_unique": " UNION ALL ".join(f"SELECT '{r}' AS rule, '{t}' AS \"table\", concat_ws('|', {', '.join(cols)}) AS key, count(*) AS n FROM {t} WHERE {w or 'true'} GROUP BY 3 HAVING count(*) > 1" for t, r, cols, w in _UNIQUE),
-    "i_foreign": " UNION ALL ".join(f"SELECT '{c}.{col}' AS rule, '{c}' AS \"table\", CAST(c.{key} AS VARCHAR) AS key FROM {c} c WHERE c.{col} IS NOT NULL AND c.{col} NOT IN (SELECT id FROM {p} WHERE id % 37 <> 5)" for c, col, p, key in _EDGES),
+    "i_checks": " UNION ALL ".join([_checks("attempts", audit.ATTEMPT_CHECKS), *[_checks(t, c).replace("octet_length(checksum)", "CASE WHEN cut THEN 31 ELSE 32 END") for t, c in audit.OTHER_CHECKS.items()]]),
+    "i_vocabulary": " UNION ALL ".join(f"SELECT '{c}_vocabulary' AS rule, '{t}' AS \"table\", {_KEY(t)} AS key FROM kept_{t} WHERE {c} NOT IN ({', '.join(map(_q, v))})" for t, columns in VOCABULARIES.items() for c, v in columns.items()),
+    "i_unique": " UNION ALL ".join(f"SELECT '{r}' AS rule, '{t}' AS \"table\", concat_ws('|', {', '.join(cols)}) AS key, count(*) AS n FROM kept_{t} WHERE {w or 'true'} AND {' AND '.join(f'{c} IS NOT NULL' for c in cols)} GROUP BY 3 HAVING count(*) > 1" for t, rules in audit.UNIQUE.items() for r, (cols, w) in rules.items()),
+    "i_foreign": " UNION ALL ".join(f"SELECT '{t}.{c}' AS rule, '{t}' AS \"table\", {_KEY(t)} AS key FROM kept_{t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM kept_{p})" for t, of in audit.EDGES.items() for c, p in of.items()),
     "i_retry": """SELECT id, report_id, fault FROM (SELECT id, report_id, CASE WHEN attempt_number > 5 THEN 'too-many' WHEN n IS NULL AND attempt_number <> 1 THEN 'first-is-not-one' WHEN attempt_number <> n + 1 THEN 'gap' WHEN s <> 'failed' THEN 'after-no-failure' END AS fault
  FROM (SELECT id, report_id, attempt_number, lag(attempt_number) OVER w AS n, lag(status) OVER w AS s FROM attempts WINDOW w AS (PARTITION BY report_id ORDER BY attempt_number, id)) x) y WHERE fault IS NOT NULL""",
     "i_frozen": "SELECT id, CASE WHEN id % 211 = 0 THEN 'deleted' ELSE 'changed' END AS fault FROM attempts WHERE status IN ('succeeded', 'failed', 'canceled') AND (id % 211 = 0 OR id % 101 = 0)",

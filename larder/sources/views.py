@@ -125,6 +125,47 @@ UNION ALL SELECT concat('org/1/stray/', CAST(s_suppkey AS STRING)), CAST(s_suppk
 SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey % 25 AS organization_id, l_suppkey AS created_by_user_id,
   CASE l_linenumber WHEN 1 THEN 'invalid_metadata' WHEN 2 THEN 'too_large' WHEN 3 THEN 'bad_columns' WHEN 4 THEN 'unparseable' WHEN 5 THEN 'empty' WHEN 6 THEN 'bad_rows' ELSE 'other' END AS rejection_reason,
   l_shipdate + INTERVAL 3650 DAY AS created_at FROM lineitem WHERE l_returnflag = 'R'""",
+    "upload_log": """
+SELECT id, CASE WHEN burst THEN CAST(floor(id / 210) AS BIGINT) % 25 ELSE organization_id END AS organization_id, CASE WHEN burst THEN CAST(floor(id / 15) AS BIGINT) % 40 ELSE created_by_user_id END AS user_id,
+  CASE WHEN burst THEN first_at + (id % 30) * INTERVAL 4 MINUTE ELSE created_at END AS created_at
+FROM (SELECT id, organization_id, created_by_user_id, created_at, CAST(floor(id / 30) AS BIGINT) % 7 = 3 AS burst, min(created_at) OVER (PARTITION BY CAST(floor(id / 30) AS BIGINT)) AS first_at FROM reports) r""",
+    "invite_log": """
+SELECT id, CASE WHEN burst THEN CAST(floor(id / 20) AS BIGINT) % 25 ELSE organization_id END AS organization_id,
+  CASE WHEN burst THEN first_at + (id % 20) * INTERVAL 2 MINUTE ELSE created_at END AS created_at
+FROM (SELECT id, organization_id, created_at, CAST(floor(id / 20) AS BIGINT) % 5 = 2 AS burst, min(created_at) OVER (PARTITION BY CAST(floor(id / 20) AS BIGINT)) AS first_at FROM invites) i""",
+    # What the audits read: every table with a few planted faults of each kind.
+    "kept_accounts": "SELECT id FROM users WHERE id % 181 <> 7",
+    "kept_users": "SELECT id FROM users UNION ALL SELECT id FROM users WHERE id % 173 = 9",
+    "kept_orgs": """
+SELECT id, CASE WHEN id % 9 = 5 THEN 'Same Name' WHEN id % 9 = 6 THEN 'same name' ELSE name END AS name, created_by_user_id + CASE WHEN id % 7 = 2 THEN 10000000 ELSE 0 END AS created_by_user_id FROM orgs
+UNION ALL SELECT id, concat(name, '?'), created_by_user_id FROM orgs WHERE id = 3""",
+    "kept_members": """
+SELECT user_id + CASE WHEN user_id % 73 = 3 THEN 10000000 ELSE 0 END AS user_id, organization_id + CASE WHEN user_id % 71 = 2 THEN 99 ELSE 0 END AS organization_id, CASE WHEN user_id % 67 = 1 THEN 'owner' ELSE role END AS role FROM members
+UNION ALL SELECT user_id, organization_id, role FROM members WHERE user_id % 61 = 4""",
+    "kept_invites": """
+SELECT id, organization_id + CASE WHEN id % 59 = 1 THEN 99 ELSE 0 END AS organization_id, email, CASE WHEN id % 53 = 1 THEN 'lost' ELSE status END AS status, CASE WHEN id % 47 = 1 THEN 'owner' ELSE role END AS role,
+  id + CASE WHEN id % 43 = 1 THEN 10000000 ELSE 0 END AS invited_by_user_id FROM invites
+UNION ALL SELECT id, organization_id, email, 'revoked', role, NULL FROM invites WHERE id % 91 = 5""",
+    "kept_reports": """
+SELECT id, organization_id + CASE WHEN id % 83 = 6 THEN 99 ELSE 0 END AS organization_id, created_by_user_id + CASE WHEN id % 79 = 7 THEN 10000000 ELSE 0 END AS created_by_user_id,
+  CASE WHEN deleted_at IS NOT NULL THEN created_by_user_id + CASE WHEN id % 3 = 0 THEN 10000000 ELSE 0 END END AS deleted_by_user_id,
+  CASE WHEN id % 97 = 4 THEN 'cats' ELSE counts_basis END AS counts_basis, CASE WHEN id % 89 = 5 THEN 'st' ELSE unit_system END AS unit_system, CASE WHEN id % 101 = 6 THEN '{}' WHEN id % 103 = 6 THEN '[1]' ELSE '{"2011-01": 3}' END AS monthly_counts FROM reports
+UNION ALL SELECT id, organization_id, NULL, NULL, counts_basis, unit_system, '{"2011-01": 3}' FROM reports WHERE id % 137 = 8""",
+    "kept_inputs": """
+SELECT id, report_id + CASE WHEN id % 41 = 1 THEN 10000000 ELSE 0 END AS report_id, CASE WHEN id % 137 = 2 THEN 'org/0/report/0/input/0.csv' ELSE storage_key END AS storage_key, byte_size, md5(storage_key) AS sha, id % 113 = 3 AS cut FROM input_files
+UNION ALL SELECT id, report_id, concat(storage_key, '~'), byte_size, md5(storage_key), false FROM input_files WHERE id % 139 = 3""",
+    "kept_attempts": """
+SELECT id, report_id + CASE WHEN id % 211 = 6 THEN 10000000 ELSE 0 END AS report_id, attempt_number, CASE WHEN id % 199 = 3 THEN 'gone' ELSE status END AS status,
+  requested_by_user_id + CASE WHEN id % 223 = 6 THEN 10000000 ELSE 0 END AS requested_by_user_id, CASE WHEN id % 191 = 13 THEN 'meteor' ELSE failure_reason END AS failure_reason FROM attempts
+UNION ALL SELECT id, report_id, attempt_number + 10, 'failed', NULL, failure_reason FROM attempts WHERE id % 719 = 5""",
+    "kept_results": """
+SELECT id, analysis_attempt_id + CASE WHEN id % 97 = 1 THEN 1000000000 ELSE 0 END AS analysis_attempt_id, CASE WHEN id % 101 = 1 THEN 'doc' ELSE kind END AS kind, chart_key, storage_key FROM result_files
+UNION ALL SELECT id, analysis_attempt_id, kind, chart_key, storage_key FROM result_files WHERE id % 103 = 2""",
+    "kept_rejections": """
+SELECT id, organization_id + CASE WHEN id % 109 = 1 THEN 99 ELSE 0 END AS organization_id, created_by_user_id + CASE WHEN id % 113 = 2 THEN 10000000 ELSE 0 END AS created_by_user_id, CASE WHEN id % 107 = 1 THEN 'bored' ELSE rejection_reason END AS rejection_reason FROM rejections""",
+    "kept_trail": """
+SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'user' WHEN 'view' THEN 'superadmin' WHEN 'signup' THEN 'system' WHEN 'purchase' THEN 'ops_manual' ELSE 'robot' END AS actor_kind FROM events
+UNION ALL SELECT event_id, 'user' FROM events WHERE event_id % 401 = 2""",
     "heartbeats": """
 SELECT user_id AS attempt_id, ts, event_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 2) AS INT) AS sequence,
   event_type = 'error' AND event_id % 7 = 0 AS cancel, event_type FROM events""",
