@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.functions import fixed
+
 SPACE = r"[\s\p{Z}\x{FEFF}\x0B]"
 """What the trimming rule removes: all Unicode space and the byte order mark, but not U+0085."""
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
@@ -105,6 +107,24 @@ def sign_in_url(site: str, email: Column) -> Column:
     return F.concat(F.lit(f"{site}/sign-in?email="), F.replace(F.url_encode(email), F.lit("+"), F.lit("%20")))
 
 
+def utf16_prefix(c: Column, n: int) -> Column:
+    """The first ``n`` UTF-16 units of a text, one fewer where that would keep half a pair."""
+    units = F.encode(c, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * n - 1, 1))
+    half = last.between("D8", "DB")
+    return F.when(F.octet_length(units) <= 2 * n, c).otherwise(F.decode(F.substring(units, F.lit(1), F.when(half, 2 * n - 2).otherwise(2 * n)), "UTF-16BE"))
+
+
+def file_extension(kind: Column) -> Column:
+    """What a result file's key ends in; null for another kind."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, (e, _) in fixed.RESULT_KINDS.items() for x in (k, e)]), kind)
+
+
+def content_type(kind: Column) -> Column:
+    """How a result file is served; null for another kind."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, (_, t) in fixed.RESULT_KINDS.items() for x in (k, t)]), kind)
+
+
 def is_month_key(c: Column) -> Column:
     """T12."""
     return c.rlike(MONTH_KEY)

@@ -9,21 +9,36 @@ from larder.functions import fixed
 from larder.operators.lifecycle import moment
 
 
+FEW = 100_000
+"""Organizations are given to each superadmin as a list up to so many."""
+
+
 def access(users: DataFrame, orgs: DataFrame, members: DataFrame) -> DataFrame:
     """Q3: user_id, organization_id, role: memberships, and every organization as admin for superadmins.
 
-    Superadmins are set by hand, a handful; their cross with the organizations
-    is as large as their rights.
+    Every pair of a superadmin and an organization is a row of the result, which
+    is what this table is; to check pairs or to count, ``check_access`` and
+    ``destinations`` go by the flag and make none.
     """
     supers = users.where("is_superadmin").select(F.col("id").alias("user_id"))
     own = members.join(supers, "user_id", "left_anti").select("user_id", "organization_id", "role")
-    all_ = F.broadcast(supers).crossJoin(orgs.select(F.col("id").alias("organization_id"))).withColumn("role", F.lit("admin"))
-    return own.unionByName(all_.select("user_id", "organization_id", "role"))
+    every = orgs.agg(F.collect_list("id").alias("ids")) if orgs.limit(FEW + 1).count() <= FEW else None
+    if every is not None:  # counted: each superadmin's row is given the list and expanded where it is
+        all_ = supers.join(F.broadcast(every)).select("user_id", F.explode("ids").alias("organization_id"))
+    else:
+        all_ = supers.join(orgs.select(F.col("id").alias("organization_id")))
+    return own.unionByName(all_.select("user_id", "organization_id", F.lit("admin").alias("role")))
 
 
-def check_access(pairs: DataFrame, granted: DataFrame) -> DataFrame:
-    """Q4: for pairs of user_id, organization_id, needs_admin: 200, 404 without access, 403 without the role."""
-    met = pairs.join(granted, ["user_id", "organization_id"], "left")
+def check_access(pairs: DataFrame, users: DataFrame, orgs: DataFrame, members: DataFrame) -> DataFrame:
+    """Q4: for pairs of user_id, organization_id, needs_admin: 200, 404 without access, 403 without the role.
+
+    A superadmin is an admin of every organization that exists.
+    """
+    supers = users.where("is_superadmin").select(F.col("id").alias("user_id"), F.lit(True).alias("super"))
+    there = orgs.select(F.col("id").alias("organization_id"), F.lit(True).alias("there"))
+    met = pairs.join(members.select("user_id", "organization_id", "role"), ["user_id", "organization_id"], "left").join(supers, "user_id", "left").join(there, "organization_id", "left")
+    met = met.withColumn("role", F.when(F.col("super"), F.when(F.col("there"), "admin")).otherwise(F.col("role"))).drop("super", "there")
     status = F.when(F.col("role").isNull(), 404).when(F.col("needs_admin") & (F.col("role") != "admin"), 403).otherwise(200)
     return met.withColumn("status", status)
 
@@ -33,12 +48,13 @@ def live_invites(invites: DataFrame, now: str) -> DataFrame:
     return invites.where((F.col("status") == "pending") & (F.col("expires_at") > moment(now)))
 
 
-def destinations(users: DataFrame, granted: DataFrame, live: DataFrame) -> DataFrame:
-    """Q5: where each user lands: a live invite first, then none, the single organization, or a choice."""
+def destinations(users: DataFrame, orgs: DataFrame, members: DataFrame, live: DataFrame) -> DataFrame:
+    """Q5: where each user lands: a live invite first, then none, the single organization, or a choice; superadmins have them all."""
     invited = live.select(F.lower("email").alias("email")).distinct().withColumn("invited", F.lit(True))
-    n = granted.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
-    met = users.select("id", F.lower("email").alias("email")).join(invited, "email", "left").join(n, "id", "left")
-    count = F.coalesce("n", F.lit(0))
+    n = members.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    met = users.select("id", F.lower("email").alias("email"), "is_superadmin").join(invited, "email", "left").join(n, "id", "left")
+    met = met.join(F.broadcast(orgs.agg(F.count("*").alias("every"))))  # one row
+    count = F.when(F.col("is_superadmin"), F.col("every")).otherwise(F.coalesce("n", F.lit(0)))
     where = F.when(F.col("invited"), "invite").when(count == 0, "none").when(count == 1, "single").otherwise("pick")
     return met.select("id", where.alias("destination"))
 

@@ -159,6 +159,14 @@ def child_reasons(errors: DataFrame, classes: DataFrame) -> DataFrame:
     return met.withColumns({"reason": F.coalesce("reason", F.lit("unknown")), "detail": said})
 
 
+def run_manifest(rows: DataFrame) -> DataFrame:
+    """Id, text - run documents from rows of id, uuid, name, site_name, counts_basis, unit_system, monthly_counts (map of month to count)."""
+    report = F.struct(
+        "name", F.col("site_name").alias("siteName"), F.col("counts_basis").alias("countsBasis"), F.col("unit_system").alias("unitSystem"), F.col("monthly_counts").alias("monthlyCounts"),
+    )
+    return rows.select("id", F.to_json(F.struct(F.col("uuid").alias("analysisAttemptId"), report.alias("report")), {"ignoreNullFields": "false"}).alias("text"))
+
+
 def result_payload(rows: DataFrame) -> DataFrame:
     """Attempt, payload - result documents from columns, the cost as text with four places."""
     ai = F.struct(

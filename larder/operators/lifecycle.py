@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
-from larder.functions.text import ago
+from larder.functions.text import ago, sign_in_url
 
 
 def moment(now: str) -> Column:
@@ -251,6 +251,45 @@ def outbox(messages: DataFrame, site: str, support: str, app: str) -> DataFrame:
     )
 
 
+def invite_messages(invites: DataFrame, orgs: DataFrame, users: DataFrame, site: str, app: str) -> DataFrame:
+    """Id, kind, recipient, subject, body of the invitations (id, organization_id, email, role, invited_by_user_id, expires_at).
+
+    An inviter who is gone or has no name is 'An admin'; the expiry is a date in UTC.
+    """
+    o = orgs.select(F.col("id").alias("organization_id"), F.col("name").alias("organization"))
+    u = users.select(F.col("id").alias("invited_by_user_id"), F.col("display_name").alias("inviter"))
+    met = invites.join(o, "organization_id").join(u, "invited_by_user_id", "left")
+    subject = F.concat(F.lit("Join "), F.col("organization"), F.lit(f" on {app}"))
+    said = F.concat(F.coalesce("inviter", F.lit("An admin")), F.lit(" invited you to join "), F.col("organization"), F.lit(". Sign in with this email address to accept."))
+    facts = F.concat_ws(
+        "\n", F.concat(F.lit("Organization: "), "organization"), F.concat(F.lit("Role: "), F.initcap("role")), F.concat(F.lit("Expires: "), F.date_format("expires_at", "MMMM d, yyyy")),
+    )
+    link = F.concat(F.lit("Accept the invitation: "), sign_in_url(site, F.col("email")))
+    return met.select("id", F.lit("organization-invite").alias("kind"), F.col("email").alias("recipient"), subject.alias("subject"), F.concat_ws("\n\n", subject, said, link, facts, F.lit(f"— {app}")).alias("body"))
+
+
+NOTICES = {
+    "organization-created": ("New organization: ", None, "Organization", "Created by"),
+    "organization-deleted": ("Organization deleted: ", "Its reports and input files were deleted with it. No user accounts were.", "Organization", "Deleted by"),
+    "user-deleted": ("User deleted: ", "Their reports remain with their organizations, showing a deleted user as the submitter.", "Account", None),
+}
+"""Heading, paragraph and the labels of what it is about and who did it."""
+
+
+def notices(events: DataFrame, operator: str, address: str, app: str) -> DataFrame:
+    """Id, kind, recipient, subject, body of the three notices to the operating company.
+
+    ``events``: id, what (a key of NOTICES), name (of the organization, or the
+    user's address), actor_email. ``operator`` stands ahead of each kind.
+    """
+    rows = [(k, *v) for k, v in NOTICES.items()]
+    said = events.sparkSession.createDataFrame(rows, "what string, heading string, said string, about string, by string")
+    met = events.join(F.broadcast(said), "what")
+    subject = F.concat("heading", "name")
+    facts = F.concat_ws("\n", F.concat("about", F.lit(": "), "name"), F.concat("by", F.lit(": "), "actor_email"))
+    return met.select("id", F.concat(F.lit(f"{operator}-"), "what").alias("kind"), F.lit(address).alias("recipient"), subject.alias("subject"), F.concat_ws("\n\n", subject, "said", facts, F.lit(f"— {app}")).alias("body"))
+
+
 def retry_window(n: Column, base: int = fixed.NOTIFY_BASE_SECONDS) -> Column:
     """Seconds until the last of n tries: base * (2 ** (n - 1) - 1)."""
     return (F.lit(base) * (F.pow(F.lit(2), n - 1) - 1)).cast("long")

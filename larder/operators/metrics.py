@@ -33,6 +33,21 @@ def costs(attempts: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
+def model_costs(attempts: DataFrame) -> DataFrame:
+    """M3: by model and month: tokens, exact cost and attempts."""
+    done = attempts.where(F.col("ai_model").isNotNull()).withColumn("month", F.date_format("finished_at", "yyyy-MM"))
+    return done.groupBy("ai_model", "month").agg(
+        F.sum("ai_input_tokens").alias("input_tokens"), F.sum("ai_output_tokens").alias("output_tokens"), F.sum("ai_cost_usd").alias("cost"), F.count("*").alias("n"),
+    )
+
+
+def rejection_rates(rejections: DataFrame, reports: DataFrame) -> DataFrame:
+    """M6: by organization: uploads, those rejected, and their share; an upload is a report or a rejection."""
+    both = rejections.select("organization_id", F.lit(1).alias("rejected")).unionByName(reports.select("organization_id", F.lit(0).alias("rejected")))
+    n = both.groupBy("organization_id").agg(F.count("*").alias("uploads"), F.sum("rejected").alias("rejected"))
+    return n.withColumn("rate", F.col("rejected") / F.col("uploads"))
+
+
 def failure_rates(attempts: DataFrame, alert: float) -> DataFrame:
     """M4: per month: finished, failed, rate, alert; and the failures by reason as a map."""
     done = attempts.where(F.col("finished_at").isNotNull()).withColumn("month", F.date_format("finished_at", "yyyy-MM"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
-from larder.functions.text import MONTH_KEY, blank_to_null, number_text, oxford_list, trim, utf16_length
+from larder.functions.text import MONTH_KEY, blank_to_null, number_text, oxford_list, trim, utf16_length, utf16_prefix
 
 
 def escape_field(c: Column) -> Column:
@@ -81,5 +81,5 @@ def verdict(files: DataFrame, unreadable: DataFrame, rejected: DataFrame, months
 
 
 def stored_filename(c: Column) -> Column:
-    """V22."""
-    return F.substring(c, 1, fixed.MAX_ORIGINAL_FILENAME_LENGTH)
+    """The first UTF-16 units of a long name."""
+    return utf16_prefix(c, fixed.MAX_ORIGINAL_FILENAME_LENGTH)

@@ -44,6 +44,17 @@ def d_tokenize(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("upload", "line", "product", "date", "weight")
 
 
+CAP = 4
+
+
+def d_row_cap(spark: SparkSession, d: str) -> DataFrame:
+    """With a cap of a few rows, the files that have more; nothing of them is read."""
+    decoded = settle(uploads.decode(uploads.write_out(view(spark, d, "cells"))), "decoded")
+    rows, later = uploads.data_rows(decoded, settle(uploads.find_layout(decoded), "layouts"), cap=CAP)
+    kept = rows.groupBy("upload").agg(F.count("*").alias("n"))
+    return later.join(kept, "upload", "left").select("upload", "file_fault", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def d_layout(spark: SparkSession, d: str) -> DataFrame:
     decoded = uploads.decode(_files(spark, d))
     return uploads.find_layout(decoded).select("upload", "delimiter", "header_line", "width", "layout_fault", "parse_fault", "parse_line")
@@ -69,7 +80,7 @@ def v_verdict(spark: SparkSession, d: str) -> DataFrame:
     return submission.verdict(files, unreadable, read["rejected"], read["months"], view(spark, d, "forms"))
 
 
-QUERIES = {"d_decode": d_decode, "d_tokenize": d_tokenize, "d_layout": d_layout, "f_unreadable": f_unreadable, "v_verdict": v_verdict}
+QUERIES = {"d_decode": d_decode, "d_tokenize": d_tokenize, "d_row_cap": d_row_cap, "d_layout": d_layout, "f_unreadable": f_unreadable, "v_verdict": v_verdict}
 
 _KIND = "upload % 101"
 _UPLOADS = "(SELECT DISTINCT upload FROM cells) u"
@@ -98,6 +109,7 @@ def _case(i: int) -> str:
 _BROKEN = ", ".join(map(str, _EXPECTED))
 ORACLE_SQL = {
     "d_decode": with_views(f"SELECT upload, CASE {_KIND} WHEN 3 THEN 'signature-xlsx' WHEN 17 THEN 'blank' WHEN 29 THEN 'control-character' WHEN 31 THEN 'empty' END AS gate, CASE {_KIND} WHEN 29 THEN 2 END AS control_code, CASE {_KIND} WHEN 29 THEN 22 END AS control_offset FROM {_UPLOADS}"),
+    "d_row_cap": with_views(f"SELECT upload, CASE WHEN count(*) > {CAP} THEN 'too-many-rows' END AS file_fault, CASE WHEN count(*) > {CAP} THEN 0 ELSE count(*) END AS n FROM cells GROUP BY 1"),
     "d_tokenize": with_views("SELECT upload, line, product, date, weight FROM cells"),
     "d_layout": with_views(f"""SELECT upload, CASE WHEN {_KIND} IN (13) THEN ',' WHEN {_KIND} IN ({_BROKEN}) THEN NULL ELSE [',', ';', chr(9), '|'][upload % 4 + 1] END AS delimiter,
   CASE WHEN {_KIND} IN (5, 7, 11, 19, 23, 37) THEN NULL ELSE 1 END AS header_line, CASE WHEN {_KIND} IN (5, 7, 11, 19, 23, 37) THEN NULL ELSE 3 END AS width,

@@ -72,6 +72,19 @@ def v_output_line(spark: SparkSession, d: str) -> DataFrame:
     return _all(spark, d)["accepted"].select("upload", "line", submission.output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("text"))
 
 
+def _widths(spark: SparkSession, d: str) -> DataFrame:
+    cells = view(spark, d, "cells")
+    odd = (F.col("upload") + F.col("line")) % 29 == 4
+    return cells.withColumns({"expected": F.lit(3), "actual": F.when(odd, F.when(F.col("line") % 2 == 0, 2).otherwise(5)).otherwise(3)})
+
+
+def v_width(spark: SparkSession, d: str) -> DataFrame:
+    """V1: rows with other widths than the header's, folded and worded; they have no other problem."""
+    parts = findings.normalize(rules.read_cells(_widths(spark, d), NOW), NOW)
+    n = parts["groups"].select("upload", "key", "n")
+    return parts["worded"].where(F.col("key").startswith("width")).select("upload", "key", "rule").join(n, ["upload", "key"])
+
+
 def v_coverage(spark: SparkSession, d: str) -> DataFrame:
     months = _all(spark, d)["months"]
     counted = months.withColumn("counts", F.map_from_arrays(F.filter("months", lambda m: F.substring(m, 6, 2) != "07"), F.transform(F.filter("months", lambda m: F.substring(m, 6, 2) != "07"), lambda m: F.lit(1))))
@@ -111,7 +124,7 @@ def f_rejection(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "v_product": v_product, "v_weight": v_weight, "v_date": v_date, "v_too_long": v_too_long, "v_order": v_order,
     "v_resolve": v_resolve, "v_both_readings": v_both_readings, "v_accepted": v_accepted, "v_months": v_months,
-    "v_output_line": v_output_line, "v_coverage": v_coverage, "f_findings": f_findings, "f_failing_rows": f_failing_rows,
+    "v_output_line": v_output_line, "v_width": v_width, "v_coverage": v_coverage, "f_findings": f_findings, "f_failing_rows": f_failing_rows,
     "f_problem_words": f_problem_words, "f_order_problem": f_order_problem, "f_rejection": f_rejection,
 }
 
@@ -242,6 +255,7 @@ ORACLE_SQL = {
     "v_both_readings": sql("SELECT upload, line, printf('%04d-%02d-%02d', year, second, first) AS day_first, printf('%04d-%02d-%02d', year, first, second) AS month_first FROM readc WHERE date_kind = 'numeric' AND first <= 12 AND second <= 12"),
     "v_accepted": sql("SELECT * FROM accepted"),
     "v_months": sql("SELECT upload, array_to_string(months, ',') AS months FROM months"),
+    "v_width": sql("SELECT upload, 'width|' || actual AS key, 'Has ' || actual || ' columns where the header has 3' AS rule, count(*) AS n FROM (SELECT upload, CASE WHEN line % 2 = 0 THEN 2 ELSE 5 END AS actual FROM cells WHERE (upload + line) % 29 = 4) x GROUP BY 1, 2, 3"),
     "v_output_line": sql(f"SELECT upload, line, CASE WHEN regexp_matches(product, '[\",\\n]') THEN '\"' || replace(product, '\"', '\"\"') || '\"' ELSE product END || ',' || iso || ',' || {_NUMBER} AS text FROM accepted"),
     "v_coverage": sql("""SELECT upload, 'Your file has orders in ' || CASE len(m) WHEN 1 THEN m[1] WHEN 2 THEN m[1] || ' and ' || m[2] ELSE array_to_string(m[1:-2], ', ') || ', and ' || m[-1] END || ', but you did not give a count for ' || CASE len(m) WHEN 1 THEN 'that month' ELSE 'those months' END || '.' AS summary,
  'months in the file with no count: ' || array_to_string(m, ', ') AS detail FROM (SELECT upload, [x FOR x IN months IF x[6:7] = '07'] AS m FROM months) a WHERE len(m) > 0"""),

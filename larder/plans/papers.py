@@ -73,6 +73,29 @@ def j_payload(spark: SparkSession, d: str) -> DataFrame:
     return documents.check_result(documents.result_payload(a)).select("id", "message", F.get_json_object("text", "$.ai.costUsd").alias("cost"))
 
 
+def j_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Run documents written from rows and checked again: none has an issue."""
+    r = view(spark, d, "reports").withColumns({"uuid": F.lit(_ID), "site_name": F.when(F.col("id") % 2 == 0, F.concat(F.lit("Site "), "name")), "monthly_counts": F.create_map(F.date_format("created_at", "yyyy-MM"), F.col("id"))})
+    return documents.check_run(documents.run_manifest(r)).select("id", "message", F.get_json_object("text", "$.report.siteName").alias("site"), F.get_json_object("text", "$.report.monthlyCounts").alias("counts"))
+
+
+def t_filenames(spark: SparkSession, d: str) -> DataFrame:
+    """Long names, each with as many characters of two units ahead as its turn says, cut by units."""
+    c = view(spark, d, "conversations").select("conv_id", "turn", F.concat(F.repeat(F.lit("😀"), F.col("turn").cast("int") * 21), "text").alias("name"))
+    cut = submission.stored_filename(F.col("name"))
+    return c.select("conv_id", "turn", F.length(cut).cast("long").alias("characters"), text.utf16_length(cut).cast("long").alias("units"))
+
+
+def t_formats(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "result_files").select("id", text.file_extension(F.col("kind")).alias("extension"), text.content_type(F.col("kind")).alias("content_type"))
+
+
+def v_site(spark: SparkSession, d: str) -> DataFrame:
+    """Site names of forms: trimmed, a blank one is null."""
+    r = view(spark, d, "reports").withColumn("site_name", F.when(F.col("id") % 3 == 0, F.concat(F.lit("  "), "name", F.lit(" "))).when(F.col("id") % 3 == 1, " \t"))
+    return submission.check_metadata(r.withColumn("counts", F.lit('{"2026-01": 1}'))).select("id", "site", F.array_join("bad_fields", ",").alias("bad_fields"))
+
+
 # A hierarchy of error classes: five at the top, then each supplier's below that of a quarter of its number; some have a second parent.
 _CLASSES = """
 SELECT CASE s_suppkey WHEN 1 THEN 'UpstreamApiError' WHEN 2 THEN 'UnusableDataError' WHEN 3 THEN 'InvalidInputError' WHEN 4 THEN 'ContractError' ELSE concat('E', CAST(s_suppkey AS STRING)) END AS class,
@@ -131,7 +154,7 @@ def v_metadata(spark: SparkSession, d: str) -> DataFrame:
     return submission.check_metadata(forms).select("id", F.array_join("bad_fields", ",").alias("bad_fields"))
 
 
-QUERIES = {f.__name__: f for f in (j_run, j_progress, j_result, j_failure, j_payload, j_reasons, t_words, t_numbers, t_links, t_uuid, v_metadata)}
+QUERIES = {f.__name__: f for f in (j_run, j_progress, j_result, j_failure, j_payload, j_reasons, j_manifest, t_filenames, t_formats, v_site, t_words, t_numbers, t_links, t_uuid, v_metadata)}
 
 
 def _said(key: str, source: str, faults: list[tuple[str, str]], broken: str = "false") -> str:
@@ -160,6 +183,10 @@ _SQL = {
     "j_reasons": f"""WITH RECURSIVE classes AS ({_CLASSES}), up AS (SELECT class, class AS ancestor FROM classes UNION SELECT u.class, parent FROM up u JOIN classes c ON u.ancestor = c.class WHERE parent IS NOT NULL)
 SELECT event_id, coalesce(reason, 'unknown') AS reason, CASE WHEN message = '' THEN class || '()' ELSE message END AS detail FROM ({_ERRORS}) e
  LEFT JOIN (SELECT class, ['upstream_api', 'unusable_data', 'contract_violation', 'contract_violation'][min(list_position({list(fixed.CHILD_ERRORS)}, ancestor))] AS reason FROM up WHERE ancestor IN ({", ".join(f"'{c}'" for c in fixed.CHILD_ERRORS)}) GROUP BY 1) r USING (class)""",
+    "j_manifest": "SELECT id, '' AS message, CASE WHEN id % 2 = 0 THEN 'Site ' || name END AS site, '{\"' || strftime(created_at, '%Y-%m') || '\":' || id || '}' AS counts FROM reports",
+    "t_filenames": "SELECT conv_id, turn, CASE WHEN n >= 255 THEN 127 ELSE 21 * turn + least(length(text), 255 - n) END AS characters, CASE WHEN n >= 255 THEN 254 ELSE n + least(length(text), 255 - n) END AS units FROM (SELECT *, 42 * turn AS n FROM conversations) c",
+    "t_formats": "SELECT id, " + " ".join(["CASE kind", *[f"WHEN '{k}' THEN '{e}'" for k, (e, _) in fixed.RESULT_KINDS.items()], "END AS extension, CASE kind", *[f"WHEN '{k}' THEN '{t}'" for k, (_, t) in fixed.RESULT_KINDS.items()], "END AS content_type FROM result_files"]),
+    "v_site": "SELECT id, CASE WHEN id % 3 = 0 THEN name END AS site, '' AS bad_fields FROM reports",
     "j_payload": "SELECT id, '' AS message, CAST(ai_cost_usd AS VARCHAR) AS cost FROM attempts WHERE ai_model IS NOT NULL",
     "t_words": "SELECT conv_id, turn, length(text) AS units, length(trim(text, chr(10) || chr(9) || ' ')) AS trimmed, least(length(text), 255) AS name_length, upper(text[1:1]) || lower(text[2:]) AS capitalized FROM conversations",
     "t_numbers": "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity, format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)) AS grouped FROM lineitem",

@@ -47,12 +47,12 @@ def q_access(spark: SparkSession, d: str) -> DataFrame:
 
 def q_check(spark: SparkSession, d: str) -> DataFrame:
     pairs = view(spark, d, "reports").select(F.col("created_by_user_id").alias("user_id"), "organization_id", (F.col("id") % 2 == 0).alias("needs_admin")).distinct()
-    return access.check_access(pairs, _granted(spark, d)).select("user_id", "organization_id", "needs_admin", "status")
+    return access.check_access(pairs, view(spark, d, "users"), view(spark, d, "orgs"), view(spark, d, "members")).select("user_id", "organization_id", "needs_admin", "status")
 
 
 def q_destination(spark: SparkSession, d: str) -> DataFrame:
     users = view(spark, d, "users").withColumn("email", F.when(F.col("id") % 3 == 0, F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@example.org"))).otherwise(F.col("email")))
-    return access.destinations(users, _granted(spark, d), _live(spark, d))
+    return access.destinations(users, view(spark, d, "orgs"), view(spark, d, "members"), _live(spark, d))
 
 
 def q_live_invites(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,8 @@ def q_org_allowance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_permissions(spark: SparkSession, d: str) -> DataFrame:
-    return access.permissions(view(spark, d, "members"))
+    """What everyone may do where, superadmins too."""
+    return access.permissions(_granted(spark, d))
 
 
 def q_trail(spark: SparkSession, d: str) -> DataFrame:
@@ -149,6 +150,14 @@ def m_costs(spark: SparkSession, d: str) -> DataFrame:
     return metrics.costs(view(spark, d, "attempts"), view(spark, d, "reports")).withColumn("cost", F.col("cost").cast("string"))
 
 
+def m_model_costs(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.model_costs(view(spark, d, "attempts")).withColumn("cost", F.col("cost").cast("string"))
+
+
+def m_rejection_rate(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.rejection_rates(view(spark, d, "rejections"), view(spark, d, "reports")).withColumn("rate", F.round("rate", 6))
+
+
 def m_failure_rate(spark: SparkSession, d: str) -> DataFrame:
     return metrics.failure_rates(view(spark, d, "attempts"), 0.7)
 
@@ -207,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q_closure, q_forget, q_access, q_check, q_destination, q_live_invites, q_invite_state, q_reports, q_detail, q_timeline, q_input_links, q_result_links, q_soft_delete, q_sole_admins,
-        q_roster, q_allowance, q_rate_breaks, q_org_allowance, q_permissions, q_trail, q_screen, q_retryable, m_cumulative, m_durations, m_costs, m_failure_rate, m_failure_reasons, m_waiting,
+        q_roster, q_allowance, q_rate_breaks, q_org_allowance, q_permissions, q_trail, q_screen, q_retryable, m_cumulative, m_durations, m_costs, m_model_costs, m_rejection_rate, m_failure_rate, m_failure_reasons, m_waiting,
         m_rejections, m_weight, m_per_person, m_top, m_category, m_review, m_counters, m_units,
     )
 }
@@ -255,12 +264,14 @@ _SQL = {
         for what, log, by, name, seconds, most in (("uploads", "upload_log", "organization_id", "hour", 3600, 5), ("uploads", "upload_log", "organization_id", "week", 604800, 20), ("uploads", "upload_log", "user_id", "hour", 3600, 5), ("uploads", "upload_log", "user_id", "week", 604800, 20), ("invites", "invite_log", "organization_id", "hour", 3600, 5))
     ),
     "q_org_allowance": "SELECT id, 5 - organizations_created_count AS \"left\" FROM users",
-    "q_permissions": f"SELECT user_id, organization_id, permission FROM members JOIN (VALUES {_PERM}) v(role, permission) USING (role)",
+    "q_permissions": f"SELECT user_id, organization_id, permission FROM granted JOIN (VALUES {_PERM}) v(role, permission) USING (role)",
     "q_trail": "SELECT user_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) x WHERE place <= 10",
     "q_screen": f"SELECT report_id, CASE WHEN status = 'pending' THEN 'queued' WHEN status = 'failed' THEN 'failed-' || coalesce(follow_up, 'contact') ELSE status END AS state, coalesce(epoch({TS}) - epoch(CASE status WHEN 'pending' THEN created_at WHEN 'processing' THEN claimed_at END) > 3600, false) AS overrun, status IN ('succeeded', 'failed', 'canceled') AS may_retry FROM latest LEFT JOIN (VALUES {_FOLLOW}) v(failure_reason, follow_up) USING (failure_reason)",
     "q_retryable": "SELECT report_id, attempt_number + 1 AS next_number FROM latest WHERE status = 'failed' AND attempt_number < 5 AND report_id IN (SELECT id FROM reports WHERE deleted_at IS NULL) AND report_id NOT IN (SELECT report_id FROM attempts WHERE status IN ('pending', 'processing'))",
     "m_cumulative": "SELECT CAST(CAST(p AS TIMESTAMP) AS VARCHAR) AS period, n, CAST(sum(n) OVER (ORDER BY p) AS BIGINT) AS total FROM (SELECT date_trunc('month', created_at) AS p, count(*) AS n FROM reports GROUP BY 1) x",
     "m_durations": "SELECT CAST(CAST(date_trunc('day', created_at) AS TIMESTAMP) AS VARCHAR) AS day, " + ", ".join(f"quantile_cont({e}, {p}) AS {n}_p{int(p * 100)}" for n, e in {"wait": "epoch(claimed_at) - epoch(created_at)", "run": "epoch(finished_at) - epoch(claimed_at)", "total": "epoch(finished_at) - epoch(created_at)"}.items() for p in (0.5, 0.9)) + " FROM attempts GROUP BY date_trunc('day', created_at)",
+    "m_model_costs": "SELECT ai_model, strftime(finished_at, '%Y-%m') AS month, CAST(sum(ai_input_tokens) AS BIGINT) AS input_tokens, CAST(sum(ai_output_tokens) AS BIGINT) AS output_tokens, CAST(sum(ai_cost_usd) AS VARCHAR) AS cost, count(*) AS n FROM attempts WHERE ai_model IS NOT NULL GROUP BY 1, 2",
+    "m_rejection_rate": "SELECT organization_id, count(*) AS uploads, CAST(sum(r) AS BIGINT) AS rejected, round(sum(r) / count(*), 6) AS rate FROM (SELECT organization_id, 1 AS r FROM rejections UNION ALL SELECT organization_id, 0 FROM reports) x GROUP BY 1",
     "m_costs": "SELECT organization_id, strftime(finished_at, '%Y-%m') AS month, CAST(sum(ai_input_tokens) AS BIGINT) AS input_tokens, CAST(sum(ai_output_tokens) AS BIGINT) AS output_tokens, CAST(sum(ai_cost_usd) AS VARCHAR) AS cost, count(*) AS n FROM attempts a JOIN reports r ON r.id = report_id WHERE ai_model IS NOT NULL GROUP BY ROLLUP (organization_id, strftime(finished_at, '%Y-%m'))",
     "m_failure_rate": "SELECT strftime(finished_at, '%Y-%m') AS month, count(*) AS finished, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'failed') / count(*) AS rate, count(*) FILTER (status = 'failed') / count(*) > 0.7 AS alert FROM attempts WHERE finished_at IS NOT NULL GROUP BY 1",
     "m_failure_reasons": "SELECT failure_reason, count(*) AS n FROM attempts WHERE status = 'failed' GROUP BY 1",

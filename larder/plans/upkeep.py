@@ -144,6 +144,21 @@ def n_outbox(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.outbox(_messages(spark, d), SITE, SUPPORT, APP)
 
 
+def n_invites(spark: SparkSession, d: str) -> DataFrame:
+    """Invitations, a third of them from users who are gone."""
+    i = view(spark, d, "invites").withColumn("invited_by_user_id", F.col("id") + F.when(F.col("id") % 3 == 1, 10_000_000).otherwise(0))
+    return lifecycle.invite_messages(i, view(spark, d, "orgs"), view(spark, d, "users"), SITE, APP)
+
+
+def n_notices(spark: SparkSession, d: str) -> DataFrame:
+    """A notice for each organization that is made or goes, and for each user who goes."""
+    u = view(spark, d, "users").select(F.col("id").alias("who"), F.col("email").alias("actor_email"))
+    o = view(spark, d, "orgs").join(u, F.col("created_by_user_id") == F.col("who"))
+    made = o.select("id", F.when(F.col("id") % 2 == 0, "organization-created").otherwise("organization-deleted").alias("what"), "name", "actor_email")
+    gone = u.select(F.col("who").alias("id"), F.lit("user-deleted").alias("what"), F.col("actor_email").alias("name"), F.lit(None).cast("string").alias("actor_email"))
+    return lifecycle.notices(made.unionByName(gone), "ops", "ops@example.org", APP)
+
+
 def n_stamp(spark: SparkSession, d: str) -> DataFrame:
     """Sent stamps, written only where none is yet."""
     a = view(spark, d, "attempts").where("finished_at IS NOT NULL").select("id", F.col("notification_email_sent_at").alias("was"), F.col("notification_email_sent_at").alias("sent_at"))
@@ -228,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a_claim, a_inputs, a_renew, a_terminal, a_expired, a_reap, a_cancel, a_verdict, a_errors, a_apply, a_explain, a_claimants, a_missing_files, a_integrity, a_parked,
-        n_due, n_candidates, n_load, n_outbox, n_stamp, n_window, i_checks, i_vocabulary, i_unique, i_foreign, i_retry, i_frozen, i_append, i_admins, i_counters, i_no_input,
+        n_due, n_candidates, n_load, n_outbox, n_invites, n_notices, n_stamp, n_window, i_checks, i_vocabulary, i_unique, i_foreign, i_retry, i_frozen, i_append, i_admins, i_counters, i_no_input,
         i_deleted_retry, i_objects, i_keys,
     )
 }
@@ -303,6 +318,14 @@ _SQL = {
  concat_ws(chr(10) || chr(10), subject, CASE WHEN status = 'succeeded' THEN concat_ws(chr(10) || chr(10), 'We have finished analysing your procurement data.', 'View your report: ' || url, 'Download the PDF: {SITE}/file/result/' || pdf_id || chr(10) || 'Download the Excel sheet: {SITE}/file/result/' || xlsx_id)
  ELSE concat_ws(chr(10) || chr(10), what_happened, follow_up_text, CASE WHEN follow_up = 'retry' THEN 'Try again: ' || url END, 'Contact us: mailto:{SUPPORT}') END, '— {APP}') AS body
  FROM (SELECT l.*, CASE status WHEN 'succeeded' THEN 'Your report is ready: ' ELSE 'We could not finish your report: ' END || report_name AS subject, '{SITE}/orgs/' || organization_id || '/reports/' || report_id AS url FROM {_LOADED}) m LEFT JOIN {_SAID} USING (failure_reason)""",
+    "n_invites": f"""SELECT i.id, 'organization-invite' AS kind, i.email AS recipient, 'Join ' || o.name || ' on {APP}' AS subject,
+ concat_ws(chr(10) || chr(10), 'Join ' || o.name || ' on {APP}', coalesce(u.display_name, 'An admin') || ' invited you to join ' || o.name || '. Sign in with this email address to accept.', 'Accept the invitation: {SITE}/sign-in?email=' || replace(i.email, '@', '%40'),
+ 'Organization: ' || o.name || chr(10) || 'Role: ' || CASE i.role WHEN 'admin' THEN 'Admin' ELSE 'Member' END || chr(10) || 'Expires: ' || strftime(expires_at, '%B %-d, %Y'), '— {APP}') AS body
+ FROM invites i JOIN orgs o ON o.id = organization_id LEFT JOIN users u ON u.id = i.id AND i.id % 3 <> 1""",
+    "n_notices": f"""SELECT o.id, CASE WHEN o.id % 2 = 0 THEN 'ops-organization-created' ELSE 'ops-organization-deleted' END AS kind, 'ops@example.org' AS recipient, CASE WHEN o.id % 2 = 0 THEN 'New organization: ' ELSE 'Organization deleted: ' END || name AS subject,
+ concat_ws(chr(10) || chr(10), CASE WHEN o.id % 2 = 0 THEN 'New organization: ' ELSE 'Organization deleted: ' END || name, CASE WHEN o.id % 2 = 1 THEN 'Its reports and input files were deleted with it. No user accounts were.' END, 'Organization: ' || name || chr(10) || CASE WHEN o.id % 2 = 0 THEN 'Created by: ' ELSE 'Deleted by: ' END || email, '— {APP}') AS body
+ FROM orgs o JOIN users u ON u.id = created_by_user_id
+ UNION ALL SELECT id, 'ops-user-deleted', 'ops@example.org', 'User deleted: ' || email, concat_ws(chr(10) || chr(10), 'User deleted: ' || email, 'Their reports remain with their organizations, showing a deleted user as the submitter.', 'Account: ' || email, '— {APP}') FROM users""",
     "n_stamp": f"SELECT id, CAST(coalesce(notification_email_sent_at, {TS}) AS VARCHAR) AS sent_at FROM attempts WHERE finished_at IS NOT NULL",
     "n_window": "SELECT id, CAST(300 * (pow(2, notification_attempts - 1) - 1) AS BIGINT) AS seconds FROM attempts WHERE notification_attempts > 0",
     "i_checks": " UNION ALL ".join([_checks("attempts", audit.ATTEMPT_CHECKS), *[_checks(t, c).replace("octet_length(checksum)", "CASE WHEN cut THEN 31 ELSE 32 END") for t, c in audit.OTHER_CHECKS.items()]]),
