@@ -186,12 +186,14 @@ def references(docs: DataFrame, total: int = REFERENCE_BYTES, most: int = PIECE_
     start = F.pmod(F.col("h"), F.greatest(F.octet_length("raw") - most + 1, F.lit(1))).cast("int") + 1
     known = known.select("lang", "doc_id", "h", F.substring(F.col("raw"), start, F.lit(most)).alias("piece"))
     size = F.octet_length("piece") + 1
-    counts = known.groupBy("lang").agg(F.sum(size).alias("n"))
+    # Rows that repeat an identifier and its text share a hash and a piece: they count, and are taken, once.
+    counts = known.groupBy("lang", "h").agg(F.max(size).alias("size")).groupBy("lang").agg(F.sum("size").alias("n"))
     # About four times the bytes asked for and 64 pieces, picked by hash, so that little is sorted; the limit by row
     # is applied in each task first, so rows that share a hash are no group for one task either.
     picked = known.join(counts, "lang").where(
         F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(float((4 * total + 64 * most) * (1 << 40))) / F.col("n") + F.lit(1)
     )
+    picked = picked.dropDuplicates(["lang", "h", "piece"])
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "piece")
     first = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= REFERENCE_ROWS)
     before = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -26,3 +26,16 @@ def test_rare_short_and_long_rows(spark):
     found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out or lang = 'rare'")
     assert found.where("lang = lang_pred").count() >= 0.97 * found.count()
     assert found.where("lang = 'rare' and lang_pred <> 'rare'").count() == 0
+
+
+def test_repeated_rows_do_not_crowd_out_a_language(spark):
+    """600 repeats of one row, whatever its identifier: its language is learned, and the others too."""
+    rng = random.Random(4)
+    spanish = " ".join("".join(rng.choice("ñaeirs") for _ in range(5)) for _ in range(1000))
+    english = [(1000 + i, "".join(rng.choice("thwonk ") for _ in range(300)), "en") for i in range(50)]
+    import zlib
+
+    for doc_id in [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:20]:
+        docs = spark.createDataFrame([(doc_id, spanish, "es")] * 600 + english, "doc_id long, text string, lang string").coalesce(2)
+        learned = dict(language_id.references(docs))
+        assert set(learned) == {"en", "es"} and len(learned["es"]) == language_id.PIECE_BYTES, doc_id
