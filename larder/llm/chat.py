@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -24,21 +24,28 @@ MARKERS = {k: rf"(?i)^\W{{0,4}}(?:{names}){_AFTER}" for k, names in _NAMES.items
 LETTERS = ["s", "u", "a"]
 """The marker of each role."""
 STRIP = rf"(?i)^\W{{0,4}}(?:{'|'.join(_NAMES.values())}){_AFTER}[:|>\]]? ?"
+FEATURES = ["suaon", "gh", "Ul", "Ls"]
+"""The letters of a symbol: marker, whether a blank line stands before, how the line begins, its length."""
+UNSEEN = 0.01
+"""Count of a symbol that a state has not been seen with: little, as a marker of another role says more than a rare start."""
 BLOCK = 64
 """Turns of a conversation that one task decodes at a time; a conversation is decoded as a whole."""
 
 
-def observe(lines: Column) -> Column:
+def observe(lines: Column, opens: Column | None = None) -> Column:
     """For each line of an array a symbol: its marker, whether a blank line stands before it, how it begins, its length.
 
-    Blank lines have the symbol '-'.
+    Blank lines have the symbol '-'. A transcript begins as after a blank line; for
+    a further part of one, ``opens`` says whether the line before it was blank
+    (null: there is none).
     """
+    begins_open = F.lit(True) if opens is None else F.coalesce(opens, F.lit(True))
 
     def symbol(line: Column, i: Column) -> Column:
         marker = F.lit("n")
         for name, pattern in reversed(MARKERS.items()):
             marker = F.when(line.rlike(pattern), name).otherwise(marker)
-        before = F.when(i == 0, "f").when(F.trim(F.get(lines, i - 1)) == "", "g").otherwise("h")
+        before = F.when(F.when(i == 0, begins_open).otherwise(F.trim(F.get(lines, i - 1)) == ""), "g").otherwise("h")
         begins = F.when(line.rlike(r"^\W*\p{Lu}"), "U").otherwise("l")
         long = F.when(F.char_length(line) > 80, "L").otherwise("s")
         return F.when(F.trim(line) == "", "-").otherwise(F.concat(marker, before, begins, long))
@@ -49,7 +56,8 @@ def observe(lines: Column) -> Column:
 def train(labelled: DataFrame) -> dict:
     """Log probabilities of starts, steps and symbols from rows of obs, states (arrays of equal length).
 
-    Counts cover all rows; add-one smoothing over the symbols seen and one unseen.
+    Counts cover all rows; UNSEEN is added to those of the symbols seen and one
+    unseen, one to those of starts and steps.
     """
     pairs = labelled.select(F.explode(F.arrays_zip(F.col("states").alias("state"), F.col("obs").alias("symbol"))).alias("x")).select("x.*")
     emitted = {(r["state"], r["symbol"]): r["n"] for r in pairs.groupBy("state", "symbol").agg(F.count("*").alias("n")).collect()}
@@ -61,17 +69,32 @@ def train(labelled: DataFrame) -> dict:
     begun = {r["s"]: r["n"] for r in labelled.where(n > 0).select(F.element_at("states", 1).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
     symbols = sorted({s for _, s in emitted})
 
-    def logs(counts: dict, keys: list) -> dict:
-        total = sum(counts.get(k, 0) for k in keys) + len(keys)
-        return {k: math.log((counts.get(k, 0) + 1) / total) for k in keys}
+    def seen(state: str, i: int) -> dict:
+        out: dict = {}
+        for (s, x), n in emitted.items():
+            if s == state and len(x) == len(FEATURES):
+                out[x[i]] = out.get(x[i], 0) + n
+        return out
+
+    def logs(counts: dict, keys: list, add: float = 1) -> dict:
+        total = sum(counts.get(k, 0) for k in keys) + add * len(keys)
+        return {k: math.log((counts.get(k, 0) + add) / total) for k in keys}
 
     return {
         "start": [logs(begun, STATES)[s] for s in STATES],
         "step": [[logs({b: moved.get((a, b), 0) for b in STATES}, STATES)[b] for b in STATES] for a in STATES],
-        "emit": [logs({x: emitted.get((s, x), 0) for x in symbols}, [*symbols, ""]) for s in STATES],
+        "emit": [logs({x: emitted.get((s, x), 0) for x in symbols}, [*symbols, ""], UNSEEN) for s in STATES],
+        "features": [[logs(seen(s, i), FEATURES[i], UNSEEN) for i in range(len(FEATURES))] for s in STATES],
     }
 
 
+def emission(model: dict, x: str) -> list[float]:
+    """The log probability of a symbol in each state; one that no state was seen with counts by its features, each apart."""
+    if x in model["emit"][0] or len(x) != len(FEATURES) or "features" not in model:
+        return [e.get(x, e[""]) for e in model["emit"]]
+    return [sum(f[c] for f, c in zip(features, x, strict=True)) for features in model["features"]]
+
+
 def viterbi(symbols: list[str], model: dict, entry: int | None = None, last: int | None = None) -> list[int]:
     """The most probable states of a transcript; of equal ones the first by number.
 
@@ -80,11 +103,12 @@ def viterbi(symbols: list[str], model: dict, entry: int | None = None, last: int
     """
     if not symbols:
         return []
-    emit, step, n = model["emit"], model["step"], len(STATES)
-    now = [(model["start"][s] if entry is None else step[entry][s]) + emit[s].get(symbols[0], emit[s][""]) for s in range(n)]
+    step, n = model["step"], len(STATES)
+    first = emission(model, symbols[0])
+    now = [(model["start"][s] if entry is None else step[entry][s]) + first[s] for s in range(n)]
     back = []
     for x in symbols[1:]:
-        seen = [e.get(x, e[""]) for e in emit]
+        seen = emission(model, x)
         came = [max(range(n), key=lambda a, b=b: now[a] + step[a][b]) for b in range(n)]
         now = [now[came[b]] + step[came[b]][b] + seen[b] for b in range(n)]
         back.append(came)
@@ -111,7 +135,7 @@ def recover_states(transcripts: DataFrame, model: dict) -> DataFrame:
 def _passage(symbols: list[str], model: dict) -> list[float]:
     """For each state before a part, and for its start, the best log probability of each state of its last line."""
     step, start = np.array(model["step"]), np.array(model["start"])
-    emit = [np.array([e.get(x, e[""]) for e in model["emit"]]) for x in symbols]
+    emit = [np.array(emission(model, x)) for x in symbols]
     best = np.vstack([step, start]) + emit[0]
     for e in emit[1:]:
         best = (best[:, :, None] + step).max(1) + e
@@ -208,14 +232,16 @@ def format_transcripts(transcripts: DataFrame, model: dict, text_col: str = "tex
     A null or empty text has no turns. Very long transcripts are read whole; the
     decoder keeps one row of back pointers for each line. Repeated rows get equal
     results, an empty table an empty one. Where the columns entry and last (state
-    before the text and state of its last line) are given, decoding keeps to them.
+    before the text and state of its last line) are given, decoding keeps to them,
+    and ``opens`` beside them says whether the line before the text was blank.
     """
     kept = [c for c in transcripts.columns if c.lower() not in ("turns", "canonical")]
     ends = [c for c in ("entry", "last") if "entry" in kept and "last" in kept]
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
     rows = transcripts.select(F.struct(*kept).alias("row"), lines.alias("lines"), *ends)
-    seen = recover_states(rows.withColumn("obs", observe(F.col("lines"))), model)
+    opens = F.col("row.opens") if "opens" in kept and ends else None
+    seen = recover_states(rows.withColumn("obs", observe(F.col("lines"), opens)), model)
     seen = seen.withColumn("turns", turns(F.col("lines"), F.col("found"), F.col("obs")))
     return seen.select("row.*", "found", "turns", render(F.col("turns")).alias("canonical"))
 
@@ -263,13 +289,20 @@ def raw_transcripts(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def decode_conversations(pasted: DataFrame, model: dict) -> DataFrame:
     """``format_transcripts`` of rows conv_id, block, text; the parts of a conversation are decoded as one sequence."""
-    obs = pasted.select("conv_id", "block", observe(F.split("text", "\n")).alias("obs"))
     several = pasted.groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("conv_id")
     several = small(settle(several, "long-conversations")).alias("s")
-    long = obs.alias("o").join(several, F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")), "left_semi")
-    ends = small(settle(join_parts(long, model), "ends-of-parts")).alias("e")
-    met = F.col("p.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("p.block") == F.col("e.block"))
-    return format_transcripts(pasted.alias("p").join(ends, met, "left").select("p.*", "e.entry", "e.last"), model)
+    long = pasted.alias("o").join(several, F.col("o.conv_id").eqNullSafe(F.col("s.conv_id")), "left_semi")
+    blank = F.trim(F.element_at(F.split("text", "\n"), -1)) == ""
+    follows = F.lag("blank").over(Window.partitionBy("conv_id").orderBy("block"))
+    opens = small(settle(long.select("conv_id", "block", blank.alias("blank")).select("conv_id", "block", follows.alias("opens")), "starts-of-parts"))
+
+    def with_part(df: DataFrame, parts: DataFrame) -> DataFrame:
+        met = F.col("p.conv_id").eqNullSafe(F.col("e.conv_id")) & (F.col("p.block") == F.col("e.block"))
+        return df.alias("p").join(parts.alias("e"), met, "left").select("p.*", *[f"e.{c}" for c in parts.columns if c not in ("conv_id", "block")])
+
+    obs = with_part(long, opens).select("conv_id", "block", observe(F.split("text", "\n"), F.col("opens")).alias("obs"))
+    ends = small(settle(join_parts(obs, model), "ends-of-parts"))
+    return format_transcripts(with_part(with_part(pasted, opens), ends), model)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
