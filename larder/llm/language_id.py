@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm.quality import remainder
-from larder.llm.shared import documents
+from larder.llm.shared import documents, settle, small
 from larder.llm.textbytes import column_bytes, slices
 
 REFERENCE_BYTES = 48 << 10
@@ -190,7 +190,7 @@ def references(docs: DataFrame, total: int = REFERENCE_BYTES, most: int = PIECE_
     counts = known.groupBy("lang", "h").agg(F.max(size).alias("size")).groupBy("lang").agg(F.sum("size").alias("n"))
     # About four times the bytes asked for and 64 pieces, picked by hash, so that little is sorted; the limit by row
     # is applied in each task first, so rows that share a hash are no group for one task either.
-    picked = known.join(counts, "lang").where(
+    picked = known.join(small(settle(counts, "bytes-of-languages")), "lang").where(
         F.pmod(F.col("h"), F.lit(1 << 40)) < F.lit(float((4 * total + 64 * most) * (1 << 40))) / F.col("n") + F.lit(1)
     )
     picked = picked.dropDuplicates(["lang", "h", "piece"])

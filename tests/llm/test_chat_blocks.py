@@ -20,7 +20,7 @@ def test_any_block_gives_the_same(spark):
 
 
 def test_assistant_first(spark):
-    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
     model = chat.train(chat.raw_transcripts(turns).select("states", chat.observe(F.split("text", "\n")).alias("obs")))
     texts = spark.createDataFrame([("Assistant: yo\n\nUser: hi",), ("Answer: 42",)], "text string")
     first = [r.turns[0] for r in chat.format_transcripts(texts, model).collect()]
