@@ -24,8 +24,6 @@ MARKERS = {k: rf"(?i)^\W{{0,4}}(?:{names}){_AFTER}" for k, names in _NAMES.items
 LETTERS = ["s", "u", "a"]
 """The marker of each role."""
 STRIP = rf"(?i)^\W{{0,4}}(?:{'|'.join(_NAMES.values())}){_AFTER}[:|>\]]? ?"
-FEATURES = ["suaon", "gh", "Ul", "Ls"]
-"""The letters of a symbol: marker, whether a blank line stands before, how the line begins, its length."""
 UNSEEN = 0.01
 """Count of a symbol that a state has not been seen with: little, as a marker of another role says more than a rare start."""
 BLOCK = 64
@@ -69,13 +67,6 @@ def train(labelled: DataFrame) -> dict:
     begun = {r["s"]: r["n"] for r in labelled.where(n > 0).select(F.element_at("states", 1).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
     symbols = sorted({s for _, s in emitted})
 
-    def seen(state: str, i: int) -> dict:
-        out: dict = {}
-        for (s, x), n in emitted.items():
-            if s == state and len(x) == len(FEATURES):
-                out[x[i]] = out.get(x[i], 0) + n
-        return out
-
     def logs(counts: dict, keys: list, add: float = 1) -> dict:
         total = sum(counts.get(k, 0) for k in keys) + add * len(keys)
         return {k: math.log((counts.get(k, 0) + add) / total) for k in keys}
@@ -84,15 +75,12 @@ def train(labelled: DataFrame) -> dict:
         "start": [logs(begun, STATES)[s] for s in STATES],
         "step": [[logs({b: moved.get((a, b), 0) for b in STATES}, STATES)[b] for b in STATES] for a in STATES],
         "emit": [logs({x: emitted.get((s, x), 0) for x in symbols}, [*symbols, ""], UNSEEN) for s in STATES],
-        "features": [[logs(seen(s, i), FEATURES[i], UNSEEN) for i in range(len(FEATURES))] for s in STATES],
     }
 
 
 def emission(model: dict, x: str) -> list[float]:
-    """The log probability of a symbol in each state; one that no state was seen with counts by its features, each apart."""
-    if x in model["emit"][0] or len(x) != len(FEATURES) or "features" not in model:
-        return [e.get(x, e[""]) for e in model["emit"]]
-    return [sum(f[c] for f, c in zip(features, x, strict=True)) for features in model["features"]]
+    """The log probability of a symbol in each state."""
+    return [e.get(x, e[""]) for e in model["emit"]]
 
 
 def viterbi(symbols: list[str], model: dict, entry: int | None = None, last: int | None = None) -> list[int]:
