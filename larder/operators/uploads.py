@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
@@ -46,64 +46,96 @@ def decode(files: DataFrame) -> DataFrame:
     ).drop("gate0")
 
 
-def _by_delimiter(pattern: str, apply) -> Column:
-    """``apply(pattern)`` with the column's delimiter in it; four literals, so the compiled patterns are kept."""
+def _by_delimiter(delimiter: Column, pattern: str, apply) -> Column:
+    """``apply(pattern)`` with the delimiter in it; four literals, so the compiled patterns are kept."""
     out = F.lit(None)
     for d in fixed.DELIMITERS:
         name = {"\t": r"\t", "|": r"\|"}.get(d, d)
-        out = F.when(F.col("delimiter") == d, apply(pattern.replace("«F»", _FIELD).replace("«d»", name).replace("«D»", name))).otherwise(out)
+        out = F.when(delimiter == d, apply(pattern.replace("«F»", _FIELD).replace("«d»", name).replace("«D»", name))).otherwise(out)
     return out
 
 
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"(?=[«D»\n]|\z)|(?!")[^«D»\n]*+)'
 RECORD = r"\G(?!\z)(?:«F»«d»){0,24}+«F»(?:\n|\z)"
 FIELD = r"\G«F»(?:[«D»\n]|\z)"
-HEAD = r"^(?:\n*+(?!\z)(?:«F»«d»){0,24}+«F»(?:\n|\z)){«N»}+"
+# The first records with the empty lines before each, and the empty lines after the last.
+HEAD = r"^(?:\n*+(?!\z)(?:«F»«d»){0,24}+«F»(?:\n|\z)){0,«N»}+\n*+"
+HEAD_RECORD = r"\G\n*+(?!\z)(?:«F»«d»){0,24}+«F»(?:\n|\z)"
 LEAD = r"^(?:«F»«d»){0,25}+"
 WIDE = r"^(?:«F»«d»){25}«F»"
 CLOSED = r'^"[^"]*+(?:""[^"]*+)*+"'
+BLOCK = 128
+"""Records whose lines are summed together."""
 
 
 def _lines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def tokenize(texts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(records: keys, pos, line, fields; faults: keys, fault, fault_line) of rows of keys, text, delimiter.
+def _sum(numbers: Column, start: int = 0) -> Column:
+    return F.aggregate(numbers, F.lit(start), lambda total, n: total + n)
+
+
+def _after(text: Column, consumed: Column) -> Column:
+    return F.substring(text, consumed + 1, F.length(text))
+
+
+def _split(record: Column, delimiter: Column) -> Column:
+    """The raw fields of one record, each with what ends it."""
+    return _by_delimiter(delimiter, FIELD, lambda p: F.regexp_extract_all(record, F.lit(p), F.lit(0)))
 
-    Records are quoted as in RFC 4180; a quote inside a bare field is itself;
-    empty lines are skipped but count. A record's line is where it starts. The
-    first record that cannot be read ends the file's records.
-    """
-    read = once(texts.select(*keys, "text", "delimiter"), recs=_by_delimiter(RECORD, lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))))
-    read = once(read, consumed=F.length(F.array_join("recs", "")), used_lines=_lines(F.array_join("recs", "")))
-    each = read.select(*keys, "delimiter", F.posexplode("recs").alias("pos", "rec"))
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("line", (1 + F.coalesce(F.sum(_lines(F.col("rec"))).over(before), F.lit(0))).cast("int"))
-    each = each.where(F.col("rec") != "\n")
-    tokens = _by_delimiter(FIELD, lambda p: F.regexp_extract_all("rec", F.lit(p), F.lit(0)))
-    each = once(each, tokens=tokens)
-    n = F.size("tokens")
-    last_empty = (F.element_at("tokens", -1) == "") & (n > 1) & ~F.element_at("tokens", -2).endswith(F.col("delimiter"))
-    kept = F.slice("tokens", F.lit(1), F.when(last_empty, n - 1).otherwise(n))
+
+def _unquote(tokens: Column, delimiter: Column) -> Column:
+    """The values of raw fields; the empty match after the last field is none."""
+    n = F.size(tokens)
+    last_empty = (F.element_at(tokens, -1) == "") & (n > 1) & ~F.element_at(tokens, -2).endswith(delimiter)
 
     def unwrap(t: Column) -> Column:
-        bare = F.when(t.endswith("\n") | (t.endswith(F.col("delimiter"))), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+        bare = F.when(t.endswith("\n") | t.endswith(delimiter), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
         inner = F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))
         return F.when(bare.startswith('"'), inner).otherwise(bare)
 
-    records = each.select(*keys, "pos", "line", F.transform(kept, unwrap).alias("fields"))
-    broken = read.where(F.col("consumed") < F.length("text")).select(
-        *keys, "delimiter", F.substring("text", F.col("consumed") + 1, F.length("text")).alias("rest"), (F.col("used_lines") + 1).alias("start")
-    )
-    broken = once(broken, wide=_by_delimiter(WIDE, lambda p: F.col("rest").rlike(p)), lead=_by_delimiter(LEAD, lambda p: F.regexp_extract("rest", p, 0)))
-    quoted = F.substring("rest", F.length("lead") + 1, F.length("rest"))
-    broken = once(broken, closed=F.regexp_extract(quoted, CLOSED, 0))
-    fault = F.when(F.col("wide"), "too-many-columns").when(F.col("closed") == "", "unclosed-quote").otherwise("text-after-quote")
-    line = F.when(F.col("wide"), F.col("start")).when(F.col("closed") == "", F.col("start") + _lines(F.col("lead"))).otherwise(
-        F.col("start") + _lines(F.col("lead")) + _lines(F.col("closed"))
-    )
-    return records, broken.select(*keys, fault.alias("fault"), line.cast("int").alias("fault_line"))
+    return F.transform(F.slice(tokens, F.lit(1), F.when(last_empty, n - 1).otherwise(n)), unwrap)
+
+
+def _fault(rest: Column, delimiter: Column, start: Column) -> Column:
+    """Struct of fault and line of a text that begins, on line ``start``, with a record that cannot be read; null of null."""
+    wide = _by_delimiter(delimiter, WIDE, lambda p: rest.rlike(p))
+    lead = _by_delimiter(delimiter, LEAD, lambda p: F.regexp_extract(rest, p, 0))
+    closed = F.regexp_extract(_after(rest, F.length(lead)), CLOSED, 0)
+    fault = F.when(wide, "too-many-columns").when(closed == "", "unclosed-quote").otherwise("text-after-quote")
+    line = F.when(wide, start).otherwise(start + _lines(lead) + _lines(closed))
+    return F.when(rest.isNotNull(), F.struct(fault.alias("fault"), line.cast("int").alias("line")))
+
+
+def read_records(texts: DataFrame) -> DataFrame:
+    """``texts`` (text, delimiter, any others) with recs and broken, in the file's row.
+
+    recs: array of (line, rec), the records as they stand. Records are quoted as
+    in RFC 4180; a quote inside a bare field is itself; empty lines are skipped
+    but count. A record's line is where it starts. The first record that cannot
+    be read ends them: ``broken`` is its fault and line.
+
+    Where no record has a line end inside, lines are positions; else they are
+    summed by blocks of BLOCK records, so that no file costs its square.
+    """
+    given = texts.columns
+    read = once(texts, found=_by_delimiter(F.col("delimiter"), RECORD, lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))))
+    read = once(read, consumed=F.length(F.array_join("found", "")), ends=F.transform("found", _lines))
+    blocks = F.sequence(F.lit(0), ((F.size("ends") - 1) / BLOCK).cast("int"))
+    read = once(read, sums=F.when(F.array_max("ends") > 1, F.transform(blocks, lambda b: _sum(F.slice("ends", b * BLOCK + 1, F.lit(BLOCK))))))
+    read = once(read, bases=F.transform("sums", lambda _, b: _sum(F.slice("sums", F.lit(1), b), 1)))
+
+    def line(i: Column) -> Column:
+        inside = F.pmod(i, F.lit(BLOCK))
+        return F.when(F.col("bases").isNull(), i + 1).otherwise(
+            F.get("bases", ((i - inside) / BLOCK).cast("int")) + _sum(F.slice("ends", i - inside + 1, inside))
+        )
+
+    numbered = F.transform("found", lambda r, i: F.struct(line(i).alias("line"), r.alias("rec")))
+    rest = F.when(F.col("consumed") < F.length("text"), _after(F.col("text"), F.col("consumed")))
+    read = once(read, recs=F.filter(numbered, lambda x: x["rec"] != "\n"), rest=rest, start=_sum(F.col("ends"), 1))
+    return read.select(*given, "recs", _fault(F.col("rest"), F.col("delimiter"), F.col("start")).alias("broken"))
 
 
 def fold_header(c: Column) -> Column:
@@ -111,99 +143,129 @@ def fold_header(c: Column) -> Column:
     return F.regexp_replace(F.lower(trim(c)), r"[\s\p{Z}\x{FEFF}_-]+", " ")
 
 
-def match_header(fields: Column) -> Column:
-    """Struct of ok, missing (array), ambiguous (first such column), headers, and the index of each required column."""
+def name_columns(fields: Column) -> Column:
+    """For each field the required column that its header names, or null, its index and the header."""
     names = F.create_map(*[F.lit(x) for col, all_ in fixed.ALIASES.items() for a in all_ for x in (a, col)])
-    found = F.transform(fields, lambda f, i: F.struct(F.try_element_at(names, fold_header(f)).alias("col"), i.alias("i"), f.alias("header")))
-
-    def named(c: str) -> Column:
-        return F.filter(found, lambda x: F.coalesce(x["col"] == c, F.lit(False)))
-
-    hits = {c: named(c) for c in fixed.REQUIRED_COLUMNS}
-    missing = F.array_compact(F.array(*[F.when(F.size(h) == 0, c) for c, h in hits.items()]))
-    twice = F.coalesce(*[F.when(F.size(h) > 1, c) for c, h in hits.items()])
-    headers = F.coalesce(*[F.when(F.size(h) > 1, F.transform(h, lambda x: x["header"])) for h in hits.values()])
-    return F.struct(
-        ((F.size(missing) == 0) & twice.isNull()).alias("ok"), missing.alias("missing"),
-        F.when(F.size(missing) == 0, twice).alias("ambiguous"), headers.alias("headers"),
-        *[F.when(F.size(h) > 0, F.get(h, F.lit(0))["i"]).alias(c) for c, h in hits.items()],
-    )
+    return F.transform(fields, lambda f, i: F.struct(F.try_element_at(names, fold_header(f)).alias("col"), i.alias("i"), f.alias("header")))
+
+
+def match_header(hits: Column) -> list[Column]:
+    """Ok, missing (array), ambiguous (first such column), headers, and the index of each required column.
+
+    ``hits``: a struct with, for each required column, the fields that name it.
+    """
+    each = {c: hits[c] for c in fixed.REQUIRED_COLUMNS}
+    missing = F.array_compact(F.array(*[F.when(F.size(h) == 0, c) for c, h in each.items()]))
+    twice = F.coalesce(*[F.when(F.size(h) > 1, c) for c, h in each.items()])
+    headers = F.coalesce(*[F.when(F.size(h) > 1, F.transform(h, lambda x: x["header"])) for h in each.values()])
+    whole = F.size(missing) == 0
+    return [
+        (whole & twice.isNull()).alias("ok"), missing.alias("missing"), F.when(whole, twice).alias("ambiguous"), headers.alias("headers"),
+        *[F.get(h, F.lit(0))["i"].alias(c) for c, h in each.items()],
+    ]
 
 
 def find_layout(decoded: DataFrame) -> DataFrame:
     """One row per readable file: delimiter, header_line, width, index of each column - or layout_fault and its parts.
 
-    All four delimiters are tried on the first ten records; exactly one header
-    row under exactly one delimiter must name all three columns once.
+    All four delimiters are tried on the first ten records, whatever their
+    length; exactly one header row under exactly one delimiter must name all
+    three columns once. The tries are an array in the file's row, so nothing is
+    shuffled. A fault beyond the tenth record is not met.
     """
-    readable = decoded.where(F.col("gate").isNull()).select("upload", "text")
-    tries = readable.select("upload", "text", F.explode(F.array(*map(F.lit, fixed.DELIMITERS))).alias("delimiter"))
-    # Ten records are all that is looked at, whatever their length; a file that has not as many, or a fault before, is read whole.
-    ten = HEAD.replace("«N»", str(fixed.MAX_HEADER_SEARCH_LINES))
-    tries = once(tries, head=_by_delimiter(ten, lambda p: F.regexp_extract("text", p, 0)))
-    tries = tries.select("upload", "delimiter", F.when(F.col("head") != "", F.col("head")).otherwise(F.col("text")).alias("text"))
-    records, faults = tokenize(tries, ["upload", "delimiter"])
-    rank = Window.partitionBy("upload", "delimiter").orderBy("pos")
-    head = records.withColumn("i", F.row_number().over(rank)).where(F.col("i") <= fixed.MAX_HEADER_SEARCH_LINES)
-    head = once(head, h=match_header(F.col("fields")))
-    seen = head.groupBy("upload", "delimiter").agg(
-        F.count("*").alias("n"),
-        F.sum(F.col("h.ok").cast("int")).alias("named"),
-        F.min(F.when(F.col("h.ok"), F.struct("line", F.size("fields").alias("width"), "h.product", "h.date", "h.weight"))).alias("at"),
-        F.array_sort(F.collect_list(F.when(F.col("h.ok"), F.col("line")))).alias("ok_lines"),
-        F.min(F.struct("i", "fields", "h.missing", "h.ambiguous", "h.headers")).alias("first"),
-    )
-    order = F.create_map(*[F.lit(x) for i, d in enumerate(fixed.DELIMITERS) for x in (d, i)])
-    tried = tries.select("upload", "delimiter").join(seen, ["upload", "delimiter"], "left").join(faults, ["upload", "delimiter"], "left")
-    n = F.coalesce("n", F.lit(0))
-    # A fault beyond the tenth record is not met.
-    met = F.col("fault").isNotNull() & (n < fixed.MAX_HEADER_SEARCH_LINES)
-    named = F.when(met, 0).otherwise(F.coalesce("named", F.lit(0)))
-    per = tried.groupBy("upload").agg(
-        F.min(F.when(met & (F.col("fault") == "too-many-columns"), F.struct(order[F.col("delimiter")].alias("o"), "fault", "fault_line"))).alias("wide"),
-        F.sum(named).alias("candidates"),
-        F.min(F.when(named > 0, F.struct(F.col("delimiter").alias("delimiter"), F.col("at")))).alias("only"),
-        F.array_sort(F.collect_list(F.when(named > 0, F.struct(order[F.col("delimiter")].alias("o"), "delimiter", "ok_lines")))).alias("ways"),
-        F.min(F.when((F.col("delimiter") == ",") & met, F.struct("fault", "fault_line"))).alias("comma_fault"),
-        F.min(F.when((F.col("delimiter") == ",") & ~met, F.col("first"))).alias("comma_first"),
+    most = fixed.MAX_HEADER_SEARCH_LINES
+    files = decoded.where(F.col("gate").isNull()).select("upload", "text")
+
+    def step(df: DataFrame, make, tries="tries") -> DataFrame:
+        return df.select("upload", "text", F.inline(F.array(F.struct(F.transform(tries, make).alias("tries")))))
+
+    def rows(t: Column, made) -> Column:
+        return F.transform(t["rows"], lambda r: F.struct(r["line"], *made(r)))
+
+    upto, text = HEAD.replace("«N»", str(most)), F.col("text")
+    files = step(files, lambda d: F.struct(d.alias("d"), _by_delimiter(d, upto, lambda p: F.regexp_extract("text", p, 0)).alias("head")), F.array(*map(F.lit, fixed.DELIMITERS)))
+    files = step(files, lambda t: F.struct(t["d"], t["head"], _by_delimiter(t["d"], HEAD_RECORD, lambda p: F.regexp_extract_all(t["head"], F.lit(p), F.lit(0))).alias("recs")))
+
+    def records(t: Column) -> Column:
+        """Only records that may name three columns, and the first by commas, of which faults speak."""
+
+        def record(r: Column, i: Column) -> Column:
+            bare = F.ltrim(r, F.lit("\n"))
+            before = F.aggregate(F.slice(t["recs"], F.lit(1), i), F.lit(1), lambda n, x: n + _lines(x))
+            return F.struct((before + F.length(r) - F.length(bare)).alias("line"), bare.alias("rec"))
+
+        least = len(fixed.REQUIRED_COLUMNS) - 1
+        divided = lambda x: F.length(x["rec"]) - F.length(F.replace(x["rec"], t["d"], F.lit(""))) >= least
+        return F.filter(F.transform(t["recs"], record), lambda x, i: ((i == 0) & (t["d"] == fixed.DELIMITERS[0])) | divided(x))
+
+    def rest(t: Column) -> Column:
+        return F.when((F.size(t["recs"]) < most) & (F.length(t["head"]) < F.length(text)), _after(text, F.length(t["head"])))
+
+    files = step(files, lambda t: F.struct(t["d"], rest(t).alias("rest"), (1 + _lines(t["head"])).alias("start"), records(t).alias("rows")))
+    files = step(files, lambda t: F.struct(t["d"], _fault(t["rest"], t["d"], t["start"]).alias("broken"), rows(t, lambda r: [_split(r["rec"], t["d"]).alias("tokens")]).alias("rows")))
+    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [_unquote(r["tokens"], t["d"]).alias("fields")]).alias("rows")))
+    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [F.size(r["fields"]).alias("width"), name_columns(r["fields"]).alias("named")]).alias("rows")))
+
+    def hits(r: Column) -> Column:
+        def named(c: str) -> Column:
+            return F.filter(r["named"], lambda x: F.coalesce(x["col"] == c, F.lit(False)))
+
+        return F.struct(*[named(c).alias(c) for c in fixed.REQUIRED_COLUMNS])
+
+    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [r["width"], hits(r).alias("hits")]).alias("rows")))
+    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [r["width"], *match_header(r["hits"])]).alias("rows")))
+    files = step(files, lambda t: F.struct(t["d"], t["broken"], F.get(t["rows"], F.lit(0)).alias("first"), F.when(t["broken"].isNull(), F.filter(t["rows"], lambda r: r["ok"])).otherwise(F.array()).alias("ok")))
+
+    comma = F.get("tries", F.lit(0))
+    per = once(
+        files.select("upload", "tries"),
+        wide=F.get(F.filter("tries", lambda t: F.coalesce(t["broken"]["fault"] == "too-many-columns", F.lit(False))), F.lit(0))["broken"],
+        ways=F.filter("tries", lambda t: F.size(t["ok"]) > 0),
+        comma_fault=comma["broken"],
+        comma_first=F.when(comma["broken"].isNull(), comma["first"]),
     )
+    per = once(per.drop("tries"), candidates=F.aggregate("ways", F.lit(0), lambda n, t: n + F.size(t["ok"])), only=F.get("ways", F.lit(0)))
+    at = F.get("only.ok", F.lit(0))
     one = F.col("wide").isNull() & (F.col("candidates") == 1)
     kind = (
         F.when(F.col("wide").isNotNull(), "parse-error").when(F.col("candidates") == 1, None).when(F.col("candidates") > 1, "ambiguous")
         .when(F.col("comma_fault").isNotNull(), "parse-error").when(F.col("comma_first").isNull(), "empty").otherwise("bad-header")
     )
-    fault = F.coalesce("wide.fault", "comma_fault.fault")
+    broken = F.when(kind == "parse-error", F.coalesce("wide", "comma_fault"))
     return per.select(
         "upload",
-        F.when(one, F.col("only.delimiter")).alias("delimiter"), F.when(one, F.col("only.at.line")).alias("header_line"),
-        F.when(one, F.col("only.at.width")).alias("width"),
-        *[F.when(one, F.col(f"only.at.{c}")).alias(f"{c}_at") for c in fixed.REQUIRED_COLUMNS],
-        kind.alias("layout_fault"),
-        F.when(kind == "parse-error", fault).alias("parse_fault"),
-        F.when(kind == "parse-error", F.coalesce("wide.fault_line", "comma_fault.fault_line")).alias("parse_line"),
-        F.col("comma_first.missing").alias("missing"), F.col("comma_first.ambiguous").alias("ambiguous_column"), F.col("comma_first.headers").alias("headers"), "ways",
+        F.when(one, F.col("only.d")).alias("delimiter"), F.when(one, at["line"]).alias("header_line"), F.when(one, at["width"]).alias("width"),
+        *[F.when(one, at[c]).alias(f"{c}_at") for c in fixed.REQUIRED_COLUMNS],
+        kind.alias("layout_fault"), broken["fault"].alias("parse_fault"), broken["line"].alias("parse_line"),
+        F.col("comma_first.missing").alias("missing"), F.col("comma_first.ambiguous").alias("ambiguous_column"), F.col("comma_first.headers").alias("headers"),
+        F.transform("ways", lambda t: F.struct(t["d"].alias("delimiter"), F.transform(t["ok"], lambda r: r["line"]).alias("ok_lines"))).alias("ways"),
     )
 
 
 def data_rows(decoded: DataFrame, layout: DataFrame, cap: int = fixed.MAX_DATA_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows for read_cells; files: upload, file_fault, parse_fault, parse_line).
 
-    file_fault: too-many-rows (the parsed records pass ``cap``), else parse, else no-data-rows.
+    file_fault: too-many-rows (the parsed records pass ``cap``), else parse, else
+    no-data-rows. Records are counted in the file's row and come apart only in
+    files without a fault; text meets layout in the one shuffle by upload.
     """
-    found = layout.where(F.col("delimiter").isNotNull())
-    texts = decoded.select("upload", "text").join(found.select("upload", "delimiter", "header_line", "width", "product_at", "date_at", "weight_at"), "upload")
-    records, faults = tokenize(texts, ["upload"])
-    records = records.join(found, "upload").where(F.col("line") > F.col("header_line"))
-    rows = records.select(
+    found = layout.where(F.col("delimiter").isNotNull()).select("upload", "delimiter", "header_line", "width", "product_at", "date_at", "weight_at")
+    read = read_records(decoded.select("upload", "text").join(found, "upload"))
+    read = once(read.drop("text"), data=F.filter("recs", lambda x: x["line"] > F.col("header_line")))
+    n = F.size("data")
+    fault = F.when(n > cap, "too-many-rows").when(F.col("broken").isNotNull(), "parse").when(n == 0, "no-data-rows")
+    read = once(read.drop("recs"), file_fault=fault)
+    parse = F.when(F.col("file_fault") == "parse", F.col("broken"))
+    files = read.select("upload", "file_fault", parse["fault"].alias("parse_fault"), parse["line"].alias("parse_line"))
+    kept = read.where(F.col("file_fault").isNull())
+    each = kept.select("upload", "delimiter", "width", "product_at", "date_at", "weight_at", F.inline("data"))
+    each = once(each, tokens=_split(F.col("rec"), F.col("delimiter")))
+    each = once(each, fields=_unquote(F.col("tokens"), F.col("delimiter")))
+    rows = each.select(
         "upload", "line", *[F.coalesce(F.get("fields", F.col(f"{c}_at")), F.lit("")).alias(c) for c in fixed.REQUIRED_COLUMNS],
         F.size("fields").alias("actual"), F.col("width").alias("expected"),
     )
-    counts = rows.groupBy("upload").agg(F.count("*").alias("n"))
-    files = found.select("upload").join(counts, "upload", "left").join(faults, "upload", "left")
-    n = F.coalesce("n", F.lit(0))
-    fault = F.when(n > cap, "too-many-rows").when(F.col("fault").isNotNull(), "parse").when(n == 0, "no-data-rows")
-    files = files.select("upload", fault.alias("file_fault"), F.when(fault == "parse", F.col("fault")).alias("parse_fault"), F.when(fault == "parse", F.col("fault_line")).alias("parse_line"))
-    return rows.join(files.where(F.col("file_fault").isNull()).select("upload"), "upload", "left_semi"), files
+    return rows, files
 
 
 def describe_unreadable(files: DataFrame, cap: int = fixed.MAX_DATA_ROWS) -> DataFrame:

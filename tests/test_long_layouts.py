@@ -29,3 +29,16 @@ def test_faults_of_long_files(spark):
     }
     assert read["deep"] == [(3, "beef", "2026-01-05", "12.5")] and read["blank"] == [(70_002, "beef", "2026-01-05", "12.5")]
     assert len(read["later"]) == 3510
+
+
+def test_lines_of_records_with_line_ends_inside(spark):
+    records, expected, line = [], [], 2
+    for i in range(1000):
+        name = "\n".join(["part"] * (1 + i % 3)) if i % 5 else "plain"
+        records.append((f'"{name}"' if "\n" in name else name) + ",2026-01-05,1\n" + "\n" * (i % 7 == 0))
+        expected.append((line, name, "2026-01-05", "1"))
+        line += records[-1].count("\n")
+    good = HEAD + "".join(records)
+    read, refused = _read(spark, {"good": good.encode(), "late": (good + 'x,"y"z\n').encode()})
+    assert read["good"] == expected
+    assert refused == {"late": ("unparseable", f"text-after-quote at line {line}")}
