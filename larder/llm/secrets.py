@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, settle
+from larder.llm.shared import documents, is_small, settle
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ["assign", "access", "hex", "private_key", "github", "jwt"]
 """In the order of their listing; the first three are the base rules."""
 RULE_VERSION = "2"
 
+SALTS = 16
+"""Parts of the paths of one blob where its findings are too many to broadcast."""
+
 FINDING = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -55,8 +58,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, kind)], ["blob", "findings"])
 
 
+def _to_paths(rows: DataFrame, known: DataFrame, salts: int) -> DataFrame:
+    """``rows`` with the findings of their blobs: broadcast by counted bytes, else each blob's paths in ``salts`` parts."""
+    found = settle(known.where(F.size("findings") > 0), "secret-findings")
+    if is_small(found):
+        met = rows.join(F.broadcast(found), "blob", "left")
+    else:
+        salt = F.pmod(F.xxhash64("path", "version"), F.lit(salts)).cast("int")
+        parts = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = rows.withColumn("salt", salt).join(parts, ["blob", "salt"], "left")
+    return met.select("path", "version", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+
+
 def scan_history(
-    versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION
+    versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, salts: int = SALTS
 ) -> tuple[DataFrame, DataFrame]:
     """Scan the blobs that the ledger has not seen under this rule version.
 
@@ -66,8 +81,10 @@ def scan_history(
     ``versions``: path, version, blob, findings; the ledger with the new entries).
 
     A blob is the SHA-256 of the text; a null text is the empty blob. Equal texts
-    are scanned once however many paths have them. An empty table gives an empty
-    result and an unchanged ledger; an entry that the ledger holds twice counts once.
+    are scanned once however many paths have them; rows that repeat a path and
+    version all come back. A text is scanned whole, in one piece, whatever its
+    length. An empty table gives an empty result and an unchanged ledger; an
+    entry that the ledger holds twice counts once.
     """
     rows = versions.select("path", "version", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "blob", F.sha2("text", 256)
@@ -79,10 +96,7 @@ def scan_history(
         new = new.join(seen.select("blob"), "blob", "left_anti")
     # One text for each blob, combined before the shuffle, so that a blob under many paths is no hot key.
     scanned = settle(new.groupBy("blob").agg(F.max("text").alias("text")).mapInArrow(_scan, f"blob string, findings {FINDING}"), "secret-scan")
-    known = scanned if seen is None else scanned.unionByName(seen)
-    located = rows.select("path", "version", "blob").join(
-        known.where(F.size("findings") > 0), "blob", "left"
-    ).select("path", "version", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
+    located = _to_paths(rows.select("path", "version", "blob"), scanned if seen is None else scanned.unionByName(seen), salts)
     entries = rows.select("blob").distinct()
     if seen is not None:
         entries = entries.join(seen.select("blob"), "blob", "left_anti")
@@ -92,9 +106,21 @@ def scan_history(
     return located, entries if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(entries)
 
 
+def scan_in_two(versions: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Findings of every row, as two runs of the ledger: a first half of the paths, then the rest against its ledger.
+
+    The halves go by a hash of the path; a null path is in the first. Texts of
+    the first half are not scanned again in the second.
+    """
+    early = F.pmod(F.coalesce(F.crc32(F.col("path").cast("string")), F.lit(0)), F.lit(2)) == 0
+    first, ledger = scan_history(versions.where(early), None, rule_version)
+    second, _ = scan_history(versions.where(~early), settle(ledger, "secret-ledger"), rule_version)
+    return first.unionByName(second)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    located, _ = scan_history(docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text"))
+    located = scan_in_two(docs.select(F.col("doc_id").alias("path"), F.lit(1).alias("version"), "text"))
 
     def count(kind: str):
         return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
