@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
+from larder.functions.text import file_extension
 from larder.sources.store import settle
 
 _T = "', '".join(fixed.TERMINAL)
@@ -199,3 +200,29 @@ def wrong_keys(files: DataFrame, reports: DataFrame) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     expected = F.concat_ws("/", F.lit("org"), s("organization_id"), F.lit("report"), s("report_id"), F.lit("input"), F.concat(s("id"), F.lit(".csv")))
     return files.join(r, "report_id").withColumn("expected", expected).where(F.col("storage_key") != F.col("expected")).select("id", "storage_key", "expected")
+
+
+def wrong_result_keys(files: DataFrame, attempts: DataFrame, reports: DataFrame) -> DataFrame:
+    """Result files whose key is not their row's: id, storage_key, faults in the order of the key's segments.
+
+    ``files``: id, analysis_attempt_id, kind, storage_key. A key of another shape
+    has the one fault shape. A null key and a row without its attempt or report
+    are left to the null and foreign key audits.
+    """
+    made = attempts.select(F.col("id").alias("analysis_attempt_id"), "report_id")
+    owned = reports.select(F.col("id").alias("report_id"), "organization_id")
+    met = files.select("id", "analysis_attempt_id", "kind", "storage_key").join(made, "analysis_attempt_id").join(owned, "report_id")
+    p = F.split("storage_key", "/")
+    part = lambda i: F.get(p, F.lit(i))
+    labels = {0: "org", 2: "report", 4: "analysis-attempt", 6: "result"}
+    shaped = reduce(lambda a, b: a & b, [part(i) == v for i, v in labels.items()], F.size(p) == 8)
+    name = F.split(part(7), "[.]", 2)
+    segments = {
+        "organization": part(1) != F.col("organization_id").cast("string"),
+        "report": part(3) != F.col("report_id").cast("string"),
+        "attempt": part(5) != F.col("analysis_attempt_id").cast("string"),
+        "id": F.get(name, F.lit(0)) != F.col("id").cast("string"),
+        "extension": F.coalesce(F.get(name, F.lit(1)), F.lit("")) != file_extension(F.col("kind")),
+    }
+    faults = F.when(~F.coalesce(shaped, F.lit(False)), F.lit("shape")).otherwise(F.concat_ws(",", *[F.when(bad, n) for n, bad in segments.items()]))
+    return met.where(F.col("storage_key").isNotNull()).select("id", "storage_key", faults.alias("faults")).where(F.col("faults") != "")

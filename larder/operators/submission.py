@@ -29,6 +29,13 @@ def coverage(counted: DataFrame) -> DataFrame:
     return counted.withColumns({"summary": F.when(n > 0, summary), "detail": F.when(n > 0, detail)})
 
 
+def describe_input(original: Column, normalized: Column) -> list[Column]:
+    """What is stored of an input file, from its bytes alone; is_modified where they are not the ones sent."""
+    return [
+        F.length(normalized).alias("byte_size"), F.sha2(normalized, 256).alias("checksum"), (original != normalized).alias("is_modified"),
+    ]
+
+
 def check_metadata(forms: DataFrame) -> DataFrame:
     """Rows of name, site_name, counts_basis, unit_system, counts (JSON text): adds bad_fields (array) and site (blank is null).
 

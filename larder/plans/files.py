@@ -60,6 +60,15 @@ def d_layout(spark: SparkSession, d: str) -> DataFrame:
     return uploads.find_layout(decoded).select("upload", "delimiter", "header_line", "width", "layout_fault", "parse_fault", "parse_line")
 
 
+def t_modified(spark: SparkSession, d: str) -> DataFrame:
+    """Documents sent as files, some with a byte order mark or other line ends, against what is kept of them."""
+    text = F.when(F.col("doc_id") % 5 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    content = F.concat(F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit(""))), F.encode(text, "UTF-8"))
+    sent = view(spark, d, "documents").select("doc_id", content.alias("content"))
+    kept = uploads.decode(sent.withColumn("size", F.length("content"))).where(F.col("gate").isNull())
+    return kept.select("doc_id", *submission.describe_input(F.col("content"), F.encode("text", "UTF-8")))
+
+
 def _unreadable(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     decoded = settle(uploads.decode(_files(spark, d)), "decoded")
     layout = settle(uploads.find_layout(decoded), "layouts")
@@ -80,7 +89,7 @@ def v_verdict(spark: SparkSession, d: str) -> DataFrame:
     return submission.verdict(files, unreadable, read["rejected"], read["months"], view(spark, d, "forms"))
 
 
-QUERIES = {"d_decode": d_decode, "d_tokenize": d_tokenize, "d_row_cap": d_row_cap, "d_layout": d_layout, "f_unreadable": f_unreadable, "v_verdict": v_verdict}
+QUERIES = {"d_decode": d_decode, "d_tokenize": d_tokenize, "d_row_cap": d_row_cap, "d_layout": d_layout, "t_modified": t_modified, "f_unreadable": f_unreadable, "v_verdict": v_verdict}
 
 _KIND = "upload % 101"
 _UPLOADS = "(SELECT DISTINCT upload FROM cells) u"
@@ -109,6 +118,10 @@ def _case(i: int) -> str:
 _BROKEN = ", ".join(map(str, _EXPECTED))
 ORACLE_SQL = {
     "d_decode": with_views(f"SELECT upload, CASE {_KIND} WHEN 3 THEN 'signature-xlsx' WHEN 17 THEN 'blank' WHEN 29 THEN 'control-character' WHEN 31 THEN 'empty' END AS gate, CASE {_KIND} WHEN 29 THEN 2 END AS control_code, CASE {_KIND} WHEN 29 THEN 22 END AS control_offset FROM {_UPLOADS}"),
+    "t_modified": """SELECT doc_id, strlen(kept) AS byte_size, sha256(kept) AS checksum, sent <> kept AS is_modified FROM (
+  SELECT doc_id, sent, regexp_replace(ltrim(sent, chr(65279)), '\\r\\n?', chr(10), 'g') AS kept FROM (
+    SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN chr(65279) || text WHEN 1 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS sent FROM documents))
+WHERE regexp_matches(kept, '\\S') AND NOT regexp_matches(kept, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AND NOT starts_with(sent, 'PK')""",
     "d_row_cap": with_views(f"SELECT upload, CASE WHEN count(*) > {CAP} THEN 'too-many-rows' END AS file_fault, CASE WHEN count(*) > {CAP} THEN 0 ELSE count(*) END AS n FROM cells GROUP BY 1"),
     "d_tokenize": with_views("SELECT upload, line, product, date, weight FROM cells"),
     "d_layout": with_views(f"""SELECT upload, CASE WHEN {_KIND} IN (13) THEN ',' WHEN {_KIND} IN ({_BROKEN}) THEN NULL ELSE [',', ';', chr(9), '|'][upload % 4 + 1] END AS delimiter,

@@ -239,12 +239,16 @@ def i_keys(spark: SparkSession, d: str) -> DataFrame:
     return audit.wrong_keys(view(spark, d, "input_files"), view(spark, d, "reports"))
 
 
+def i_result_keys(spark: SparkSession, d: str) -> DataFrame:
+    return audit.wrong_result_keys(view(spark, d, "stored_results"), view(spark, d, "attempts"), view(spark, d, "reports"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         a_claim, a_inputs, a_renew, a_terminal, a_expired, a_reap, a_cancel, a_verdict, a_errors, a_apply, a_explain, a_claimants, a_missing_files, a_integrity, a_parked,
         n_due, n_candidates, n_load, n_outbox, n_invites, n_notices, n_stamp, n_window, i_checks, i_vocabulary, i_unique, i_foreign, i_retry, i_frozen, i_append, i_admins, i_counters, i_no_input,
-        i_deleted_retry, i_objects, i_keys,
+        i_deleted_retry, i_objects, i_keys, i_result_keys,
     )
 }
 
@@ -341,6 +345,11 @@ _SQL = {
     "i_no_input": "SELECT id FROM reports WHERE id NOT IN (SELECT report_id FROM input_files)",
     "i_deleted_retry": "SELECT a.id, report_id FROM attempts a JOIN reports r ON r.id = report_id WHERE a.created_at > r.deleted_at",
     "i_objects": "SELECT 'dangling' AS fault, storage_key AS key FROM input_files WHERE storage_key NOT IN (SELECT key FROM objects) UNION ALL SELECT 'orphan', key FROM objects WHERE replace(key, '-original.csv', '.csv') NOT IN (SELECT storage_key FROM input_files)",
+    "i_result_keys": """SELECT id, storage_key, faults FROM (SELECT f.id, storage_key, CASE WHEN NOT regexp_full_match(storage_key, 'org/[^/]*/report/[^/]*/analysis-attempt/[^/]*/result/[^/]*') THEN 'shape' ELSE concat_ws(',',
+ CASE WHEN NOT starts_with(storage_key, 'org/' || organization_id || '/') THEN 'organization' END, CASE WHEN NOT contains(storage_key, '/report/' || report_id || '/') THEN 'report' END,
+ CASE WHEN NOT contains(storage_key, '/analysis-attempt/' || analysis_attempt_id || '/') THEN 'attempt' END, CASE WHEN NOT regexp_matches(storage_key, '/result/' || f.id || '([.]|$)') THEN 'id' END,
+ CASE WHEN regexp_replace(storage_key, '^.*/[^./]*', '') <> CASE kind WHEN 'chart' THEN '.png' ELSE '.' || kind END THEN 'extension' END) END AS faults
+ FROM stored_results f JOIN attempts a ON a.id = f.analysis_attempt_id JOIN reports r ON r.id = a.report_id) x WHERE faults <> ''""",
     "i_keys": "SELECT f.id, storage_key, expected FROM (SELECT f.id, f.storage_key, 'org/' || organization_id || '/report/' || report_id || '/input/' || f.id || '.csv' AS expected FROM input_files f JOIN reports r ON r.id = f.report_id) f WHERE storage_key <> expected",
 }
 ORACLE_SQL = {k: with_views(v) for k, v in _SQL.items()}

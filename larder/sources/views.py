@@ -114,6 +114,11 @@ SELECT CAST(o_orderkey * 4 + k AS BIGINT) AS id, o_orderkey AS analysis_attempt_
   CAST((o_orderkey * 31 + k) % 1000 AS INT) AS byte_size
 FROM orders JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) ks ON o_orderkey % 9 <> k
 WHERE o_orderkey % 3 < 2 AND o_orderkey % 37 = 4 OR o_orderkey % 3 = 2 AND o_orderkey % 8 > 3""",
+    "stored_results": """
+SELECT id, analysis_attempt_id, kind, CASE WHEN id % 73 = 3 THEN storage_key ELSE concat('org/', CAST(organization_id + CASE WHEN id % 67 = 1 THEN 1 ELSE 0 END AS STRING), '/report/', CAST(report_id + CASE WHEN id % 83 = 6 THEN 1 ELSE 0 END AS STRING),
+  '/analysis-attempt/', CAST(analysis_attempt_id + CASE WHEN id % 71 = 2 THEN 1 ELSE 0 END AS STRING), '/result/', CAST(id + CASE WHEN id % 79 = 5 THEN 1 ELSE 0 END AS STRING),
+  CASE WHEN id % 61 = 8 THEN '' WHEN id % 59 = 4 THEN '.pdf.png' WHEN kind = 'chart' THEN '.png' WHEN kind = 'pdf' THEN '.pdf' ELSE '.xlsx' END) END AS storage_key
+FROM result_files JOIN (SELECT id AS analysis_attempt_id, report_id FROM attempts) a USING (analysis_attempt_id) JOIN (SELECT id AS report_id, organization_id FROM reports) r USING (report_id)""",
     "input_files": """
 SELECT id, id AS report_id, concat('org/', CAST(organization_id AS STRING), '/report/', CAST(id AS STRING), '/input/', CAST(id AS STRING), CASE WHEN id % 61 = 8 THEN '.txt' ELSE '.csv' END) AS storage_key,
   CAST(id * 17 % 4000 AS INT) AS byte_size, concat('upload ', CAST(id AS STRING), '.csv') AS original_filename FROM reports WHERE id % 53 <> 6""",
