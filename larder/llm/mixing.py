@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.shared import documents, settle, small, unit_hash, unused
+from larder.llm.shared import documents, is_small, settle, small, unit_hash, unused
 
 FACTORS = ["source", "lang", "topic"]
 TOLERANCE = 1e-9
-MOST_ROUNDS = 100
+MOST_ROUNDS = 200
+ROUNDS_A_JOB = 4
+FEW_BYTES = 4 << 20
+"""Cells up to so many counted bytes are raked several rounds a job; others one."""
 ORACLE_ROUNDS = 24
 """Rounds of the SQL twin, which has no loop; enough for the tables at hand."""
 BUDGET = 0.5
@@ -45,34 +48,61 @@ def tempered_targets(cells: DataFrame, power: dict[str, float]) -> dict[str, Dat
     return targets
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_ROUNDS) -> DataFrame:
-    """``cells`` (factors, tokens) with the column weight, raked to each target in turn until all are met.
+def _round(rows: DataFrame, names: list[str], few: bool) -> DataFrame:
+    """One step for each factor; ``move`` is the largest relative change of a step, by cell.
+
+    ``few``: sums come by windows within the one task that holds all cells, else
+    they are aggregated before the shuffle and joined.
+    """
+    step = rows.withColumn("move", F.lit(0.0))
+    for f in names:
+        if few:
+            met = step.withColumn("sum", F.sum("weight").over(Window.partitionBy(f)))
+        else:
+            sums = step.groupBy(F.col(f).alias("of")).agg(F.sum("weight").alias("sum"))
+            met = step.join(sums, F.col(f).eqNullSafe(F.col("of")))
+        scale = F.when(F.col("sum") > 0, F.col(f"target_{f}") / F.col("sum")).otherwise(0.0)
+        moved = F.when((F.col("sum") > 0) & (F.col("weight") > 0), F.abs(scale - 1)).otherwise(0.0)
+        step = met.withColumn("move", F.greatest("move", moved)).withColumn("weight", F.col("weight") * scale).select(*rows.columns)
+    return step
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, most: int = MOST_ROUNDS, few_bytes: int = FEW_BYTES
+) -> DataFrame:
+    """``cells`` (factors, tokens) with the columns weight and missed, raked to each target in turn until all are met.
 
     Each cell carries the targets of its values; a value without one has target
-    0, and so has its cells' weight. A step sums the weights by one factor, before
-    the shuffle, and scales; a round of steps is one job and is written. Rounds
-    end when no step scales by more than ``tolerance``, or when they come no
-    nearer: then targets contradict the empty cells (``reached`` shows by how
-    much).
+    0, and so has its cells' weight. A step sums the weights by one factor and
+    scales. Up to ``few_bytes`` a job does ROUNDS_A_JOB rounds, beyond it one;
+    what a job leaves is written. Rounds end when no step scales by more than
+    ``tolerance``, when they come no nearer (targets contradict the empty cells),
+    or after ``most``: targets that can be met only in the limit, with a further
+    cell at 0, are approached ever more slowly. ``missed`` says by how much the
+    reached share of any of the cell's values differs from its target; it is 0,
+    up to rounding, where targets were met. Targets of values that no cell has are
+    in ``reached`` only.
     """
-    rows = cells.withColumn("weight", F.col("tokens").cast("double")).withColumn("move", F.lit(0.0))
+    rows, names = cells.withColumn("weight", F.col("tokens").cast("double")).withColumn("move", F.lit(0.0)), list(targets)
     for f, t in targets.items():
         rows = rows.join(t.select(f, F.col("target").alias(f"target_{f}")), f, "left")
-    now = settle(rows.select(*cells.columns, "weight", "move", *[F.coalesce(f"target_{f}", F.lit(0.0)).alias(f"target_{f}") for f in targets]), "raked")
-    columns, before = now.columns, float("inf")
-    for r in range(most):
-        step = now.withColumn("move", F.lit(0.0))
-        for f in targets:
-            sums = step.groupBy(f).agg(F.sum("weight").alias("sum"))
-            scale = F.when(F.col("sum") > 0, F.col(f"target_{f}") / F.col("sum")).otherwise(0.0)
-            moved = F.when((F.col("sum") > 0) & (F.col("weight") > 0), F.abs(scale - 1)).otherwise(0.0)
-            step = step.join(sums, f).withColumn("move", F.greatest("move", moved)).withColumn("weight", F.col("weight") * scale).select(*columns)
-        now = settle(step, f"raked-{r}")
+    now = settle(rows.select(*cells.columns, "weight", "move", *[F.coalesce(f"target_{f}", F.lit(0.0)).alias(f"target_{f}") for f in names]), "raked")
+    few, done, before = is_small(now, few_bytes), 0, float("inf")
+    while done < most:
+        n = min(ROUNDS_A_JOB if few else 1, most - done)
+        step = now.coalesce(1) if few else now
+        for _ in range(n):
+            step = _round(step, names, few)
+        now, done = settle(step, f"raked-{done}"), done + n
         moved = now.agg(F.max("move")).first()[0] or 0.0
-        if moved <= tolerance or (r > 2 and moved > 0.999 * before):
+        if moved <= tolerance or (done > 3 and moved > 0.999**n * before):
             break
         before = moved
-    return now.select(*cells.columns, "weight")
+    met = now.withColumn("missed", F.lit(0.0))
+    for f in names:
+        sums = now.groupBy(F.col(f).alias("of")).agg(F.sum("weight").alias("sum"))
+        met = met.join(small(sums), F.col(f).eqNullSafe(F.col("of"))).withColumn("missed", F.greatest("missed", F.abs(F.col("sum") - F.col(f"target_{f}")))).drop("of", "sum")
+    return met.select(*cells.columns, "weight", "missed")
 
 
 def reached(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
@@ -115,10 +145,10 @@ def factors(topic: Column | None = None) -> list[Column]:
 
 
 def cell_probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """source, lang, topic, weight, probability from rows of the three factors and tokens."""
+    """source, lang, topic, weight, missed, probability from rows of the three factors and tokens."""
     cells = settle(rows.groupBy(*FACTORS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets or tempered_targets(cells, TEMPER))
-    return small(settle(calibrate(raked, budget).select(*FACTORS, "weight", "probability"), "calibrated"))
+    raked = settle(rake(cells, targets or tempered_targets(cells, TEMPER)), "raked-cells")
+    return small(settle(calibrate(raked, budget).select(*FACTORS, "weight", "missed", "probability"), "calibrated"))
 
 
 def drawn(seed: str, probability: Column) -> Column:
@@ -138,7 +168,9 @@ def mix(
 ) -> DataFrame:
     """Every row with its cell, its calibrated probability and whether it is drawn.
 
-    Returns doc_id, source, lang, topic, tokens, weight, probability, sampled.
+    Returns doc_id, source, lang, topic, tokens, weight, missed, probability,
+    sampled. ``missed``: how far any of the row's source, lang and topic stays from
+    its target share, where targets cannot be met (see ``rake``).
     ``targets``: for each of source, lang and topic a table of the value and
     ``target`` (shares); by default the corpus's own shares, tempered. Tokens are
     runs of characters other than white space; a null text has none, and a row
@@ -154,7 +186,7 @@ def mix(
     rows = settle(docs.select("doc_id", *factors(topic), tokens), "mix-rows")
     found = cell_probabilities(rows, targets, budget)
     return rows.join(found, FACTORS).select(
-        "doc_id", *FACTORS, "tokens", "weight", "probability", drawn(seed, F.col("probability")).alias("sampled")
+        "doc_id", *FACTORS, "tokens", "weight", "missed", "probability", drawn(seed, F.col("probability")).alias("sampled")
     )
 
 
@@ -174,9 +206,7 @@ def sample(
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(documents(spark, sf_dir))
-    return found.select(
-        "doc_id", *FACTORS, "tokens", F.round("weight", 7).alias("weight"), F.round("probability", 7).alias("probability"), "sampled"
-    )
+    return found.select("doc_id", *FACTORS, "tokens", *[F.round(c, 7).alias(c) for c in ("weight", "missed", "probability")], "sampled")
 
 
 def _oracle() -> str:
@@ -202,18 +232,21 @@ c AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM r G
                 f"FROM (SELECT *, sum(weight) OVER (PARTITION BY {f}) AS now FROM {last}) b LEFT JOIN t_{f} USING ({f})) ".replace("a.* EXCLUDE (weight, now, target)", "source, lang, topic, tokens")
             )
             last = f"s{n}"
+    gaps = ", ".join(f"abs(sum(weight) OVER (PARTITION BY {f}) - coalesce(t_{f}.target, 0))" for f in FACTORS)
+    joins = " ".join(f"LEFT JOIN t_{f} USING ({f})" for f in FACTORS)
+    parts.append(f"e AS MATERIALIZED (SELECT source, lang, topic, tokens, weight, greatest({gaps}) AS missed FROM {last} {joins})")
     parts.append(
-        f"""q AS MATERIALIZED (SELECT source, lang, topic, weight, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio,
+        f"""q AS MATERIALIZED (SELECT source, lang, topic, weight, missed, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio,
   sum(tokens) OVER () * {BUDGET} AS goal,
   coalesce(sum(tokens) OVER o, 0) AS placed, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS open
-FROM {last} WINDOW o AS (ORDER BY CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+FROM e WINDOW o AS (ORDER BY CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
     )
     # The cells of the highest ratios are held at 1; the first that need not be gives the scale of the rest.
     parts.append("k AS (SELECT coalesce(max((goal - placed) / open) FILTER (WHERE ratio * (goal - placed) / open < 1 AND ratio > 0), 0) AS scale FROM q WHERE open > 0)")
-    parts.append("p4 AS (SELECT source, lang, topic, weight, least(1.0, ratio * scale) AS p FROM q, k)")
+    parts.append("p4 AS (SELECT source, lang, topic, weight, missed, least(1.0, ratio * scale) AS p FROM q, k)")
     u = "(CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496"
     return ",\n".join(parts) + f"""
-SELECT doc_id, source, lang, topic, r.tokens, round(weight, 7) AS weight, round(p, 7) AS probability, {u} < p AS sampled
+SELECT doc_id, source, lang, topic, r.tokens, round(weight, 7) AS weight, round(missed, 7) AS missed, round(p, 7) AS probability, {u} < p AS sampled
 FROM r JOIN p4 USING (source, lang, topic)"""
 
 
