@@ -32,6 +32,24 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> tuple[DataFr
     return windows, each.select("wid", "item_id").distinct()
 
 
+def item_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wid, sid of every window; sid, ids of every distinct set of items, as strings).
+
+    Windows of the same items share a set, so a document meets each set once,
+    however many items repeat a text. Null item ids are in no set.
+    """
+    owned = members.groupBy("wid").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    owned = settle(owned.withColumn("sid", F.sha2(F.to_json("ids"), 256)), "item-sets")
+    return owned.select("wid", "sid"), owned.select("sid", "ids").dropDuplicates(["sid"])
+
+
+def items_of(found: DataFrame, sets: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """doc_id, h, items (distinct, sorted as strings) from the windows found in each text: wid, doc_id, h."""
+    of_window, ids = sets
+    met = found.join(small(of_window), "wid").select("doc_id", "h", "sid").distinct().join(small(ids), "sid")
+    return met.groupBy("doc_id", "h").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"))
+
+
 def _terms(docs: DataFrame) -> DataFrame:
     """One row for each word of each document: doc_id, h, pos, term. (doc_id, h) names the text."""
     return docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
@@ -163,10 +181,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     spans = matches.groupBy(*key, "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
     fresh = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
     hits = spans.withColumn("fresh", fresh).groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
-    items = (
-        matches.select("wid", *key).distinct().join(small(members), "wid")
-        .groupBy(*key).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    )
+    sets = item_sets(members)
+    items = items_of(matches, sets)
     found = hits.alias("a").join(items.alias("b"), F.col("a.h").eqNullSafe(F.col("b.h")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     found = settle(found.select("a.doc_id", "a.h", "n_hit", "items"), "hits")
     counted = docs.select(
@@ -177,7 +193,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     extra = []
     if near:
-        close = near_windows(postings, rare).join(small(members), "wid").groupBy(*key).agg(F.count_distinct("item_id").alias("n_near"))
+        close = items_of(near_windows(postings, rare), sets).select(*key, F.size("items").alias("n_near"))
         close = small(settle(close, "near-items")).alias("c")
         met = F.col("a.h").eqNullSafe(F.col("c.h")) & F.col("a.doc_id").eqNullSafe(F.col("c.doc_id"))
         counted = counted.join(close, met, "left").select("a.*", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")).alias("a")
