@@ -15,13 +15,14 @@ SNAKE_KEY = r"^[a-z0-9]+(_[a-z0-9]+)*\z"
 
 
 def trim(c: Column) -> Column:
-    """Strip Unicode space at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    """Strip Unicode space at both ends; most texts begin and end in visible ASCII, which shows at a glance."""
+    return F.when(c.rlike(r"(?s)^[!-~](?:.*[!-~])?\z"), c).otherwise(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", ""))
 
 
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units; characters beyond the basic plane count twice."""
-    return F.char_length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    n = F.char_length(c)
+    return F.when(F.octet_length(c) == n, n).otherwise(n + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]")))
 
 
 def number_text(c: Column) -> Column:

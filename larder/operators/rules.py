@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import fixed
 from larder.functions.text import trim, utf16_length
 
-INVISIBLE = r"\p{Cc}|\p{Cf}|\p{Co}|\p{Cs}"
+INVISIBLE = r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}]"
 PLAIN_NUMBER = r"^(\d+|\d{1,3}(,\d{3})+)(\.\d+)?\z"
 SCIENTIFIC = r"(?i)^\d+(\.\d+)?e[+-]?\d+\z"
 YEAR_FIRST = r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})\z"
@@ -30,9 +30,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with further columns that are computed once for each row.
 
     As a generator's output they are not substituted into the filters and
-    projections above, where each mention would repeat the whole rule.
+    projections above, where each mention would repeat the whole rule. Under a
+    lambda they stay out of the stage's generated method, which with a few rules in
+    it is too long for the JVM to compile and runs some ten times slower.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.transform(F.array(F.lit(0)), lambda _: made)))
 
 
 def bounds_at(now: str) -> tuple[str, str]:
@@ -42,12 +45,20 @@ def bounds_at(now: str) -> tuple[str, str]:
     return fixed.EARLIEST_DATE, (date.fromisoformat(now[:10]) + timedelta(days=fixed.MAX_FUTURE_DAYS)).isoformat()
 
 
+def _of(value: Column, rule) -> Column:
+    """``rule`` of a value that is computed once, however often the rule mentions it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
+
+
 def read_product(raw: Column) -> Column:
     """V4, V5: struct of value and fault; the fault 'formula' is a kind of its own."""
-    text = trim(raw)
+    return _of(trim(raw), _product)
+
+
+def _product(text: Column) -> Column:
     fault = (
         F.when(text == "", "empty")
-        .when(F.lower(text).isin(fixed.PLACEHOLDERS), "placeholder")
+        .when((F.length(text) <= max(map(len, fixed.PLACEHOLDERS))) & F.lower(text).isin(fixed.PLACEHOLDERS), "placeholder")
         .when(text.rlike(INVISIBLE), "invisible-character")
         .when(F.substring(text, 1, 1).isin("=", "+", "-", "@"), "formula")
     )
@@ -56,7 +67,10 @@ def read_product(raw: Column) -> Column:
 
 def read_weight(raw: Column) -> Column:
     """V6: struct of value and fault."""
-    text = trim(raw)
+    return _of(trim(raw), _weight)
+
+
+def _weight(text: Column) -> Column:
     fault = (
         F.when(text == "", "empty")
         .when(text.rlike(r"^\([^\n\r]*\)\z"), "parenthesized-negative")
@@ -75,14 +89,19 @@ def calendar(year: Column, month: Column, day: Column, bounds: tuple[str, str])
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
     days = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
     real = month.between(1, 12) & (day >= 1) & (day <= days) & (year >= 100)
-    iso = F.format_string("%04d-%02d-%02d", year, month, day)
-    fault = F.when(~real, "not-a-real-date").when(iso < bounds[0], "too-old").when(iso > bounds[1], "too-far-ahead")
-    return F.struct(F.when(real & fault.isNull(), iso).alias("iso"), fault.alias("fault"))
+    iso = F.concat_ws("-", *[F.lpad(c.cast("string"), n, "0") for c, n in ((year, 4), (month, 2), (day, 2))])
+
+    def judged(iso: Column) -> Column:
+        fault = F.when(iso == "", "not-a-real-date").when(iso < bounds[0], "too-old").when(iso > bounds[1], "too-far-ahead")
+        return F.struct(F.when(fault.isNull(), iso).alias("iso"), fault.alias("fault"))
+
+    return _of(F.when(real, iso).when(~real, ""), judged)
 
 
 def clean_date(raw: Column) -> Column:
     """Spaces folded, then commas deleted, lower case."""
-    return F.lower(F.replace(F.regexp_replace(trim(raw), r"[\s\p{Z}\x{FEFF}\x0B]+", " "), F.lit(","), F.lit("")))
+    folded = F.replace(F.regexp_replace(trim(raw), r"[\s\p{Z}\x{FEFF}\x0B]+", " "), F.lit(","), F.lit(""))
+    return _of(folded, lambda text: F.when(text.rlike(r"^[ -@\[-~]*\z"), text).otherwise(F.lower(text)))
 
 
 def date_parts(text: Column) -> Column:
@@ -185,19 +204,17 @@ def decide_order(read: DataFrame) -> DataFrame:
 
     Only rows that passed every cell rule vote.
     """
-    votes = read.where(F.col("ok") & (F.col("date_kind") == "numeric")).select(
-        "upload", "line", "date", "first", "second", "year", F.coalesce(order_proven(F.col("first"), F.col("second")), F.lit("ambiguous")).alias("class")
-    )
+    vote = F.coalesce(order_proven(F.col("first"), F.col("second")), F.lit("ambiguous"))
+    votes = read.select("upload", "line", "date", "first", "second", "year", F.when(F.col("ok") & (F.col("date_kind") == "numeric"), vote).alias("class"))
     example = F.struct("line", "date", "first", "second", "year")
 
     def first_of(name: str) -> Column:
         return F.min(F.when(F.col("class") == name, example))
 
-    per = votes.groupBy("upload").agg(
-        first_of("day-first").alias("day_first"), first_of("month-first").alias("month_first"), first_of("ambiguous").alias("ambiguous")
+    met = votes.groupBy("upload").agg(
+        F.count("*").alias("rows_read"),
+        first_of("day-first").alias("day_first"), first_of("month-first").alias("month_first"), first_of("ambiguous").alias("ambiguous"),
     )
-    uploads = read.groupBy("upload").agg(F.count("*").alias("rows_read"))
-    met = uploads.join(per, "upload", "left")
     day, month, open_ = (F.col(c).isNotNull() for c in ("day_first", "month_first", "ambiguous"))
     fault = F.when(day & month, "contradictory").when(~day & ~month & open_, "unresolvable")
     order = F.when(day & ~month, "day-first").when(month & ~day, "month-first").when(~day & ~month & ~open_, "month-first")
