@@ -192,7 +192,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = sql.replace("{", "{{").replace("}", "}}")
     for n in names:
         text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}} {n}", text)
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in names})
+    # The table of parts grows with the others: read from files that compress well, it would pass for one to broadcast.
+    parts = {n: view(spark, sf_dir, n).hint("merge") if n == "part" else view(spark, sf_dir, n) for n in names}
+    return spark.sql(text, **parts)
 
 
 def with_views(sql: str, more: dict[str, str] | None = None) -> str:

@@ -16,3 +16,8 @@ def test_order_reads_rows_once(spark):
     rows = spark.range(8).selectExpr("id AS upload", "CAST(id AS INT) AS line", "'beef' AS product", "'1/2/2005' AS date", "'3' AS weight")
     plan = rules.decide_order(rules.read_cells(rows, "2011-12-31 12:00:00"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate inline") == 4 and "Join" not in plan
+
+
+def test_parts_are_never_broadcast(spark):
+    plan = views.view(spark, "/root/testdata/sf0.001", "cells")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
