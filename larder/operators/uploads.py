@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +145,12 @@ def fold_header(c: Column) -> Column:
     return F.regexp_replace(F.lower(trim(c)), r"[\s\p{Z}\x{FEFF}_-]+", " ")
 
 
+def may_name(rec: Column) -> Column:
+    """Whether a name of each required column stands somewhere in a record; false of most rows, which need no splitting then."""
+    found = [rec.rlike("(?iu)" + "|".join(a.replace(" ", r"[\s\p{Z}\x{FEFF}_-]+") for a in fixed.ALIASES[c])) for c in reversed(fixed.REQUIRED_COLUMNS)]
+    return reduce(Column.__and__, found)
+
+
 def name_columns(fields: Column) -> Column:
     """For each field the required column that its header names, or null, its index and the header."""
     names = F.create_map(*[F.lit(x) for col, all_ in fixed.ALIASES.items() for a in all_ for x in (a, col)])
@@ -168,14 +176,16 @@ def match_header(hits: Column) -> list[Column]:
 def find_layout(decoded: DataFrame) -> DataFrame:
     """One row per readable file: delimiter, header_line, width, index of each column - or layout_fault and its parts.
 
-    All four delimiters are tried on the first ten records, whatever their
-    length; exactly one header row under exactly one delimiter must name all
+    The delimiters are tried on the first ten records, whatever their length; exactly one header row under exactly one delimiter must name all
     three columns once. The tries are an array in the file's row, so nothing is
     shuffled. A fault beyond the tenth record is not met.
     """
     most = fixed.MAX_HEADER_SEARCH_LINES
     files = decoded.where(F.col("gate").isNull()).select("upload", "text")
 
+    def divided(c: Column, d: Column) -> Column:
+        return F.length(c) - F.length(F.replace(c, d, F.lit(""))) >= len(fixed.REQUIRED_COLUMNS) - 1
+
     def step(df: DataFrame, make, tries="tries") -> DataFrame:
         return df.select("upload", "text", F.inline(F.array(F.struct(F.transform(tries, make).alias("tries")))))
 
@@ -183,20 +193,22 @@ def find_layout(decoded: DataFrame) -> DataFrame:
         return F.transform(t["rows"], lambda r: F.struct(r["line"], *made(r)))
 
     upto, text = HEAD.replace("«N»", str(most)), F.col("text")
-    files = step(files, lambda d: F.struct(d.alias("d"), _by_delimiter(d, upto, lambda p: F.regexp_extract("text", p, 0)).alias("head")), F.array(*map(F.lit, fixed.DELIMITERS)))
+    # A delimiter that the text has not twice divides no header and makes no record too wide.
+    tried = F.filter(F.array(*map(F.lit, fixed.DELIMITERS)), lambda d: (d == fixed.DELIMITERS[0]) | divided(text, d))
+    files = step(files, lambda d: F.struct(d.alias("d"), _by_delimiter(d, upto, lambda p: F.regexp_extract("text", p, 0)).alias("head")), tried)
     files = step(files, lambda t: F.struct(t["d"], t["head"], _by_delimiter(t["d"], HEAD_RECORD, lambda p: F.regexp_extract_all(t["head"], F.lit(p), F.lit(0))).alias("recs")))
 
     def records(t: Column) -> Column:
         """Only records that may name three columns, and the first by commas, of which faults speak."""
 
-        def record(r: Column, i: Column) -> Column:
-            bare = F.ltrim(r, F.lit("\n"))
-            before = F.aggregate(F.slice(t["recs"], F.lit(1), i), F.lit(1), lambda n, x: n + _lines(x))
-            return F.struct((before + F.length(r) - F.length(bare)).alias("line"), bare.alias("rec"))
+        def record(x: Column) -> Column:
+            before = F.aggregate(F.slice(t["recs"], F.lit(1), x["i"]), F.lit(1), lambda n, r: n + _lines(r))
+            bare = F.ltrim(x["rec"], F.lit("\n"))
+            return F.struct((before + F.length(x["rec"]) - F.length(bare)).alias("line"), bare.alias("rec"))
 
-        least = len(fixed.REQUIRED_COLUMNS) - 1
-        divided = lambda x: F.length(x["rec"]) - F.length(F.replace(x["rec"], t["d"], F.lit(""))) >= least
-        return F.filter(F.transform(t["recs"], record), lambda x, i: ((i == 0) & (t["d"] == fixed.DELIMITERS[0])) | divided(x))
+        numbered = F.transform(t["recs"], lambda r, i: F.struct(i.alias("i"), r.alias("rec")))
+        may = F.filter(numbered, lambda x: ((x["i"] == 0) & (t["d"] == fixed.DELIMITERS[0])) | (divided(x["rec"], t["d"]) & may_name(x["rec"])))
+        return F.transform(may, record)
 
     def rest(t: Column) -> Column:
         return F.when((F.size(t["recs"]) < most) & (F.length(t["head"]) < F.length(text)), _after(text, F.length(t["head"])))
@@ -323,7 +335,7 @@ def write_out(cells: DataFrame) -> DataFrame:
 
     def field(c: str) -> Column:
         v = F.col(c)
-        return F.when(v.rlike('["\n]') | v.contains(F.col("d")), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+        return F.when(v.contains('"') | v.contains("\n") | v.contains(F.col("d")), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
     rows = cells.withColumn("d", d)
     record = F.concat(field("product"), F.col("d"), field("date"), F.col("d"), field("weight"))

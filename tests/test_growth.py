@@ -21,3 +21,10 @@ def test_order_reads_rows_once(spark):
 def test_parts_are_never_broadcast(spark):
     plan = views.view(spark, "/root/testdata/sf0.001", "cells")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_headers_in_odd_spelling_are_still_found(spark):
+    texts = ["PRODUCT\u00a0NAME;Date__Ordered;\ufeffWeight\na;2005-01-01;3\n", "a,b\n\n\"item\nname\"|order-date|weight\nx|2005-01-01|3\n", "produ\u212at|date|weight\n"]
+    files = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "upload long, gate string, text string")
+    got = {r.upload: (r.delimiter, r.header_line, r.layout_fault) for r in uploads.find_layout(files).collect()}
+    assert got == {0: (";", 1, None), 1: ("|", 3, None), 2: (None, None, "bad-header")}
