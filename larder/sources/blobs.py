@@ -30,6 +30,9 @@ PACK_BYTES = 64 << 20
 """About how many bytes of files a task reads; an open file counts as OPEN_BYTES at least."""
 OPEN_BYTES = 256 << 10
 MAX_DOCUMENT_BYTES = 64 << 20
+PACKS = ".packs"
+"""The folder below a path where small objects lie packed; its own files are no objects."""
+PACKED = "key string, content binary, size long, modified timestamp, run string, n long"
 LISTED = "key string, size long, modified timestamp"
 
 
@@ -57,7 +60,7 @@ class ObjectReader(DataSourceReader):
 
     def _may_hold(self, key: str) -> bool:
         """Whether keys below the folder ``key`` can start with the prefix."""
-        return f"{key}/".startswith(self.prefix) or self.prefix.startswith(f"{key}/")
+        return key != PACKS and (f"{key}/".startswith(self.prefix) or self.prefix.startswith(f"{key}/"))
 
     def partitions(self) -> list[InputPartition]:
         store, base = located(self.path)
@@ -160,13 +163,50 @@ def list_objects(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     A prefix is a string, not a folder: 'org/1' finds 'org/10/x' too, 'org/1/'
     does not. Tasks list different folders, each a page at a time. A path that does
     not exist lists nothing; keys of files being written start with a dot in their
-    name and are listed under it until they are moved.
+    name and are listed under it until they are moved. Packed objects are listed
+    from their packs, each key once, as it was put last.
     """
+    loose, packed = _found(spark, path, prefix)
+    return loose if packed is None else loose.select("key", "size", "modified").unionByName(packed.select("key", "size", "modified"))
+
+
+def _loose(spark: SparkSession, path: str, prefix: str) -> DataFrame:
     spark.dataSource.register(Objects)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
     return spark.read.format("larder_objects").option("path", path).option("prefix", prefix).option("pushdown", pushdown).load()
 
 
+def _found(spark: SparkSession, path: str, prefix: str) -> tuple[DataFrame, DataFrame | None]:
+    """The objects that are files, and the packed ones (PACKED), or None where nothing was ever packed; no key twice."""
+    loose = _loose(spark, path, prefix)
+    store, base = located(path)
+    if store.get_file_info(posixpath.join(base, PACKS)).type != fs.FileType.Directory:
+        return loose, None
+    packed = spark.read.schema(PACKED).parquet(f"{path.rstrip('/')}/{PACKS}/*").where(F.startswith("key", F.lit(prefix)))
+    put = F.struct("modified", "run", "n")
+    puts = packed.select("key", put.alias("put")).unionByName(loose.select("key", F.struct("modified", F.lit("").alias("run"), F.lit(0).cast("long").alias("n")).alias("put")))
+    again = settle(puts.groupBy("key").agg(F.count("*").alias("times"), F.max("put").alias("last")).where("times > 1").select("key", "last"), "put-again")
+    if again.isEmpty():
+        return loose, packed
+
+    def newest(df: DataFrame, put: Column) -> DataFrame:
+        return df.join(again, "key", "left").where(F.col("last").isNull() | (put == F.col("last"))).select(*df.columns)
+
+    return newest(loose, F.struct("modified", F.lit("").alias("run"), F.lit(0).cast("long").alias("n"))), newest(packed, put)
+
+
+def pack_objects(objects: DataFrame, path: str) -> None:
+    """Rows of key, content as packed objects; a key that is there is replaced.
+
+    For small objects in great number: each file takes a block of disk and an
+    entry of its folder, whatever its size; packs take what their bytes do. They are
+    listed and scanned with the files; a put that fails leaves nothing to see.
+    """
+    run, content = uuid.uuid4().hex, F.coalesce("content", F.lit(b""))
+    rows = objects.select("key", content.alias("content"), F.octet_length(content).cast("long").alias("size"), F.current_timestamp().alias("modified"), F.lit(run).alias("run"), F.monotonically_increasing_id().alias("n"))
+    rows.write.parquet(f"{path.rstrip('/')}/{PACKS}/{run}")
+
+
 def put_objects(objects: DataFrame, path: str) -> None:
     """Rows of key, content as files; a key that is there is replaced."""
     spark = objects.sparkSession
@@ -181,11 +221,11 @@ def scan_uploads(spark: SparkSession, path: str, prefix: str = "", most: int = f
     small files make a few thousand tasks. A file that went meanwhile has a null
     content and its listed size.
     """
-    return _contents(list_objects(spark, path, prefix), path, most)
+    return _contents(*_found(spark, path, prefix), path, most)
 
 
-def _contents(listed: DataFrame, path: str, most: int) -> DataFrame:
-    """key, content, size of listed objects."""
+def _contents(listed: DataFrame, packed: DataFrame | None, path: str, most: int) -> DataFrame:
+    """key, content, size of listed files and packed objects."""
     listed = listed.select("key", "size")
     cost = F.when(F.col("size") > most, OPEN_BYTES).otherwise(F.greatest("size", F.lit(OPEN_BYTES)))
     packs = -(-(listed.agg(F.sum(cost)).first()[0] or 0) // PACK_BYTES)
@@ -211,7 +251,10 @@ def _contents(listed: DataFrame, path: str, most: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(held, schema=kinds)
 
     kinds = pa.schema([("key", pa.string()), ("content", pa.binary()), ("size", pa.int64())])
-    return listed.repartition(max(packs, 1), "key").mapInArrow(read, "key string, content binary, size long")
+    files = listed.repartition(max(packs, 1), "key").mapInArrow(read, "key string, content binary, size long")
+    if packed is None:
+        return files
+    return files.unionByName(packed.select("key", F.when(F.col("size") <= most, F.col("content")).alias("content"), "size"))
 
 
 def _whole_json(text: Column) -> Column:
@@ -228,9 +271,11 @@ def scan_documents(spark: SparkSession, path: str, name: str, most: int = MAX_DO
     second table, with the reason, and one larger than ``most`` too, unread.
     ``folder`` is what stands before the name in the key.
     """
-    listed = list_objects(spark, path).where((F.col("key") == name) | F.col("key").endswith(f"/{name}"))
+    called = (F.col("key") == name) | F.col("key").endswith(f"/{name}")
+    listed, packed = _found(spark, path, "")
+    listed, packed = listed.where(called), None if packed is None else packed.where(called)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    rows = _contents(listed, path, most).select(F.regexp_replace("key", "/?[^/]*$", "").alias("folder"), text.alias("text"), F.col("content").isNull().alias("unread"))
+    rows = _contents(listed, packed, path, most).select(F.regexp_replace("key", "/?[^/]*$", "").alias("folder"), text.alias("text"), F.col("content").isNull().alias("unread"))
     rows = settle(rows.withColumn("v", _whole_json(F.col("text"))), "documents")
     reason = F.when(F.col("unread"), f"{name}: too large").otherwise(f"{name}: not valid JSON")
     return rows.where(F.col("v").isNotNull()).select("folder", "text", "v"), rows.where(F.col("v").isNull()).select("folder", "text", reason.alias("message"))

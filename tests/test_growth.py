@@ -1,7 +1,7 @@
 """Plans and results that must hold as the tables grow."""
 
 from larder.operators import rules, uploads
-from larder.sources import views
+from larder.sources import blobs, views
 
 
 def test_long_rules_stay_out_of_generated_methods(spark):
@@ -28,3 +28,19 @@ def test_headers_in_odd_spelling_are_still_found(spark):
     files = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "upload long, gate string, text string")
     got = {r.upload: (r.delimiter, r.header_line, r.layout_fault) for r in uploads.find_layout(files).collect()}
     assert got == {0: (";", 1, None), 1: ("|", 3, None), 2: (None, None, "bad-header")}
+
+
+def test_packed_objects_take_no_file_each(spark, tmp_path):
+    at = str(tmp_path)
+    rows = spark.range(500).selectExpr("concat('a/', id % 3, '/', id) AS key", "encode(repeat('x', CAST(id AS INT)), 'UTF-8') AS content")
+    blobs.pack_objects(rows, at)
+    blobs.put_objects(spark.createDataFrame([("a/1/1", b"new"), ("a/1/large", b"y" * 900)], "key string, content binary"), at)
+    blobs.pack_objects(spark.createDataFrame([("a/2/2", b"newer"), ("b", None)], "key string, content binary"), at)
+    assert len([p for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith((".", "_"))]) < 30
+    want = {f"a/{i % 3}/{i}": i for i in range(500)} | {"a/1/1": 3, "a/1/large": 900, "a/2/2": 5, "b": 0}
+    for prefix in ("", "a/1", "a/1/", "a/1/4", "none"):
+        got = [(r.key, r.size) for r in blobs.list_objects(spark, at, prefix).collect()]
+        assert sorted(got) == sorted((k, n) for k, n in want.items() if k.startswith(prefix))
+    read = {r.key: r.content for r in blobs.scan_uploads(spark, at, most=400).collect()}
+    assert read.keys() == want.keys() and bytes(read["a/1/1"]) == b"new" and bytes(read["a/2/2"]) == b"newer" and read["b"] == b""
+    assert {k for k, c in read.items() if c is None} == {k for k, n in want.items() if n > 400}
