@@ -31,8 +31,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
     As a generator's output they are not substituted into the filters and
     projections above, where each mention would repeat the whole rule. Under a
-    lambda they stay out of the stage's generated method, which with a few rules in
-    it is too long for the JVM to compile and runs some ten times slower.
+    lambda they stay out of the stage's generated method, which a few rules make
+    very long.
     """
     made = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.inline(F.transform(F.array(F.lit(0)), lambda _: made)))
