@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from larder.operators.submission import output_line
 from larder.sources.blobs import located
+from larder.sources.store import settle
 
 CONTAINER_BYTES = 128 << 20
 """About how many bytes of normalized files a container holds."""
@@ -140,7 +141,7 @@ def write_normalized(accepted: DataFrame, path: str) -> None:
     """
     spark = accepted.sparkSession
     spark.dataSource.register(Containers)
-    lines = accepted.select("upload", "line", output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("text"))
+    lines = settle(accepted.select("upload", "line", output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("text")), "normalized-lines")
     total = lines.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     packed = lines.repartition(-(-total // CONTAINER_BYTES) or 1, "upload").sortWithinPartitions("upload", "line")
     packed.write.format("larder_containers").option("path", path).mode("append").save()
