@@ -77,7 +77,7 @@ def weight_by_month(rows: DataFrame) -> DataFrame:
 def per_person(by_month: DataFrame, counts: DataFrame) -> DataFrame:
     """M7: weight over the month's count; rows of upload, counts (map)."""
     each = counts.select("upload", F.explode("counts").alias("month", "count"))
-    return by_month.join(each, ["upload", "month"]).withColumn("per_person", F.when(F.col("count") > 0, F.col("weight") / F.col("count")))
+    return by_month.join(each.hint("merge"), ["upload", "month"]).withColumn("per_person", F.when(F.col("count") > 0, F.col("weight") / F.col("count")))
 
 
 def top_products(rows: DataFrame, n: int) -> DataFrame:
@@ -89,14 +89,15 @@ def top_products(rows: DataFrame, n: int) -> DataFrame:
 
 def by_category(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Month, category, weight with a supplied table of product, category; unknown products are 'uncategorized'."""
-    met = rows.join(categories.select("product", "category"), "product", "left")
-    return met.groupBy(F.substring("iso", 1, 7).alias("month"), F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    sums = rows.groupBy("product", F.substring("iso", 1, 7).alias("month")).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    met = sums.join(categories.select("product", "category").hint("merge"), "product", "left")
+    return met.groupBy("month", F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
 
 
 def to_review(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Products that no approved entry covers, with how often they were seen."""
     approved = categories.where("approved").select("product")
-    return rows.join(approved, "product", "left_anti").groupBy("product").agg(F.count("*").alias("n"))
+    return rows.groupBy("product").agg(F.count("*").alias("n")).join(approved.hint("merge"), "product", "left_anti")
 
 
 def run_counters(rows: DataFrame, categories: DataFrame) -> DataFrame:
