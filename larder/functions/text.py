@@ -16,7 +16,8 @@ SNAKE_KEY = r"^[a-z0-9]+(_[a-z0-9]+)*\z"
 
 def trim(c: Column) -> Column:
     """Strip Unicode space at both ends; most texts begin and end in visible ASCII, which shows at a glance."""
-    return F.when(c.rlike(r"(?s)^[!-~](?:.*[!-~])?\z"), c).otherwise(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", ""))
+    visible = (c >= "!") & (c < "\x7f") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(visible, c).otherwise(F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", ""))
 
 
 def utf16_length(c: Column) -> Column:

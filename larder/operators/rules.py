@@ -38,6 +38,18 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.transform(F.array(F.lit(0)), lambda _: made)))
 
 
+def compiled(df: DataFrame, **columns: Column) -> DataFrame:
+    """As ``once``, for rules of many steps: they run as compiled code, and the generator only hands on what they gave.
+
+    The lambda beside them keeps their projection out of the stage's one long
+    generated method, so it is cut into short ones.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    each = F.transform(F.array(F.col(df.columns[0])), lambda _: F.lit(0))
+    held = df.select("*", made.alias("_made"), each.alias("_each"))
+    return held.select(*df.columns, F.inline(F.transform("_each", lambda _: F.col("_made"))))
+
+
 def bounds_at(now: str) -> tuple[str, str]:
     """The accepted range for one moment ('YYYY-MM-DD ...', UTC)."""
     from datetime import date, timedelta
@@ -56,14 +68,17 @@ def read_product(raw: Column) -> Column:
 
 
 def _product(text: Column) -> Column:
-    fault = (
+    return F.struct(text.alias("value"), product_fault(text).alias("fault"))
+
+
+def product_fault(text: Column) -> Column:
+    """V4, V5 of a trimmed text."""
+    return (
         F.when(text == "", "empty")
         .when((F.length(text) <= max(map(len, fixed.PLACEHOLDERS))) & F.lower(text).isin(fixed.PLACEHOLDERS), "placeholder")
-        .when(text.rlike(INVISIBLE), "invisible-character")
+        .when(~text.rlike(r"^[ -~]*\z") & text.rlike(INVISIBLE), "invisible-character")
         .when(F.substring(text, 1, 1).isin("=", "+", "-", "@"), "formula")
     )
-    return F.struct(text.alias("value"), fault.alias("fault"))
-
 
 def read_weight(raw: Column) -> Column:
     """V6: struct of value and fault."""
@@ -71,51 +86,68 @@ def read_weight(raw: Column) -> Column:
 
 
 def _weight(text: Column) -> Column:
-    fault = (
+    fault = weight_fault(text)
+    return F.struct(F.when(fault.isNull(), weight_value(text)).alias("value"), fault.alias("fault"))
+
+
+def weight_value(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit("")).cast("double")
+
+
+def weight_fault(text: Column) -> Column:
+    """V6 of a trimmed text. A plain number has none of the other faults, so it is tried first."""
+    long_ = (F.length(text) > fixed.MAX_WEIGHT_DIGITS) & (F.length(F.regexp_replace(text, "[,.]", "")) > fixed.MAX_WEIGHT_DIGITS)
+    return (
         F.when(text == "", "empty")
+        .when(text.rlike(PLAIN_NUMBER), F.when(long_, "too-many-digits"))
         .when(text.rlike(r"^\([^\n\r]*\)\z"), "parenthesized-negative")
         .when(text.startswith("-"), "negative")
         .when(text.rlike(f"[{fixed.CURRENCY_SYMBOLS}]"), "money")
         .when(text.rlike(SCIENTIFIC), "scientific")
         .when(text.rlike("[A-Za-z]"), F.when(text.rlike("[0-9]"), "has-a-unit").otherwise("not-a-number"))
-        .when(~text.rlike(PLAIN_NUMBER), F.when(text.contains(","), "comma-decimal").otherwise("not-plain"))
-        .when(F.length(F.regexp_replace(text, "[,.]", "")) > fixed.MAX_WEIGHT_DIGITS, "too-many-digits")
+        .when(text.isNotNull(), F.when(text.contains(","), "comma-decimal").otherwise("not-plain"))
     )
-    return F.struct(F.when(fault.isNull(), F.replace(text, F.lit(","), F.lit("")).cast("double")).alias("value"), fault.alias("fault"))
 
 
 def calendar(year: Column, month: Column, day: Column, bounds: tuple[str, str]) -> Column:
-    """V9: struct of iso and fault. Years before 100 are no real dates; nulls give nulls."""
+    """V9: struct of iso and fault. Years before 100 are no real dates, and none is after 9999; nulls give nulls."""
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
     days = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
     real = month.between(1, 12) & (day >= 1) & (day <= days) & (year >= 100)
-    iso = F.concat_ws("-", *[F.lpad(c.cast("string"), n, "0") for c, n in ((year, 4), (month, 2), (day, 2))])
-
-    def judged(iso: Column) -> Column:
-        fault = F.when(iso == "", "not-a-real-date").when(iso < bounds[0], "too-old").when(iso > bounds[1], "too-far-ahead")
-        return F.struct(F.when(fault.isNull(), iso).alias("iso"), fault.alias("fault"))
-
-    return _of(F.when(real, iso).when(~real, ""), judged)
+    at = year * 10000 + month * 100 + day
+    low, high = (int(b.replace("-", "")) for b in bounds)
+    fault = F.when(~real, "not-a-real-date").when(at < low, "too-old").when(at > high, "too-far-ahead")
+    iso = F.when(real & (at >= low) & (at <= high), F.make_date(year, month, day).cast("string"))
+    return F.struct(iso.alias("iso"), fault.alias("fault"))
 
 
 def clean_date(raw: Column) -> Column:
     """Spaces folded, then commas deleted, lower case."""
-    folded = F.replace(F.regexp_replace(trim(raw), r"[\s\p{Z}\x{FEFF}\x0B]+", " "), F.lit(","), F.lit(""))
-    return _of(folded, lambda text: F.when(text.rlike(r"^[ -@\[-~]*\z"), text).otherwise(F.lower(text)))
+    folded = F.when(raw.rlike(r"^[!-~]+\z"), raw).otherwise(F.regexp_replace(trim(raw), r"[\s\p{Z}\x{FEFF}\x0B]+", " "))
+    return F.lower(F.replace(folded, F.lit(","), F.lit("")))
 
 
 def date_parts(text: Column) -> Column:
     """V7, V8: struct of kind ('date', 'numeric' or a fault), year, month, day - or first, second for numeric.
 
-    ``text`` is cleaned. The grammars are tried in order.
+    ``text`` is cleaned. The grammars are tried in order; those that begin with a
+    year, those with a word and the rest shut each other out.
     """
 
     def number(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group).try_cast("int")
 
+    def digits(start: Column | int) -> Column:
+        """The one or two digits at a place; what may stand by them is a separator."""
+        return F.translate(F.substring(text, start, F.lit(2) if isinstance(start, Column) else 2), "/.- t", "")
+
+    def at(start: Column | int) -> Column:
+        return digits(start).try_cast("int")
+
     def year(pattern: str, group: int) -> Column:
-        token = F.regexp_extract(text, pattern, group)
-        return F.when(F.length(token) == 2, token.try_cast("int") + 2000).otherwise(token.try_cast("int"))
+        """The last number of a grammar with words; two digits have a separator before them."""
+        n = number(pattern, group)
+        return F.when(F.substring(text, -3, 1).isin(" ", "-"), n + 2000).otherwise(n)
 
     names = F.create_map(*[F.lit(x) for pair in fixed.MONTHS.items() for x in pair])
 
@@ -129,20 +161,32 @@ def date_parts(text: Column) -> Column:
         return parts(F.when(m.isNull(), "unknown-month-name").otherwise("date"), year(pattern, y), m, day)
 
     none = F.lit(None).cast("int")
-    found = F.when(text == "", parts("empty", none, none, none))
-    for p in (YEAR_FIRST, YEAR_FIRST_TIME, COMPACT):
-        found = found.when(text.rlike(p), parts("date", number(p, 1), number(p, 2), number(p, 3)))
-    found = found.when(text.rlike(YEAR_MONTH), parts("date", number(YEAR_MONTH, 1), number(YEAR_MONTH, 2), F.lit(1)))
-    found = found.when(text.rlike(MONTH_YEAR), parts("date", number(MONTH_YEAR, 2), number(MONTH_YEAR, 1), F.lit(1)))
-    found = found.when(text.rlike(DAY_NAME_YEAR), named(DAY_NAME_YEAR, 3, 2, 1))
-    found = found.when(text.rlike(NAME_DAY_YEAR), named(NAME_DAY_YEAR, 3, 1, 2))
-    found = found.when(text.rlike(NAME_YEAR), named(NAME_YEAR, 2, 1, None))
-    first, second = number(YEAR_LAST, 1), number(YEAR_LAST, 2)
+    first_year, last_year = F.substring(text, 1, 4).try_cast("int"), F.substring(text, -4, 4).try_cast("int")
+    serial = F.when(text.rlike(SERIAL), parts("date-serial", none, none, none)).otherwise(parts("unrecognized", none, none, none))
+    leading = F.when(text.rlike(YEAR_FIRST), parts("date", first_year, at(6), at(-2)))
+    day_at = F.when(F.substring(text, 7, 1).between("0", "9"), 9).otherwise(8)
+    leading = leading.when(text.rlike(YEAR_FIRST_TIME), parts("date", first_year, at(6), at(day_at)))
+    leading = leading.when(text.rlike(COMPACT), parts("date", *[F.substring(text, i, n).try_cast("int") for i, n in ((1, 4), (5, 2), (7, 2))]))
+    leading = leading.when(text.rlike(YEAR_MONTH), parts("date", first_year, at(6), F.lit(1)))
+    worded = (
+        F.when(text.rlike(DAY_NAME_YEAR), named(DAY_NAME_YEAR, 3, 2, 1))
+        .when(text.rlike(NAME_DAY_YEAR), named(NAME_DAY_YEAR, 3, 1, 2))
+        .when(text.rlike(NAME_YEAR), named(NAME_YEAR, 2, 1, None))
+        .otherwise(parts("unrecognized", none, none, none))
+    )
+    first, second = at(1), at(F.length(digits(1)) + 2)
     both = (first > 12) & (second > 12)
-    numeric = parts(F.when(both, "not-a-real-date").otherwise("numeric"), year(YEAR_LAST, 3), first, second)
-    found = found.when(text.rlike(YEAR_LAST), numeric)
-    return found.when(text.rlike(SERIAL), parts("date-serial", none, none, none)).otherwise(
-        parts("unrecognized", none, none, none)
+    numeric = parts(F.when(both, "not-a-real-date").otherwise("numeric"), F.when(text.rlike(r"\d{4}\z"), last_year).otherwise(F.substring(text, -2, 2).try_cast("int") + 2000), first, second)
+    trailing = (
+        F.when(text.rlike(MONTH_YEAR), parts("date", last_year, at(1), F.lit(1)))
+        .when(text.rlike(YEAR_LAST), numeric)
+        .otherwise(serial)
+    )
+    return (
+        F.when(text == "", parts("empty", none, none, none))
+        .when(text.rlike(r"^\d{4}"), leading.otherwise(serial))
+        .when(text.rlike("[a-z]"), worded)
+        .otherwise(trailing)
     )
 
 
@@ -156,6 +200,7 @@ def read_cells(rows: DataFrame, now: str) -> DataFrame:
 
     Adds product_value, product_fault, weight_value, weight_fault, date_kind
     ('date', 'numeric', 'invalid'), date_fault, iso, first, second, year,
+    by_day, by_month (iso and fault of a numeric date under either order),
     too_long (array of columns), wrong_width, ok. A row of the wrong width, and
     then one with an over-long cell, is read no further.
     """
@@ -164,29 +209,40 @@ def read_cells(rows: DataFrame, now: str) -> DataFrame:
     for c in fixed.REQUIRED_COLUMNS:
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit("")))
     over = [F.when(utf16_length(F.col(c)) > fixed.MAX_FREE_TEXT_LENGTH, c) for c in fixed.REQUIRED_COLUMNS]
+    none = F.array().cast("array<string>")
+    short = F.lit(True)
+    for c in fixed.REQUIRED_COLUMNS:  # no text has more units than bytes
+        short &= F.octet_length(F.col(c)) <= fixed.MAX_FREE_TEXT_LENGTH
     rows = rows.withColumn("wrong_width", F.col("actual") != F.col("expected")).withColumn(
-        "too_long", F.when(F.col("wrong_width"), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*over)))
+        "too_long", F.when(F.col("wrong_width") | short, none).otherwise(F.array_compact(F.array(*over)))
     )
     readable = ~F.col("wrong_width") & (F.size("too_long") == 0)
-    rows = once(
+    rows = compiled(
         rows,
         readable=readable,
-        p=F.when(readable, read_product(F.col("product"))),
-        w=F.when(readable, read_weight(F.col("weight"))),
+        p=F.when(readable, trim(F.col("product"))),
+        w=F.when(readable, trim(F.col("weight"))),
         cleaned=F.when(readable, clean_date(F.col("date"))),
     )
-    rows = once(rows, d=F.when(F.col("readable"), date_parts(F.col("cleaned"))))
-    rows = once(rows, c=F.when(F.col("d.kind") == "date", calendar(F.col("d.year"), F.col("d.month"), F.col("d.day"), bounds_at(now))))
+    rows = compiled(rows, pf=product_fault(F.col("p")), wf=weight_fault(F.col("w")), d=F.when(F.col("readable"), date_parts(F.col("cleaned"))))
     numeric = F.col("d.kind") == "numeric"
+    year, month, day = F.col("d.year"), F.col("d.month"), F.col("d.day")
+    rows = compiled(
+        rows,
+        c=F.when(F.col("d.kind") == "date", calendar(year, month, day, bounds_at(now))),
+        by_day=F.when(numeric, calendar(year, day, month, bounds_at(now))),
+        by_month=F.when(numeric, calendar(year, month, day, bounds_at(now))),
+    )
     fault = F.when(F.col("d.kind") == "date", F.col("c.fault")).when(~numeric, F.col("d.kind"))
-    fine = F.col("readable") & F.col("p.fault").isNull() & F.col("w.fault").isNull() & fault.isNull()
-    kept = [c for c in rows.columns if c not in ("p", "w", "d", "c", "cleaned")]
-    return once(
+    fine = F.col("readable") & F.col("pf").isNull() & F.col("wf").isNull() & fault.isNull()
+    passed = ("p", "w", "pf", "wf", "d", "c", "cleaned")
+    kept = [c for c in rows.columns if c not in passed]
+    return compiled(
         rows,
-        product_value=F.when(F.col("p.fault").isNull(), F.col("p.value")),
-        product_fault=F.col("p.fault"),
-        weight_value=F.col("w.value"),
-        weight_fault=F.col("w.fault"),
+        product_value=F.when(F.col("pf").isNull(), F.col("p")),
+        product_fault=F.col("pf"),
+        weight_value=F.when(F.col("wf").isNull(), weight_value(F.col("w"))),
+        weight_fault=F.col("wf"),
         date_fault=fault,
         date_kind=F.when(fault.isNotNull(), "invalid").when(numeric, "numeric").when(F.col("readable"), "date"),
         iso=F.col("c.iso"),
@@ -194,18 +250,29 @@ def read_cells(rows: DataFrame, now: str) -> DataFrame:
         second=F.when(numeric, F.col("d.day")),
         year=F.when(numeric, F.col("d.year")),
         ok=F.coalesce(fine, F.lit(False)),
-    ).drop("p", "w", "d", "c", "cleaned").select(
+    ).select(
         *kept, "product_value", "product_fault", "weight_value", "weight_fault", "date_fault", "date_kind", "iso", "first", "second", "year", "ok"
     )
 
 
+def _vote() -> Column:
+    vote = F.coalesce(order_proven(F.col("first"), F.col("second")), F.lit("ambiguous"))
+    return F.when(F.col("ok") & (F.col("date_kind") == "numeric"), vote)
+
+
+def _order(day: Column, month: Column, open_: Column) -> tuple[Column, Column]:
+    """date_order and order_fault by which classes of dates an upload has."""
+    fault = F.when(day & month, "contradictory").when(~day & ~month & open_, "unresolvable")
+    order = F.when(day & ~month, "day-first").when(month & ~day, "month-first").when(~day & ~month & ~open_, "month-first")
+    return order, fault
+
+
 def decide_order(read: DataFrame) -> DataFrame:
     """One row per upload: date_order or order_fault, and the first example of each class.
 
     Only rows that passed every cell rule vote.
     """
-    vote = F.coalesce(order_proven(F.col("first"), F.col("second")), F.lit("ambiguous"))
-    votes = read.select("upload", "line", "date", "first", "second", "year", F.when(F.col("ok") & (F.col("date_kind") == "numeric"), vote).alias("class"))
+    votes = read.select("upload", "line", "date", "first", "second", "year", _vote().alias("class"))
     example = F.struct("line", "date", "first", "second", "year")
 
     def first_of(name: str) -> Column:
@@ -215,9 +282,7 @@ def decide_order(read: DataFrame) -> DataFrame:
         F.count("*").alias("rows_read"),
         first_of("day-first").alias("day_first"), first_of("month-first").alias("month_first"), first_of("ambiguous").alias("ambiguous"),
     )
-    day, month, open_ = (F.col(c).isNotNull() for c in ("day_first", "month_first", "ambiguous"))
-    fault = F.when(day & month, "contradictory").when(~day & ~month & open_, "unresolvable")
-    order = F.when(day & ~month, "day-first").when(month & ~day, "month-first").when(~day & ~month & ~open_, "month-first")
+    order, fault = _order(*(F.col(c).isNotNull() for c in ("day_first", "month_first", "ambiguous")))
     return met.select("upload", "rows_read", order.alias("date_order"), fault.alias("order_fault"), "day_first", "month_first", "ambiguous")
 
 
