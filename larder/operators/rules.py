@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import fixed
@@ -286,20 +286,40 @@ def decide_order(read: DataFrame) -> DataFrame:
     return met.select("upload", "rows_read", order.alias("date_order"), fault.alias("order_fault"), "day_first", "month_first", "ambiguous")
 
 
-def resolve_dates(read: DataFrame, decided: DataFrame, now: str) -> DataFrame:
-    """Rows that passed, with resolved_iso and resolved_fault under the upload's order."""
-    rows = read.where("ok").join(decided.select("upload", "date_order", "order_fault"), "upload")
+def judge(read: DataFrame, now: str) -> DataFrame:
+    """Every row with date_order, order_fault, resolved_iso, resolved_fault and refused (is its upload?).
+
+    An upload's rows are together by then, so its order and its refusal are
+    window values: nothing of one row an upload is made, joined or broadcast.
+    """
+    whole = Window.partitionBy("upload")
+    bad = F.coalesce("wrong_width", F.lit(False)) | (F.size("too_long") > 0)
+    for fault in ("product_fault", "weight_fault", "date_fault"):
+        bad |= F.col(fault).isNotNull()
+    seen = {c: F.col("class") == c for c in ("day-first", "month-first", "ambiguous")}
+    seen |= {c: F.col("ok") & F.col(f"{c}.fault").isNotNull() for c in ("by_day", "by_month")} | {"bad": bad}
+    rows = read.withColumn("class", _vote())
+    rows = rows.withColumns({f"any_{c}": F.coalesce(F.max(s).over(whole), F.lit(False)) for c, s in seen.items()})
+    some = {c: F.col(f"any_{c}") for c in seen}
+    order, order_fault = _order(some["day-first"], some["month-first"], some["ambiguous"])
+    rows = rows.withColumns({"date_order": order, "order_fault": order_fault})
     day_first = F.col("date_order") == "day-first"
-    month = F.when(day_first, F.col("second")).otherwise(F.col("first"))
-    day = F.when(day_first, F.col("first")).otherwise(F.col("second"))
-    rows = rows.withColumn("r", F.when(F.col("date_kind") == "numeric", calendar(F.col("year"), month, day, bounds_at(now))))
-    open_ = F.col("order_fault").isNull()
-    return rows.withColumns(
+    later = F.when(day_first, some["by_day"]).otherwise(some["by_month"])
+    open_ = F.col("ok") & F.col("order_fault").isNull()
+    met = F.when(day_first, F.col("by_day")).otherwise(F.col("by_month"))
+    rows = rows.withColumns(
         {
-            "resolved_iso": F.when(open_, F.when(F.col("date_kind") == "date", F.col("iso")).otherwise(F.col("r.iso"))),
-            "resolved_fault": F.when(open_ & (F.col("date_kind") == "numeric"), F.col("r.fault")),
+            "resolved_iso": F.when(open_, F.when(F.col("date_kind") == "date", F.col("iso")).otherwise(met["iso"])),
+            "resolved_fault": F.when(open_ & (F.col("date_kind") == "numeric"), met["fault"]),
+            "refused": some["bad"] | F.col("order_fault").isNotNull() | later,
         }
-    ).drop("r")
+    )
+    return rows.drop("class", "by_day", "by_month", *[f"any_{c}" for c in seen])
+
+
+def resolved_rows(judged: DataFrame) -> DataFrame:
+    """The rows that passed every cell rule, of named uploads."""
+    return judged.where(F.col("ok") & F.col("upload").isNotNull())
 
 
 def both_readings(first: Column, second: Column, year: Column) -> Column:

@@ -20,6 +20,10 @@ def _all(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return findings.normalize(_read(spark, d), NOW)
 
 
+def _accepted(spark: SparkSession, d: str) -> DataFrame:
+    return findings.accept(rules.judge(_read(spark, d), NOW))
+
+
 def v_product(spark: SparkSession, d: str) -> DataFrame:
     read = rules.once(view(spark, d, "cells"), p=rules.read_product(F.col("product")))
     fault = F.when(F.length("product") > fixed.MAX_FREE_TEXT_LENGTH, "too-long").otherwise(F.col("p.fault"))
@@ -52,7 +56,7 @@ def v_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return _all(spark, d)["resolved"].select("upload", "line", "resolved_iso", "resolved_fault")
+    return rules.resolved_rows(rules.judge(_read(spark, d), NOW)).select("upload", "line", "resolved_iso", "resolved_fault")
 
 
 def v_both_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -61,15 +65,15 @@ def v_both_readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_accepted(spark: SparkSession, d: str) -> DataFrame:
-    return _all(spark, d)["accepted"]
+    return _accepted(spark, d)
 
 
 def v_months(spark: SparkSession, d: str) -> DataFrame:
-    return _all(spark, d)["months"].select("upload", F.array_join("months", ",").alias("months"))
+    return findings.months_of(_accepted(spark, d)).select("upload", F.array_join("months", ",").alias("months"))
 
 
 def v_output_line(spark: SparkSession, d: str) -> DataFrame:
-    return _all(spark, d)["accepted"].select("upload", "line", submission.output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("text"))
+    return _accepted(spark, d).select("upload", "line", submission.output_line(F.col("product"), F.col("iso"), F.col("weight")).alias("text"))
 
 
 def _widths(spark: SparkSession, d: str) -> DataFrame:
@@ -82,11 +86,11 @@ def v_width(spark: SparkSession, d: str) -> DataFrame:
     """V1: rows with other widths than the header's, folded and worded; they have no other problem."""
     parts = findings.normalize(rules.read_cells(_widths(spark, d), NOW), NOW)
     n = parts["groups"].select("upload", "key", "n")
-    return parts["worded"].where(F.col("key").startswith("width")).select("upload", "key", "rule").join(n, ["upload", "key"])
+    return parts["worded"].where(F.col("key").startswith("width")).select("upload", "key", "rule").join(n.hint("merge"), ["upload", "key"])
 
 
 def v_coverage(spark: SparkSession, d: str) -> DataFrame:
-    months = _all(spark, d)["months"]
+    months = findings.months_of(_accepted(spark, d))
     counted = months.withColumn("counts", F.map_from_arrays(F.filter("months", lambda m: F.substring(m, 6, 2) != "07"), F.transform(F.filter("months", lambda m: F.substring(m, 6, 2) != "07"), lambda m: F.lit(1))))
     return submission.coverage(counted).where(F.col("summary").isNotNull()).select("upload", "summary", "detail")
 
@@ -104,7 +108,7 @@ def f_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def f_failing_rows(spark: SparkSession, d: str) -> DataFrame:
     parts = _all(spark, d)
-    return parts["decided"].join(findings.failing_rows(parts["found"]), "upload", "left").select(
+    return parts["decided"].join(findings.failing_rows(parts["found"]).hint("merge"), "upload", "left").select(
         "upload", "rows_read", F.coalesce("failing", F.lit(0)).alias("failing")
     )
 

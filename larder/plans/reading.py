@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from larder.functions import fixed
 from larder.operators import access, lifecycle, metrics
-from larder.plans.intake import CTES, _all
+from larder.plans.intake import CTES, _accepted
 from larder.plans.upkeep import TS, _q, s
+from larder.sources.store import settle
 from larder.sources.views import NOW, view, with_views
 
 
@@ -182,29 +183,29 @@ def _categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m_weight(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.weight_by_month(_all(spark, d)["accepted"]).withColumn("weight", F.round("weight", 6))
+    return metrics.weight_by_month(_accepted(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
 def m_per_person(spark: SparkSession, d: str) -> DataFrame:
-    by = metrics.weight_by_month(_all(spark, d)["accepted"])
+    by = settle(metrics.weight_by_month(_accepted(spark, d)), "weights")
     counts = by.groupBy("upload").agg(F.map_from_entries(F.collect_list(F.struct("month", (F.col("upload") % 50).alias("n")))).alias("counts"))
     return metrics.per_person(by, counts).select("upload", "month", F.round("per_person", 6).alias("per_person"))
 
 
 def m_top(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.top_products(_all(spark, d)["accepted"], 2).withColumn("weight", F.round("weight", 6))
+    return metrics.top_products(_accepted(spark, d), 2).withColumn("weight", F.round("weight", 6))
 
 
 def m_category(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.by_category(_all(spark, d)["accepted"], _categories(spark, d)).withColumn("weight", F.round("weight", 4))
+    return metrics.by_category(_accepted(spark, d), _categories(spark, d)).withColumn("weight", F.round("weight", 4))
 
 
 def m_review(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.to_review(_all(spark, d)["accepted"], _categories(spark, d))
+    return metrics.to_review(_accepted(spark, d), _categories(spark, d))
 
 
 def m_counters(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.run_counters(_all(spark, d)["accepted"], _categories(spark, d))
+    return metrics.run_counters(_accepted(spark, d), _categories(spark, d))
 
 
 def m_units(spark: SparkSession, d: str) -> DataFrame:

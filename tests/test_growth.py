@@ -2,8 +2,8 @@
 
 from conftest import DATA
 
-from larder.operators import rules, uploads
-from larder.plans import stores
+from larder.operators import findings, rules, uploads
+from larder.plans import intake, reading, stores
 from larder.sources import blobs, views
 from larder.sources.sinks import send
 
@@ -56,3 +56,50 @@ def test_messages_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(stores.sinks, "send", lambda stream, *at: seen.append(len(stream.sparkSession.read.parquet(at[0].removesuffix("out") + "in").inputFiles())) or send(stream, *at))
     assert stores.s_outbox(spark, DATA).count() == stores.upkeep.n_outbox(spark, DATA).count()
     assert seen == [15, 15]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_accepted_rows_come_by_windows(spark):
+    """An upload's order and refusal are window values; no table of one row an upload is joined or sent to the driver."""
+    for query in (intake.v_accepted, reading.m_top, reading.m_weight):
+        plan = _plan(query(spark, DATA))
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and "judged-rows" not in plan
+
+
+def test_products_to_review_meet_their_categories_by_shuffle(spark):
+    for query in (reading.m_review, reading.m_category):
+        assert "Broadcast" not in _plan(query(spark, DATA))
+
+
+def test_problems_meet_their_uploads_by_shuffle(spark):
+    """Of what findings are joined with, only the dictionary of fixed size is broadcast."""
+    assert _plan(intake.v_width(spark, DATA)).count("BroadcastExchange") <= 1
+    assert _plan(intake.f_rejection(spark, DATA)).count("BroadcastExchange") <= 1
+
+
+def test_rules_run_as_compiled_code(spark):
+    """The generators only hand on a struct that a projection below made, outside the stage's generated method."""
+    rows = spark.range(8).selectExpr("id AS upload", "CAST(id AS INT) AS line", "concat('beef', id) AS product", "concat(id, '/2/2005') AS date", "string(id) AS weight")
+    lines = _plan(rules.read_cells(rows, "2011-12-31 12:00:00")).splitlines()
+    made = [i for i, x in enumerate(lines) if "Generate inline" in x]
+    assert all("_made" in lines[i] and "RLIKE" not in lines[i] and "Project" in lines[i + 1] and "*(" not in lines[i + 1] for i in made)
+
+
+def test_numbers_are_read_by_their_place(spark):
+    dates = {
+        "2005/1/5": "2005-01-05", "2005.12.5": "2005-12-05", "2005-1-15T1:30": "2005-01-15", "2005-11-5 10:30": "2005-11-05", "20050115": "2005-01-15",
+        "2005-1": "2005-01-01", "1.2005": "2005-01-01", "5 jan 05": "2005-01-05", "Jan-15,-2005": "2005-01-15", "1/2/05": "numeric 1 2 2005",
+        "11-2-2005": "numeric 11 2 2005", "3.12.0050": "numeric 3 12 50", "31/12/11": "numeric 31 12 2011", "5 jan 205": "too-old", "2005-02-29": "not-a-real-date",
+    }
+    rows = spark.createDataFrame([(i, 2, "beef", d, "3") for i, d in enumerate(dates)], "upload long, line int, product string, date string, weight string")
+    got = {r.date: r.iso or r.date_fault or f"numeric {r.first} {r.second} {r.year}" for r in rules.read_cells(rows, "2011-12-31 12:00:00").collect()}
+    assert got == dates
+
+
+def test_unnamed_uploads_refuse_nobody(spark):
+    rows = spark.createDataFrame([(None, 2, "", "1/2/2005", "3"), (1, 2, "beef", "13/2/2005", "3"), (1, 3, "beef", "1/2/2005", "4"), (2, 2, "beef", "1/2/2005", "3")], "upload long, line int, product string, date string, weight string")
+    judged = rules.judge(rules.read_cells(rows, "2011-12-31 12:00:00"), "2011-12-31 12:00:00")
+    assert sorted((r.upload, r.line, r.iso) for r in findings.accept(judged).collect()) == [(1, 2, "2005-02-13"), (1, 3, "2005-02-01")]
