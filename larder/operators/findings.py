@@ -203,15 +203,15 @@ def normalize(read: DataFrame, now: str) -> dict[str, DataFrame]:
     The rows read are kept in the shared folder: every later step reads them.
     Returns decided, resolved, found, groups, worded, rejected, accepted, months.
     """
-    judged = settle(rules.judge(read, now), "judged-rows")
-    decided = settle(rules.decide_order(judged), "date-orders")
-    resolved = rules.resolved_rows(judged)
-    found = settle(row_findings(judged, resolved), "row-findings")
+    read = settle(read, "read-cells")
+    decided = settle(rules.decide_order(read), "date-orders")
+    found = settle(row_findings(read, rules.late_faults(read, decided)), "row-findings")
+    judged = rules.judge(read, now)
     groups = group_findings(found)
     worded = word_problems(groups, decided)
     rejected = reject(worded, failing_rows(found), decided)
     accepted = accept(judged)
     return {
-        "decided": decided, "resolved": resolved, "found": found, "groups": groups, "worded": worded,
+        "decided": decided, "resolved": rules.resolved_rows(judged), "found": found, "groups": groups, "worded": worded,
         "rejected": rejected, "accepted": accepted, "months": months_of(accepted),
     }

@@ -317,6 +317,15 @@ def judge(read: DataFrame, now: str) -> DataFrame:
     return rows.drop("class", "by_day", "by_month", *[f"any_{c}" for c in seen])
 
 
+def late_faults(read: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows that passed and have a resolved_fault; only those that are at fault under some order meet their upload's."""
+    passed = F.col("ok") & F.col("upload").isNotNull()
+    some = read.where(passed & (F.col("by_day.fault").isNotNull() | F.col("by_month.fault").isNotNull()))
+    met = some.join(decided.select("upload", "date_order", "order_fault").hint("merge"), "upload")
+    fault = F.when(F.col("date_order") == "day-first", F.col("by_day.fault")).otherwise(F.col("by_month.fault"))
+    return met.withColumn("resolved_fault", F.when(F.col("order_fault").isNull(), fault)).where(F.col("resolved_fault").isNotNull())
+
+
 def resolved_rows(judged: DataFrame) -> DataFrame:
     """The rows that passed every cell rule, of named uploads."""
     return judged.where(F.col("ok") & F.col("upload").isNotNull())

@@ -66,7 +66,7 @@ def test_accepted_rows_come_by_windows(spark):
     """An upload's order and refusal are window values; no table of one row an upload is joined or sent to the driver."""
     for query in (intake.v_accepted, reading.m_top, reading.m_weight):
         plan = _plan(query(spark, DATA))
-        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and "judged-rows" not in plan
+        assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1 and "read-cells" not in plan
 
 
 def test_products_to_review_meet_their_categories_by_shuffle(spark):
