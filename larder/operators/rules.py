@@ -50,6 +50,19 @@ def compiled(df: DataFrame, **columns: Column) -> DataFrame:
     return held.select(*df.columns, F.inline(F.transform("_each", lambda _: F.col("_made"))))
 
 
+def projected(df: DataFrame, through: str, **columns: Column) -> DataFrame:
+    """As ``compiled``, where no filter on the columns follows at once: a projection, which copies a row once.
+
+    It keeps the order and the partitioning of the rows, as no generator does.
+    The lambda that keeps it out of the stage's generated method hands on the
+    cheap column ``through``. Spark leaves projections apart where a later one
+    reads a costly column more than once.
+    """
+    held = columns.get(through, F.col(through))
+    made = columns | {through: F.get(F.transform(F.array(held), lambda x: x), F.lit(0))}
+    return df.withColumns(made)
+
+
 def bounds_at(now: str) -> tuple[str, str]:
     """The accepted range for one moment ('YYYY-MM-DD ...', UTC)."""
     from datetime import date, timedelta
@@ -195,15 +208,21 @@ def order_proven(first: Column, second: Column) -> Column:
     return F.when(first > 12, "day-first").when(second > 12, "month-first")
 
 
-def read_cells(rows: DataFrame, now: str) -> DataFrame:
+def read_cells(rows: DataFrame, now: str, filtered: bool = True) -> DataFrame:
     """V1-V12 on rows of upload, line, product, date, weight (raw), and optionally actual, expected (widths).
 
     Adds product_value, product_fault, weight_value, weight_fault, date_kind
     ('date', 'numeric', 'invalid'), date_fault, iso, first, second, year,
     by_day, by_month (iso and fault of a numeric date under either order),
     too_long (array of columns), wrong_width, ok. A row of the wrong width, and
-    then one with an over-long cell, is read no further.
+    then one with an over-long cell, is read no further. ``filtered``: the caller
+    may filter by what is added; else the steps are plain projections, which keep
+    rows that come sorted by upload as they are.
     """
+
+    def step(df: DataFrame, **columns: Column) -> DataFrame:
+        return compiled(df, **columns) if filtered else projected(df, "ok" if "ok" in columns else "readable", **columns)
+
     if "actual" not in rows.columns:
         rows = rows.withColumns({"actual": F.lit(3), "expected": F.lit(3)})
     for c in fixed.REQUIRED_COLUMNS:
@@ -217,17 +236,17 @@ def read_cells(rows: DataFrame, now: str) -> DataFrame:
         "too_long", F.when(F.col("wrong_width") | short, none).otherwise(F.array_compact(F.array(*over)))
     )
     readable = ~F.col("wrong_width") & (F.size("too_long") == 0)
-    rows = compiled(
+    rows = step(
         rows,
         readable=readable,
         p=F.when(readable, trim(F.col("product"))),
         w=F.when(readable, trim(F.col("weight"))),
         cleaned=F.when(readable, clean_date(F.col("date"))),
     )
-    rows = compiled(rows, pf=product_fault(F.col("p")), wf=weight_fault(F.col("w")), d=F.when(F.col("readable"), date_parts(F.col("cleaned"))))
+    rows = step(rows, pf=product_fault(F.col("p")), wf=weight_fault(F.col("w")), d=F.when(F.col("readable"), date_parts(F.col("cleaned"))))
     numeric = F.col("d.kind") == "numeric"
     year, month, day = F.col("d.year"), F.col("d.month"), F.col("d.day")
-    rows = compiled(
+    rows = step(
         rows,
         c=F.when(F.col("d.kind") == "date", calendar(year, month, day, bounds_at(now))),
         by_day=F.when(numeric, calendar(year, day, month, bounds_at(now))),
@@ -237,7 +256,7 @@ def read_cells(rows: DataFrame, now: str) -> DataFrame:
     fine = F.col("readable") & F.col("pf").isNull() & F.col("wf").isNull() & fault.isNull()
     passed = ("p", "w", "pf", "wf", "d", "c", "cleaned")
     kept = [c for c in rows.columns if c not in passed]
-    return compiled(
+    return step(
         rows,
         product_value=F.when(F.col("pf").isNull(), F.col("p")),
         product_fault=F.col("pf"),

@@ -12,8 +12,8 @@ from larder.sources.views import NOW, view, with_views
 EARLIEST, LATEST = rules.bounds_at(NOW)
 
 
-def _read(spark: SparkSession, d: str) -> DataFrame:
-    return rules.read_cells(view(spark, d, "cells"), NOW)
+def _read(spark: SparkSession, d: str, filtered: bool = False) -> DataFrame:
+    return rules.read_cells(view(spark, d, "cells"), NOW, filtered)
 
 
 def _all(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -44,7 +44,7 @@ def v_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_too_long(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d).where(F.size("too_long") > 0).select("upload", "line", F.array_join("too_long", ",").alias("columns"))
+    return _read(spark, d, filtered=True).where(F.size("too_long") > 0).select("upload", "line", F.array_join("too_long", ",").alias("columns"))
 
 
 def v_order(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def v_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_both_readings(spark: SparkSession, d: str) -> DataFrame:
-    read = _read(spark, d).where((F.col("date_kind") == "numeric") & (F.col("first") <= 12) & (F.col("second") <= 12))
+    read = _read(spark, d, filtered=True).where((F.col("date_kind") == "numeric") & (F.col("first") <= 12) & (F.col("second") <= 12))
     return read.select("upload", "line", rules.both_readings(F.col("first"), F.col("second"), F.col("year")).alias("b")).select("upload", "line", "b.*")
 
 

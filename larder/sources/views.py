@@ -190,10 +190,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
     names = needed(sql)
     text = sql.replace("{", "{{").replace("}", "}}")
+    renamed = {}
+    if name == "cells":  # under one name the key of the lines is the upload's, and what follows needs no further shuffle by it
+        text = re.sub(r"\bl_orderkey\b", "upload", text.replace("l_orderkey AS upload", "upload"))
+        renamed = {"lineitem": {"l_orderkey": "upload"}}
     for n in names:
         text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}} {n}", text)
     # The table of parts grows with the others: read from files that compress well, it would pass for one to broadcast.
-    parts = {n: view(spark, sf_dir, n).hint("merge") if n == "part" else view(spark, sf_dir, n) for n in names}
+    parts = {n: view(spark, sf_dir, n).withColumnsRenamed(renamed.get(n, {})) for n in names}
+    parts = {n: p.hint("merge") if n == "part" else p for n, p in parts.items()}
     return spark.sql(text, **parts)
 
 

@@ -103,3 +103,24 @@ def test_unnamed_uploads_refuse_nobody(spark):
     rows = spark.createDataFrame([(None, 2, "", "1/2/2005", "3"), (1, 2, "beef", "13/2/2005", "3"), (1, 3, "beef", "1/2/2005", "4"), (2, 2, "beef", "1/2/2005", "3")], "upload long, line int, product string, date string, weight string")
     judged = rules.judge(rules.read_cells(rows, "2011-12-31 12:00:00"), "2011-12-31 12:00:00")
     assert sorted((r.upload, r.line, r.iso) for r in findings.accept(judged).collect()) == [(1, 2, "2005-02-13"), (1, 3, "2005-02-01")]
+
+
+def test_accepted_rows_are_shuffled_once_by_upload(spark):
+    """Lines meet their parts and then their upload; the window that decides on an upload needs no shuffle, sort or generator more."""
+    for query in (intake.v_accepted, intake.v_coverage, intake.v_months):
+        plan = _plan(query(spark, DATA))
+        assert plan.count("Exchange hashpartitioning") == 3 and plan.count(" Sort [") == 3 and "Generate" not in plan
+        # Each step of the rules is a projection outside the stage's generated method.
+        steps = [x for x in plan.splitlines() if "Project" in x and "lambdafunction(lambda x" in x]
+        assert len(steps) == 4 and not [x for x in steps if "*(" in x]
+
+
+def test_projected_rules_give_what_generated_ones_give(spark):
+    odd = ["", " ", "N/A", "=a", "a​", "x" * 201, "beef", "5 oz", "1e3", "(5)", "1,000.5", "12", "45000", "2005-02-30", "13/2/2005", "2/13/2005", "1/2/2005", "5 jan 05", "Foo 2005", "20050115", None]
+    rows = [(i % 7 or None, i, odd[i % 21], odd[i * 5 % 21], odd[i * 2 % 17], 3 + (i % 29 == 0)) for i in range(400)]
+    table = spark.createDataFrame(rows, "upload long, line int, product string, date string, weight string, actual int").selectExpr("*", "3 AS expected")
+    now = "2011-12-31 12:00:00"
+    one, other = (rules.read_cells(table, now, filtered) for filtered in (True, False))
+    assert one.dtypes == other.select(*one.columns).dtypes
+    for made in (lambda read: read, lambda read: rules.judge(read, now)):
+        assert sorted(map(repr, made(one).collect())) == sorted(map(repr, made(other.select(*one.columns)).collect()))
