@@ -19,14 +19,30 @@ def output_line(product: Column, iso: Column, weight: Column) -> Column:
     return F.concat_ws(",", escape_field(product), iso, number_text(weight))
 
 
+def _missing() -> Column:
+    return F.array_except("months", F.map_keys("counts"))
+
+
+def _coverage_words(missing: Column) -> tuple[Column, Column]:
+    """Summary and detail for months without a count, of which there is one at least."""
+    those = F.when(F.size(missing) == 1, "that month").otherwise("those months")
+    summary = F.concat(F.lit("Your file has orders in "), oxford_list(missing), F.lit(", but you did not give a count for "), those, F.lit("."))
+    return summary, F.concat(F.lit("months in the file with no count: "), F.array_join(missing, ", "))
+
+
 def coverage(counted: DataFrame) -> DataFrame:
     """Rows of upload, months (array), counts (map): the months without a count as summary and detail, else nulls."""
-    missing = F.array_except("months", F.map_keys("counts"))
-    n = F.size(missing)
-    those = F.when(n == 1, "that month").otherwise("those months")
-    summary = F.concat(F.lit("Your file has orders in "), oxford_list(missing), F.lit(", but you did not give a count for "), those, F.lit("."))
-    detail = F.concat(F.lit("months in the file with no count: "), F.array_join(missing, ", "))
-    return counted.withColumns({"summary": F.when(n > 0, summary), "detail": F.when(n > 0, detail)})
+    missing = _missing()
+    summary, detail = _coverage_words(missing)
+    some = F.size(missing) > 0
+    return counted.withColumns({"summary": F.when(some, summary), "detail": F.when(some, detail)})
+
+
+def uncovered(counted: DataFrame) -> DataFrame:
+    """The rows of ``coverage`` with a month without a count; a filter compares months once, and words are made of what it leaves."""
+    found = counted.withColumn("_missing", _missing()).where(F.size("_missing") > 0)
+    summary, detail = _coverage_words(F.col("_missing"))
+    return found.withColumns({"summary": summary, "detail": detail}).drop("_missing")
 
 
 def describe_input(original: Column, normalized: Column) -> list[Column]:

@@ -2,7 +2,7 @@
 
 from conftest import DATA
 
-from larder.operators import findings, rules, uploads
+from larder.operators import findings, rules, submission, uploads
 from larder.plans import intake, reading, stores
 from larder.sources import blobs, views
 from larder.sources.sinks import send
@@ -124,3 +124,17 @@ def test_projected_rules_give_what_generated_ones_give(spark):
     assert one.dtypes == other.select(*one.columns).dtypes
     for made in (lambda read: read, lambda read: rules.judge(read, now)):
         assert sorted(map(repr, made(one).collect())) == sorted(map(repr, made(other.select(*one.columns)).collect()))
+
+
+def test_months_are_compared_once_and_words_made_of_what_is_left(spark):
+    met = [x for x in _plan(intake.v_coverage(spark, DATA)).splitlines() if "Filter" in x and "array_except" in x]
+    assert len(met) == 1 and met[0].count("array_except") == 1 and "Your file" not in met[0]
+
+
+def test_uncovered_uploads_are_those_with_a_summary(spark):
+    rows = [(1, ["2005-01"], {}), (2, ["2005-01", "2005-02"], {"2005-01": 1}), (3, ["2005-01"], {"2005-01": None}), (4, [], {}), (5, None, {}), (6, ["2005-01"], None), (None, ["2005-03", "2005-01", "2005-02"], {"x": 1})]
+    counted = spark.createDataFrame(rows, "upload long, months array<string>, counts map<string,int>")
+    wanted = submission.coverage(counted).where("summary IS NOT NULL")
+    got = submission.uncovered(counted)
+    assert got.columns == wanted.columns and sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    assert {r.upload for r in got.collect()} == {1, 2, None}
