@@ -70,14 +70,14 @@ def bounds_at(now: str) -> tuple[str, str]:
     return fixed.EARLIEST_DATE, (date.fromisoformat(now[:10]) + timedelta(days=fixed.MAX_FUTURE_DAYS)).isoformat()
 
 
-def _of(value: Column, rule) -> Column:
+def of(value: Column, rule) -> Column:
     """``rule`` of a value that is computed once, however often the rule mentions it."""
     return F.get(F.transform(F.array(value), rule), F.lit(0))
 
 
 def read_product(raw: Column) -> Column:
     """V4, V5: struct of value and fault; the fault 'formula' is a kind of its own."""
-    return _of(trim(raw), _product)
+    return of(trim(raw), _product)
 
 
 def _product(text: Column) -> Column:
@@ -95,7 +95,7 @@ def product_fault(text: Column) -> Column:
 
 def read_weight(raw: Column) -> Column:
     """V6: struct of value and fault."""
-    return _of(trim(raw), _weight)
+    return of(trim(raw), _weight)
 
 
 def _weight(text: Column) -> Column:

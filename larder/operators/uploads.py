@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import fixed
 from larder.functions.text import group_digits, list_of, trim
-from larder.operators.rules import once
+from larder.operators.rules import compiled, of, once, projected
 
 # File signatures, and what Windows-1252 has at 0x80-0x9F (the five unused bytes stay as they are).
 SIGNATURES = {"xlsx": "504B", "xls": "D0CF11E0A1B11AE1"}
@@ -35,17 +35,19 @@ def decode(files: DataFrame) -> DataFrame:
         .when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
         .otherwise(ansi)
     )
-    text = F.regexp_replace(F.regexp_replace(text, r"^\x{FEFF}", ""), r"\r\n?", "\n")
-    files = once(files, gate0=gate)
-    files = once(files, text=F.when(F.col("gate0").isNull(), text))
+    text = of(text, lambda t: F.when(t.startswith("\ufeff"), F.substring(t, F.lit(2), F.length(t))).otherwise(t))
+    text = of(text, lambda t: F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t))
+    files = files.withColumn("gate0", gate)
+    files = projected(files, "gate0", text=F.when(F.col("gate0").isNull(), text))
     at = F.regexp_instr("text", F.lit(CONTROL))
-    later = F.when(at > 0, "control-character").when(trim(F.col("text")) == "", "blank")
-    return once(
+    files = projected(files, "gate0", at=at, blank=trim(F.col("text")) == "")
+    later = F.when(F.col("at") > 0, "control-character").when(F.col("blank"), "blank")
+    return compiled(
         files,
         gate=F.coalesce("gate0", later),
-        control_code=F.when(at > 0, F.ascii(F.substring(F.col("text"), at, F.lit(1)))),
-        control_offset=F.when(at > 0, at - 1),
-    ).drop("gate0")
+        control_code=F.when(F.col("at") > 0, F.ascii(F.substring(F.col("text"), F.col("at"), F.lit(1)))),
+        control_offset=F.when(F.col("at") > 0, F.col("at") - 1),
+    ).drop("gate0", "at", "blank")
 
 
 def _by_delimiter(delimiter: Column, pattern: str, apply) -> Column:
@@ -66,12 +68,18 @@ HEAD_RECORD = r"\G\n*+(?!\z)(?:«F»«d»){0,24}+«F»(?:\n|\z)"
 LEAD = r"^(?:«F»«d»){0,25}+"
 WIDE = r"^(?:«F»«d»){25}«F»"
 CLOSED = r'^"[^"]*+(?:""[^"]*+)*+"'
+WIDE_LINE = r"(?m)^(?:[^«D»\n]*+«d»){25}"  # of a text without quotes
+QUOTE = '"'
 BLOCK = 128
 """Records whose lines are summed together."""
 
 
+def _count(text: Column, c: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+
 def _lines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return _count(c, F.lit("\n"))
 
 
 def _sum(numbers: Column, start: int = 0) -> Column:
@@ -87,6 +95,11 @@ def _split(record: Column, delimiter: Column) -> Column:
     return _by_delimiter(delimiter, FIELD, lambda p: F.regexp_extract_all(record, F.lit(p), F.lit(0)))
 
 
+def _bare_fields(record: Column, delimiter: Column) -> Column:
+    """The values of a record without quotes and line end: what ``_split`` and ``_unquote`` give, without their patterns."""
+    return _by_delimiter(delimiter, "«d»", lambda p: F.split(record, p))
+
+
 def _unquote(tokens: Column, delimiter: Column) -> Column:
     """The values of raw fields; the empty match after the last field is none."""
     n = F.size(tokens)
@@ -119,25 +132,41 @@ def read_records(texts: DataFrame) -> DataFrame:
     be read ends them: ``broken`` is its fault and line.
 
     Where no record has a line end inside, lines are positions; else they are
-    summed by blocks of BLOCK records, so that no file costs its square.
+    summed by blocks of BLOCK records, so that no file costs its square. A text
+    without quotes has a record in each line, which then has no line end.
     """
-    given = texts.columns
-    read = once(texts, found=_by_delimiter(F.col("delimiter"), RECORD, lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))))
-    read = once(read, consumed=F.length(F.array_join("found", "")), ends=F.transform("found", _lines))
-    blocks = F.sequence(F.lit(0), ((F.size("ends") - 1) / BLOCK).cast("int"))
-    read = once(read, sums=F.when(F.array_max("ends") > 1, F.transform(blocks, lambda b: _sum(F.slice("ends", b * BLOCK + 1, F.lit(BLOCK))))))
-    read = once(read, bases=F.transform("sums", lambda _, b: _sum(F.slice("sums", F.lit(1), b), 1)))
+    given, text, delimiter = texts.columns, F.col("text"), F.col("delimiter")
+    few = _count(text, delimiter) < fixed.MAX_COLUMNS
+    bare = ~text.contains(QUOTE) & (few | ~_by_delimiter(delimiter, WIDE_LINE, lambda p: text.rlike(p)))
+    read = projected(texts, "width" if "width" in given else given[0], bare=F.coalesce(bare, F.lit(False)))
+    lines = F.split(F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text), "\n")
+    read = projected(read, "bare", lines=F.when(F.col("bare"), lines), quoted=F.when(~F.col("bare"), _quoted_records(text, delimiter)))
+    numbered = F.arrays_zip(F.sequence(F.lit(1), F.size("lines")).alias("line"), F.col("lines").alias("rec"))
+    numbered = F.when(F.array_contains("lines", ""), F.filter(numbered, lambda x: x["rec"] != "")).otherwise(numbered)
+    return read.select(*given, F.when(F.col("bare"), numbered).otherwise(F.col("quoted.recs")).alias("recs"), F.col("quoted.broken").alias("broken"))
+
 
-    def line(i: Column) -> Column:
-        inside = F.pmod(i, F.lit(BLOCK))
-        return F.when(F.col("bases").isNull(), i + 1).otherwise(
-            F.get("bases", ((i - inside) / BLOCK).cast("int")) + _sum(F.slice("ends", i - inside + 1, inside))
-        )
+def _quoted_records(text: Column, delimiter: Column) -> Column:
+    """Struct of recs and broken for any text, by the pattern of a record; each step is computed once."""
 
-    numbered = F.transform("found", lambda r, i: F.struct(line(i).alias("line"), r.alias("rec")))
-    rest = F.when(F.col("consumed") < F.length("text"), _after(F.col("text"), F.col("consumed")))
-    read = once(read, recs=F.filter(numbered, lambda x: x["rec"] != "\n"), rest=rest, start=_sum(F.col("ends"), 1))
-    return read.select(*given, "recs", _fault(F.col("rest"), F.col("delimiter"), F.col("start")).alias("broken"))
+    def found(r: Column) -> Column:
+        return of(F.struct(r.alias("found"), F.transform(r, _lines).alias("ends")), sums)
+
+    def sums(r: Column) -> Column:
+        blocks = F.sequence(F.lit(0), ((F.size(r["ends"]) - 1) / BLOCK).cast("int"))
+        each = F.when(F.array_max(r["ends"]) > 1, F.transform(blocks, lambda b: _sum(F.slice(r["ends"], b * BLOCK + 1, F.lit(BLOCK)))))
+        return of(each, lambda s: of(F.transform(s, lambda _, b: _sum(F.slice(s, F.lit(1), b), 1)), lambda bases: records(r["found"], r["ends"], bases)))
+
+    def records(found: Column, ends: Column, bases: Column) -> Column:
+        def line(i: Column) -> Column:
+            inside = F.pmod(i, F.lit(BLOCK))
+            return F.when(bases.isNull(), i + 1).otherwise(F.get(bases, ((i - inside) / BLOCK).cast("int")) + _sum(F.slice(ends, i - inside + 1, inside)))
+
+        numbered = F.transform(found, lambda r, i: F.struct(line(i).alias("line"), r.alias("rec")))
+        recs = F.filter(numbered, lambda x: x["rec"] != "\n").alias("recs")
+        return of(F.length(F.array_join(found, "")), lambda n: of(F.when(n < F.length(text), _after(text, n)), lambda rest: F.struct(recs, _fault(rest, delimiter, _sum(ends, 1)).alias("broken"))))
+
+    return of(_by_delimiter(delimiter, RECORD, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))), found)
 
 
 def fold_header(c: Column) -> Column:
@@ -151,10 +180,14 @@ def may_name(rec: Column) -> Column:
     return reduce(Column.__and__, found)
 
 
+def _named(fields: Column, made=lambda col, f, i: col) -> Column:
+    names = F.create_map(*[F.lit(x) for col, all_ in fixed.ALIASES.items() for a in all_ for x in (a, col)])
+    return F.transform(fields, lambda f, i: made(F.try_element_at(names, fold_header(f)), f, i))
+
+
 def name_columns(fields: Column) -> Column:
     """For each field the required column that its header names, or null, its index and the header."""
-    names = F.create_map(*[F.lit(x) for col, all_ in fixed.ALIASES.items() for a in all_ for x in (a, col)])
-    return F.transform(fields, lambda f, i: F.struct(F.try_element_at(names, fold_header(f)).alias("col"), i.alias("i"), f.alias("header")))
+    return _named(fields, lambda col, f, i: F.struct(col.alias("col"), i.alias("i"), f.alias("header")))
 
 
 def match_header(hits: Column) -> list[Column]:
@@ -173,21 +206,52 @@ def match_header(hits: Column) -> list[Column]:
     ]
 
 
-def find_layout(decoded: DataFrame) -> DataFrame:
+LAYOUT = "delimiter", "header_line", "width", *[f"{c}_at" for c in fixed.REQUIRED_COLUMNS], "layout_fault", "parse_fault", "parse_line", "missing", "ambiguous_column", "headers", "ways"
+
+
+def _plain_header(files: DataFrame) -> DataFrame:
+    """Adds plain: is this a file whose layout its first line decides alone? And d, cols: its delimiter and what each of its fields names.
+
+    That is so where no quote and no empty line stands in the text, only one
+    delimiter divides the first line and it names all columns once, and below, in
+    the ten lines that are searched, no other line is a header under any
+    delimiter or too wide. All other files are tried under every delimiter.
+    """
+    given, text, most = files.columns, F.col("text"), fixed.MAX_HEADER_SEARCH_LINES
+    bare = ~text.contains(QUOTE) & ~text.contains("\n\n") & ~text.startswith("\n")
+    files = projected(files, "bare", bare=F.coalesce(bare, F.lit(False)), line=F.substring_index(text, "\n", 1), head=F.substring_index(text, "\n", most))
+    line, head = F.when(F.col("bare"), F.col("line")), F.when(F.col("bare"), F.col("head"))
+    counts = {f"n{i}": _count(line, F.lit(d)) for i, d in enumerate(fixed.DELIMITERS)}
+    narrow = reduce(Column.__and__, [_count(head, F.lit(one)) < fixed.MAX_COLUMNS for one in fixed.DELIMITERS])
+    files = projected(files, "bare", **counts, searched=F.col("bare") & narrow & ~may_name(_after(head, F.length("line"))))
+    divides = [F.col(c) >= len(fixed.REQUIRED_COLUMNS) - 1 for c in counts]
+    d = F.coalesce(*[F.when(x, one) for x, one in zip(divides, fixed.DELIMITERS, strict=True)])
+    single = (sum((x.cast("int") for x in divides), F.lit(0)) == 1) & (divides[0] | (F.col("n0") == 0))
+    files = projected(files, "bare", d=F.when(F.col("bare") & F.col("searched") & single, d))
+    files = projected(files, "d", cols=F.when(F.col("d").isNotNull(), _named(_bare_fields(F.col("line"), F.col("d")))))
+    once_each = [F.size("cols") - F.size(F.array_remove("cols", c)) == 1 for c in fixed.REQUIRED_COLUMNS]
+    plain = F.coalesce(reduce(Column.__and__, once_each), F.lit(False))
+    return projected(files, "d", plain=plain).select(*given, "plain", "d", "cols")
+
+
+def find_layout(decoded: DataFrame, *keep: str) -> DataFrame:
     """One row per readable file: delimiter, header_line, width, index of each column - or layout_fault and its parts.
 
     The delimiters are tried on the first ten records, whatever their length; exactly one header row under exactly one delimiter must name all
     three columns once. The tries are an array in the file's row, so nothing is
-    shuffled. A fault beyond the tenth record is not met.
+    shuffled. A fault beyond the tenth record is not met. Columns to ``keep`` stand
+    beside; a text that is null has no layout.
     """
-    most = fixed.MAX_HEADER_SEARCH_LINES
-    files = decoded.where(F.col("gate").isNull()).select("upload", "text")
+    return _laid_out(decoded.where(F.col("gate").isNull()).select("upload", "text", *keep)).select("upload", *keep, *LAYOUT)
 
-    def divided(c: Column, d: Column) -> Column:
-        return F.length(c) - F.length(F.replace(c, d, F.lit(""))) >= len(fixed.REQUIRED_COLUMNS) - 1
 
-    def step(df: DataFrame, make, tries="tries") -> DataFrame:
-        return df.select("upload", "text", F.inline(F.array(F.struct(F.transform(tries, make).alias("tries")))))
+def _laid_out(files: DataFrame) -> DataFrame:
+    """``files`` (text, any others) with the columns of LAYOUT."""
+    given, most = files.columns, fixed.MAX_HEADER_SEARCH_LINES
+    files = _plain_header(files)
+
+    def divided(c: Column, d: Column) -> Column:
+        return _count(c, d) >= len(fixed.REQUIRED_COLUMNS) - 1
 
     def rows(t: Column, made) -> Column:
         return F.transform(t["rows"], lambda r: F.struct(r["line"], *made(r)))
@@ -195,8 +259,9 @@ def find_layout(decoded: DataFrame) -> DataFrame:
     upto, text = HEAD.replace("«N»", str(most)), F.col("text")
     # A delimiter that the text has not twice divides no header and makes no record too wide.
     tried = F.filter(F.array(*map(F.lit, fixed.DELIMITERS)), lambda d: (d == fixed.DELIMITERS[0]) | divided(text, d))
-    files = step(files, lambda d: F.struct(d.alias("d"), _by_delimiter(d, upto, lambda p: F.regexp_extract("text", p, 0)).alias("head")), tried)
-    files = step(files, lambda t: F.struct(t["d"], t["head"], _by_delimiter(t["d"], HEAD_RECORD, lambda p: F.regexp_extract_all(t["head"], F.lit(p), F.lit(0))).alias("recs")))
+    # Each step is computed once, as its results are the elements that the next one takes; none runs where the header is plain.
+    tries = F.transform(tried, lambda d: F.struct(d.alias("d"), _by_delimiter(d, upto, lambda p: F.regexp_extract("text", p, 0)).alias("head")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], t["head"], _by_delimiter(t["d"], HEAD_RECORD, lambda p: F.regexp_extract_all(t["head"], F.lit(p), F.lit(0))).alias("recs")))
 
     def records(t: Column) -> Column:
         """Only records that may name three columns, and the first by commas, of which faults speak."""
@@ -213,10 +278,10 @@ def find_layout(decoded: DataFrame) -> DataFrame:
     def rest(t: Column) -> Column:
         return F.when((F.size(t["recs"]) < most) & (F.length(t["head"]) < F.length(text)), _after(text, F.length(t["head"])))
 
-    files = step(files, lambda t: F.struct(t["d"], rest(t).alias("rest"), (1 + _lines(t["head"])).alias("start"), records(t).alias("rows")))
-    files = step(files, lambda t: F.struct(t["d"], _fault(t["rest"], t["d"], t["start"]).alias("broken"), rows(t, lambda r: [_split(r["rec"], t["d"]).alias("tokens")]).alias("rows")))
-    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [_unquote(r["tokens"], t["d"]).alias("fields")]).alias("rows")))
-    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [F.size(r["fields"]).alias("width"), name_columns(r["fields"]).alias("named")]).alias("rows")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], rest(t).alias("rest"), (1 + _lines(t["head"])).alias("start"), records(t).alias("rows")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], _fault(t["rest"], t["d"], t["start"]).alias("broken"), rows(t, lambda r: [_split(r["rec"], t["d"]).alias("tokens")]).alias("rows")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [_unquote(r["tokens"], t["d"]).alias("fields")]).alias("rows")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [F.size(r["fields"]).alias("width"), name_columns(r["fields"]).alias("named")]).alias("rows")))
 
     def hits(r: Column) -> Column:
         def named(c: str) -> Column:
@@ -224,33 +289,81 @@ def find_layout(decoded: DataFrame) -> DataFrame:
 
         return F.struct(*[named(c).alias(c) for c in fixed.REQUIRED_COLUMNS])
 
-    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [r["width"], hits(r).alias("hits")]).alias("rows")))
-    files = step(files, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [r["width"], *match_header(r["hits"])]).alias("rows")))
-    files = step(files, lambda t: F.struct(t["d"], t["broken"], F.get(t["rows"], F.lit(0)).alias("first"), F.when(t["broken"].isNull(), F.filter(t["rows"], lambda r: r["ok"])).otherwise(F.array()).alias("ok")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [r["width"], hits(r).alias("hits")]).alias("rows")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], t["broken"], rows(t, lambda r: [r["width"], *match_header(r["hits"])]).alias("rows")))
+    tries = F.transform(tries, lambda t: F.struct(t["d"], t["broken"], F.get(t["rows"], F.lit(0)).alias("first"), F.when(t["broken"].isNull(), F.filter(t["rows"], lambda r: r["ok"])).otherwise(F.array()).alias("ok")))
 
+    files = projected(files, "plain", tries=F.when(~F.col("plain") & text.isNotNull(), tries))
     comma = F.get("tries", F.lit(0))
-    per = once(
-        files.select("upload", "tries"),
+    per = projected(
+        files, "plain",
         wide=F.get(F.filter("tries", lambda t: F.coalesce(t["broken"]["fault"] == "too-many-columns", F.lit(False))), F.lit(0))["broken"],
         ways=F.filter("tries", lambda t: F.size(t["ok"]) > 0),
         comma_fault=comma["broken"],
         comma_first=F.when(comma["broken"].isNull(), comma["first"]),
     )
-    per = once(per.drop("tries"), candidates=F.aggregate("ways", F.lit(0), lambda n, t: n + F.size(t["ok"])), only=F.get("ways", F.lit(0)))
-    at = F.get("only.ok", F.lit(0))
+    per = projected(per.drop("tries"), "plain", candidates=F.aggregate("ways", F.lit(0), lambda n, t: n + F.size(t["ok"])), only=F.get("ways", F.lit(0)))
+    at, plain = F.get("only.ok", F.lit(0)), F.col("plain")
     one = F.col("wide").isNull() & (F.col("candidates") == 1)
     kind = (
-        F.when(F.col("wide").isNotNull(), "parse-error").when(F.col("candidates") == 1, None).when(F.col("candidates") > 1, "ambiguous")
+        F.when(plain | text.isNull(), None).when(F.col("wide").isNotNull(), "parse-error").when(F.col("candidates") == 1, None).when(F.col("candidates") > 1, "ambiguous")
         .when(F.col("comma_fault").isNotNull(), "parse-error").when(F.col("comma_first").isNull(), "empty").otherwise("bad-header")
     )
     broken = F.when(kind == "parse-error", F.coalesce("wide", "comma_fault"))
+
+    def index(c: str) -> Column:
+        return F.when(plain, (F.array_position("cols", c) - 1).cast("int")).when(one, at[c])
+
+    # By commas, a plain header of other delimiters is one field that names nothing.
+    missing = F.when(F.col("d") == fixed.DELIMITERS[0], F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, fixed.REQUIRED_COLUMNS)))
+    ways = F.transform("ways", lambda t: F.struct(t["d"].alias("delimiter"), F.transform(t["ok"], lambda r: r["line"]).alias("ok_lines")))
     return per.select(
-        "upload",
-        F.when(one, F.col("only.d")).alias("delimiter"), F.when(one, at["line"]).alias("header_line"), F.when(one, at["width"]).alias("width"),
-        *[F.when(one, at[c]).alias(f"{c}_at") for c in fixed.REQUIRED_COLUMNS],
+        *given,
+        F.when(plain, F.col("d")).when(one, F.col("only.d")).alias("delimiter"), F.when(plain, 1).when(one, at["line"]).alias("header_line"), F.when(plain, F.size("cols")).when(one, at["width"]).alias("width"),
+        *[index(c).alias(f"{c}_at") for c in fixed.REQUIRED_COLUMNS],
         kind.alias("layout_fault"), broken["fault"].alias("parse_fault"), broken["line"].alias("parse_line"),
-        F.col("comma_first.missing").alias("missing"), F.col("comma_first.ambiguous").alias("ambiguous_column"), F.col("comma_first.headers").alias("headers"),
-        F.transform("ways", lambda t: F.struct(t["d"].alias("delimiter"), F.transform(t["ok"], lambda r: r["line"]).alias("ok_lines"))).alias("ways"),
+        F.when(plain, missing).otherwise(F.col("comma_first.missing")).alias("missing"), F.col("comma_first.ambiguous").alias("ambiguous_column"), F.col("comma_first.headers").alias("headers"),
+        F.when(plain, F.array(F.struct(F.col("d").alias("delimiter"), F.array(F.lit(1)).alias("ok_lines")))).otherwise(ways).alias("ways"),
+    )
+
+
+def _counted(texts: DataFrame, cap: int) -> DataFrame:
+    """``texts`` (text, layout, any others) with file_fault, broken and data: the records below the header, of files without a fault."""
+    kept = [c for c in texts.columns if c != "text"]
+    # The first line is the first record, so where lines are records no header needs a search.
+    below = F.filter("recs", lambda x: x["line"] > F.col("header_line"))
+    even = F.get("recs", F.size("recs") - 1)["line"] == F.size("recs")
+    below = F.when(even, F.slice("recs", F.col("header_line") + 1, F.size("recs"))).otherwise(below)
+    read = projected(read_records(texts).drop("text"), "header_line", data=below)
+    n = F.size("data")
+    fault = F.when(n > cap, "too-many-rows").when(F.col("broken").isNotNull(), "parse").when(n == 0, "no-data-rows")
+    read = compiled(read.drop("recs"), file_fault=fault)
+    parse = F.when(F.col("file_fault") == "parse", F.col("broken"))
+    return read.select(*kept, "file_fault", parse.alias("broken"), F.when(F.col("file_fault").isNull(), F.col("data")).alias("data"))
+
+
+def read_files(decoded: DataFrame, cap: int = fixed.MAX_DATA_ROWS) -> DataFrame:
+    """D11-D15 in the file's row, so that no text is shuffled and none meets its layout again.
+
+    ``decoded`` without text and content, with the columns of LAYOUT, file_fault (as in ``data_rows``)
+    and data, from which ``rows_of`` makes rows; parse_fault and parse_line are those of the layout, or of the records.
+    """
+    files = decoded.drop("content").withColumn("text", F.when(F.col("gate").isNull(), F.col("text")))
+    read = _counted(_laid_out(files), cap)
+    return read.withColumns({f"parse_{c}": F.coalesce(f"parse_{c}", F.col("broken")[c]) for c in ("fault", "line")}).drop("broken")
+
+
+def rows_of(read: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
+    """Rows for ``read_cells`` of files as ``read_files`` gives them; with ``outer`` one of nulls for a file without any."""
+    layout = ("delimiter", "width", *[f"{c}_at" for c in fixed.REQUIRED_COLUMNS])
+    each = read.select("upload", *keep, *layout, (F.inline_outer if outer else F.inline)("data"))
+    rec = F.col("rec")
+    each = projected(each, "quoted", quoted=rec.contains(QUOTE), tokens=F.when(rec.contains(QUOTE), _split(rec, F.col("delimiter"))))
+    bare = _bare_fields(F.when(rec.endswith("\n"), F.substring(rec, F.lit(1), F.length(rec) - 1)).otherwise(rec), F.col("delimiter"))
+    each = projected(each, "quoted", quoted=F.col("quoted"), fields=F.when(F.col("quoted"), _unquote(F.col("tokens"), F.col("delimiter"))).otherwise(bare))
+    return each.select(
+        "upload", *keep, "line", *[F.coalesce(F.get("fields", F.col(f"{c}_at")), F.lit("")).alias(c) for c in fixed.REQUIRED_COLUMNS],
+        F.size("fields").alias("actual"), F.col("width").alias("expected"),
     )
 
 
@@ -259,25 +372,13 @@ def data_rows(decoded: DataFrame, layout: DataFrame, cap: int = fixed.MAX_DATA_R
 
     file_fault: too-many-rows (the parsed records pass ``cap``), else parse, else
     no-data-rows. Records are counted in the file's row and come apart only in
-    files without a fault; text meets layout in the one shuffle by upload.
+    files without a fault; text meets layout in the one shuffle by upload, as layouts
+    grow with the files and are never broadcast. ``read_files`` needs no such join.
     """
     found = layout.where(F.col("delimiter").isNotNull()).select("upload", "delimiter", "header_line", "width", "product_at", "date_at", "weight_at")
-    read = read_records(decoded.select("upload", "text").join(found, "upload"))
-    read = once(read.drop("text"), data=F.filter("recs", lambda x: x["line"] > F.col("header_line")))
-    n = F.size("data")
-    fault = F.when(n > cap, "too-many-rows").when(F.col("broken").isNotNull(), "parse").when(n == 0, "no-data-rows")
-    read = once(read.drop("recs"), file_fault=fault)
-    parse = F.when(F.col("file_fault") == "parse", F.col("broken"))
-    files = read.select("upload", "file_fault", parse["fault"].alias("parse_fault"), parse["line"].alias("parse_line"))
-    kept = read.where(F.col("file_fault").isNull())
-    each = kept.select("upload", "delimiter", "width", "product_at", "date_at", "weight_at", F.inline("data"))
-    each = once(each, tokens=_split(F.col("rec"), F.col("delimiter")))
-    each = once(each, fields=_unquote(F.col("tokens"), F.col("delimiter")))
-    rows = each.select(
-        "upload", "line", *[F.coalesce(F.get("fields", F.col(f"{c}_at")), F.lit("")).alias(c) for c in fixed.REQUIRED_COLUMNS],
-        F.size("fields").alias("actual"), F.col("width").alias("expected"),
-    )
-    return rows, files
+    read = _counted(decoded.select("upload", "text").join(found.hint("merge"), "upload"), cap)
+    files = read.select("upload", "file_fault", F.col("broken")["fault"].alias("parse_fault"), F.col("broken")["line"].alias("parse_line"))
+    return rows_of(read), files
 
 
 def describe_unreadable(files: DataFrame, cap: int = fixed.MAX_DATA_ROWS) -> DataFrame:
@@ -339,9 +440,9 @@ def write_out(cells: DataFrame) -> DataFrame:
 
     rows = cells.withColumn("d", d)
     record = F.concat(field("product"), F.col("d"), field("date"), F.col("d"), field("weight"))
-    packed = rows.groupBy("upload", "d").agg(F.array_sort(F.collect_list(F.struct("line", record.alias("t")))).alias("ls"))
+    packed = rows.groupBy("upload", "d").agg(F.sort_array(F.collect_list(F.struct("line", record.alias("t")))).alias("ls"))
     head = F.concat(F.lit("Item_Name"), F.col("d"), F.lit("order date"), F.col("d"), F.lit(" WEIGHT "))
-    text = F.concat(head, F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["t"]), "\n"), F.lit("\n"))
+    text = F.concat(head, F.lit("\n"), F.array_join("ls.t", "\n"), F.lit("\n"))
     which = F.pmod("upload", F.lit(7))
     content = (
         F.when(which == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))

@@ -49,10 +49,8 @@ CAP = 4
 
 def d_row_cap(spark: SparkSession, d: str) -> DataFrame:
     """With a cap of a few rows, the files that have more; nothing of them is read."""
-    decoded = settle(uploads.decode(uploads.write_out(view(spark, d, "cells"))), "decoded")
-    rows, later = uploads.data_rows(decoded, settle(uploads.find_layout(decoded), "layouts"), cap=CAP)
-    kept = rows.groupBy("upload").agg(F.count("*").alias("n"))
-    return later.join(kept, "upload", "left").select("upload", "file_fault", F.coalesce("n", F.lit(0)).alias("n"))
+    read = uploads.read_files(uploads.decode(uploads.write_out(view(spark, d, "cells"))), cap=CAP).where(F.col("delimiter").isNotNull())
+    return uploads.rows_of(read, "file_fault", outer=True).groupBy("upload").agg(F.max("file_fault").alias("file_fault"), F.count("line").alias("n"))
 
 
 def d_layout(spark: SparkSession, d: str) -> DataFrame:
