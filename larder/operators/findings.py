@@ -197,6 +197,12 @@ def months_of(accepted: DataFrame) -> DataFrame:
     return accepted.groupBy("upload").agg(F.array_sort(F.collect_set(F.substring("iso", 1, 7))).alias("months"))
 
 
+def outcomes(judged: DataFrame, *keep: str) -> DataFrame:
+    """One row per upload of ``judge``: refused, months of its accepted rows (none of a refused one), and columns to ``keep``, which are one value an upload."""
+    month = F.when(F.col("ok") & ~F.col("refused"), F.substring("resolved_iso", 1, 7))
+    return judged.groupBy("upload").agg(*[F.max(c).alias(c) for c in keep], F.max("refused").alias("refused"), F.collect_set(month).alias("months"))
+
+
 def normalize(read: DataFrame, now: str) -> dict[str, DataFrame]:
     """Rows from ``read_cells`` to accepted rows and rejections (V17, V18 and all of F).
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from larder.functions import fixed
 from larder.functions.text import MONTH_KEY, blank_to_null, number_text, oxford_list, trim, utf16_length, utf16_prefix
+from larder.operators.rules import projected
+
+SIMPLE_COUNTS = r'^\{"M": ?N(?:, ?"M": ?N)*+\}\z'.replace("M", r"\d{4}-(?:0[1-9]|1[0-2])").replace("N", r"(?:0|[1-9]\d{0,14})")
+"""Counts as most forms have them: months and whole numbers, which need no parser."""
 
 
 def escape_field(c: Column) -> Column:
@@ -53,11 +57,15 @@ def describe_input(original: Column, normalized: Column) -> list[Column]:
 
 
 def check_metadata(forms: DataFrame) -> DataFrame:
-    """Rows of name, site_name, counts_basis, unit_system, counts (JSON text): adds bad_fields (array) and site (blank is null).
+    """Rows of name, site_name, counts_basis, unit_system, counts (JSON text): adds bad_fields (array), site (blank is null) and counted (the keys of counts).
 
     Every bad field is reported, not just the first. Counts: 1 to 120 keys
     YYYY-MM with whole numbers of 0 or more; a whole decimal such as 3.0 passes.
+    Texts as SIMPLE_COUNTS without a month twice are good if they are not too many; all others are parsed.
     """
+    given = forms.columns
+    forms = projected(forms, "counts", simple=F.when(F.col("counts").rlike(SIMPLE_COUNTS), F.regexp_extract_all("counts", F.lit('"([0-9-]{7})"'), F.lit(1))))
+    forms = projected(forms, "counts", simple=F.when(F.size(F.array_distinct("simple")) == F.size("simple"), F.col("simple")))
     name = trim(F.coalesce("name", F.lit("")))
     site = blank_to_null(F.col("site_name"))
     counts = F.from_json("counts", "map<string,string>")
@@ -65,7 +73,9 @@ def check_metadata(forms: DataFrame) -> DataFrame:
     keys, values = F.map_keys(counts), F.map_values(counts)
     whole = F.forall(values, lambda v: F.coalesce(v.rlike(r"^\d+(\.0+)?\z"), F.lit(False)))
     typed = F.coalesce(F.schema_of_variant(raw).rlike(r"^OBJECT<"), F.lit(False)) & ~F.coalesce(F.schema_of_variant(raw).rlike("STRING|BOOLEAN|ARRAY|VOID"), F.lit(True))
-    good = typed & (F.size(keys) >= 1) & (F.size(keys) <= fixed.MAX_MONTHS) & F.forall(keys, lambda k: k.rlike(MONTH_KEY)) & whole
+    parsed = typed & (F.size(keys) >= 1) & (F.size(keys) <= fixed.MAX_MONTHS) & F.forall(keys, lambda k: k.rlike(MONTH_KEY)) & whole
+    plain = F.col("simple").isNotNull()
+    good = F.when(plain, F.size("simple") <= fixed.MAX_MONTHS).otherwise(parsed)
     bad = F.array_compact(
         F.array(
             F.when((name == "") | (utf16_length(name) > fixed.MAX_FREE_TEXT_LENGTH), "name"),
@@ -75,31 +85,33 @@ def check_metadata(forms: DataFrame) -> DataFrame:
             F.when(~F.coalesce(good, F.lit(False)), "monthlyCounts"),
         )
     )
-    return forms.withColumns({"bad_fields": bad, "site": site})
+    forms = projected(forms, "counts", bad_fields=bad, site=site, counted=F.when(plain, F.col("simple")).otherwise(keys))
+    return forms.select(*given, *[c for c in ("bad_fields", "site", "counted") if c not in given])
 
 
-def verdict(files: DataFrame, unreadable: DataFrame, rejected: DataFrame, months: DataFrame, forms: DataFrame) -> DataFrame:
+def verdict(read: DataFrame, forms: DataFrame) -> DataFrame:
     """Upload, verdict, uncounted - the first reason to refuse an upload, or accepted.
 
-    ``files``: upload, gate; ``unreadable``: upload, reason; ``rejected``: the
-    uploads with bad rows; ``months``: upload, months of accepted rows; ``forms``:
-    upload and the fields of ``check_metadata``, counts as JSON text. A file that
-    is too large or has no bytes is refused before its form is read, its form
-    before its content, months without a count last (``uncounted`` names them). An
-    upload without a form lacks every field.
+    ``read``: upload, gate, reason (why no row was read from its file), refused (are
+    rows of it bad?), months of accepted rows, or null; ``forms``: one row per upload with
+    the fields of ``check_metadata``, counts as JSON text. A file that is too large
+    or has no bytes is refused before its form is read, its form before its
+    content, months without a count last (``uncounted`` names them). An upload
+    without a form lacks every field.
     """
-    met = check_metadata(files.select("upload", "gate").join(forms, "upload", "left")).select(
-        "upload", F.coalesce(F.col("gate").isin("too-large", "empty"), F.lit(False)).alias("unread"), (F.size("bad_fields") > 0).alias("bad_form")
+    checked = check_metadata(forms).select("upload", (F.size("bad_fields") > 0).alias("bad_form"), "counted")
+    met = read.join(checked.hint("merge"), "upload", "left")
+    first = F.coalesce(
+        F.when(F.col("gate").isin("too-large", "empty"), F.col("reason")), F.when(F.coalesce("bad_form", F.lit(True)), "invalid_metadata"),
+        "reason", F.when(F.col("refused"), "bad_rows"),
     )
-    counted = months.join(forms.select("upload", F.from_json("counts", "map<string,string>").alias("counts")), "upload")
-    uncounted = coverage(counted).where(F.col("summary").isNotNull()).select("upload", F.col("detail").alias("uncounted"))
-    for found in (unreadable.select("upload", "reason"), rejected.select("upload", F.lit("bad_rows").alias("bad")), uncounted):
-        met = met.join(found, "upload", "left")
-    first = F.coalesce(F.when(F.col("unread"), F.col("reason")), F.when(F.col("bad_form"), "invalid_metadata"), "reason", "bad")
+    missing = F.array_except(F.col("months"), F.col("counted"))
+    met = met.select("upload", first.alias("first"), F.when(first.isNull(), missing).alias("missing"))
+    some = F.coalesce(F.size("missing") > 0, F.lit(False))
     return met.select(
         "upload",
-        F.coalesce(first, F.when(F.col("uncounted").isNotNull(), "invalid_metadata"), F.lit("accepted")).alias("verdict"),
-        F.when(first.isNull(), F.col("uncounted")).alias("uncounted"),
+        F.coalesce("first", F.when(some, "invalid_metadata"), F.lit("accepted")).alias("verdict"),
+        F.when(some, _coverage_words(F.array_sort("missing"))[1]).alias("uncounted"),
     )
 
 
